@@ -9,7 +9,9 @@ from pyspark.sql import DataFrame, SparkSession
 from robustlake.llm.common import read_table as table
 from robustlake.llm.decontaminate import op4_decontaminate
 from robustlake.llm.packing import op8_packing
+from robustlake.llm.secrets import op5_secret_scan
 from robustlake.llm.token_counts import op2_token_counts
+from robustlake.llm.topk import OP7_SQL, op7_topk
 from robustlake.llm.toxicity import op1_toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -20,9 +22,11 @@ def queries() -> dict[str, Query]:
         "op1_toxicity": lambda s, d: op1_toxicity(table(s, d, "documents"), table(s, d, "labels")),
         "op2_token_counts": lambda s, d: op2_token_counts(table(s, d, "documents")),
         "op4_decontaminate": lambda s, d: op4_decontaminate(table(s, d, "documents"), table(s, d, "benchmark")),
+        "op5_secret_scan": lambda s, d: op5_secret_scan(table(s, d, "documents")),
+        "op7_topk": lambda s, d: op7_topk(table(s, d, "embeddings")),
         "op8_packing": lambda s, d: op8_packing(table(s, d, "documents")),
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op7_topk": OP7_SQL}
