@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from robustlake.llm.common import read_table as table
 from robustlake.llm.decontaminate import op4_decontaminate
+from robustlake.llm.html import op3_html_extract
 from robustlake.llm.packing import op8_packing
 from robustlake.llm.secrets import op5_secret_scan
 from robustlake.llm.token_counts import op2_token_counts
@@ -21,6 +22,7 @@ def queries() -> dict[str, Query]:
     return {
         "op1_toxicity": lambda s, d: op1_toxicity(table(s, d, "documents"), table(s, d, "labels")),
         "op2_token_counts": lambda s, d: op2_token_counts(table(s, d, "documents")),
+        "op3_html_extract": lambda s, d: op3_html_extract(table(s, d, "pages")),
         "op4_decontaminate": lambda s, d: op4_decontaminate(table(s, d, "documents"), table(s, d, "benchmark")),
         "op5_secret_scan": lambda s, d: op5_secret_scan(table(s, d, "documents")),
         "op7_topk": lambda s, d: op7_topk(table(s, d, "embeddings")),
