@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from robustlake.llm.common import read_table as table
 from robustlake.llm.decontaminate import op4_decontaminate
 from robustlake.llm.html import op3_html_extract
+from robustlake.llm.minhash import OP9_SQL, op9_minhash
 from robustlake.llm.packing import op8_packing
 from robustlake.llm.secrets import op5_secret_scan
 from robustlake.llm.token_counts import op2_token_counts
@@ -27,8 +28,9 @@ def queries() -> dict[str, Query]:
         "op5_secret_scan": lambda s, d: op5_secret_scan(table(s, d, "documents")),
         "op7_topk": lambda s, d: op7_topk(table(s, d, "embeddings")),
         "op8_packing": lambda s, d: op8_packing(table(s, d, "documents")),
+        "op9_minhash": lambda s, d: op9_minhash(table(s, d, "documents")),
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op7_topk": OP7_SQL}
+    return {"op7_topk": OP7_SQL, "op9_minhash": OP9_SQL}
