@@ -12,6 +12,7 @@ from robustlake.llm.html import op3_html_extract
 from robustlake.llm.minhash import OP9_SQL, op9_minhash
 from robustlake.llm.packing import op8_packing
 from robustlake.llm.secrets import op5_secret_scan
+from robustlake.llm.suffixes import op10_suffix_dedup
 from robustlake.llm.token_counts import op2_token_counts
 from robustlake.llm.topk import OP7_SQL, op7_topk
 from robustlake.llm.toxicity import op1_toxicity
@@ -29,6 +30,7 @@ def queries() -> dict[str, Query]:
         "op7_topk": lambda s, d: op7_topk(table(s, d, "embeddings")),
         "op8_packing": lambda s, d: op8_packing(table(s, d, "documents")),
         "op9_minhash": lambda s, d: op9_minhash(table(s, d, "documents")),
+        "op10_suffix_dedup": lambda s, d: op10_suffix_dedup(table(s, d, "documents")),
     }
 
 
