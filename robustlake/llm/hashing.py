@@ -41,12 +41,20 @@ class Substrings:
     """Hashes of substrings of one array of symbols: equal substrings hash equally wherever they stand."""
 
     def __init__(self, values: np.ndarray):
-        powers, self._inverses = _tables(len(values))
+        self._powers, self._inverses = _tables(len(values))
         self._sums = np.zeros(len(values) + 1, np.uint64)
-        np.cumsum(values * powers[: len(values)], out=self._sums[1:])
+        np.cumsum(values * self._powers[: len(values)], out=self._sums[1:])
+
+    def _plain(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        return (self._sums[end] - self._sums[start]) * self._inverses[start]
 
     def hashes(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-        return mix((self._sums[end] - self._sums[start]) * self._inverses[start] + (end - start).astype(np.uint64))
+        return mix(self._plain(start, end) + (end - start).astype(np.uint64))
+
+    def joined(self, a: np.ndarray, b: np.ndarray, c: np.ndarray, d: np.ndarray) -> np.ndarray:
+        """Hashes of the symbols a:b run together with the symbols c:d."""
+        total = self._plain(a, b) + self._plain(c, d) * self._powers[b - a]
+        return mix(total + (b - a + d - c).astype(np.uint64))
 
 
 #: Blanks that part words: space, and tab to carriage return.

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from robustlake.llm.common import read_table as table
 from robustlake.llm.decontaminate import op4_decontaminate
 from robustlake.llm.html import op3_html_extract
+from robustlake.llm.line_dedup import op6_line_dedup
 from robustlake.llm.minhash import OP9_SQL, op9_minhash
 from robustlake.llm.packing import op8_packing
 from robustlake.llm.secrets import op5_secret_scan
@@ -27,6 +28,7 @@ def queries() -> dict[str, Query]:
         "op3_html_extract": lambda s, d: op3_html_extract(table(s, d, "pages")),
         "op4_decontaminate": lambda s, d: op4_decontaminate(table(s, d, "documents"), table(s, d, "benchmark")),
         "op5_secret_scan": lambda s, d: op5_secret_scan(table(s, d, "documents")),
+        "op6_line_dedup": lambda s, d: op6_line_dedup(table(s, d, "documents")),
         "op7_topk": lambda s, d: op7_topk(table(s, d, "embeddings")),
         "op8_packing": lambda s, d: op8_packing(table(s, d, "documents")),
         "op9_minhash": lambda s, d: op9_minhash(table(s, d, "documents")),
