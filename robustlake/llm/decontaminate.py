@@ -263,3 +263,31 @@ def op4_decontaminate(docs: DataFrame, items: DataFrame) -> DataFrame:
         F.sha2(F.array_join(F.array_sort("hits.items"), ","), 256).alias("items_sha256"),
         F.col("hits.contaminated").alias("contaminated"),
     )
+
+
+OP4_SQL = r"""
+WITH docs AS (
+  SELECT row_number() OVER () AS row, doc_id, regexp_extract_all(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+  FROM documents
+), items AS (
+  SELECT coalesce(CAST(item_id AS VARCHAR), '') AS item, regexp_extract_all(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+  FROM benchmark
+), windows AS (
+  SELECT DISTINCT item, least(13, len(w)) AS m, array_to_string(list_slice(w, i, i + least(13, len(w)) - 1), ' ') AS s
+  FROM items, LATERAL (SELECT unnest(range(1, greatest(1, len(w) - 12) + 1)) AS i) WHERE len(w) > 0
+), places AS (
+  SELECT row, m, i, array_to_string(list_slice(w, i, i + m - 1), ' ') AS s
+  FROM docs, (SELECT DISTINCT m FROM windows), LATERAL (SELECT unnest(range(1, len(w) - m + 2)) AS i)
+), found AS (
+  SELECT row, p.m AS m, i, item FROM places p JOIN windows x ON p.m = x.m AND p.s = x.s
+), hit AS (
+  SELECT row, count(DISTINCT j) AS n_hit FROM (SELECT row, unnest(range(i, i + m)) AS j FROM found) GROUP BY row
+), held AS (
+  SELECT row, count(DISTINCT item) AS n_items, string_agg(DISTINCT item, ',' ORDER BY item) AS ids FROM found GROUP BY row
+)
+SELECT doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(ids, '')) AS items_sha256,
+  coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
+FROM docs LEFT JOIN hit USING (row) LEFT JOIN held USING (row)
+"""

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from robustlake.llm.common import read_table as table
-from robustlake.llm.decontaminate import op4_decontaminate
+from robustlake.llm.decontaminate import OP4_SQL, op4_decontaminate
 from robustlake.llm.html import op3_html_extract
 from robustlake.llm.line_dedup import op6_line_dedup
 from robustlake.llm.minhash import OP9_SQL, op9_minhash
@@ -37,4 +37,4 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op7_topk": OP7_SQL, "op9_minhash": OP9_SQL}
+    return {"op4_decontaminate": OP4_SQL, "op7_topk": OP7_SQL, "op9_minhash": OP9_SQL}
