@@ -11,13 +11,17 @@ def ordered(key: str, *order: str):
     return Window.partitionBy(key).orderBy(*order)
 
 
-def smoothed(series: DataFrame, key: str, order: list[str], value: str, keep: float = 0.55, digits: int = 2) -> DataFrame:
-    """Exponential moving average, rounded at each step; a null keeps the previous value. One row per sample."""
+def smoothed(series: DataFrame, key: str, order: list[str], value: str, keep: float = 0.55, digits: int = 2, jump: float | None = None) -> DataFrame:
+    """Exponential moving average, rounded at each step; a null keeps the previous value. One row per sample.
+
+    With ``jump``, a value further than that from the average starts it anew.
+    """
     item = F.struct(*order, F.col(value).alias("v"))
     lists = series.groupBy(key).agg(F.array_sort(F.collect_list(item)).alias("items"))
 
     def step(state: Column, x: Column) -> Column:
-        fresh = F.when(state["at"].isNull(), x["v"]).otherwise(F.floor((state["at"] * keep + x["v"] * (1 - keep)) * 10**digits + 0.5) / float(10**digits))
+        anew = state["at"].isNull() if jump is None else state["at"].isNull() | (F.abs(x["v"] - state["at"]) > jump)
+        fresh = F.when(anew, x["v"]).otherwise(F.floor((state["at"] * keep + x["v"] * (1 - keep)) * 10**digits + 0.5) / float(10**digits))
         at = F.coalesce(fresh, state["at"])
         return F.struct(at.alias("at"), F.array_append(state["out"], at).alias("out"))
 
