@@ -147,10 +147,10 @@ def weight_percent(s, d):
     return table(s, d, "part").select("p_partkey", F.floor(F.col("p_size") * 100.0 / total + 0.5).alias("robustness"), F.floor(F.lit(3000.0) / total + 0.5).alias("fidelity"))
 
 
-@query("a25_radar", with_views("cells") + "SELECT algorithm_id, category, round(avg(a), 6) AS score FROM (SELECT algorithm_id, category, attack_id, avg(tpr) AS a FROM cells GROUP BY 1, 2, 3) GROUP BY 1, 2")
+@query("a25_radar", with_views("cells") + "SELECT algorithm_id, category, round(avg(a), 9) AS score FROM (SELECT algorithm_id, category, attack_id, avg(tpr) AS a FROM cells GROUP BY 1, 2, 3) GROUP BY 1, 2")
 def radar(s, d):
     own = cells(s, d).groupBy("algorithm_id", "category", "attack_id").agg(F.avg("tpr").alias("a"))
-    return own.groupBy("algorithm_id", "category").agg(F.round(F.avg("a"), 6).alias("score"))
+    return own.groupBy("algorithm_id", "category").agg(F.round(F.avg("a"), 9).alias("score"))
 
 
 @query("a26_radar_total", with_views("cells") + "SELECT algorithm_id, round(sum(least(1, greatest(0, s))), 6) AS total FROM (SELECT algorithm_id, category, avg(tpr) * 1.5 AS s FROM cells GROUP BY 1, 2) GROUP BY 1")

@@ -196,9 +196,9 @@ def control_pairs(s, d):
 
 
 @query("w16_curve_series", with_views("cells") + ", " + ATTACK_POINTS + """
-SELECT algorithm_id, attack_id, count(*) AS n_points, string_agg(printf('%.1f:%.4f', strength, round(tpr, 4)), ' ' ORDER BY strength) AS series FROM pts GROUP BY 1, 2 HAVING count(*) >= 2""")
+SELECT algorithm_id, attack_id, count(*) AS n_points, string_agg(printf('%.1f:%.8f', strength, round(tpr, 8)), ' ' ORDER BY strength) AS series FROM pts GROUP BY 1, 2 HAVING count(*) >= 2""")
 def curve_series(s, d):
     points = S.curve_points(cells(s, d), "algorithm_id", "attack_id", "strength")
-    held = F.array_sort(F.collect_list(F.struct("strength", F.round("tpr", 4).alias("tpr"))))
+    held = F.array_sort(F.collect_list(F.struct("strength", F.round("tpr", 8).alias("tpr"))))
     rows = points.groupBy("algorithm_id", "attack_id").agg(held.alias("h")).where(F.size("h") >= 2)
-    return rows.select("algorithm_id", "attack_id", F.size("h").cast("long").alias("n_points"), F.array_join(F.transform("h", lambda p: F.format_string("%.1f:%.4f", p["strength"], p["tpr"])), " ").alias("series"))
+    return rows.select("algorithm_id", "attack_id", F.size("h").cast("long").alias("n_points"), F.array_join(F.transform("h", lambda p: F.format_string("%.1f:%.8f", p["strength"], p["tpr"])), " ").alias("series"))
