@@ -50,7 +50,7 @@ BLOCK_BYTES = 4_000_000
 LEAST_BLOCKS = 256
 COVER, PERIOD = (0, 1, 3), 6
 
-PACKED = "block int, grams binary, ids binary, keys binary, starts binary, counts binary, bytes binary"
+PACKED = "block int, grams binary, ids binary, keys binary, starts binary, counts binary, offsets binary, bytes binary"
 RUNS = "doc_id long, key long, start int, end int"
 
 
@@ -71,7 +71,7 @@ def _ranges(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
 
 
 def contexts(data: np.ndarray, begins: np.ndarray, length: int):
-    """(gram hash, first window, number of windows) of each context; texts lie at begins[i]:begins[i+1]."""
+    """(gram hash, first window, number of windows, place of the gram in it) of each context; texts lie at begins[i]:begins[i+1]."""
     span = length - GRAM + 1
     eight, four = _loads(data)
     grams = np.zeros(len(data), np.uint64)
@@ -88,12 +88,12 @@ def contexts(data: np.ndarray, begins: np.ndarray, length: int):
     owner = (low[valid] & U(0xFFFFFFFF)).astype(np.int64)
     new = np.flatnonzero(np.concatenate(([True], owner[1:] != owner[:-1]))) if len(owner) else np.zeros(0, np.int64)
     counts = np.diff(np.append(new, len(owner)))
-    return grams[owner[new]], valid[new], counts
+    return grams[owner[new]], valid[new], counts, owner[new] - valid[new]
 
 
-def _emit(block, grams, ids, keys, starts, counts, data) -> pa.RecordBatch:
+def _emit(block, *columns) -> pa.RecordBatch:
     cols = [pa.array(block, pa.int32())]
-    for values in (grams, ids, keys, starts, counts, data):
+    for values in columns:
         cols.append(pa.array([v.tobytes() for v in values], pa.binary()))
     return pa.RecordBatch.from_arrays(cols, names=[f.split()[0] for f in PACKED.split(", ")])
 
@@ -104,11 +104,11 @@ def _packer(blocks: int, passes: int, number: int, length: int):
         begins = np.concatenate(([0], np.cumsum([len(t) for t in texts]))).astype(np.int64)
         if len(data) < length:
             return None
-        grams, first, counts = contexts(data, begins, length)
+        grams, first, counts, offsets = contexts(data, begins, length)
         own = np.flatnonzero(grams % U(passes) == U(number))
         if not len(own):
             return None
-        grams, first, counts = grams[own], first[own], counts[own]
+        grams, first, counts, offsets = grams[own], first[own], counts[own], offsets[own]
         doc = np.searchsorted(begins, first, "right") - 1
         id_of, key_of = np.array(ids, np.int64)[doc], np.array(keys, np.int64)[doc]
         starts = (first - begins[doc]).astype(np.int32)
@@ -125,7 +125,7 @@ def _packer(blocks: int, passes: int, number: int, length: int):
         block = np.sort(block)
         cuts = np.flatnonzero(np.diff(block)) + 1
         parts = np.split(going, cuts)
-        rows = ([], [], [], [], [], [], [])
+        rows = ([], [], [], [], [], [], [], [])
         for part in parts:
             if len(part):
                 rows[0].append(int(((grams[part[0]] // U(passes)) % U(blocks))))
@@ -134,13 +134,15 @@ def _packer(blocks: int, passes: int, number: int, length: int):
                 rows[3].append(key_of[part])
                 rows[4].append(starts[part])
                 rows[5].append(counts[part].astype(np.int32))
-                rows[6].append(data[_ranges(first[part], counts[part] + length - 1)])
+                rows[6].append(offsets[part].astype(np.int32))
+                rows[7].append(data[_ranges(first[part], counts[part] + length - 1)])
         if len(settled):  # they only pass through, spread over blocks of their own
             rows[0].append(blocks + turn % blocks)
             for place, values in ((2, id_of), (3, key_of), (4, starts), (5, counts.astype(np.int32))):
                 rows[place].append(values[settled])
             rows[1].append(np.zeros(0, np.uint64))
-            rows[6].append(np.zeros(0, np.uint8))
+            rows[6].append(np.zeros(0, np.int32))
+            rows[7].append(np.zeros(0, np.uint8))
         return _emit(*rows)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -230,23 +232,42 @@ def suffix_order(data: np.ndarray, places: np.ndarray, length: int = LENGTH) ->
 
 def _settle(rows: list[tuple], length: int):
     """All contexts of one block: (id, key, start, end) of the repeated runs."""
-    grams, ids, keys, starts, counts, data = (np.concatenate([np.frombuffer(r[c], kind) for r in rows]) for c, kind in enumerate((np.uint64, np.int64, np.int64, np.int32, np.int32, np.uint8)))
-    sizes = counts.astype(np.int64) + length - 1
+    kinds = (np.uint64, np.int64, np.int64, np.int32, np.int32, np.int32, np.uint8)
+    _, ids, keys, starts, counts, offsets, data = (np.concatenate([np.frombuffer(r[c], kind) for r in rows]) for c, kind in enumerate(kinds))
+    starts, counts, offsets = starts.astype(np.int64), counts.astype(np.int64), offsets.astype(np.int64)
+    sizes = counts + length - 1
     at = np.cumsum(sizes) - sizes
-    # a gram of one document has no repeats
-    order = np.argsort(grams, kind="stable")
-    edge = np.flatnonzero(np.concatenate(([True], grams[order][1:] != grams[order][:-1])))
-    low, high = np.minimum.reduceat(ids[order], edge), np.maximum.reduceat(ids[order], edge)
-    keep = np.zeros(len(grams), bool)
-    keep[order] = np.repeat(low < high, np.diff(np.append(edge, len(order))))
-    own = np.flatnonzero(keep)
+    hashes_of = Substrings(BYTE_VALUES[data]).hashes
+    # A string of which the gram leaves less than half ahead has a flank of ``half`` bytes behind the gram, and the
+    # others have one ahead of it: only strings whose gram and flank stand in several documents can repeat.
+    half = (length - GRAM + 1) // 2
+    gram = at + offsets
+
+    def several(own: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        flanks = hashes_of(a, b)
+        order = np.argsort(flanks, kind="stable")
+        edge = np.flatnonzero(np.concatenate(([True], flanks[order][1:] != flanks[order][:-1])))
+        low, high = np.minimum.reduceat(ids[own][order], edge), np.maximum.reduceat(ids[own][order], edge)
+        out = np.zeros(len(ids), bool)
+        out[own[order]] = np.repeat(low < high, np.diff(np.append(edge, len(order))))
+        return out
+
+    behind, ahead = np.flatnonzero(sizes - offsets - GRAM >= half), np.flatnonzero(offsets >= half)
+    none = np.zeros(len(ids), bool)
+    behind = several(behind, gram[behind], gram[behind] + GRAM + half) if len(behind) else none
+    ahead = several(ahead, gram[ahead] - half, gram[ahead] + GRAM) if len(ahead) else none
+    turn = np.clip(offsets - half + 1, 0, counts)  # windows before it have the long flank ahead
+    low, high = np.where(ahead, 0, turn), np.where(behind, counts, turn)
+    at, starts, counts = at + low, starts + low, high - low
+    sizes = counts + length - 1
+    own = np.flatnonzero(counts > 0)
     if not len(own):
         return None
     # equal contexts fall together
-    hashes = Substrings(BYTE_VALUES[data]).hashes(at[own], at[own] + sizes[own])
+    hashes = hashes_of(at[own], at[own] + sizes[own])
     distinct, one, which = np.unique(hashes, return_index=True, return_inverse=True)
     chosen = own[one]
-    windows = counts[chosen].astype(np.int64)
+    windows = counts[chosen]
     text = data[_ranges(at[chosen], sizes[chosen])]
     begin = np.cumsum(sizes[chosen]) - sizes[chosen]
     first = np.full(len(distinct), np.iinfo(np.int64).max)
@@ -260,7 +281,7 @@ def _settle(rows: list[tuple], length: int):
     low_of[order] = np.repeat(class_low, np.diff(np.append(edge, len(order))))
     # every occurrence against the smallest id of each of its windows
     window_at = np.cumsum(windows) - windows
-    reps = counts[own].astype(np.int64)
+    reps = counts[own]
     gone = low_of[_ranges(window_at[which], reps)] < np.repeat(ids[own], reps)
     owner = np.repeat(np.arange(len(own)), reps)
     offset = np.arange(len(gone)) - np.repeat(np.cumsum(reps) - reps, reps)
