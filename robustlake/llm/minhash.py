@@ -12,14 +12,17 @@ with the concentration of independent minima, at the cost of a few rounds.
 similarity 0.8 meets in none of them with a chance below one in a million. Then
 
 1. equal sets are one class; only a representative of each goes on;
-2. in each bucket every class is paired with the bucket's leader (the smallest
-   class id), so a group of n copies makes n pairs, not n squared;
+2. in each bucket every class is paired with the bucket's leader (the class that
+   meets most others), so a group of n copies makes n pairs, not n squared;
 3. pairs whose sizes or sketches exclude a link (the sketch bound lies six
    standard deviations below the threshold) are dropped, the others are
    confirmed on their full sets;
 4. components grow along confirmed links; then classes that share a bucket but
    stand in different components are compared in the same way, so no link
-   between components that met in a bucket is lost.
+   between components that met in a bucket is lost. Members of buckets above
+   ``SMALL_BUCKET`` (a passage that thousands of documents hold) are paired by
+   their rarest shingles instead, which loses no link and does not pair all
+   holders of a common passage.
 
 Links, sets and components stay in tables of the shared folder. Candidates are
 broadcast only up to a checked number of rows.
@@ -45,6 +48,8 @@ from robustlake.llm.hashing import U, mix, shingle_sets
 ROWS, BANDS = 6, 48
 #: Most rows of a broadcast list of document keys (about 32 bytes each).
 BROADCAST_ROWS = 250_000
+#: Members of a bucket that may be compared across components without going by their rarest shingles.
+SMALL_BUCKET = 16
 _SEEDS = np.random.default_rng(9).integers(1, 2**63, 4096, dtype=np.uint64)
 
 
@@ -113,6 +118,17 @@ def _sets(text: Column, words: int) -> Column:
     return work(text)
 
 
+def _longs(text: Column, words: int) -> Column:
+    @F.arrow_udf("array<long>")
+    def work(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for batch in batches:
+            sets = shingle_sets([x or b"" for x in batch.cast(pa.binary()).to_pylist()], words)
+            offsets = np.concatenate(([0], np.cumsum([len(s) for s in sets])))
+            yield pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(np.concatenate([*sets, np.empty(0, np.uint64)]).view(np.int64)))
+
+    return work(text)
+
+
 @F.arrow_udf(IntegerType())
 def _agreeing(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
     """Equal bytes of two sketches."""
@@ -153,6 +169,46 @@ def components(links: DataFrame) -> DataFrame:
             return labels
 
 
+def _across(grouped: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a < b) of one bucket and different labels that may be linked. ``grouped``: bucket, cid, n, common, label.
+
+    ``common`` bounds the elements that a set can share with another, so sizes and bounds rule most pairs out.
+    The label with the most members of a bucket is met by all others, but not by itself, so a large component
+    beside a few strangers costs what the strangers cost.
+    """
+    counts = grouped.groupBy("bucket", "label").agg(F.count(F.lit(1)).alias("k"))
+    main = counts.groupBy("bucket").agg(F.max_by("label", F.struct("k", "label")).alias("main"), F.count(F.lit(1)).alias("labels")).where("labels > 1")
+    rows = grouped.join(main.select("bucket", "main"), "bucket")
+    left = rows.where("label <> main").select("bucket", F.col("cid").alias("c"), F.col("n").alias("n_c"), F.col("common").alias("k_c"), F.col("label").alias("l_c"))
+    right = rows.select("bucket", F.col("cid").alias("e"), F.col("n").alias("n_e"), F.col("common").alias("k_e"), F.col("label").alias("l_e"), (F.col("label") == F.col("main")).alias("of_main"))
+    fit = F.least("k_c", "k_e") * (100 + percent) >= (F.col("n_c") + F.col("n_e")) * percent
+    met = left.join(right, "bucket").where((F.col("l_c") != F.col("l_e")) & (F.col("of_main") | (F.col("c") < F.col("e"))) & fit)
+    return met.select(F.least("c", "e").alias("a"), F.greatest("c", "e").alias("b")).distinct()
+
+
+def _rare(own: DataFrame, classes: DataFrame, crowd: DataFrame, words: int, percent: int) -> DataFrame:
+    """The classes of crowded buckets, dealt anew by their rarest shingles: bucket, cid, n, common, label.
+
+    Two sets whose similarity reaches ``percent`` share one of their rarest n - ceil(n * percent / 100) + 1 elements
+    in any common order, here by frequency among the crowd. A passage that fills a crowded bucket is frequent and
+    so in no such prefix, while every link within the crowd still meets, at the first element of the order that it
+    shares: ``common`` counts the elements from there on.
+    """
+    wanted = bounded(written(crowd.join(classes, "cid"), "crowd"))
+    sets = own.join(wanted, ["doc_id", "key"]).select("cid", "label", _longs(F.col("text"), words).alias("held"))
+    sets = written(sets, "crowd-sets").dropDuplicates(["cid"])
+    each = sets.select("cid", "label", F.size("held").cast("long").alias("n"), F.explode("held").alias("x"))
+    often = each.groupBy("x").agg(F.count(F.lit(1)).alias("often")).where("often > 1")  # an element of one set joins nothing
+    known = each.join(often, "x").groupBy("cid", "label", "n").agg(F.array_sort(F.collect_list(F.struct("often", "x"))).alias("shared"))
+    # elements of one set come first in the order: they use up part of the prefix
+    single = F.col("n") - F.size("shared")
+    length = F.col("n") - F.ceil(F.col("n") * percent / 100) + 1 - single
+    prefix = known.where(length > 0).select("cid", "label", "n", F.size("shared").alias("m"), F.posexplode(F.slice("shared", F.lit(1), length.cast("int"))).alias("at", "p"))
+    # if this is the first element that two sets share, they share no more than what follows it in either
+    prefix = prefix.select("cid", "label", "n", (F.col("m") - F.col("at")).cast("long").alias("common"), "p")
+    return prefix.select(F.col("p.x").alias("bucket"), "cid", "n", "common", "label")
+
+
 def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     """doc_id, key (row_key of doc_id and text), n_shingles, component_id; one row per row of ``docs``."""
     prepare(docs.sparkSession)
@@ -167,11 +223,15 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     reps = linked.join(classes.select("doc_id", "key"), ["doc_id", "key"]).dropDuplicates(["cid"]).select("cid", "n", "marks", "bands")
     reps = written(reps, "representatives")
 
-    # buckets with at least two classes
+    # buckets with at least two classes; the leader of a bucket is the member that meets most others in all of its
+    # buckets: of many variations on one text that is the text itself, which most of them are linked with
     placed = reps.select("cid", "n", F.explode("bands").alias("bucket"))
-    leaders = placed.groupBy("bucket").agg(F.min("cid").alias("leader"), F.count(F.lit(1)).alias("size")).where("size > 1")
-    members = written(placed.join(leaders.select("bucket", "leader"), "bucket"), "members")
-    pairs = members.where("cid <> leader").select(F.col("leader").alias("a"), F.col("cid").alias("b")).distinct()
+    sizes = placed.groupBy("bucket").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
+    members = written(placed.join(sizes, "bucket"), "members")
+    meets = members.groupBy("cid").agg(F.sum("size").alias("meets"))
+    leaders = members.select("bucket", "cid").join(meets, "cid").groupBy("bucket").agg(F.max_by("cid", F.struct("meets", "cid")).alias("leader"))
+    members = written(members.join(leaders, "bucket"), "led-members")
+    pairs = members.where("cid <> leader").select(F.least("cid", "leader").alias("a"), F.greatest("cid", "leader").alias("b")).distinct()
 
     def confirmed(pairs: DataFrame) -> DataFrame:
         """The pairs (a, b) that are links."""
@@ -199,12 +259,11 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     stands = members.join(labels.select(F.col("id").alias("cid"), "label"), "cid", "left")
     stands = stands.select("bucket", "cid", "n", "leader", F.coalesce("label", "cid").alias("label"))
     mixed = stands.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count(F.lit(1)).alias("size"))
-    mixed = mixed.where("low <> high and size > 2").select("bucket")
-    stands = written(stands.join(mixed, "bucket").where("cid <> leader"), "stands")
-    left = stands.select("bucket", F.col("cid").alias("a"), F.col("n").alias("n_a"), F.col("label").alias("l_a"))
-    right = stands.select("bucket", F.col("cid").alias("b"), F.col("n").alias("n_b"), F.col("label").alias("l_b"))
-    fit = F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * percent
-    more = left.join(right, "bucket").where((F.col("a") < F.col("b")) & (F.col("l_a") != F.col("l_b")) & fit).select("a", "b").distinct()
+    mixed = mixed.where("low <> high and size > 2").select("bucket", F.col("size").alias("crowd"))
+    stands = written(stands.join(mixed, "bucket"), "stands")
+    small = stands.where(F.col("crowd") <= SMALL_BUCKET).where("cid <> leader").select("bucket", "cid", "n", F.col("n").alias("common"), "label")
+    crowd = stands.where(F.col("crowd") > SMALL_BUCKET).select("cid", "label").distinct()
+    more = _across(small, percent).unionByName(_across(_rare(own, classes, crowd, words, percent), percent)).distinct()
     more = confirmed(more)
     if not more.isEmpty():
         labels = components(links.unionByName(more))

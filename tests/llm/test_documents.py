@@ -262,6 +262,23 @@ def test_minhash(spark):
     assert op9_minhash(docs(spark, [])).count() == 0
 
 
+def test_minhash_of_a_crowd_that_shares_a_passage(spark, monkeypatch):
+    import random
+
+    from robustlake.llm import minhash
+
+    rng = random.Random(8)
+    passage = [f"p{k}" for k in range(24)]
+    texts = [" ".join(passage + [f"w{rng.randrange(10**6)}" for _ in range(rng.randrange(6, 14))]) for _ in range(60)]
+    texts += [t + " tail" for t in texts[:12]] + [t.replace("p3", "q3") for t in texts[20:26]]
+    own = list(enumerate(texts))
+    df = spark.createDataFrame(own, "doc_id long, text string")
+    for small in (0, 16):
+        monkeypatch.setattr(minhash, "SMALL_BUCKET", small)
+        got = near_duplicates(df, words=2).select("doc_id", "n_shingles", "component_id")
+        assert found(got) == sorted(near(own, 2), key=some)
+
+
 # --- repeated passages -----------------------------------------------------
 
 
