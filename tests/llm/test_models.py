@@ -8,7 +8,7 @@ from messy import docs, some
 
 from robustlake.llm.html import blocks_of, labelled_blocks, op3_html_extract, trained, features
 from robustlake.llm.topk import Tree, exact_topk, op7_topk
-from robustlake.llm.toxicity import op1_toxicity
+from robustlake.llm.toxicity import DIMS, FILTERS, WIDTHS, BITS, Model, Scorer, op1_toxicity
 from pyspark.sql import functions as F
 
 SF = "/root/testdata/sf0.1"
@@ -35,6 +35,25 @@ def test_toxicity_on_awkward_rows(spark):
     assert {r.score for r in none} == {0.0}
 
 
+def loud_model():
+    """Random filters: nearly every word can be a maximum."""
+    rng = np.random.default_rng(5)
+    size = FILTERS * len(WIDTHS)
+    return Model(rng.normal(0, 1, (3 << BITS, DIMS)), [rng.normal(0, 1, (w, DIMS, FILTERS)) for w in WIDTHS], [np.zeros(FILTERS)] * len(WIDTHS), rng.normal(0, 0.1, size), 0.0)
+
+
+def test_toxicity_of_a_text_is_its_own():
+    texts = [b"a quiet text", b"", b"one", None, b"two words", b"three plain words more"]
+    loud = [b"words%d that%d shout%d" % (k, k, k) for k in range(40)]
+    alone = [float(Scorer(loud_model()).scores([t])[0]) for t in texts]
+    assert alone[1] == alone[3]
+    scorer = Scorer(loud_model())
+    for after in loud:
+        for text, score in zip(texts, alone):
+            got = scorer.scores([text, after, text])
+            assert got[0] == got[2] == score
+
+
 def test_html_labeller_on_held_out_pages():
     pages = [labelled_blocks(5_000_000 + k) for k in range(120)]
     kept = trained().keep([features(blocks) for blocks, _ in pages])
