@@ -8,6 +8,7 @@ from messy import docs, some
 
 from robustlake.llm.html import blocks_of, labelled_blocks, op3_html_extract, trained, features
 from robustlake.llm.topk import Tree, exact_topk, op7_topk
+from robustlake.llm import toxicity
 from robustlake.llm.toxicity import DIMS, FILTERS, WIDTHS, BITS, Model, Scorer, op1_toxicity
 from pyspark.sql import functions as F
 
@@ -54,6 +55,21 @@ def test_toxicity_of_a_text_is_its_own():
             assert got[0] == got[2] == score
 
 
+def test_toxicity_of_very_long_texts(monkeypatch):
+    numbers = b" ".join(b"w%d" % k for k in range(300_000))
+    got = Scorer(loud_model()).scores([b"short", numbers, b"short"])
+    assert got[0] == got[2] == Scorer(loud_model()).scores([b"short"])[0]
+    # parts give what the whole gives, wherever they are cut
+    rng = random.Random(3)
+    texts = [b" ".join(b"%d" % rng.randrange(60) for _ in range(rng.randrange(1, 80))) + b" " * rng.randrange(40) for _ in range(60)]
+    whole = Scorer(loud_model()).scores(texts)
+    for step in (8, 11, 30):
+        monkeypatch.setattr(toxicity, "STEP_WORDS", step)
+        assert max(len(own) for t in texts for own, _ in toxicity.parts_of(t)) <= step // 2 + 3
+        monkeypatch.setattr(toxicity, "KEPT_WORDS", 5)
+        assert (Scorer(loud_model()).scores(texts) == whole).all()
+
+
 def test_html_labeller_on_held_out_pages():
     pages = [labelled_blocks(5_000_000 + k) for k in range(120)]
     kept = trained().keep([features(blocks) for blocks, _ in pages])
