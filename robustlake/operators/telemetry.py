@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import math
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -14,21 +18,31 @@ def ordered(key: str, *order: str):
 def smoothed(series: DataFrame, key: str, order: list[str], value: str, keep: float = 0.55, digits: int = 2, jump: float | None = None) -> DataFrame:
     """Exponential moving average, rounded at each step; a null keeps the previous value. One row per sample.
 
-    With ``jump``, a value further than that from the average starts it anew.
+    With ``jump``, a value further than that from the average starts it anew. Samples of a key come sorted to one
+    task, which carries one average from row to row and batch to batch, whatever the number of samples.
     """
-    item = F.struct(*order, F.col(value).alias("v"))
-    lists = series.groupBy(key).agg(F.array_sort(F.collect_list(item)).alias("items"))
-
-    def step(state: Column, x: Column) -> Column:
-        anew = state["at"].isNull() if jump is None else state["at"].isNull() | (F.abs(x["v"] - state["at"]) > jump)
-        fresh = F.when(anew, x["v"]).otherwise(F.floor((state["at"] * keep + x["v"] * (1 - keep)) * 10**digits + 0.5) / float(10**digits))
-        at = F.coalesce(fresh, state["at"])
-        return F.struct(at.alias("at"), F.array_append(state["out"], at).alias("out"))
-
-    start = F.struct(F.lit(None).cast("double").alias("at"), F.array().cast("array<double>").alias("out"))
-    run = F.aggregate("items", start, step, lambda s: s["out"])
-    pairs = lists.select(key, F.explode(F.arrays_zip(F.col("items").alias("i"), run.alias("ema"))).alias("p"))
-    return pairs.select(key, *[F.col(f"p.i.{o}").alias(o) for o in order], F.col("p.ema").alias("ema"))
+    rows = series.select(key, *order, F.col(value).cast("double").alias("ema"))
+    dealt = rows.repartition(key).sortWithinPartitions(key, *order, "ema")
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own, at, scale, started = None, None, float(10**digits), False
+        for batch in batches:
+            out = []
+            for k, v in zip(batch.column(0).to_pylist(), batch.column(batch.num_columns - 1).to_pylist()):
+                # NaN keys are one group for Spark
+                if not started or (k != own and not (k != k and own != own)):
+                    own, at, started = k, None, True
+                if v is not None:
+                    # NaN is above every number for Spark
+                    if at is None or (jump is not None and not abs(v - at) <= jump):
+                        at = v
+                    else:
+                        x = (at * keep + v * (1 - keep)) * 10**digits + 0.5
+                        at = (math.floor(x) if math.isfinite(x) else x) / scale
+                out.append(at)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(out, pa.float64())], schema=batch.schema)
+
+    return dealt.mapInArrow(work, dealt.schema)
 
 
 def rolling_median(series: DataFrame, key: str, order: list[str], value: str, size: int = 3) -> DataFrame:

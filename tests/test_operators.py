@@ -1,6 +1,7 @@
 """Operators against literal expectations."""
 
 import json
+import math
 
 import pytest
 from pyspark.sql import functions as F
@@ -137,3 +138,17 @@ def test_registered_names():
 
     queries, oracles = entry.queries(), entry.oracle_sql()
     assert set(oracles) <= set(queries) and len(queries) > 80 and json.dumps(sorted(queries))
+
+
+def test_smoothing_carries_one_state_over_batches(spark):
+    values = [None if k % 7 == 3 else float(k * 37 % 101) for k in range(25_000)]
+    df = spark.createDataFrame([("a", k, v) for k, v in enumerate(values)] + [("b", 1, 5.0), (None, 1, 9.0), (None, 2, 90.0)], "k string, t int, v double")
+    for jump in (None, 40.0):
+        got = T.smoothed(df.repartition(7), "k", ["t"], "v", jump=jump)
+        assert "collect_list" not in got._jdf.queryExecution().toString()  # no key becomes one row
+        found, at = {(r.k, r.t): r.ema for r in got.collect()}, None
+        assert len(found) == len(values) + 3 and found["b", 1] == 5.0 and found[None, 2] == (45.45 if jump is None else 90.0)
+        for k, v in enumerate(values):
+            if v is not None:
+                at = v if at is None or (jump is not None and abs(v - at) > jump) else math.floor((at * 0.55 + v * (1 - 0.55)) * 100 + 0.5) / 100.0
+            assert found["a", k] == at
