@@ -18,7 +18,11 @@ block of suffixes at a time:
 
 Before anything moves, a task settles what it can: of equal contexts in its own
 batch only those of the smallest id go on, the others are repeats already. So
-a passage of a third of all documents reaches its block once per batch. Exact
+a passage of a third of all documents reaches its block once per batch. A gram
+that many texts share in different surroundings would still fill one block: the
+strings of such hot grams travel one by one, dealt by a hash of their 50 bytes.
+Which grams are hot is guessed from a sample and known to all tasks; it decides
+where a string is compared, never whether. Exact
 copies of a whole text are told apart first and never enter the passes.
 
 Defined results: null and empty texts have nothing to remove. A row without an
@@ -49,6 +53,10 @@ STEP_BYTES = 2_000_000
 BLOCK_BYTES = 4_000_000
 LEAST_BLOCKS = 256
 COVER, PERIOD = (0, 1, 3), 6
+#: A gram is hot if its contexts, by a sample of one text in ``SAMPLE_STEP`` at most, fill more than a block.
+SAMPLE_TEXTS, SAMPLE_STEP, HOT_LEAST, CONTEXT_BYTES = 4000, 1000, 16, 88
+#: Bits that a rank has beside five bytes of text in one number.
+RANK_BITS = 24
 
 PACKED = "block int, grams binary, ids binary, keys binary, starts binary, counts binary, offsets binary, bytes binary"
 RUNS = "doc_id long, key long, start int, end int"
@@ -98,7 +106,7 @@ def _emit(block, *columns) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(cols, names=[f.split()[0] for f in PACKED.split(", ")])
 
 
-def _packer(blocks: int, passes: int, number: int, length: int):
+def _packer(blocks: int, passes: int, number: int, length: int, hot: np.ndarray):
     def step(ids: list[int], keys: list[int], texts: list[bytes], turn: int):
         data = np.frombuffer(b"".join(texts), np.uint8)
         begins = np.concatenate(([0], np.cumsum([len(t) for t in texts]))).astype(np.int64)
@@ -119,8 +127,21 @@ def _packer(blocks: int, passes: int, number: int, length: int):
         smallest = id_of[order][np.flatnonzero(new)][np.cumsum(new) - 1]
         later = id_of[order] > smallest
         settled, going = order[later], order[~later]
+        dealt = (grams // U(passes)) % U(blocks)
+        if len(crowd := going[np.isin(grams[going], hot)]):  # each string of a hot gram becomes a context, behind the others
+            reps = counts[crowd]
+            one = np.repeat(crowd, reps)
+            ahead = np.arange(len(one)) - np.repeat(np.cumsum(reps) - reps, reps)
+            going = np.concatenate((np.setdiff1d(going, crowd, assume_unique=True), len(grams) + np.arange(len(one))))
+            single = first[one] + ahead
+            strings = mix(Substrings(BYTE_VALUES[data]).hashes(single, single + length))
+            dealt = np.concatenate((dealt, strings % U(blocks)))
+            grams, id_of, key_of = (np.concatenate((x, x[one])) for x in (grams, id_of, key_of))
+            starts = np.concatenate((starts, (starts[one] + ahead).astype(np.int32)))
+            first, counts = np.concatenate((first, single)), np.concatenate((counts, np.ones(len(one), counts.dtype)))
+            offsets = np.concatenate((offsets, offsets[one] - ahead))
         going = going[np.argsort(grams[going], kind="stable")]
-        block = ((grams[going] // U(passes)) % U(blocks)).astype(np.int32)
+        block = dealt[going].astype(np.int32)
         going = going[np.argsort(block, kind="stable")]
         block = np.sort(block)
         cuts = np.flatnonzero(np.diff(block)) + 1
@@ -128,7 +149,7 @@ def _packer(blocks: int, passes: int, number: int, length: int):
         rows = ([], [], [], [], [], [], [], [])
         for part in parts:
             if len(part):
-                rows[0].append(int(((grams[part[0]] // U(passes)) % U(blocks))))
+                rows[0].append(int(dealt[part[0]]))
                 rows[1].append(grams[part])
                 rows[2].append(id_of[part])
                 rows[3].append(key_of[part])
@@ -209,17 +230,22 @@ def suffix_order(data: np.ndarray, places: np.ndarray, length: int = LENGTH) ->
     residue = places % PERIOD
     classes = [np.flatnonzero(residue == r) for r in range(PERIOD)]
 
-    def key(own: np.ndarray, d: int) -> np.ndarray:
-        at = places[own]
-        before = eight[at] >> U(64 - 8 * d) if d else np.zeros(len(own), np.uint64)
-        return (before << U(24)) | rank[at + d]
+    wide = bool(len(rank)) and int(rank.max()) >> RANK_BITS > 0
+
+    def keys(own: np.ndarray, other: np.ndarray, d: int) -> tuple[np.ndarray, np.ndarray]:
+        at = (places[own], places[other])
+        before = [eight[x] >> U(64 - 8 * d) if d else np.zeros(len(x), np.uint64) for x in at]
+        if wide:  # numbers of the bytes instead of the bytes leave the rank 32 bits
+            known = np.unique(np.concatenate(before))
+            before = [np.searchsorted(known, x).astype(np.uint64) for x in before]
+        return tuple((x << U(32 if wide else RANK_BITS)) | rank[y + d] for x, y in zip(before, at))
 
     position = np.zeros(len(places), np.int64)
     for a in range(PERIOD):
         for b in range(PERIOD):
             if len(classes[a]) and len(classes[b]):
-                d = shift[a][b]
-                position[classes[a]] += np.searchsorted(np.sort(key(classes[b], d)), key(classes[a], d))
+                own, other = keys(classes[a], classes[b], shift[a][b])
+                position[classes[a]] += np.searchsorted(np.sort(other), own)
     order = np.argsort(position, kind="stable")
     sorted_places = places[order]
     same = np.ones(len(order), bool)
@@ -336,6 +362,23 @@ def _cut(text: bytes, runs: list[tuple[int, int]]) -> tuple[int, int, bytes]:
     return removed, spans, b"".join(kept)
 
 
+def hot_grams(rows: DataFrame, texts: int, length: int) -> np.ndarray:
+    """Hashes of grams whose contexts would fill more than a block, by a sample of the texts."""
+    step = max(1, min(texts // SAMPLE_TEXTS, SAMPLE_STEP))
+    least = max(HOT_LEAST, BLOCK_BYTES // (CONTEXT_BYTES * step) + 1)
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for text in batch.column(0):
+                data = np.frombuffer(text.as_py(), np.uint8)
+                grams, many = np.unique(contexts(data, np.array([0, len(data)]), length)[0], return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(grams.view(np.int64)), pa.array(many.astype(np.int64))], names=["gram", "n"])
+
+    sample = rows.where(F.pmod(F.xxhash64(F.lit(2), "data"), F.lit(step)) == 0).select("data")
+    found = sample.mapInArrow(work, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
+    return np.array([r.gram for r in found.select("gram").collect()], np.int64).view(np.uint64)
+
+
 def repeated_runs(docs: DataFrame, length: int = LENGTH, passes: int = PASSES) -> tuple[DataFrame, DataFrame]:
     """(runs, copies): RUNS of repeated bytes of all rows but copies, and (doc_id, key) of rows that copy a smaller id's text.
 
@@ -346,14 +389,16 @@ def repeated_runs(docs: DataFrame, length: int = LENGTH, passes: int = PASSES) -
     marks = rows.select("doc_id", "key", F.octet_length("data").alias("n"), *mark)
     groups = marks.groupBy("d1", "d2").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"), F.sum(F.col("n").cast("long")).alias("n"))
     groups = written(groups, "text-groups")
-    size = groups.agg(F.sum("n")).first()[0] or 0
+    size, texts = groups.agg(F.sum("n"), F.count("*")).first()
+    size = size or 0
     repeated = groups.where("first < last").select("d1", "d2", "first")
     copies = written(marks.join(repeated, ["d1", "d2"]).where("doc_id > first").select("doc_id", "key").distinct(), "copies")
     rows = rows.join(bounded(copies), ["doc_id", "key"], "left_anti").select("doc_id", "key", "data")
     blocks = max(LEAST_BLOCKS, int(size * 3.5 / passes / BLOCK_BYTES))
+    hot = hot_grams(rows, texts, length)
     found = []
     for number in range(passes):
-        packed = rows.mapInArrow(_packer(blocks, passes, number, length), PACKED)
+        packed = rows.mapInArrow(_packer(blocks, passes, number, length, hot), PACKED)
         dealt = packed.repartition("block").sortWithinPartitions("block")
         found.append(written(dealt.mapInArrow(_settler(blocks, length), RUNS), "runs"))
     return reduce(DataFrame.unionByName, found), copies

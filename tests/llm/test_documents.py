@@ -15,6 +15,7 @@ from robustlake.llm.line_dedup import LAST, dedup_lines, op6_line_dedup
 from robustlake.llm.minhash import near_duplicates, op9_minhash
 from robustlake.llm.packing import LIMIT, op8_packing, pack
 from robustlake.llm.secrets import BASE, MORE, op5_secret_scan, trigram_query
+from robustlake.llm import suffixes
 from robustlake.llm.suffixes import op10_suffix_dedup, suffix_order
 from robustlake.llm.token_counts import op2_token_counts
 from robustlake.llm.tokens import default_tokenizer, encoder
@@ -313,3 +314,36 @@ def test_suffix_order_sorts_by_fifty_bytes():
     strings = [data[p : p + 50].tobytes() for p in places[order]]
     assert strings == sorted(strings)
     assert same.tolist() == [False, *[a == b for a, b in zip(strings, strings[1:])]]
+
+
+def test_suffix_dedup_of_a_hot_gram_spreads_over_blocks(spark, monkeypatch):
+    rng = np.random.default_rng(4)
+    word = lambda n: "".join(chr(97 + c) for c in rng.integers(0, 26, n))
+    phrase = "under the terms of the public licence v2"  # shared by all, in surroundings of their own
+    own = [(k, word(60) + phrase + word(60)) for k in range(300)]
+    own += [(300 + k, word(20) + own[k][1][30:130] + word(20)) for k in range(0, 60, 2)] + [(5, own[7][1]), (900, own[3][1][:95])]
+    df = spark.createDataFrame(own, "doc_id long, text string")
+    want = found(op10_suffix_dedup(df))
+    monkeypatch.setattr(suffixes, "BLOCK_BYTES", 1000)
+    rows = df.selectExpr("doc_id", "doc_id AS key", "cast(text AS binary) AS data")
+    hot = suffixes.hot_grams(rows, len(own), 50)
+    assert len(hot)
+    assert found(op10_suffix_dedup(df)) == want and sum(r[2] for r in want) > 2000
+    most = {}
+    for name, grams in (("whole", hot[:0]), ("dealt", hot)):
+        sizes = Counter()
+        for number in range(4):
+            for r in rows.mapInArrow(suffixes._packer(256, 4, number, 50, grams), suffixes.PACKED).collect():
+                sizes[number, r.block] += len(r.bytes)
+        most[name] = max(sizes.values())
+    assert most["dealt"] < most["whole"] / 3
+
+
+def test_suffix_order_of_many_ranks(monkeypatch):
+    rng = np.random.default_rng(6)
+    data = rng.integers(97, 123, 2000).astype(np.uint8)
+    places = np.arange(len(data) - 50)
+    order, same = suffix_order(data, places)
+    monkeypatch.setattr(suffixes, "RANK_BITS", 4)
+    again, same_again = suffix_order(data, places)
+    assert (order == again).all() and (same == same_again).all()
