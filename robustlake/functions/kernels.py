@@ -200,10 +200,10 @@ CHAINS = {
 
 
 def apply(name: str, batch: np.ndarray, strength: float, seeds: np.ndarray) -> np.ndarray:
-    """A kernel or chain; ``combined_physical`` spends half its strength on each of two chains."""
+    """A kernel or chain; ``combined_physical`` prints first and spends what exceeds half its strength on the screen."""
     if name == "combined_physical":
-        first = apply("screen_shoot", batch, min(strength, 0.5), seeds * 100)
-        return apply("print_camera", first, max(0.0, strength - 0.5), seeds * 100 + 1)
+        first = apply("print_camera", batch, min(strength, 0.5), seeds * 100)
+        return apply("screen_shoot", first, max(0.0, strength - 0.5), seeds * 100 + 1)
     for k, step in enumerate(CHAINS.get(name, (name,))):
         if step not in KERNELS:
             raise KeyError(f"no kernel named {step}")

@@ -28,3 +28,10 @@ def test_attacked_column(spark):
     df = spark.createDataFrame([(1, [10] * 64), (2, None), (3, [200] * 64)], "id long, px array<int>")
     got = {r.id: r.x for r in df.select("id", attacked(F.col("px"), "brightness", 0.5, F.col("id")).alias("x")).collect()}
     assert got == {1: [15] * 64, 2: None, 3: [255] * 64}
+
+
+def test_combined_physical_prints_before_it_shows():
+    batch, seeds = np.random.default_rng(3).integers(0, 256, (4, 16, 16)).astype(float), np.arange(4)
+    for strength, printed, shown in ((0.3, 0.3, 0.0), (0.8, 0.5, 0.3)):
+        first = apply("print_camera", batch, printed, seeds * 100)
+        assert (apply("combined_physical", batch, strength, seeds) == apply("screen_shoot", first, shown, seeds * 100 + 1)).all()
