@@ -13,19 +13,23 @@ The text of an Arrow batch is one array of word numbers (0: a word that no item
 has, also put between documents). It is cut into lanes that all jump at once,
 so the search is a short loop of numpy calls.
 
-Items are taken in blocks of at most ``BLOCK_CHARS`` characters (chosen by a
-hash of the item), each broadcast by itself; a document carries the runs and
-items found so far from one block to the next, so neither side is ever shuffled
-or limited in size.
+Repeated items are one item. Items are taken in blocks of at most
+``BLOCK_CHARS`` characters (by a hash; a block that would be larger is split, and
+so is a longer item, into runs that overlap by a window less a word), each
+broadcast by itself; a document carries the runs and items found so far from one
+block to the next, so neither side is ever shuffled or limited in size. A block
+is built from arrays of word numbers, a few dozen bytes for each word.
 
 Defined results: a null or empty text has no words, no hits and is clean; an
 item without words or with a null text occurs nowhere; repeated items and ids
-count once; a null item_id is the empty string.
+count once; a null item_id is the empty string. Rows that repeat get equal
+results; whole texts are searched, in steps of ``STEP_WORDS`` words. An empty
+table of documents gives no rows, one of items leaves all clean; extra columns,
+whatever their names, stay in ``row`` and are not read.
 """
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -33,11 +37,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from robustlake.llm.common import prepare
+from robustlake.llm.common import prepare, tidy
 
 WINDOW = 13
-#: Most characters of benchmark text in one broadcast block.
-BLOCK_CHARS = 16_000_000
+#: Most bytes of benchmark text in one broadcast block.
+BLOCK_CHARS = 2_000_000
 LANES = 2048
 #: Words of one numpy step; longer batches are worked off in several.
 STEP_WORDS = 400_000
@@ -116,19 +120,32 @@ class Matcher:
 
     def __init__(self, items: list[tuple[str | None, bytes | None]], window: int = WINDOW):
         self.vocabulary: dict[bytes, int] = {}
-        holders: dict[tuple[int, ...], set[str]] = {}
+        known, names, own, texts = self.vocabulary, {}, [], []
         for item, text in items:
-            ids = [self.vocabulary.setdefault(w, len(self.vocabulary) + 1) for w in words_of(text)]
-            for i in range(max(1, len(ids) - window + 1) if ids else 0):
-                holders.setdefault(tuple(ids[i : i + window]), set()).add(item or "")
-        self.holders = [sorted(v) for v in holders.values()]
-        lengths: dict[int, list[int]] = {}
-        keys = list(holders)
-        for k, pattern in enumerate(keys):
-            lengths.setdefault(len(pattern), []).append(k)
-        self.groups = [
-            _Group(np.array([keys[k] for k in ks], np.int32), np.array(ks, np.int64)) for ks in lengths.values()
-        ]
+            ids = np.fromiter((known.setdefault(w, len(known) + 1) for w in words_of(text)), np.int32)
+            if len(ids):
+                own.append(names.setdefault(item or "", len(names)))
+                texts.append(ids)
+        self.names = list(names)
+        lengths = np.array([min(window, len(ids)) for ids in texts], np.int64)
+        # the windows of each length, once each, and the items that hold them: item numbers behind each other
+        self.groups, holders, self.first, count = [], [], [np.zeros(1, np.int64)], 0
+        for m in np.unique(lengths).tolist():
+            some = np.flatnonzero(lengths == m)
+            rows = np.concatenate([np.lib.stride_tricks.sliding_window_view(texts[k], m) for k in some])
+            item = np.repeat(np.array(own, np.int64)[some], [len(texts[k]) - m + 1 for k in some])
+            patterns, which = np.unique(rows, axis=0, return_inverse=True)
+            pairs = np.unique(np.stack((which.reshape(-1).astype(np.int64), item), axis=1), axis=0)
+            holders.append(pairs[:, 1])
+            self.first.append(self.first[-1][-1] + np.searchsorted(pairs[:, 0], np.arange(1, len(patterns) + 1)))
+            self.groups.append(_Group(patterns, count + np.arange(len(patterns))))
+            count += len(patterns)
+        self.first = np.concatenate(self.first)
+        self.holders = np.concatenate(holders) if holders else np.zeros(0, np.int64)
+
+    def held_by(self, number: int) -> list[str]:
+        """The items that hold a window."""
+        return [self.names[k] for k in self.holders[self.first[number] : self.first[number + 1]].tolist()]
 
     def scan(self, texts: list[bytes | None], before: list[tuple[list, list, list]] | None = None):
         """For each text: words, starts and ends of its runs of hit words, items that occur."""
@@ -158,7 +175,7 @@ class Matcher:
             np.add.at(cover, ends - group.m + 1, 1)
             np.add.at(cover, ends + 1, -1)
             for doc, number in set(zip(np.searchsorted(begins, ends, "right").tolist(), numbers.tolist())):
-                items.setdefault(doc - 1, set()).update(self.holders[number])
+                items.setdefault(doc - 1, set()).update(self.held_by(number))
         for k, (_, (starts, stops, _)) in enumerate(part):
             if starts:
                 np.add.at(cover, np.asarray(starts) + begins[k], 1)
@@ -181,11 +198,43 @@ class Matcher:
         return out
 
 
-def _block(items: DataFrame, id_col: str, text_col: str, number: int, blocks: int) -> list[tuple]:
-    own = items.select(F.col(id_col).cast("string").alias("i"), F.col(text_col).cast("binary").alias("t"))
-    if blocks > 1:
-        own = own.where(F.pmod(F.xxhash64("i", "t"), F.lit(blocks)) == number)
-    return [(r.i, None if r.t is None else bytes(r.t)) for r in own.collect()]
+def _runs(texts: DataFrame, window: int, chars: int) -> DataFrame:
+    """i, t: items of more than ``chars`` bytes as runs of about so many, each ``window`` words at least; runs overlap, so no window is lost."""
+
+    @tidy
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for item, text in zip(*(c.to_pylist() for c in batch.columns)):
+                words = words_of(text)
+                at, out = 0, []
+                while at == 0 or at + window - 1 < len(words):
+                    end, size = at, 0
+                    while end < len(words) and (size < chars or end - at < window):
+                        size += len(words[end]) + 1
+                        end += 1
+                    out.append(b" ".join(words[at:end]))
+                    at = end - window + 1 if end < len(words) else len(words)
+                yield pa.RecordBatch.from_arrays([pa.array([item] * len(out), pa.string()), pa.array(out, pa.binary())], names=["i", "t"])
+
+    return texts.mapInArrow(work, "i string, t binary")
+
+
+def _blocks(items: DataFrame, id_col: str, text_col: str, window: int, block_chars: int) -> Iterator[list[tuple]]:
+    """The distinct items in blocks of at most ``block_chars`` bytes; one block at a time is in the driver."""
+    own = items.select(F.col(id_col).cast("string").alias("i"), F.col(text_col).cast("binary").alias("t")).where(F.col("t").isNotNull()).distinct()
+    size, part = F.octet_length("t"), max(1, block_chars // 8)
+    # two words of a window may be longer than a part, so a run is bounded by its window, too
+    own = own.where(size <= part).unionByName(_runs(own.where(size > part), window, part)).distinct()
+    total = own.agg(F.sum(size.cast("long"))).first()[0] or 0
+    blocks = 1 if total <= block_chars else -(-2 * total // block_chars)
+    number = F.pmod(F.xxhash64("i", "t"), F.lit(blocks))
+    sizes = dict(own.groupBy(number.alias("b")).agg(F.sum(size.cast("long"))).collect()) if blocks > 1 else {0: total}
+    for block in range(blocks):
+        # a block that came out too large is dealt once more
+        parts = -(-2 * sizes.get(block, 0) // block_chars) if sizes.get(block, 0) > block_chars else 1
+        for part in range(parts):
+            rows = own.where((number == block) & (F.pmod(F.xxhash64("t", "i", F.lit(block)), F.lit(parts)) == part))
+            yield [(r.i, bytes(r.t)) for r in rows.collect()]
 
 
 def found_in(
@@ -195,14 +244,12 @@ def found_in(
     """Struct column FOUND: words, runs of hit words (from, to) and items that occur, over all items."""
     spark = items.sparkSession
     prepare(spark)
-    chars = items.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
-    blocks = max(1, math.ceil(chars / block_chars))
     kind = pa.struct(
         [("n_words", pa.int64()), ("starts", pa.list_(pa.int32())), ("ends", pa.list_(pa.int32())), ("items", pa.list_(pa.string()))]
     )
     result = None
-    for number in range(blocks):
-        shared = spark.sparkContext.broadcast(Matcher(_block(items, id_col, text_col, number, blocks), window))
+    for block in _blocks(items, id_col, text_col, window, block_chars):
+        shared = spark.sparkContext.broadcast(Matcher(block, window))
 
         def pack(rows: list) -> pa.Array:
             cols = list(zip(*rows)) or [(), (), (), ()]
@@ -211,6 +258,7 @@ def found_in(
         if result is None:
 
             @F.arrow_udf(FOUND_TYPE)
+            @tidy
             def search(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
                 for batch in texts:
                     yield pack(shared.value.scan(batch.cast(pa.binary()).to_pylist()))
@@ -219,6 +267,7 @@ def found_in(
         else:
 
             @F.arrow_udf(FOUND_TYPE)
+            @tidy
             def again(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
                 for batch, had in batches:
                     before = [(x["starts"], x["ends"], x["items"]) for x in had.to_pylist()]

@@ -1,17 +1,26 @@
-"""Vectorised 64-bit hashes of words and substrings, in numpy."""
+"""Vectorised hashes of words and substrings, in numpy.
+
+A substring's hash is its polynomial modulo the prime 2^61 - 1: strings of n
+symbols meet by chance with a probability of about n / 2^61, and no pattern of
+symbols (as there is for powers of two) makes them meet always. ``Rolling`` is
+the faster form modulo 2^64, for callers that compare the strings of every
+match. Equal hashes are only candidates: operators compare the strings
+themselves, or a cryptographic digest of them, before anything is linked or
+removed.
+"""
 
 from __future__ import annotations
 
 import numpy as np
+from xxhash import xxh3_64_intdigest
 
 U = np.uint64
-_BASE = 0x9E3779B97F4A7C15 | 1
-_INVERSE = pow(_BASE, -1, 1 << 64)
-#: One random number for each byte value (fixed by the seed).
-BYTE_VALUES = np.random.default_rng(20_240_101).integers(1, 2**64, 256, dtype=np.uint64)
-
-_powers = np.ones(1, np.uint64)
-_inverses = np.ones(1, np.uint64)
+_P = (1 << 61) - 1
+_LOW32, _LOW29, _PRIME = U((1 << 32) - 1), U((1 << 29) - 1), U(_P)
+#: Two independent bases, fixed by the seed.
+BASES = [int(x) % _P for x in np.random.default_rng(20_240_101).integers(1 << 58, 1 << 60, 2, dtype=np.uint64)]
+#: Symbols between two stored prefix sums. Sums of symbols below 2^21 times half a power stay below 2^64.
+CHUNK = 2048
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -24,68 +33,181 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def _tables(n: int) -> tuple[np.ndarray, np.ndarray]:
-    global _powers, _inverses
-    if len(_powers) <= n:
-        size = max(n + 1, 1 << 16)
-        _powers = np.ones(size, np.uint64)
-        _powers[1:] = _BASE
-        _inverses = np.ones(size, np.uint64)
-        _inverses[1:] = _INVERSE
-        np.multiply.accumulate(_powers, out=_powers)
-        np.multiply.accumulate(_inverses, out=_inverses)
-    return _powers, _inverses
+def _reduced(x: np.ndarray) -> np.ndarray:
+    x = (x & _PRIME) + (x >> U(61))
+    return np.where(x >= _PRIME, x - _PRIME, x)
 
 
-class Substrings:
-    """Hashes of substrings of one array of symbols: equal substrings hash equally wherever they stand."""
+def _times(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Products modulo the prime."""
+    ah, al, bh, bl = a >> U(32), a & _LOW32, b >> U(32), b & _LOW32
+    low, middle = al * bl, al * bh + ah * bl
+    return _reduced((low & _PRIME) + (low >> U(61)) + ((middle & _LOW29) << U(32)) + (middle >> U(29)) + ((ah * bh) << U(3)))
+
+
+def _joined(low: np.ndarray, high: np.ndarray) -> np.ndarray:
+    """low + high * 2^32 modulo the prime."""
+    return _reduced((low & _PRIME) + (low >> U(61)) + ((high & _LOW29) << U(32)) + (high >> U(29)))
+
+
+class _Powers:
+    """Powers of a base up to a chunk, and of whole chunks as far as they were asked for."""
+
+    def __init__(self, base: int):
+        self._small, self._step = self._row(base, CHUNK), pow(base, CHUNK, _P)
+        self._big = np.ones(1, np.uint64)
+
+    @staticmethod
+    def _row(base: int, n: int) -> np.ndarray:
+        out, at = [], 1
+        for _ in range(n):
+            out.append(at)
+            at = at * base % _P
+        return np.array(out, np.uint64)
+
+    def big(self, n: int) -> np.ndarray:
+        if len(self._big) < n:
+            self._big = self._row(self._step, n)
+        return self._big
+
+    def of(self, exponent: np.ndarray) -> np.ndarray:
+        chunk = exponent // CHUNK
+        big = self.big(int(chunk.max()) + 1 if len(chunk) else 1)
+        return _times(self._small[exponent % CHUNK], big[chunk])
 
-    def __init__(self, values: np.ndarray):
-        self._powers, self._inverses = _tables(len(values))
-        self._sums = np.zeros(len(values) + 1, np.uint64)
-        np.cumsum(values * self._powers[: len(values)], out=self._sums[1:])
+
+_families = [(_Powers(b), _Powers(pow(b, -1, _P))) for b in BASES]
+
+
+class Substrings:
+    """Hashes of substrings of one array of symbols (below 2^20.5): equal ones hash equally wherever they stand."""
+
+    def __init__(self, symbols: np.ndarray, family: int = 0):
+        self._powers, self._inverses = _families[family]
+        n = len(symbols)
+        chunks = n // CHUNK + 1
+        grid = np.zeros(chunks * CHUNK, np.uint64)
+        np.add(symbols, 1, out=grid[:n], casting="unsafe")  # no symbol is zero
+        grid = grid.reshape(chunks, CHUNK)
+        small = self._powers._small
+        self._low = np.cumsum(grid * (small & _LOW32), axis=1).ravel()
+        self._high = np.cumsum(grid * (small >> U(32)), axis=1).ravel()
+        big, whole = self._powers.big(chunks), _joined(self._low[CHUNK - 1 :: CHUNK], self._high[CHUNK - 1 :: CHUNK])
+        before, total = [], 0
+        for x in _times(whole, big[:chunks]).tolist():
+            before.append(total)
+            total = (total + x) % _P
+        self._before, self._big = np.array(before, np.uint64), big
+
+    def _prefix(self, at: np.ndarray) -> np.ndarray:
+        chunk = at // CHUNK
+        inner = at % CHUNK
+        last = np.maximum(at - 1, 0)
+        own = np.where(inner > 0, _joined(self._low[last], self._high[last]), U(0))
+        return _reduced(self._before[chunk] + _times(own, self._big[chunk]))
 
     def _plain(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-        return (self._sums[end] - self._sums[start]) * self._inverses[start]
+        gap = self._prefix(end) + _PRIME - self._prefix(start)
+        return _times(_reduced(gap), self._inverses.of(start))
 
     def hashes(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
         return mix(self._plain(start, end) + (end - start).astype(np.uint64))
 
     def joined(self, a: np.ndarray, b: np.ndarray, c: np.ndarray, d: np.ndarray) -> np.ndarray:
         """Hashes of the symbols a:b run together with the symbols c:d."""
-        total = self._plain(a, b) + self._plain(c, d) * self._powers[b - a]
+        total = _reduced(self._plain(a, b) + _times(self._plain(c, d), self._powers.of(b - a)))
         return mix(total + (b - a + d - c).astype(np.uint64))
 
 
-#: Blanks that part words: space, and tab to carriage return.
-_BLANK = np.zeros(256, bool)
-_BLANK[[32, *range(9, 14)]] = True
-
-
-def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of all blank-separated words (A-Z lower-cased), and where each text's words begin (one more entry)."""
-    joined = b"\n".join(texts).lower() + b"\n"
-    data = np.frombuffer(joined, np.uint8)
-    blank = _BLANK[data]
-    word = ~blank
-    starts = np.flatnonzero(word & np.concatenate(([True], blank[:-1])))
-    ends = np.flatnonzero(blank & np.concatenate(([False], word[:-1])))
-    hashes = Substrings(BYTE_VALUES[data]).hashes(starts, ends)
-    text_starts = np.concatenate(([0], np.cumsum([len(t) + 1 for t in texts])))
-    return hashes, np.searchsorted(starts, text_starts)
-
-
-def shingle_sets(texts: list[bytes], words: int) -> list[np.ndarray]:
-    """Sorted distinct hashes of each text's word shingles; a text of fewer words is one shingle, one of none the empty set."""
-    hashes, cuts = word_hashes(texts)
-    out = []
-    for a, b in zip(cuts.tolist(), cuts[1:].tolist()):
-        own, n = hashes[a:b], min(words, b - a)
-        if not n:
-            out.append(own)
-            continue
-        rolled = np.full(b - a - n + 1, U(n))
-        for j in range(n):
-            rolled = mix(rolled * U(0xD6E8FEB86659FD93) + own[j : b - a - n + 1 + j])
-        out.append(np.unique(rolled))
-    return out
+class Rolling:
+    """Hashes of byte strings modulo 2^64. Some patterns of bytes always meet: only for matches that are compared."""
+
+    BASE = 0x9E3779B97F4A7C15 | 1
+    VALUES = np.random.default_rng(20_240_101).integers(1, 2**64, 256, dtype=np.uint64)
+
+    _powers = _inverses = np.ones(1, np.uint64)
+
+    def __init__(self, data: np.ndarray):
+        n = len(data)
+        if len(Rolling._powers) <= n:  # as long as the longest step
+            Rolling._powers, Rolling._inverses = self._row(self.BASE, n), self._row(pow(self.BASE, -1, 1 << 64), n)
+        self._sums = np.zeros(n + 1, np.uint64)
+        np.cumsum(self.VALUES[data] * self._powers[:n], out=self._sums[1:])
+
+    @staticmethod
+    def _row(base: int, n: int) -> np.ndarray:
+        row = np.full(n + 1, U(base))
+        row[0] = 1
+        return np.multiply.accumulate(row, out=row)
+
+    def hashes(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        return mix((self._sums[end] - self._sums[start]) * self._inverses[start] + (end - start).astype(np.uint64))
+
+
+_word_hashes: dict[bytes, int] = {}
+#: Words whose hashes a worker keeps.
+KEPT_WORDS = 100_000
+
+
+def word_hashes(text: bytes) -> np.ndarray:
+    """Hashes of the words of a text."""
+    words, known = words_in(text), _word_hashes
+    if len(known) > KEPT_WORDS:
+        known.clear()
+    out = [known.get(w) for w in words]
+    if None in out:
+        for k, (w, h) in enumerate(zip(words, out)):
+            if h is None:
+                out[k] = h = xxh3_64_intdigest(w)
+                if len(known) <= KEPT_WORDS:
+                    known[w] = h
+    return np.array(out, np.uint64)
+
+
+def words_in(text: bytes) -> list[bytes]:
+    """The blank-separated words of a text, A-Z lower-cased."""
+    return text.lower().split()
+
+
+def shingle_set(text: bytes, words: int) -> np.ndarray:
+    """Sorted distinct hashes of a text's word shingles; a text of fewer words is one shingle, one of none the empty set."""
+    own = word_hashes(text)
+    n = min(words, len(own))
+    if not n:
+        return own
+    rolled = np.full(len(own) - n + 1, U(n))
+    for j in range(n):
+        rolled = mix(rolled * U(0xD6E8FEB86659FD93) + own[j : len(own) - n + 1 + j])
+    return np.unique(rolled)
+
+
+def shared_shingles(a: bytes, b: bytes, words: int) -> tuple[int, int, int]:
+    """(common, of a, of b): sizes of the shingle sets of two texts, by the words themselves and no hash.
+
+    Words get numbers; the words of a shingle are folded from the left into the number of what they say.
+    """
+    number: dict[bytes, int] = {}
+    both = [np.array([number.setdefault(w, len(number)) for w in words_in(t)], np.int64) for t in (a, b)]
+    width = len(number) + 1
+    sizes = [min(words, len(ids)) for ids in both]
+    shingles = [ids[: len(ids) - n + 1] if n else ids for ids, n in zip(both, sizes)]
+    if sizes[0] != sizes[1]:  # a text of fewer words than a shingle shares none with a longer one
+        shingles = [np.unique(s) if n == 1 else _folded([ids], n, width)[0] for s, ids, n in zip(shingles, both, sizes)]
+        return 0, len(shingles[0]), len(shingles[1])
+    x, y = _folded(both, sizes[0], width)
+    if not sizes[0]:
+        return 0, 0, 0
+    return len(np.intersect1d(x, y, assume_unique=True)), len(x), len(y)
+
+
+def _folded(texts: list[np.ndarray], n: int, width: int) -> list[np.ndarray]:
+    """Sorted distinct numbers of the runs of n words of each text; equal runs have equal numbers."""
+    if not n:
+        return texts
+    codes = [ids[: len(ids) - n + 1] for ids in texts]
+    for j in range(1, n):
+        codes = [c * width + ids[j : len(ids) - n + 1 + j] for c, ids in zip(codes, texts)]
+        if j < n - 1:  # small numbers again, common to both
+            _, inverse = np.unique(np.concatenate(codes), return_inverse=True)
+            codes = np.split(inverse.astype(np.int64), np.cumsum([len(c) for c in codes])[:-1])
+    return [np.unique(c) for c in codes]

@@ -16,7 +16,10 @@ and happens once per process.
 
 Defined results: a null or empty page, or one without an article, has the empty
 text. Broken markup is read as far as it goes: unclosed elements end with their
-parent, a cut tag ends with the page. Repeated rows give repeated results.
+parent, a cut tag ends with the page. Repeated rows give repeated results, and
+rows without an id get theirs. A page of any length is read whole; of a path of
+more than ``MOST_NAMES`` different names the outermost count. An empty table
+gives no rows; extra columns are not read.
 """
 
 from __future__ import annotations
@@ -24,15 +27,17 @@ from __future__ import annotations
 import html as entities
 import re
 import zlib
+from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from robustlake.llm.common import prepare
+from robustlake.llm.common import prepare, tidy
 
 # HTML's own sets of element names.
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
@@ -56,6 +61,10 @@ PART = re.compile(r"[a-z]+")
 
 PATH_BUCKETS, WORD_BUCKETS = 4096, 4096
 PATH_DIMS, WORD_DIMS, MEASURES = 16, 8, 6
+#: Names of a tag path that a block's vector takes in, the outermost first.
+MOST_NAMES = 64
+#: Blocks that the labeller reads in one step, of all pages together.
+STEP_BLOCKS = 40_000
 HIDDEN = 16
 INPUT = PATH_DIMS + WORD_DIMS + MEASURES
 
@@ -75,17 +84,37 @@ def blocks_of(page: str) -> list[tuple[str, tuple[str, ...], int]]:
         parts.clear()
         linked[0] = 0
 
-    def names() -> tuple[str, ...]:
-        return tuple(dict.fromkeys(x for _, own in stack for x in own))
+    # how often each name stands on the way down, in the order of its first place, and how many links are open
+    held: dict[str, int] = {}
+    links = [0]
+
+    def push(tag: str, own: tuple[str, ...]) -> None:
+        stack.append((tag, own))
+        links[0] += tag == "a"
+        for x in own:
+            held[x] = held.get(x, 0) + 1
+
+    def cut(at: int) -> None:
+        while len(stack) > at:
+            tag, own = stack.pop()
+            links[0] -= tag == "a"
+            open_tags[tag] -= 1
+            for x in own:
+                if held[x] == 1:
+                    del held[x]
+                else:
+                    held[x] -= 1
+
+    open_tags: Counter[str] = Counter()
 
     def say(raw: str) -> None:
         if raw:
             text = entities.unescape(raw)
             if not parts:
                 nonlocal path
-                path = names()
+                path = tuple(islice(held, MOST_NAMES))
             parts.append(text)
-            if any(tag == "a" for tag, _ in stack):
+            if links[0]:
                 linked[0] += len(text)
 
     at, end = 0, len(page)
@@ -103,12 +132,13 @@ def blocks_of(page: str) -> list[tuple[str, tuple[str, ...], int]]:
         if token[1]:
             if tag in BLOCK:
                 flush()
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] == tag:
-                    # an inline end tag does not close the block around it
-                    if tag in BLOCK or not any(t in BLOCK for t, _ in stack[k + 1 :]):
-                        del stack[k:]
-                    break
+            if open_tags[tag]:
+                for k in range(len(stack) - 1, -1, -1):
+                    if stack[k][0] == tag:
+                        cut(k)
+                        break
+                    if tag not in BLOCK and stack[k][0] in BLOCK:
+                        break  # an inline end tag does not close the block around it
             continue
         if tag == "br":
             if parts:
@@ -119,16 +149,17 @@ def blocks_of(page: str) -> list[tuple[str, tuple[str, ...], int]]:
             if tag in CLOSE_P:
                 for k in range(len(stack) - 1, -1, -1):
                     if stack[k][0] == "p":
-                        del stack[k:]
+                        cut(k)
                         break
                     if stack[k][0] in BLOCK:
                         break
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] in PARENTS.get(tag, ()):
-                    break
-                if stack[k][0] in CLOSES.get(tag, ()):
-                    del stack[k:]
-                    break
+            if any(open_tags[t] for t in CLOSES.get(tag, ())):
+                for k in range(len(stack) - 1, -1, -1):
+                    if stack[k][0] in PARENTS[tag]:
+                        break
+                    if stack[k][0] in CLOSES[tag]:
+                        cut(k)
+                        break
         if tag in VOID or token[3].rstrip().endswith("/") and tag not in BLOCK:
             continue
         if tag in RAW:
@@ -139,7 +170,8 @@ def blocks_of(page: str) -> list[tuple[str, tuple[str, ...], int]]:
         if token[3]:
             for m in ATTRIBUTE.finditer(token[3]):
                 own += PART.findall((m[1] or m[2] or m[3] or "").lower())
-        stack.append((tag, tuple(own)))
+        push(tag, tuple(own))
+        open_tags[tag] += 1
     flush()
     return found
 
@@ -152,7 +184,7 @@ def _bucket(known: dict[str, int], text: str, buckets: int) -> int:
     found = known.get(text)
     if found is None:
         found = zlib.crc32(text.encode("utf-8", "surrogatepass")) % buckets
-        if len(known) < 400_000:
+        if len(known) < 100_000:
             known[text] = found
     return found
 
@@ -206,8 +238,8 @@ class Labeller:
             x[k, :n, PATH_DIMS + WORD_DIMS :] = measures
         return x, real
 
-    def _run(self, side: str, x: np.ndarray, real: np.ndarray):
-        """Hidden states of one direction; padding carries the state along."""
+    def _run(self, side: str, x: np.ndarray, real: np.ndarray, training: bool):
+        """Hidden states of one direction; padding carries the state along. What the gradients need is kept in training alone."""
         p = self.params
         pages, steps, _ = x.shape
         given = x @ p[f"{side}_in"] + p[f"{side}_bias"]
@@ -221,16 +253,17 @@ class Labeller:
             own = real[:, t : t + 1]
             now = f * c + i * g
             s = np.tanh(now)
-            kept.append((t, h, c, i, f, o, g, s, own))
+            if training:
+                kept.append((t, h, c, i, f, o, g, s, own))
             c = np.where(own, now, c)
             h = np.where(own, o * s, h)
             out[:, t] = h
         return out, kept
 
-    def logits(self, pages: list) -> tuple[np.ndarray, np.ndarray, tuple]:
+    def logits(self, pages: list, training: bool = False) -> tuple[np.ndarray, np.ndarray, tuple]:
         x, real = self.inputs(pages)
-        ahead, kept_a = self._run("ahead", x, real)
-        back, kept_b = self._run("back", x, real)
+        ahead, kept_a = self._run("ahead", x, real, training)
+        back, kept_b = self._run("back", x, real, training)
         both = np.concatenate((ahead, back), axis=2)
         return both @ self.params["out"] + self.params["out_bias"][0], real, (x, both, kept_a, kept_b)
 
@@ -261,7 +294,7 @@ class Labeller:
             for at in range(0, len(order), batch):
                 own = order[at : at + batch]
                 part = [pages[k] for k in own]
-                z, real, (x, both, kept_a, kept_b) = self.logits(part)
+                z, real, (x, both, kept_a, kept_b) = self.logits(part, training=True)
                 truth = np.zeros_like(z)
                 for row, k in enumerate(own):
                     truth[row, : len(labels[k])] = labels[k]
@@ -290,7 +323,7 @@ class Labeller:
         order = sorted((k for k, p in enumerate(pages) if p[1]), key=lambda k: len(pages[k][1]))
         at = 0
         while at < len(order):
-            size = max(1, min(64, 40_000 // max(1, len(pages[order[min(at + 63, len(order) - 1)]][1]))))
+            size = max(1, min(64, STEP_BLOCKS // max(1, len(pages[order[min(at + 63, len(order) - 1)]][1]))))
             own = order[at : at + size]
             z, _, _ = self.logits([pages[k] for k in own])
             for row, k in enumerate(own):
@@ -500,6 +533,7 @@ def main_text(page: Column, spark) -> Column:
     shared = spark.sparkContext.broadcast(trained())
 
     @F.arrow_udf("string")
+    @tidy
     def extract(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         model = shared.value
         for batch in batches:

@@ -3,10 +3,14 @@
 A line of at least ``LEAST_CHARS`` characters goes if an earlier line is within
 ``edits`` (0 or 1) character edits of it; earlier is by doc_id, then by the
 document's key, then by place. What is equal keeps its first occurrence; of two
-different lines the one that first occurs later goes. Shorter lines stay.
+different lines the one that first occurs later goes. A shorter line, of which
+one edit is a large part, goes only if an earlier line equals it. Blank lines
+part paragraphs and stay.
 
-Emitting every variant of every line would move each text many times over, so
-the neighbourhood is emitted at two grains:
+Lines are equal if their bytes have the same 128-bit cryptographic digest
+(blake2b, the columns h1 and h2); different lines go only by their real edit
+distance of one. Emitting every variant of every line would move each text many times
+over, so the neighbourhood is emitted at two grains:
 
 * coarse: a line is cut into four segments, aligned for its own length and for
   one more (as the shorter side of a deletion); each key hashes the line without
@@ -14,49 +18,62 @@ the neighbourhood is emitted at two grains:
   edit, so lines that share no key with another line are done;
 * fine: the others emit all variants with one character of that segment deleted,
   with the place (a changed character) and without (a missing one, which meets
-  the shorter line itself), as hashed keys. Lines of one key are joined with the
-  earliest of the key, or with the one shorter line, never all with all.
+  the shorter line itself), as two independent hashed keys. Lines of one key are
+  joined with the earliest of the key, or with the one shorter line, never all
+  with all.
 
-Joined lines are compared by their real edit distance before one goes. Keys of
-occurrences are combined in the map tasks, so a line that a third of all
-documents share moves once per task.
+Keys of occurrences are combined in the map tasks, so a line that a third of all
+documents share moves once per task. Long lines are worked on in parts, and their
+variants leave in batches of ``OUT_ROWS``.
 
 Defined results: a null text stays null, has no lines and loses none. Rows
 without an id come last. Rows that repeat id and text are one document, and each
-gets its result. Lines are parted by line feeds alone.
+gets its result. Lines are parted by line feeds alone. An empty table gives no
+rows; columns of the input besides doc_id and text pass through untouched.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType
 
-from robustlake.llm.common import prepare, row_key, written
+from robustlake.llm.common import Scratch, prepare, row_key, tidy, written
 from robustlake.llm.hashing import U, Substrings, mix
-from robustlake.llm.minhash import bounded
+from robustlake.llm.minhash import attached, bounded
 
 LEAST_CHARS = 20
 SEGMENTS = 4
 STEP_CHARS = 500_000
+OUT_ROWS = 100_000
 LAST = 2**63 - 1
 
 LINES = "place long, key long, line int, h1 long, h2 long, coarse array<long>"
-FINE = "h1 long, h2 long, kind int, variant long"
+FINE = "h1 long, h2 long, kind int, variant long, other long"
 
 
 class _Text:
     """Substring hashes over the characters of several texts."""
 
-    def __init__(self, joined: str):
+    def __init__(self, joined: str, family: int = 0):
         self.points = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32)
-        own = Substrings(mix(self.points.astype(np.uint64) + U(0x51ED270B)))
+        own = Substrings(self.points, family)
         self.hashes, self.joined = own.hashes, own.joined
 
 
+def digest(line: str) -> bytes:
+    return blake2b(line.encode("utf-8", "surrogatepass"), digest_size=16).digest()
+
+
+def blank(line: str) -> bool:
+    return not line or line.isspace()
+
+
 def _bounds(length: np.ndarray, segment: int) -> tuple[np.ndarray, np.ndarray]:
     return length * segment // SEGMENTS, length * (segment + 1) // SEGMENTS
 
@@ -74,118 +91,159 @@ def _coarse(text: _Text, start: np.ndarray, end: np.ndarray) -> np.ndarray:
 
 
 def _lines_of(least: int, edits: int):
-    def step(part: list[tuple[int, int, str]]) -> pa.RecordBatch:
-        text = _Text("\n".join(t for _, _, t in part) + "\n")
-        ends = np.flatnonzero(text.points == 10)
-        starts = np.concatenate(([0], ends[:-1] + 1))
-        counts = np.array([t.count("\n") + 1 for _, _, t in part])
-        doc = np.repeat(np.arange(len(part)), counts)
-        line = np.arange(len(ends)) - np.repeat(np.cumsum(counts) - counts, counts)
-        own = np.flatnonzero(ends - starts >= least)
-        starts, ends, doc, line = starts[own], ends[own], doc[own], line[own]
-        h1 = text.hashes(starts, ends)
-        middle = (starts + ends) // 2
-        h2 = mix(text.hashes(starts, middle) * U(3) + text.hashes(middle, ends))
-        width = 2 * SEGMENTS if edits else 0
-        coarse = _coarse(text, starts, ends).ravel() if edits else np.zeros(0, np.uint64)
-        place, key = np.array([p for p, _, _ in part], np.int64)[doc], np.array([k for _, k, _ in part], np.int64)[doc]
+    def step(part: list[tuple[int, int, int, str]]) -> pa.RecordBatch:
+        """Lines as (place, key, number, text)."""
+        digests = [digest(t) for *_, t in part]
+        halves = np.frombuffer(b"".join(digests), np.int64).reshape(-1, 2)
         # the first occurrence of each line in this step is enough for the keys, all later ones carry none
-        _, first = np.unique(h1, return_index=True)
-        carries = np.zeros(len(h1), bool)
-        carries[first] = True
-        offsets = np.concatenate(([0], np.cumsum(np.where(carries, width, 0))))
-        coarse = coarse[np.repeat(carries, width)] if width else coarse
-        cols = [
-            pa.array(place), pa.array(key), pa.array(line.astype(np.int32)), pa.array(h1.view(np.int64)), pa.array(h2.view(np.int64)),
-            pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(coarse.view(np.int64))),
-        ]
+        first = {d: k for k, d in reversed(list(enumerate(digests)))}
+        sizes = np.array([len(t) for *_, t in part])
+        carries = np.zeros(len(part), bool)
+        carries[list(first.values())] = True
+        carries &= (sizes >= least) & bool(edits)
+        own = np.flatnonzero(carries)
+        coarse = np.zeros((0, 2 * SEGMENTS), np.uint64)
+        if len(own):
+            ends = np.cumsum(sizes[own])
+            coarse = _coarse(_Text("".join(part[k][3] for k in own)), ends - sizes[own], ends)
+        offsets = np.concatenate(([0], np.cumsum(np.where(carries, 2 * SEGMENTS, 0))))
+        cols = [pa.array([p[c] for p in part], kind) for c, kind in ((0, pa.int64()), (1, pa.int64()), (2, pa.int32()))]
+        cols += [pa.array(np.ascontiguousarray(halves[:, c])) for c in (0, 1)]
+        cols.append(pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(coarse.ravel().view(np.int64))))
         return pa.RecordBatch.from_arrays(cols, names=[f.split()[0] for f in LINES.split(", ")])
 
+    @tidy
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             part, size = [], 0
-            for row in zip(*(c.to_pylist() for c in batch.columns)):
-                part.append(row)
-                size += len(row[2])
-                if size >= STEP_CHARS:
-                    yield step(part)
-                    part, size = [], 0
+            for place, key, text in zip(*(c.to_pylist() for c in batch.columns)):
+                for number, line in enumerate(text.split("\n")):
+                    if not blank(line):
+                        part.append((place, key, number, line))
+                        size += len(line)
+                        if size >= STEP_CHARS:
+                            yield step(part)
+                            part, size = [], 0
             if part:
                 yield step(part)
 
     return work
 
 
+def _fine(body: str, spots: list[int]) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(kind, keys, other keys) of a line's variants at the coarse keys that it shares."""
+    texts, n = [_Text(body, family) for family in (0, 1)], len(body)
+    wholes = [_coarse(text, np.zeros(1, np.int64), np.array([n]))[0] for text in texts]
+    for spot in spots:
+        length = n + spot // SEGMENTS
+        a, b = (int(x[0]) for x in _bounds(np.array([length]), spot % SEGMENTS))
+        b -= length - n  # the segment in this line's own places
+        if length > n:
+            keys = [mix(text.hashes(np.array([a]), np.array([b])) * U(5) + whole[spot]) for text, whole in zip(texts, wholes)]
+            yield 2, *keys
+            continue
+        for low in range(a, b, OUT_ROWS):
+            at = np.arange(low, min(b, low + OUT_ROWS))
+            ends = np.full(len(at), b)
+            keys = [mix(text.joined(np.full(len(at), a), at, at + 1, ends) * U(5) + whole[spot]) for text, whole in zip(texts, wholes)]
+            _, once = np.unique(keys[0], return_index=True)  # deletions in a run of one character are one variant
+            yield 1, *[k[once] for k in keys]
+            yield 0, *[mix(k ^ mix(at.astype(np.uint64) + U(1))) for k in keys]
+
+
+@tidy
 def _variants(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Fine keys of (h1, h2, body, spots): spots are numbers of the coarse keys that the line shares.
 
     Kinds: 0 a changed character, 1 one character less than the line, 2 the shorter line itself.
     """
+    held, size = [], 0
+
+    def batch_of() -> pa.RecordBatch:
+        counts = [len(h[3]) for h in held]
+        cols = [pa.array(np.repeat(np.array([h[c] for h in held], kind), counts)) for c, kind in ((0, np.int64), (1, np.int64), (2, np.int32))]
+        cols += [pa.array(np.concatenate([h[c] for h in held]).view(np.int64)) for c in (3, 4)]
+        return pa.RecordBatch.from_arrays(cols, names=[f.split()[0] for f in FINE.split(", ")])
+
     for batch in batches:
-        h1s, h2s, kinds, keys = [], [], [], []
         for h1, h2, body, spots in zip(*(c.to_pylist() for c in batch.columns)):
-            text, n = _Text(body), len(body)
-            edge = np.array([n])
-            coarse = _coarse(text, np.zeros(1, np.int64), edge)[0]
-            for spot in sorted(set(spots)):
-                length = n + spot // SEGMENTS
-                a, b = (int(x[0]) for x in _bounds(np.array([length]), spot % SEGMENTS))
-                b -= length - n  # the segment in this line's own places
-                whole = coarse[spot]
-                if length > n:
-                    found = [(2, mix(text.hashes(np.array([a]), np.array([b])) * U(5) + whole))]
-                else:
-                    at = np.arange(a, b)
-                    less = mix(text.joined(np.full(len(at), a), at, at + 1, np.full(len(at), b)) * U(5) + whole)
-                    found = [(1, np.unique(less)), (0, mix(less ^ mix(at.astype(np.uint64) + U(1))))]
-                for kind, own in found:
-                    h1s.append(np.full(len(own), h1, np.int64))
-                    h2s.append(np.full(len(own), h2, np.int64))
-                    kinds.append(np.full(len(own), kind, np.int32))
-                    keys.append(own.view(np.int64))
-        if keys:
-            cols = [pa.array(np.concatenate(c)) for c in (h1s, h2s, kinds, keys)]
-            yield pa.RecordBatch.from_arrays(cols, names=["h1", "h2", "kind", "variant"])
+            for kind, keys, others in _fine(body, sorted(set(spots))):
+                held.append((h1, h2, kind, keys, others))
+                size += len(keys)
+                if size >= OUT_ROWS:
+                    yield batch_of()
+                    held, size = [], 0
+    if held:
+        yield batch_of()
+
+
+def one_edit(a: str, b: str) -> bool:
+    """Whether two lines are within one character edit: what their common ends leave is at most one character of each."""
+    if abs(len(a) - len(b)) > 1:
+        return False
+    x, y = (np.frombuffer(t.encode("utf-32-le", "surrogatepass"), np.uint32) for t in (a, b))
+    n = min(len(x), len(y))
+    ahead = np.flatnonzero(x[:n] != y[:n])
+    behind = np.flatnonzero(x[len(x) - n :] != y[len(y) - n :])
+    if not len(ahead) or not len(behind):
+        return True
+    return n - 1 - int(behind[-1]) + int(ahead[0]) >= max(len(x), len(y)) - 1
+
+
+@F.arrow_udf(BooleanType())
+@tidy
+def _one_edit(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+    for a, b in batches:
+        yield pa.array([one_edit(x, y) for x, y in zip(a.to_pylist(), b.to_pylist())], pa.bool_())
 
 
 def kept_lines(rows: DataFrame, edits: int = 1, least: int = LEAST_CHARS) -> DataFrame:
-    """place, key, lines: numbers of the long lines that stay. ``rows``: place long, key long, text."""
+    """place, key, lines: numbers of the lines that stay, but for blank ones. ``rows``: place long, key long, text."""
     if edits not in (0, 1):
         raise ValueError("edits must be 0 or 1")
-    lines = rows.where(F.col("text").isNotNull()).select("place", "key", "text").mapInArrow(_lines_of(least, edits), LINES)
-    lines = written(lines, "lines")
-    order = F.struct("place", "key", "line")
-    firsts = written(lines.groupBy("h1", "h2").agg(F.min(order).alias("first")), "first-lines")
-    kept = firsts
-    if edits:
-        keyed = lines.select("h1", "h2", F.posexplode("coarse").alias("spot", "coarse"))
-        shared = keyed.groupBy("coarse").agg(F.min("h1").alias("low"), F.max("h1").alias("high")).where("low <> high").select("coarse")
-        shared = bounded(written(shared, "shared-keys"))
-        near = keyed.join(shared, "coarse").groupBy("h1", "h2").agg(F.collect_set("spot").alias("spots"))
-        near = near.join(firsts, ["h1", "h2"]).select("h1", "h2", "spots", "first", "first.place", "first.key", "first.line")
-        near = written(near, "near-lines")
-        # their texts: the lines of each document are taken out together
-        wanted = bounded(written(near.groupBy("place", "key").agg(F.collect_list(F.struct("line", "h1", "h2")).alias("w")), "wanted-lines"))
-        split = F.split("text", "\n", -1)
-        bodies = rows.join(wanted, ["place", "key"]).dropDuplicates(["place", "key"]).select(
-            F.explode(F.transform("w", lambda w: F.struct(w["h1"].alias("h1"), w["h2"].alias("h2"), F.element_at(split, w["line"] + 1).alias("body")))).alias("x")
-        )
-        bodies = written(bodies.select("x.h1", "x.h2", "x.body"), "line-texts")
-        fine = near.join(bodies, ["h1", "h2"]).select("h1", "h2", "body", "spots").mapInArrow(_variants, FINE)
-        fine = written(fine.join(near.select("h1", "h2", "first"), ["h1", "h2"]).select("h1", "h2", "kind", "variant", "first"), "variants")
-        line = F.struct("first", "h1", "h2")
-        lead = fine.where("kind = 0").groupBy("variant").agg(F.min(line).alias("lead"), F.count(F.lit(1)).alias("n")).where("n > 1")
-        changed = fine.where("kind = 0").join(lead, "variant").select(line.alias("a"), F.col("lead").alias("b"))
-        short = fine.where("kind = 2").groupBy("variant").agg(F.min(line).alias("short"))
-        missing = fine.where("kind = 1").join(short, "variant").select(line.alias("a"), F.col("short").alias("b"))
-        pairs = changed.unionByName(missing).where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-        text_a = bodies.select(F.col("h1").alias("a1"), F.col("h2").alias("a2"), F.col("body").alias("text_a"))
-        text_b = bodies.select(F.col("h1").alias("h1"), F.col("h2").alias("h2"), F.col("body").alias("text_b"))
-        pairs = pairs.select(F.col("a.h1").alias("a1"), F.col("a.h2").alias("a2"), F.col("b.h1").alias("h1"), F.col("b.h2").alias("h2"))
-        verified = pairs.join(text_a, ["a1", "a2"]).join(text_b, ["h1", "h2"]).where(F.levenshtein("text_a", "text_b", 1) >= 0)
-        later = written(verified.select("h1", "h2").distinct(), "later-lines")
-        kept = firsts.join(later, ["h1", "h2"], "left_anti")
-    return kept.groupBy("first.place", "first.key").agg(F.collect_set("first.line").alias("lines"))
+    with Scratch() as scratch:
+        lines = rows.where(F.col("text").isNotNull()).select("place", "key", "text").mapInArrow(_lines_of(least, edits), LINES)
+        lines = scratch.written(lines, "lines")
+        order = F.struct("place", "key", "line")
+        firsts = scratch.written(lines.groupBy("h1", "h2").agg(F.min(order).alias("first")), "first-lines")
+        kept = firsts.join(_later(rows, lines, firsts, scratch), ["h1", "h2"], "left_anti") if edits else firsts
+        return written(kept.groupBy("first.place", "first.key").agg(F.collect_set("first.line").alias("lines")), "kept-lines")
+
+
+def _later(rows: DataFrame, lines: DataFrame, firsts: DataFrame, scratch: Scratch) -> DataFrame:
+    """h1, h2 of the lines that are one edit from a line that first occurs earlier."""
+    keyed = lines.select("h1", "h2", F.posexplode("coarse").alias("spot", "coarse"))
+    shared = keyed.groupBy("coarse").agg(F.min("h1").alias("low"), F.max("h1").alias("high")).where("low <> high").select("coarse")
+    shared = bounded(scratch.written(shared, "shared-keys"))
+    near = keyed.join(shared, "coarse").groupBy("h1", "h2").agg(F.collect_set("spot").alias("spots"))
+    near = near.join(firsts, ["h1", "h2"]).select("h1", "h2", "spots", "first", "first.place", "first.key", "first.line")
+    near = scratch.written(near, "near-lines")
+    # their texts: the lines of each document are taken out together
+    wanted = near.groupBy("place", "key").agg(F.collect_list(F.struct("line", "h1", "h2")).alias("w"))
+    wanted = bounded(scratch.written(wanted, "wanted-lines"))
+    split = F.split("text", "\n", -1)
+    bodies = rows.join(wanted, ["place", "key"]).dropDuplicates(["place", "key"]).select(
+        F.explode(F.transform("w", lambda w: F.struct(w["h1"].alias("h1"), w["h2"].alias("h2"), F.element_at(split, w["line"] + 1).alias("body")))).alias("x")
+    )
+    bodies = scratch.written(bodies.select("x.h1", "x.h2", "x.body"), "line-texts")
+    fine = near.join(bodies, ["h1", "h2"]).select("h1", "h2", "body", "spots").mapInArrow(_variants, FINE)
+    variant = ["variant", "other"]
+    fine = fine.join(near.select("h1", "h2", "first"), ["h1", "h2"]).select("h1", "h2", "kind", *variant, "first")
+    fine = scratch.written(fine, "variants")
+    line = F.struct("first", "h1", "h2")
+    total = fine.count()
+    lead = fine.where("kind = 0").groupBy(*variant).agg(F.min(line).alias("lead"), F.count(F.lit(1)).alias("size")).where("size > 1")
+    lead = scratch.written(lead, "leads")
+    changed = attached(fine.where("kind = 0"), lead, variant, total).select(line.alias("a"), F.col("lead").alias("b"))
+    short = fine.where("kind > 0").groupBy(*variant).agg(F.min(F.when(F.col("kind") == 2, line)).alias("short"), F.count_if(F.col("kind") == 1).alias("size"))
+    short = scratch.written(short.where("short IS NOT NULL AND size > 0"), "shorter-lines")
+    missing = attached(fine.where("kind = 1"), short, variant, total).select(line.alias("a"), F.col("short").alias("b"))
+    pairs = changed.unionByName(missing).where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    text_a = bodies.select(F.col("h1").alias("a1"), F.col("h2").alias("a2"), F.col("body").alias("text_a"))
+    text_b = bodies.select(F.col("h1").alias("h1"), F.col("h2").alias("h2"), F.col("body").alias("text_b"))
+    pairs = pairs.select(F.col("a.h1").alias("a1"), F.col("a.h2").alias("a2"), F.col("b.h1").alias("h1"), F.col("b.h2").alias("h2"))
+    verified = pairs.join(text_a, ["a1", "a2"]).join(text_b, ["h1", "h2"]).where(_one_edit("text_a", "text_b"))
+    return scratch.written(verified.select("h1", "h2").distinct(), "later-lines")
 
 
 def dedup_lines(docs: DataFrame, edits: int = 1, least: int = LEAST_CHARS) -> DataFrame:
@@ -198,6 +256,7 @@ def dedup_lines(docs: DataFrame, edits: int = 1, least: int = LEAST_CHARS) -> Da
     found = rows.join(stay, ["place", "key"], "left").select("row", "text", F.coalesce("lines", F.array().cast("array<int>")).alias("lines"))
 
     @F.arrow_udf("struct<n_lines:long,n_removed:long,kept:string>")
+    @tidy
     def cut(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
         for texts, numbers in batches:
             counts, removed, kept = [], [], []
@@ -208,7 +267,7 @@ def dedup_lines(docs: DataFrame, edits: int = 1, least: int = LEAST_CHARS) -> Da
                     kept.append(None)
                     continue
                 lines, own = text.split("\n"), set(own)
-                stays = [t for k, t in enumerate(lines) if len(t) < least or k in own]
+                stays = [t for k, t in enumerate(lines) if k in own or blank(t)]
                 counts.append(len(lines))
                 removed.append(len(lines) - len(stays))
                 kept.append("\n".join(stays))

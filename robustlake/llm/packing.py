@@ -3,24 +3,30 @@
 Every document becomes token ids and an end id; documents longer than a
 sequence are cut into full pieces behind one shorter first piece. Full pieces
 fill a sequence each. The others are dealt by a hash into shards of about
-``SHARD`` pieces; each shard is a packing problem of its own (the loss is less
-than one sequence in a shard), solved by ``ISLANDS`` populations:
+``SHARD`` pieces; each shard is a packing problem of its own, solved by
+``ISLANDS`` populations:
 
 * a solution is a grouping of the shard's pieces into bins. The first ones come
   from best fit over different orders of the pieces;
 * crossover injects whole bins of one parent, those filled best, into the other;
   bins of the other that hold a piece twice are dissolved, and the pieces that
-  lose their bin are put back by best fit, longest first;
-* fitness is the sum of squared fills, which rewards full bins;
+  lose their bin are put back: first by exchange (one or two pieces of a bin for
+  a loose one that fills it better), then by best fit, longest first;
+* fitness is the number of bins, then the sum of squared fills, which rewards
+  full bins;
 * after each round the best solution of an island moves to the next island of
   its shard. A round is one grouped Spark stage; between rounds only lengths
-  and bin numbers move, never texts or ids.
+  and bin numbers move, never texts or ids. Rounds end when no shard is above its
+  lower bound, or when one brought nothing.
 
-A shard without waste (its bins match the lower bound) stops early.
+Then the pieces of the bins with room left, of all shards, are dealt anew into
+fewer shards and solved once more, so that shards do not each keep sequences
+that are filled in part.
 
 Defined results: a null or empty text is one piece that holds the end id alone.
-Rows that repeat a document are packed once for each row. An empty table gives
-no rows. Extra columns of the input are not read.
+Rows that repeat a document are packed once for each row. Pieces of equal length
+are told apart by their place alone. A text of any length is cut whole. An empty
+table gives no rows. Extra columns of the input are not read.
 """
 
 from __future__ import annotations
@@ -34,17 +40,20 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from robustlake.llm.common import prepare, written
+from robustlake.llm.common import Scratch, batches_of, prepare, tidy, written
 from robustlake.llm.tokens import default_tokenizer, encoder
 
 LIMIT = 1024
 END_ID = 2
 SHARD = 4096
-ISLANDS = 2
-ROUNDS = 2
+ISLANDS = 3
+ROUNDS = 4
 POPULATION = 4
-CHILDREN = 6
+CHILDREN = 8
+#: Solutions that one Arrow batch holds: each row is a whole shard.
+SHARD_BATCH = 8
 
 
 def pieces_of(text: Column, path: str, limit: int = LIMIT, end_id: int = END_ID) -> Column:
@@ -53,6 +62,7 @@ def pieces_of(text: Column, path: str, limit: int = LIMIT, end_id: int = END_ID)
     kind = pa.list_(pa.struct([("start", pa.int64()), ("length", pa.int32()), ("crc", pa.int64())]))
 
     @F.arrow_udf("array<struct<start:long,length:int,crc:long>>")
+    @tidy
     def cut(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         encode = encoder(path).encode
         for batch in batches:
@@ -133,8 +143,32 @@ class _Shard:
         kept.sort(key=lambda held: -sum(self.lengths[i] for i in held))
         full = max(0, len(kept) - max(1, len(kept) // 20))
         loose += [i for held in kept[full:] for i in held]
+        bins = [list(held) for held in injected + kept[:full]]
+        loose = self.exchange(bins, loose)
         loose.sort(key=lambda i: -self.lengths[i])
-        return self.best_fit(loose, [list(held) for held in injected + kept[:full]])
+        return self.best_fit(loose, bins)
+
+    def exchange(self, bins: list[list[int]], loose: list[int]) -> list[int]:
+        """Give bins with room a longer loose piece for one or two of theirs, and return what is loose then."""
+        pool = sorted((self.lengths[i], i) for i in loose)
+        for held in bins:
+            room = self.limit - sum(self.lengths[i] for i in held)
+            if not room or not pool:
+                continue
+            out = [(i,) for i in held] + [(i, j) for k, i in enumerate(held) for j in held[k + 1 :]] if len(held) <= 4 else [(i,) for i in held[:8]]
+            best = None
+            for some in out:
+                size = sum(self.lengths[i] for i in some)
+                at = bisect_left(pool, (size + room + 1, -1)) - 1  # the longest that fits
+                if at >= 0 and pool[at][0] > size and (best is None or pool[at][0] - size > best[0]):
+                    best = pool[at][0] - size, at, some
+            if best:
+                _, at, some = best
+                held.append(pool.pop(at)[1])
+                for i in some:
+                    held.remove(i)
+                    insort(pool, (self.lengths[i], i))
+        return [i for _, i in pool]
 
     def evolve(self, people: list[list[list[int]]], children: int, size: int) -> list[list[list[int]]]:
         people = sorted(people, key=self.fitness, reverse=True)
@@ -160,12 +194,13 @@ def _to_bins(numbers) -> list[list[int]]:
     return [part.tolist() for part in np.split(order, np.flatnonzero(np.diff(numbers[order])) + 1)]
 
 
-def _round(problems: DataFrame, limit: int, turn: int) -> DataFrame:
-    """One round on every island; ``people`` holds bin numbers of each solution, the best first."""
+def _round(problems: DataFrame, limit: int, turn: str) -> DataFrame:
+    """One round on every island; ``people`` holds bin numbers of each solution, the best first; ``over``: bins above the lower bound."""
 
+    @tidy
     def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in batches:
-            people_out = []
+            people_out, over = [], []
             for r in frame.itertuples(index=False):
                 lengths = np.asarray(r.lengths)
                 shard = _Shard(lengths, limit, zlib.crc32(f"{r.shard}/{r.island}/{turn}".encode()))
@@ -177,7 +212,8 @@ def _round(problems: DataFrame, limit: int, turn: int) -> DataFrame:
                     people = [_to_bins(p) for p in r.people]
                 people = shard.evolve(people, CHILDREN, POPULATION)
                 people_out.append([_to_numbers(p, len(lengths)) for p in people])
-            yield frame.assign(people=people_out)
+                over.append(len(people[0]) - shard.floor)
+            yield frame.assign(people=people_out, over=over)
 
     return problems.mapInPandas(work, problems.schema)
 
@@ -188,30 +224,15 @@ def _migrated(problems: DataFrame, islands: int) -> DataFrame:
         "shard", F.pmod(F.col("island") + 1, F.lit(islands)).cast("int").alias("island"), F.element_at("people", 1).alias("guest")
     )
     return problems.join(elite, ["shard", "island"]).select(
-        "shard", "island", "uids", "lengths", F.array_append("people", F.col("guest")).alias("people")
+        "shard", "island", "uids", "lengths", "over", F.array_append("people", F.col("guest")).alias("people")
     )
 
 
-def pack(
-    docs: DataFrame, path: str | None = None, limit: int = LIMIT, end_id: int = END_ID,
-    shard: int = SHARD, islands: int = ISLANDS, rounds: int = ROUNDS,
-) -> DataFrame:
-    """One row per piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset."""
-    spark = docs.sparkSession
-    prepare(spark)
-    cut = docs.select(F.col("doc_id").cast("long").alias("doc_id"), pieces_of(F.col("text"), path or default_tokenizer(), limit, end_id).alias("p"))
-    pieces = cut.select("doc_id", F.posexplode("p").alias("piece", "p")).select(
-        F.monotonically_increasing_id().alias("uid"),
-        "doc_id",
-        "piece",
-        F.col("p.start").alias("start"),
-        F.col("p.length").alias("length"),
-        F.col("p.crc").alias("ids_crc32"),
-    )
-    pieces = written(pieces, "pieces")  # uid is fixed from here on
-    short = pieces.where(F.col("length") < limit)
+def solved(short: DataFrame, limit: int, shard: int, islands: int, rounds: int, phase: int, scratch: Scratch) -> DataFrame:
+    """uid, length, bin of each of the pieces ``short`` (uid, length); a bin is a number that no other phase gives."""
+    spark = short.sparkSession
     shards = max(1, -(-short.count() // shard))
-    dealt = F.pmod(F.xxhash64("uid"), F.lit(shards)).cast("int")
+    dealt = F.pmod(F.xxhash64(F.lit(phase), "uid"), F.lit(shards)).cast("int")
     problems = (
         short.groupBy(dealt.alias("shard"))
         .agg(F.sort_array(F.collect_list(F.struct("uid", "length"))).alias("held"))
@@ -220,26 +241,61 @@ def pack(
             F.explode(F.sequence(F.lit(0), F.lit(islands - 1))).alias("island"),
             F.col("held.uid").alias("uids"),
             F.col("held.length").alias("lengths"),
+            F.lit(0).cast("long").alias("over"),
             F.lit(None).cast("array<array<int>>").alias("people"),
         )
         .repartition(max(1, min(shards * islands, 16 * spark.sparkContext.defaultParallelism)), "shard", "island")
     )
-    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "8")  # each row is a whole shard
-    for turn in range(rounds):
-        problems = written(_round(_migrated(problems, islands) if turn else problems, limit, turn), "islands")
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    before = None
+    with batches_of(spark, SHARD_BATCH):
+        for turn in range(rounds):
+            made = scratch.written(_round(_migrated(problems, islands) if turn else problems, limit, f"{phase}/{turn}"), "islands")
+            if turn:
+                scratch.drop(problems)
+            problems = made
+            over = problems.groupBy("shard").agg(F.min("over").alias("over")).agg(F.sum("over")).first()[0] or 0
+            if not over or over == before:
+                break
+            before = over
     best = problems.select("shard", F.element_at("people", 1).alias("bins"), "uids", "lengths", "island").groupBy("shard").agg(
         F.min_by(F.struct("uids", "lengths", "bins"), F.struct(F.array_max("bins"), "island")).alias("b")
     )
-    numbers = best.select(
-        F.col("shard").cast("long").alias("shard"), F.explode(F.arrays_zip(F.col("b.uids").alias("uid"), F.col("b.bins").alias("bin"))).alias("x")
-    ).select(F.col("x.uid").alias("uid"), (F.col("shard") * (1 << 20) + F.col("x.bin")).alias("bin"))
-    whole = pieces.where(F.col("length") == limit).select("*", (F.col("uid") * 2 + 1).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
-    from pyspark.sql.window import Window
+    each = F.explode(F.arrays_zip(F.col("b.uids").alias("uid"), F.col("b.lengths").alias("length"), F.col("b.bins").alias("bin")))
+    number = (F.col("shard").cast("long") * (1 << 20) + F.col("x.bin")) * 2 + phase
+    return scratch.written(best.select("shard", each.alias("x")).select("x.uid", "x.length", number.alias("bin")), "numbers")
+
 
+def pack(
+    docs: DataFrame, path: str | None = None, limit: int = LIMIT, end_id: int = END_ID,
+    shard: int = SHARD, islands: int = ISLANDS, rounds: int = ROUNDS,
+) -> DataFrame:
+    """One row per piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset."""
+    prepare(docs.sparkSession)
+    cut = docs.select(F.col("doc_id").cast("long").alias("doc_id"), pieces_of(F.col("text"), path or default_tokenizer(), limit, end_id).alias("p"))
+    pieces = cut.select("doc_id", F.posexplode("p").alias("piece", "p")).select(
+        F.monotonically_increasing_id().alias("uid"),
+        "doc_id",
+        "piece",
+        F.col("p.start").alias("start"),
+        F.col("p.length").alias("length"),
+        F.col("p.crc").alias("ids_crc32"),
+    )
+    pieces = written(pieces, "pieces")  # uid is fixed from here on
+    with Scratch() as scratch:
+        numbers = solved(pieces.where(F.col("length") < limit).select("uid", "length"), limit, shard, islands, rounds, 0, scratch)
+        # the bins with room, of all shards, once more
+        bins = numbers.groupBy("bin").agg(F.sum("length").alias("fill"))
+        loose = scratch.written(bins.where(F.col("fill") <= limit - max(1, limit // 50)).select("bin"), "bins-with-room")
+        freed = loose.count()
+        if freed > 1:
+            again = scratch.written(numbers.join(loose, "bin").select("uid", "length"), "loose-pieces")
+            again = solved(again, limit, shard, islands, rounds, 1, scratch)
+            if again.select("bin").distinct().count() < freed:
+                numbers = numbers.join(loose, "bin", "left_anti").select("uid", "bin").unionByName(again.select("uid", "bin"))
+        numbers = written(numbers.select("uid", "bin"), "sequences")
+    whole = pieces.where(F.col("length") == limit).select("*", (F.col("uid") * 2 + 1).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
     earlier = Window.partitionBy("sequence_id").orderBy("uid").rowsBetween(Window.unboundedPreceding, -1)
-    shared = short.join(numbers, "uid").select(*pieces.columns, (F.col("bin") * 2).alias("sequence_id"))
+    shared = pieces.where(F.col("length") < limit).join(numbers, "uid").select(*pieces.columns, (F.col("bin") * 2).alias("sequence_id"))
     shared = shared.select("*", F.coalesce(F.sum("length").over(earlier), F.lit(0)).cast("long").alias("offset"))
     return whole.unionByName(shared).select(
         "doc_id", F.col("piece").cast("int").alias("piece"), "start", F.col("length").cast("long").alias("length"), "ids_crc32", "sequence_id", "offset"

@@ -9,7 +9,7 @@ block of suffixes at a time:
   gram travel together as one context, about one per 20 bytes of text;
 * blocks are ranges of gram hashes. ``PASSES`` passes over the texts each handle
   their own blocks, so only that share of the contexts exists at a time;
-* inside a block, equal contexts fall together, and the suffixes of the others
+* inside a block, equal contexts (compared byte by byte) fall together, and the suffixes of the others
   are sorted: ranks of the suffixes at a difference cover sample (positions
   0, 1 and 3 modulo 6) are computed first; any two suffixes then compare by at
   most five bytes and the ranks of two sample positions at the same distance.
@@ -23,7 +23,8 @@ that many texts share in different surroundings would still fill one block: the
 strings of such hot grams travel one by one, dealt by a hash of their 50 bytes.
 Which grams are hot is guessed from a sample and known to all tasks; it decides
 where a string is compared, never whether. Exact
-copies of a whole text are told apart first and never enter the passes.
+copies of a whole text (by SHA-256) are told apart first and never enter the
+passes. A text above ``STEP_BYTES`` is worked on in pieces.
 
 Defined results: null and empty texts have nothing to remove. A row without an
 id neither loses bytes nor makes others lose them. Rows of equal ids do not
@@ -41,8 +42,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from robustlake.llm.common import prepare, row_key, written
-from robustlake.llm.hashing import BYTE_VALUES, U, Substrings, mix
+from robustlake.llm.common import prepare, row_key, tidy, written
+from robustlake.llm.hashing import Rolling, U, mix
 from robustlake.llm.minhash import bounded
 
 LENGTH = 50
@@ -55,6 +56,8 @@ LEAST_BLOCKS = 256
 COVER, PERIOD = (0, 1, 3), 6
 #: A gram is hot if its contexts, by a sample of one text in ``SAMPLE_STEP`` at most, fill more than a block.
 SAMPLE_TEXTS, SAMPLE_STEP, HOT_LEAST, CONTEXT_BYTES = 4000, 1000, 16, 88
+#: Strings that are compared byte by byte at a time.
+COMPARED = 20_000
 #: Bits that a rank has beside five bytes of text in one number.
 RANK_BITS = 24
 
@@ -99,6 +102,31 @@ def contexts(data: np.ndarray, begins: np.ndarray, length: int):
     return grams[owner[new]], valid[new], counts, owner[new] - valid[new]
 
 
+def equal_groups(data: np.ndarray, at: np.ndarray, sizes: np.ndarray, rolling: Rolling) -> np.ndarray:
+    """For each string (place, size) the number of the first one that equals it, byte by byte."""
+    hashes = rolling.hashes(at, at + sizes)
+    _, first, which = np.unique(hashes, return_index=True, return_inverse=True)
+    group = first[which]
+    others = np.flatnonzero(group != np.arange(len(group)))
+    for a in range(0, len(others), COMPARED):
+        own = others[a : a + COMPARED]
+        to = group[own]
+        same = sizes[own] == sizes[to]
+        own, to = own[same], to[same]
+        differ = np.zeros(len(own), bool)
+        equal = data[_ranges(at[own], sizes[own])] == data[_ranges(at[to], sizes[own])]
+        if len(own):
+            differ = np.add.reduceat(~equal, np.cumsum(sizes[own]) - sizes[own]) > 0
+        if differ.any() or not same.all():  # hashes that meet by a pattern: sort the strings themselves out
+            return _by_bytes(data, at, sizes)
+    return group
+
+
+def _by_bytes(data: np.ndarray, at: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    met: dict[bytes, int] = {}
+    return np.array([met.setdefault(data[a : a + n].tobytes(), k) for k, (a, n) in enumerate(zip(at.tolist(), sizes.tolist()))], np.int64)
+
+
 def _emit(block, *columns) -> pa.RecordBatch:
     cols = [pa.array(block, pa.int32())]
     for values in columns:
@@ -107,7 +135,7 @@ def _emit(block, *columns) -> pa.RecordBatch:
 
 
 def _packer(blocks: int, passes: int, number: int, length: int, hot: np.ndarray):
-    def step(ids: list[int], keys: list[int], texts: list[bytes], turn: int):
+    def step(ids: list[int], keys: list[int], bases: list[int], texts: list[bytes], turn: int):
         data = np.frombuffer(b"".join(texts), np.uint8)
         begins = np.concatenate(([0], np.cumsum([len(t) for t in texts]))).astype(np.int64)
         if len(data) < length:
@@ -119,14 +147,14 @@ def _packer(blocks: int, passes: int, number: int, length: int, hot: np.ndarray)
         grams, first, counts, offsets = grams[own], first[own], counts[own], offsets[own]
         doc = np.searchsorted(begins, first, "right") - 1
         id_of, key_of = np.array(ids, np.int64)[doc], np.array(keys, np.int64)[doc]
-        starts = (first - begins[doc]).astype(np.int32)
+        starts = (first - begins[doc] + np.array(bases)[doc]).astype(np.int32)
         # of equal contexts only those of the smallest id go on; the others are settled
-        hashes = Substrings(BYTE_VALUES[data]).hashes(first, first + counts + length - 1)
-        order = np.lexsort((id_of, hashes))
-        new = np.concatenate(([True], hashes[order][1:] != hashes[order][:-1]))
-        smallest = id_of[order][np.flatnonzero(new)][np.cumsum(new) - 1]
-        later = id_of[order] > smallest
-        settled, going = order[later], order[~later]
+        rolling = Rolling(data)
+        group = equal_groups(data, first, counts + length - 1, rolling)
+        smallest = np.full(len(group), np.iinfo(np.int64).max)
+        np.minimum.at(smallest, group, id_of)
+        later = id_of > smallest[group]
+        settled, going = np.flatnonzero(later), np.flatnonzero(~later)
         dealt = (grams // U(passes)) % U(blocks)
         if len(crowd := going[np.isin(grams[going], hot)]):  # each string of a hot gram becomes a context, behind the others
             reps = counts[crowd]
@@ -134,7 +162,7 @@ def _packer(blocks: int, passes: int, number: int, length: int, hot: np.ndarray)
             ahead = np.arange(len(one)) - np.repeat(np.cumsum(reps) - reps, reps)
             going = np.concatenate((np.setdiff1d(going, crowd, assume_unique=True), len(grams) + np.arange(len(one))))
             single = first[one] + ahead
-            strings = mix(Substrings(BYTE_VALUES[data]).hashes(single, single + length))
+            strings = mix(rolling.hashes(single, single + length))
             dealt = np.concatenate((dealt, strings % U(blocks)))
             grams, id_of, key_of = (np.concatenate((x, x[one])) for x in (grams, id_of, key_of))
             starts = np.concatenate((starts, (starts[one] + ahead).astype(np.int32)))
@@ -166,24 +194,27 @@ def _packer(blocks: int, passes: int, number: int, length: int, hot: np.ndarray)
             rows[7].append(np.zeros(0, np.uint8))
         return _emit(*rows)
 
+    @tidy
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, keys, texts, size, turn = [], [], [], 0, 0
+        ids, keys, bases, texts, size, turn = [], [], [], [], 0, 0
         for batch in batches:
             for i, k, t in zip(*(batch.column(c).to_pylist() for c in range(3))):
-                if t is None or len(t) < length:
-                    continue
-                ids.append(i)
-                keys.append(k)
-                texts.append(t)
-                size += len(t)
-                if size >= STEP_BYTES:
-                    turn += 1
-                    out = step(ids, keys, texts, (spread(ids[0]) + turn))
-                    if out is not None:
-                        yield out
-                    ids, keys, texts, size = [], [], [], 0
+                # a long text in pieces: each string of ``length`` bytes starts in one of them
+                for base in range(0, len(t or b"") - length + 1, STEP_BYTES):
+                    piece = t[base : base + STEP_BYTES + length - 1]
+                    ids.append(i)
+                    keys.append(k)
+                    bases.append(base)
+                    texts.append(piece)
+                    size += len(piece)
+                    if size >= STEP_BYTES:
+                        turn += 1
+                        out = step(ids, keys, bases, texts, spread(ids[0]) + turn)
+                        if out is not None:
+                            yield out
+                        ids, keys, bases, texts, size = [], [], [], [], 0
         if texts:
-            out = step(ids, keys, texts, spread(ids[0]))
+            out = step(ids, keys, bases, texts, spread(ids[0]))
             if out is not None:
                 yield out
 
@@ -263,7 +294,8 @@ def _settle(rows: list[tuple], length: int):
     starts, counts, offsets = starts.astype(np.int64), counts.astype(np.int64), offsets.astype(np.int64)
     sizes = counts + length - 1
     at = np.cumsum(sizes) - sizes
-    hashes_of = Substrings(BYTE_VALUES[data]).hashes
+    rolling = Rolling(data)
+    hashes_of = rolling.hashes
     # A string of which the gram leaves less than half ahead has a flank of ``half`` bytes behind the gram, and the
     # others have one ahead of it: only strings whose gram and flank stand in several documents can repeat.
     half = (length - GRAM + 1) // 2
@@ -290,13 +322,12 @@ def _settle(rows: list[tuple], length: int):
     if not len(own):
         return None
     # equal contexts fall together
-    hashes = hashes_of(at[own], at[own] + sizes[own])
-    distinct, one, which = np.unique(hashes, return_index=True, return_inverse=True)
+    one, which = np.unique(equal_groups(data, at[own], sizes[own], rolling), return_inverse=True)
     chosen = own[one]
     windows = counts[chosen]
     text = data[_ranges(at[chosen], sizes[chosen])]
     begin = np.cumsum(sizes[chosen]) - sizes[chosen]
-    first = np.full(len(distinct), np.iinfo(np.int64).max)
+    first = np.full(len(one), np.iinfo(np.int64).max)
     np.minimum.at(first, which, ids[own])
     places = _ranges(begin, windows)
     smallest = np.repeat(first, windows)
@@ -326,6 +357,7 @@ def _settler(blocks: int, length: int):
         cols = [pa.array(ids, pa.int64()), pa.array(keys, pa.int64()), pa.array(start.astype(np.int32)), pa.array(end.astype(np.int32))]
         return pa.RecordBatch.from_arrays(cols, names=["doc_id", "key", "start", "end"])
 
+    @tidy
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         block, held = None, []
         for batch in batches:
@@ -369,10 +401,11 @@ def hot_grams(rows: DataFrame, texts: int, length: int) -> np.ndarray:
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for text in batch.column(0):
-                data = np.frombuffer(text.as_py(), np.uint8)
-                grams, many = np.unique(contexts(data, np.array([0, len(data)]), length)[0], return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(grams.view(np.int64)), pa.array(many.astype(np.int64))], names=["gram", "n"])
+            for text in batch.column(0).to_pylist():
+                for base in range(0, len(text) - length + 1, STEP_BYTES):
+                    data = np.frombuffer(text[base : base + STEP_BYTES + length - 1], np.uint8)
+                    grams, many = np.unique(contexts(data, np.array([0, len(data)]), length)[0], return_counts=True)
+                    yield pa.RecordBatch.from_arrays([pa.array(grams.view(np.int64)), pa.array(many.astype(np.int64))], names=["gram", "n"])
 
     sample = rows.where(F.pmod(F.xxhash64(F.lit(2), "data"), F.lit(step)) == 0).select("data")
     found = sample.mapInArrow(work, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
@@ -385,14 +418,14 @@ def repeated_runs(docs: DataFrame, length: int = LENGTH, passes: int = PASSES) -
     ``docs``: doc_id long, key long, data binary.
     """
     rows = docs.where(F.col("doc_id").isNotNull() & (F.octet_length("data") >= length))
-    mark = (F.xxhash64("data").alias("d1"), F.xxhash64(F.lit(1), "data").alias("d2"))
-    marks = rows.select("doc_id", "key", F.octet_length("data").alias("n"), *mark)
-    groups = marks.groupBy("d1", "d2").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"), F.sum(F.col("n").cast("long")).alias("n"))
+    mark = F.unhex(F.sha2("data", 256)).alias("digest")  # equal texts, by a cryptographic digest
+    marks = rows.select("doc_id", "key", F.octet_length("data").alias("n"), mark)
+    groups = marks.groupBy("digest").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"), F.sum(F.col("n").cast("long")).alias("n"))
     groups = written(groups, "text-groups")
     size, texts = groups.agg(F.sum("n"), F.count("*")).first()
     size = size or 0
-    repeated = groups.where("first < last").select("d1", "d2", "first")
-    copies = written(marks.join(repeated, ["d1", "d2"]).where("doc_id > first").select("doc_id", "key").distinct(), "copies")
+    repeated = groups.where("first < last").select("digest", "first")
+    copies = written(marks.join(repeated, "digest").where("doc_id > first").select("doc_id", "key").distinct(), "copies")
     rows = rows.join(bounded(copies), ["doc_id", "key"], "left_anti").select("doc_id", "key", "data")
     blocks = max(LEAST_BLOCKS, int(size * 3.5 / passes / BLOCK_BYTES))
     hot = hot_grams(rows, texts, length)
@@ -416,6 +449,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, passes: int = PASSES)
     joined = own.join(runs, ["doc_id", "key"], "left").join(whole, ["doc_id", "key"], "left")
 
     @F.arrow_udf("struct<n_removed:long,n_spans:long,kept:binary>")
+    @tidy
     def cut(batches: Iterator[tuple[pa.Array, pa.Array, pa.Array]]) -> Iterator[pa.Array]:
         for texts, lists, wholes in batches:
             out = []

@@ -7,8 +7,12 @@ tokens are left when each is cut to L. They are taken in two levels: lengths
 fall into ranges of ``RANGE``, ranges are summed by themselves, and the window
 over ranges sees one row per group and range, so no task holds all lengths.
 
+``at_limits`` and ``quantiles`` answer for limits and shares of a caller's own.
+
 Defined results: a null or empty text has length 0 and counts as a document.
-Null group values form a group of their own. An empty table has no rows.
+Null group values form a group of their own. Rows that repeat, and lengths that
+tie, are counted each. Texts of any length are counted whole. An empty table has
+no rows; extra columns are not read.
 """
 
 from __future__ import annotations
@@ -21,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from robustlake.llm.common import prepare, written
+from robustlake.llm.common import prepare, tidy, written
 from robustlake.llm.tokens import default_tokenizer, encoder
 
 RANGE = 1024
@@ -31,6 +35,7 @@ def token_length(text: Column, path: str) -> Column:
     """Number of token ids of each whole text."""
 
     @F.arrow_udf("long")
+    @tidy
     def count(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         encode = encoder(path).encode
         for batch in batches:
@@ -101,6 +106,24 @@ def context_limits(histogram: DataFrame) -> DataFrame:
     )
 
 
+def at_limits(histogram: DataFrame, limits: list[int]) -> DataFrame:
+    """For each group and each of the given limits: docs_to_limit, docs_over, tokens_kept (each cut to the limit), tokens_lost."""
+    n, over = F.col("n_tokens"), F.col("n_tokens") > F.col("context_limit")
+    rows = histogram.select("*", F.explode(F.array(*[F.lit(int(x)).cast("long") for x in limits])).alias("context_limit"))
+    return rows.groupBy("group_key", "context_limit").agg(
+        F.sum(F.when(over, 0).otherwise(F.col("n_docs"))).alias("docs_to_limit"),
+        F.sum(F.when(over, F.col("n_docs")).otherwise(0)).alias("docs_over"),
+        F.sum(F.least(n, F.col("context_limit")) * F.col("n_docs")).alias("tokens_kept"),
+        F.sum(F.greatest(n - F.col("context_limit"), F.lit(0)) * F.col("n_docs")).alias("tokens_lost"),
+    )
+
+
+def quantiles(limits: DataFrame, shares: list[float]) -> DataFrame:
+    """For each group and share: the smallest length that so many documents do not exceed. ``limits``: of ``context_limits``."""
+    rows = limits.select("group_key", "context_limit", "quantile", F.explode(F.array(*[F.lit(float(x)) for x in shares])).alias("share"))
+    return rows.where(F.col("quantile") >= F.col("share")).groupBy("group_key", "share").agg(F.min("context_limit").alias("n_tokens"))
+
+
 def op2_token_counts(docs: DataFrame, group: str = "lang", path: str | None = None) -> DataFrame:
     """``context_limits`` of every group of ``docs`` by one column."""
     return context_limits(length_histogram(docs, group, path))

@@ -45,10 +45,17 @@ class Encoder:
         self._special = [t["content"] for t in stored.get("added_tokens", [])]
         of = _byte_of_char()
         ranks = {bytes(of[c] for c in t): i for t, i in stored["model"]["vocab"].items() if t not in self._special}
-        self._even, self._any = (
-            tiktoken.Encoding("own", pat_str=p, mergeable_ranks=ranks, special_tokens={}) for p in (EVEN_PATTERN, PATTERN)
-        )
-        self._own = None
+        encoding = tiktoken.Encoding("own", pat_str=EVEN_PATTERN, mergeable_ranks=ranks, special_tokens={})
+        self._even, self._whole, self._own = encoding, None, None
+
+    @property
+    def _any(self):
+        """The encoding that also looks ahead; made when a text needs it."""
+        if self._whole is None:
+            import tiktoken
+
+            self._whole = tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=self._even._mergeable_ranks, special_tokens={})
+        return self._whole
 
     def _with_special(self, text: str) -> bytes:
         if self._own is None:

@@ -4,20 +4,25 @@ Vectors are dealt by a hash into shards of at most about ``SHARD`` rows. Each
 shard builds a KD-tree: nodes split at the median of their widest side and keep
 tight bounding boxes; leaves hold ``LEAF`` vectors. A query walks the tree best
 first: a box's bound is the largest inner product that any point in it could
-have, and the walk ends when the best bound left is below the kth score. The
-kth scores of one shard are found first and sent along to all others, so those
-start with a bound. Every shard returns at most k rows for each query.
+have, and the walk ends when the best bound left is below the kth score. Each
+query first searches one shard, dealt by a hash, and its kth score there is sent
+along to all others, so those start with a bound. Every shard returns at most k
+rows for each query.
 
 Equal vectors of a shard share one entry; of their ids only the k+1 smallest can
 matter, since ties go to the smaller id.
 
 Queries are spread over the shards as rows of a table (the stated set of queries
-against all rows); a task holds one shard and one Arrow batch of queries.
+against all rows); a task holds one shard and one Arrow batch of queries. A
+shard's rows go to the task of its own number, so no task gets several by chance.
 
 Defined results: a row without an id, or whose vector is null or holds null or
-non-finite components, takes no part. Rows that repeat id and vector are one
-row; rows of one id with other vectors are rows of their own. Only vectors of
-equal dimension are compared. An empty table gives no rows.
+non-finite components, takes no part. Every row but the query's own is a
+candidate: a row that repeats the query's id and vector is one, under its id, and
+such a query gives its result once for each of its rows. Rows of one id with
+other vectors are rows of their own. Only vectors of equal dimension are
+compared. Products are summed in 64 bits; sums beyond them are not defined. An
+empty table gives no rows; extra columns are not read.
 """
 
 from __future__ import annotations
@@ -31,9 +36,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from robustlake.llm.common import written
+from robustlake.llm.common import Scratch, batches_of, tidy, written
 
-SHARD = 16_384
+BATCH = 2048
+
+SHARD = 65_536
 LEAF = 128
 SCALE = 1024
 
@@ -56,7 +63,6 @@ class Tree:
         if len(first):
             self._build(0, len(first))
             self.low, self.high = np.array(self.low, np.float64), np.array(self.high, np.float64)
-        # sums of products stay exact in doubles below 2 ** 53; larger ones use wrapping integers and a loose bound
         self.sorted = self.points[self.order]
 
     def _build(self, a: int, b: int) -> int:
@@ -81,7 +87,8 @@ class Tree:
             return [[] for _ in query_ids]
         q = queries.astype(np.float64)
         bounds = np.maximum(q, 0) @ self.high.T + np.minimum(q, 0) @ self.low.T
-        bounds += np.abs(bounds) * 1e-12
+        # scores are exact integers; bounds are doubles, so they get what rounding may have taken
+        bounds += np.abs(q) @ np.maximum(np.abs(self.high), np.abs(self.low)).T * (1e-15 * (q.shape[1] + 2))
         out = []
         for row, (own_id, floor) in enumerate(zip(query_ids, floors)):
             query, bound = queries[row], bounds[row]
@@ -105,8 +112,10 @@ class Tree:
                     if kth is not None and score < kth:
                         break
                     place = self.order[a + at]
+                    own_row = np.array_equal(self.points[place], query)
                     for found in self.ids[place].tolist():
-                        if found == own_id and np.array_equal(self.points[place], query):
+                        if own_row and found == own_id:  # once: other rows may repeat it
+                            own_row = False
                             continue
                         if len(best) < self.k:
                             heapq.heappush(best, (score, -found))
@@ -129,8 +138,9 @@ def _searched(vectors: DataFrame, queries: DataFrame, k: int, shards: int) -> Da
     """``vectors``: dim, shard, id, v; ``queries``: dim, shard, id, v, key, floor."""
     rows = vectors.select("dim", "shard", F.lit(0).alias("turn"), "id", "v", F.lit(0).cast("long").alias("key"), F.lit(None).cast("long").alias("floor"))
     rows = rows.unionByName(queries.select("dim", "shard", F.lit(1).alias("turn"), "id", "v", "key", "floor"))
-    rows = rows.repartition(shards, "dim", "shard").sortWithinPartitions("dim", "shard", "turn")
+    rows = rows.repartitionById(shards, F.col("shard")).sortWithinPartitions("dim", "shard", "turn")
 
+    @tidy
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, tree, place = [], None, None
         for batch in batches:
@@ -167,30 +177,31 @@ def exact_topk(
 ) -> DataFrame:
     """query_id, rank, vec_id, score. ``is_query`` is a condition on the column ``id``."""
     spark = vectors.sparkSession
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2048")
     x = F.col("x")
-    whole = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("x"))
+    found = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("x"))
     sound = F.forall(x, lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) < float("inf")))
-    whole = whole.where(F.col("id").isNotNull() & x.isNotNull()).where(sound)
-    whole = whole.select("id", F.transform(x, lambda c: F.floor(c * SCALE).cast("long")).alias("v")).distinct()
-    whole = written(whole.select(F.size("v").alias("dim"), "id", "v"), "vectors")
-    n = whole.count()
-    shards = max(1, -(-n // shard), min(spark.sparkContext.defaultParallelism, -(-n // 2048)))
-    dealt = whole.select("*", F.pmod(F.xxhash64("id", "v"), F.lit(shards)).cast("int").alias("shard"))
-    queries = whole.where(is_query).select("dim", "id", "v", F.xxhash64("v").alias("key"))
-    none = F.lit(None).cast("long")
-    seed = written(_searched(dealt.where(F.col("shard") == 0), queries.select("*", F.lit(0).alias("shard"), none.alias("floor")), k, 1 if shards == 1 else shards), "topk-seed")
-    results = seed
-    if shards > 1:
-        kth = seed.groupBy("dim", F.col("query_id").alias("id"), F.col("query_key").alias("key")).agg(
-            F.when(F.count(F.lit(1)) >= k, F.min("score")).alias("floor")
-        )
-        bounded = queries.join(kth, ["dim", "id", "key"], "left")
-        spread = bounded.select("*", F.explode(F.sequence(F.lit(1), F.lit(shards - 1))).alias("shard"))
-        results = results.unionByName(_searched(dealt.where(F.col("shard") > 0), spread, k, shards))
-    order = Window.partitionBy("dim", "query_id", "query_key").orderBy(F.col("score").desc(), "vec_id")
-    ranked = results.select("*", F.row_number().over(order).alias("rank")).where(F.col("rank") <= k)
-    return ranked.select("query_id", "rank", "vec_id", "score")
+    found = found.where(F.col("id").isNotNull() & x.isNotNull()).where(sound)
+    found = found.select(F.size("x").alias("dim"), "id", F.transform(x, lambda c: F.floor(c * SCALE).cast("long")).alias("v"))
+    with Scratch() as scratch, batches_of(spark, BATCH):
+        whole = scratch.written(found.select("*", F.monotonically_increasing_id().alias("row")), "vectors")
+        n = whole.count()
+        shards = max(1, -(-n // shard), min(spark.sparkContext.defaultParallelism, -(-n // 2048)))
+        place = lambda *of: F.pmod(F.xxhash64(*of), F.lit(shards)).cast("int")
+        dealt = whole.select("dim", "id", "v", place("id", "row").alias("shard"))
+        queries = whole.where(is_query).select("dim", "id", "v", F.col("row").alias("key"), place(F.lit(3), "row").alias("first"))
+        first = queries.select("dim", "id", "v", "key", F.col("first").alias("shard"), F.lit(None).cast("long").alias("floor"))
+        results = scratch.written(_searched(dealt, first, k, shards), "topk-first")
+        if shards > 1:
+            kth = results.groupBy("dim", F.col("query_id").alias("id"), F.col("query_key").alias("key")).agg(
+                F.when(F.count(F.lit(1)) >= k, F.min("score")).alias("floor")
+            )
+            bounded = queries.join(kth, ["dim", "id", "key"], "left")
+            others = F.filter(F.sequence(F.lit(0), F.lit(shards - 1)), lambda s: s != F.col("first"))
+            spread = bounded.select("dim", "id", "v", "key", "floor", F.explode(others).alias("shard"))
+            results = results.unionByName(_searched(dealt, spread, k, shards))
+        order = Window.partitionBy("dim", "query_id", "query_key").orderBy(F.col("score").desc(), "vec_id")
+        ranked = results.select("*", F.row_number().over(order).alias("rank")).where(F.col("rank") <= k)
+        return written(ranked.select("query_id", "rank", "vec_id", "score"), "topk")
 
 
 def op7_topk(embeddings: DataFrame) -> DataFrame:
@@ -200,16 +211,16 @@ def op7_topk(embeddings: DataFrame) -> DataFrame:
 
 OP7_SQL = """
 WITH sound AS (
-  SELECT DISTINCT vec_id, list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
+  SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
   FROM embeddings
   WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
     AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
 ), scored AS (
-  SELECT q.vec_id AS query_id, c.vec_id AS vec_id,
+  SELECT q.r, q.vec_id AS query_id, c.vec_id AS vec_id,
     CAST(list_sum(list_transform(range(1, len(q.v) + 1), lambda i: q.v[i] * c.v[i])) AS BIGINT) AS score
-  FROM sound q JOIN sound c ON q.vec_id % 100 = 0 AND len(q.v) = len(c.v) AND q.vec_id <> c.vec_id
+  FROM sound q JOIN sound c ON q.vec_id % 100 = 0 AND len(q.v) = len(c.v) AND q.r <> c.r
 ), ranked AS (
-  SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score
+  SELECT query_id, CAST(row_number() OVER (PARTITION BY r ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score
   FROM scored
 )
 SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 10

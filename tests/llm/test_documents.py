@@ -12,8 +12,8 @@ from messy import docs, rows, some
 from robustlake.llm.common import row_key
 from robustlake.llm.decontaminate import decontaminate, op4_decontaminate
 from robustlake.llm.line_dedup import LAST, dedup_lines, op6_line_dedup
-from robustlake.llm.minhash import near_duplicates, op9_minhash
-from robustlake.llm.packing import LIMIT, op8_packing, pack
+from robustlake.llm.minhash import OP9_SQL, near_duplicates, op9_minhash
+from robustlake.llm.packing import CHILDREN, ISLANDS, LIMIT, POPULATION, ROUNDS, _Shard, op8_packing, pack
 from robustlake.llm.secrets import BASE, MORE, op5_secret_scan, trigram_query
 from robustlake.llm import suffixes
 from robustlake.llm.suffixes import op10_suffix_dedup, suffix_order
@@ -21,6 +21,14 @@ from robustlake.llm.token_counts import op2_token_counts
 from robustlake.llm.tokens import default_tokenizer, encoder
 
 
+def thue_morse(n):
+    """Two strings of n letters that differ in every letter, and whose polynomial hashes modulo powers of two are equal."""
+    text = "a"
+    while len(text) < n:
+        text += text.translate(str.maketrans("ab", "ba"))
+    return text, text.translate(str.maketrans("ab", "ba"))
+
+
 def found(df):
     return sorted((tuple(r) for r in df.collect()), key=some)
 
@@ -70,8 +78,29 @@ def test_decontamination(spark):
 def test_decontamination_in_blocks_gives_the_same(spark):
     items = spark.createDataFrame(item_rows(), "item_id long, text string")
     one = decontaminate(docs(spark), items).select("row.doc_id", "hits.*")
-    many = decontaminate(docs(spark), items, block_chars=100).select("row.doc_id", "hits.*")
-    assert sorted(map(str, one.collect())) == sorted(map(str, many.collect()))
+    for chars in (100, 450):  # items are split into runs
+        many = decontaminate(docs(spark), items, block_chars=chars).select("row.doc_id", "hits.*")
+        assert sorted(map(str, one.collect())) == sorted(map(str, many.collect()))
+
+
+def test_blocks_of_items_are_bounded(spark):
+    from robustlake.llm.decontaminate import _blocks
+
+    own = [(k % 9, " ".join(f"w{k * j % 501}" for j in range(30 + k % 50))) for k in range(120)] * 3 + [(99, "long " * 4000), (98, None)]
+    items = spark.createDataFrame(own, "item_id long, text string")
+    blocks = list(_blocks(items, "item_id", "text", 13, 2000))
+    sizes = [sum(len(t) for _, t in block) for block in blocks]
+    assert max(sizes) <= 2000 and len({x for block in blocks for x in block}) == sum(map(len, blocks))
+
+    def windows(rows):
+        found = set()
+        for item, text in rows:
+            w = text.split()
+            found |= {(item, tuple(w[i : i + 13])) for i in range(max(1, len(w) - 12))}
+        return found
+
+    want = windows({(str(i), t.encode()) for i, t in own if t})
+    assert windows([x for block in blocks for x in block]) == want
 
 
 def test_decontamination_without_rows(spark):
@@ -144,6 +173,36 @@ def test_packing_on_many_shards(spark):
     assert len(fills) <= -(-sum(fills.values()) // LIMIT) * 1.03 + 5
 
 
+def test_packing_by_crossover_beats_best_fit():
+    """What the genetic part adds: sequences saved against best fit of the longest first, on lengths that fit badly."""
+    rng = np.random.default_rng(3)
+    for low, high, margin in ((300, 501, 0.025), (200, 601, 0.012)):
+        lengths = rng.integers(low, high, 1200)
+        islands = [_Shard(lengths, LIMIT, 100 + k) for k in range(ISLANDS)]
+        people = [[s.first(0.02 * (j + k * POPULATION)) for j in range(POPULATION)] for k, s in enumerate(islands)]
+        best_fit = len(islands[0].first(0.0))
+        bests = []
+        for _ in range(ROUNDS):
+            people = [s.evolve(p, CHILDREN, POPULATION) for s, p in zip(islands, people)]
+            elite = [p[0] for p in people]
+            bests.append(min(map(len, elite)))
+            people = [[*p, elite[k - 1]] for k, p in enumerate(people)]
+        for held in people[0]:
+            assert sorted(i for b in held for i in b) == list(range(1200)) and max(islands[0].fills(held)) <= LIMIT
+        assert bests == sorted(bests, reverse=True) and bests[-1] <= best_fit * (1 - margin)
+
+
+def test_packing_deals_bins_with_room_again(spark):
+    """Eight shards of a few pieces each would leave eight sequences filled in part."""
+    many = spark.createDataFrame([(i, "word " * (97 + 5 * i % 180)) for i in range(200)], "doc_id long, text string")
+    pieces = pack(many, shard=25).collect()
+    fills = Counter()
+    for p in pieces:
+        fills[p.sequence_id] += p.length
+    assert max(fills.values()) <= LIMIT and sum(p.doc_id >= 0 for p in pieces) == len({p.doc_id for p in pieces}) == 200
+    assert len(fills) <= -(-sum(fills.values()) // LIMIT) * 1.04 + 1
+
+
 # --- secrets ---------------------------------------------------------------
 
 
@@ -191,37 +250,82 @@ def line_rows():
     own = [(r[0], r[1]) for r in rows()]
     line = "a line of more than twenty characters, é"
     edits = [line, line + "x", line[1:], line[:10] + line[11:], line.replace("more", "m0re"), "x" + line, "xx" + line, line[:-1] + "e", "a" * 25, "a" * 24, "a" * 23]
-    return own + [(2000 + i // 2, f"{t}\nshort\n{t}\n") for i, t in enumerate(edits)]
-
+    own += [(2000 + i // 2, f"{t}\nshort\n{t}\n") for i, t in enumerate(edits)]
+    own += [(2100 + i, "\n".join([*thue_morse(2048), "shore", "  ", "\t", "short ", "short"][i:])) for i in range(4)]
+    return own + [(2200, "\n".join(thue_morse(4096)[::-1]) + "\n" + thue_morse(4096)[0][:-1] + "é")]
 
-def test_line_dedup(spark):
-    own = line_rows()
-    df = spark.createDataFrame(own, "doc_id long, text string")
-    from pyspark.sql import functions as F
 
-    keys = [r.k for r in df.select(row_key(F.col("doc_id"), F.col("text")).alias("k")).collect()]
+def brute_lines(own, keys):
+    """(doc_id, n_lines, n_removed, n_chars, kept_sha256) of each row, and how many go by one edit."""
     first = {}
     for (d, t), k in zip(own, keys):
         for i, line in enumerate((t or "").split("\n")):
-            if len(line) >= 20:
+            if line.strip():
                 at = (LAST if d is None else d, k, i)
                 first[line] = min(first.get(line, at), at)
     order = sorted(first, key=first.get)
-    gone = {line for i, line in enumerate(order) if any(within_one(other, line) for other in order[:i])}
-    assert len(gone) > 4
+    gone = {line for i, line in enumerate(order) if len(line) >= 20 and any(len(other) >= 20 and within_one(other, line) for other in order[:i])}
     want = []
     for (d, t), k in zip(own, keys):
         if t is None:
             want.append((d, 0, 0, 0, sha("")))
             continue
         lines = t.split("\n")
-        kept = [x for i, x in enumerate(lines) if len(x) < 20 or (x not in gone and first[x] == (LAST if d is None else d, k, i))]
+        kept = [x for i, x in enumerate(lines) if not x.strip() or (x not in gone and first[x] == (LAST if d is None else d, k, i))]
         text = "\n".join(kept)
         want.append((d, len(lines), len(lines) - len(kept), len(text), sha(text)))
-    assert found(op6_line_dedup(df)) == sorted(want, key=some)
+    return sorted(want, key=some), len(gone)
+
+
+def key_list(df):
+    from pyspark.sql import functions as F
+
+    return [r.k for r in df.select(row_key(F.col("doc_id"), F.col("text")).alias("k")).collect()]
+
+
+def test_line_dedup(spark, monkeypatch):
+    own = line_rows()
+    df = spark.createDataFrame(own, "doc_id long, text string")
+    want, by_edit = brute_lines(own, key_list(df))
+    assert by_edit > 4
+    assert found(op6_line_dedup(df)) == want
     assert op6_line_dedup(docs(spark, [])).count() == 0
     exact = dedup_lines(df, edits=0).selectExpr("sum(n_removed) n").first().n
     assert 0 < exact < sum(w[2] for w in want)
+    from robustlake.llm import line_dedup, minhash
+
+    monkeypatch.setattr(line_dedup, "OUT_ROWS", 7)  # variants in many batches, hot keys
+    monkeypatch.setattr(line_dedup, "STEP_CHARS", 300)
+    monkeypatch.setattr(minhash, "HOT_ROWS", 1)
+    monkeypatch.setattr(minhash, "HOT_KEYS", 10**9)
+    short = [r for r in own if len(r[1] or "") < 3000]
+    df = spark.createDataFrame(short, "doc_id long, text string")
+    assert found(op6_line_dedup(df)) == brute_lines(short, key_list(df))[0]
+
+
+def test_line_dedup_of_random_edits(spark):
+    """Lines of few letters, so that edits meet by many ways."""
+    import random
+
+    rng = random.Random(12)
+    base = ["".join(rng.choice("ab") for _ in range(rng.randrange(18, 40))) for _ in range(60)]
+    own = []
+    for k in range(300):
+        line = rng.choice(base)
+        for _ in range(rng.randrange(3)):
+            at = rng.randrange(len(line))
+            line = rng.choice([line[:at] + line[at + 1 :], line[:at] + rng.choice("abc") + line[at + 1 :], line[:at] + rng.choice("abc") + line[at:]])
+        own.append((k, line))
+    df = spark.createDataFrame(own, "doc_id long, text string")
+    want, by_edit = brute_lines(own, key_list(df))
+    assert by_edit > 40 and found(op6_line_dedup(df)) == want
+
+
+def test_line_dedup_of_very_long_lines(spark):
+    line = "".join(chr(97 + k * k % 23) for k in range(1_200_000))
+    own = [(1, line), (2, line[:700_000] + "é" + line[700_001:]), (3, line + "x"), (4, line[:-3] + "qqq"), (5, "other\n" + line)]
+    got = {r.doc_id: r.n_removed for r in op6_line_dedup(spark.createDataFrame(own, "doc_id long, text string")).collect()}
+    assert got == {1: 0, 2: 1, 3: 1, 4: 0, 5: 1}
 
 
 # --- near duplicates -------------------------------------------------------
@@ -257,7 +361,7 @@ def test_minhash(spark):
     want = near(own, 2)
     got = op9_minhash(docs(spark)).collect()
     assert sorted([(r.doc_id, r.n_shingles, r.component_id) for r in got], key=some) == sorted(want, key=some)
-    assert all(r.kept == (r.doc_id == r.component_id) for r in got)
+    assert all(r.kept == (r.doc_id == r.component_id if r.doc_id is not None else None) for r in got)
     five = near_duplicates(docs(spark), words=5).select("doc_id", "n_shingles", "component_id")
     assert found(five) == sorted(near(own, 5), key=some)
     assert op9_minhash(docs(spark, [])).count() == 0
@@ -274,10 +378,32 @@ def test_minhash_of_a_crowd_that_shares_a_passage(spark, monkeypatch):
     texts += [t + " tail" for t in texts[:12]] + [t.replace("p3", "q3") for t in texts[20:26]]
     own = list(enumerate(texts))
     df = spark.createDataFrame(own, "doc_id long, text string")
-    for small in (0, 16):
-        monkeypatch.setattr(minhash, "SMALL_BUCKET", small)
-        got = near_duplicates(df, words=2).select("doc_id", "n_shingles", "component_id")
-        assert found(got) == sorted(near(own, 2), key=some)
+    want = sorted(near(own, 2), key=some)
+    assert found(near_duplicates(df, words=2).select("doc_id", "n_shingles", "component_id")) == want
+    # hot keys, parts of buckets and class ids that meet give the same
+    for name, value in (("HOT_ROWS", 2), ("HOT_KEYS", 10**9), ("PART", 2), ("CID_BYTES", 1)):
+        monkeypatch.setattr(minhash, name, value)
+    assert found(near_duplicates(df, words=2).select("doc_id", "n_shingles", "component_id")) == want
+
+
+def test_minhash_of_words_that_weak_hashes_take_for_one(spark):
+    a, b = thue_morse(2048)
+    texts = [" ".join([x * k for k in (1, 2, 3)]) for x in (a, b)] + [a, b, f"{a} {b}", f"{b} {a}", a.upper()]
+    own = list(enumerate(texts))
+    got = near_duplicates(spark.createDataFrame(own, "doc_id long, text string"), words=2).select("doc_id", "n_shingles", "component_id")
+    assert found(got) == sorted(near(own, 2), key=some)
+
+
+def test_minhash_finds_all_links_of_a_table(spark):
+    """Recall against the exact links of 3,000 documents."""
+    import duckdb
+
+    con = duckdb.connect()
+    con.execute("CREATE TABLE documents AS SELECT * FROM '/root/testdata/sf0.1/documents.parquet' WHERE length(text) < 1500 ORDER BY doc_id LIMIT 3000")
+    want = {r[0]: r[2] for r in con.execute(OP9_SQL).fetchall()}
+    documents = spark.createDataFrame(con.execute("SELECT doc_id, text FROM documents").fetchall(), "doc_id long, text string")
+    got = {r.doc_id: r.component_id for r in op9_minhash(documents).collect()}
+    assert got == want and sum(a != b for a, b in want.items()) > 200
 
 
 # --- repeated passages -----------------------------------------------------
@@ -285,6 +411,7 @@ def test_minhash_of_a_crowd_that_shares_a_passage(spark, monkeypatch):
 
 def test_suffix_dedup(spark):
     own = [(r[0], r[1]) for r in rows()] + [(3000, "ab" * 200), (3001, "ba" * 200 + "x"), (3002, "y" * 49), (3003, "y" * 50), (3004, "y" * 51)]
+    own += [(3010 + k, t) for k, t in enumerate([*thue_morse(1024), thue_morse(2048)[1][300:1700]])]
     first = {}
     for d, t in own:
         b = (t or "").encode()
@@ -305,6 +432,23 @@ def test_suffix_dedup(spark):
     assert op10_suffix_dedup(docs(spark, [])).count() == 0
 
 
+def test_suffix_dedup_of_a_long_text_in_pieces(spark, monkeypatch):
+    own = [(r[0], r[1]) for r in rows()] + [(4000, rows()[0][1] * 30)]
+    df = spark.createDataFrame(own, "doc_id long, text string")
+    want = found(op10_suffix_dedup(df))
+    monkeypatch.setattr(suffixes, "STEP_BYTES", 777)
+    monkeypatch.setattr(suffixes, "COMPARED", 3)
+    assert found(op10_suffix_dedup(df)) == want and dict((r[0], r[2]) for r in want)[4000] > 5000
+
+
+def test_strings_whose_hashes_meet_are_told_apart():
+    a, b = (t.encode() for t in thue_morse(2048))
+    data = np.frombuffer(a + b + a, np.uint8)
+    at, sizes = np.array([0, 2048, 4096, 1]), np.array([2048, 2048, 2048, 7])
+    assert suffixes.equal_groups(data, at, sizes, suffixes.Rolling(data)).tolist() == [0, 1, 0, 3]
+    assert suffixes.equal_groups(data, at[::2], sizes[::2], suffixes.Rolling(data)).tolist() == [0, 0]
+
+
 def test_suffix_order_sorts_by_fifty_bytes():
     rng = np.random.default_rng(1)
     data = rng.integers(97, 99, 3000).astype(np.uint8)

@@ -6,7 +6,7 @@ import zlib
 import numpy as np
 from messy import docs, some
 
-from robustlake.llm.html import blocks_of, labelled_blocks, op3_html_extract, trained, features
+from robustlake.llm.html import MOST_NAMES, blocks_of, labelled_blocks, op3_html_extract, trained, features
 from robustlake.llm.topk import Tree, exact_topk, op7_topk
 from robustlake.llm import toxicity
 from robustlake.llm.toxicity import DIMS, FILTERS, WIDTHS, BITS, Model, Scorer, op1_toxicity
@@ -70,6 +70,16 @@ def test_toxicity_of_very_long_texts(monkeypatch):
         assert (Scorer(loud_model()).scores(texts) == whole).all()
 
 
+def test_toxicity_sample_is_bounded_before_it_is_collected(spark):
+    own = [(k % 40, "en", "x" * (10 + k % 40)) for k in range(4000)] + [(50, "en", "y" * 900), (51, None, "z" * 300), (None, "en", "n"), (52, "en", None)]
+    df = spark.createDataFrame(own, "doc_id long, lang string, text string")
+    labels = spark.createDataFrame([(k, 0, k % 2) for k in range(60)] * 3, "doc_id long, quality int, toxic int")
+    got = toxicity.training_rows(df, labels, chars=800)
+    assert sum(len(r.text) for r in got) <= 800 and len(got) > 15 and len({bytes(r.text) for r in got}) == len(got)
+    assert [r.text for r in got] == [r.text for r in toxicity.training_rows(df.repartition(7), labels, chars=800)]
+    assert len(toxicity.training_rows(df, labels, sample=5)) <= 10
+
+
 def test_html_labeller_on_held_out_pages():
     pages = [labelled_blocks(5_000_000 + k) for k in range(120)]
     kept = trained().keep([features(blocks) for blocks, _ in pages])
@@ -93,20 +103,32 @@ def test_html_extraction(spark):
     assert op3_html_extract(df.limit(0)).count() == 0
 
 
+def test_html_of_a_long_and_deep_page_takes_steady_time():
+    import time
+
+    took = {}
+    for n in (4000, 16000):
+        page = "<article><h1>Title of it</h1>" + "".join(f'<div class="c{k} x{k}"><p>Paragraph {k} of the text, with some words.' for k in range(n)) + "</i>" * n
+        began = time.time()
+        own = blocks_of(page)
+        took[n] = time.time() - began
+        assert len(own) == n + 1 and max(len(path) for _, path, _ in own) <= MOST_NAMES
+    assert took[16000] < 12 * took[4000] + 0.5
+    kept = trained().keep([features(own)])[0]
+    assert len(kept) == 16001
+
+
 def test_blocks_of_broken_markup():
     assert [b[0] for b in blocks_of("a<p>b<p>c<b>d</p>e<div title='x>y'>f</div>g &am")] == ["a", "b", "cd", "e", "f", "g &am"]
     assert blocks_of("<script>x</script ><style>y") == []
 
 
 def brute_topk(rows, is_query, k):
-    seen = {}
-    for i, v in rows:
-        if i is not None and v is not None and all(x is not None and np.isfinite(x) for x in v):
-            seen[(i, tuple(int(np.floor(1024 * x)) for x in v))] = True
+    sound = [(i, tuple(int(np.floor(1024 * x)) for x in v)) for i, v in rows if i is not None and v is not None and all(x is not None and np.isfinite(x) for x in v)]
     out = []
-    for q, v in seen:
+    for n, (q, v) in enumerate(sound):
         if is_query(q):
-            scores = sorted((-sum(a * b for a, b in zip(v, w)), i) for i, w in seen if len(w) == len(v) and (i, w) != (q, v))
+            scores = sorted((-sum(a * b for a, b in zip(v, w)), i) for m, (i, w) in enumerate(sound) if len(w) == len(v) and m != n)
             out += [(q, r + 1, i, -s) for r, (s, i) in enumerate(scores[:k])]
     return sorted(out)
 
@@ -115,7 +137,7 @@ def test_topk(spark):
     rng = random.Random(4)
     rows = [(i, [rng.choice([-0.5, 0.25, 0.0, 0.125]) for _ in range(3)]) for i in range(700)]
     rows += [(900 + i, [0.25, 0.25, 0.25]) for i in range(40)]
-    rows += [(None, [1.0, 1.0, 1.0]), (1000, None), (1100, [None, 1.0, 1.0]), (1200, [float("nan")] * 3), (1300, [float("inf"), 1.0, 1.0]), (7, [0.5, 0.5]), (1400, [0.5, 0.25]), rows[5], rows[0]]
+    rows += [(None, [1.0, 1.0, 1.0]), (1000, None), (1100, [None, 1.0, 1.0]), (1200, [float("nan")] * 3), (1300, [float("inf"), 1.0, 1.0]), (7, [0.5, 0.5]), (1400, [0.5, 0.25]), rows[5], rows[0], rows[0], (900, [0.25, 0.25, 0.25])]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<float>").withColumn("score", F.lit(1))
     want = brute_topk(rows, lambda q: q % 100 == 0, 10)
     assert sorted(map(tuple, op7_topk(df).collect())) == want
