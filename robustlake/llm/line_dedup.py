@@ -130,51 +130,57 @@ def _lines_of(least: int, edits: int):
     return work
 
 
-def _fine(body: str, spots: list[int]) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """(kind, keys, other keys) of a line's variants at the coarse keys that it shares."""
-    texts, n = [_Text(body, family) for family in (0, 1)], len(body)
-    wholes = [_coarse(text, np.zeros(1, np.int64), np.array([n]))[0] for text in texts]
-    for spot in spots:
-        length = n + spot // SEGMENTS
-        a, b = (int(x[0]) for x in _bounds(np.array([length]), spot % SEGMENTS))
-        b -= length - n  # the segment in this line's own places
-        if length > n:
-            keys = [mix(text.hashes(np.array([a]), np.array([b])) * U(5) + whole[spot]) for text, whole in zip(texts, wholes)]
-            yield 2, *keys
-            continue
-        for low in range(a, b, OUT_ROWS):
-            at = np.arange(low, min(b, low + OUT_ROWS))
-            ends = np.full(len(at), b)
-            keys = [mix(text.joined(np.full(len(at), a), at, at + 1, ends) * U(5) + whole[spot]) for text, whole in zip(texts, wholes)]
-            _, once = np.unique(keys[0], return_index=True)  # deletions in a run of one character are one variant
-            yield 1, *[k[once] for k in keys]
-            yield 0, *[mix(k ^ mix(at.astype(np.uint64) + U(1))) for k in keys]
-
-
-@tidy
-def _variants(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Fine keys of (h1, h2, body, spots): spots are numbers of the coarse keys that the line shares.
+def _fine(lines: list[tuple[int, int, str, list[int]]]) -> Iterator[pa.RecordBatch]:
+    """FINE rows of lines (h1, h2, body, spots) worked off together: spots are numbers of the coarse keys that a line shares.
 
     Kinds: 0 a changed character, 1 one character less than the line, 2 the shorter line itself.
     """
-    held, size = [], 0
+    whole = "".join(body for _, _, body, _ in lines)
+    texts = [_Text(whole, family) for family in (0, 1)]
+    sizes = np.array([len(body) for _, _, body, _ in lines])
+    ends = np.cumsum(sizes)
+    coarse = [_coarse(text, ends - sizes, ends) for text in texts]
+    h1, h2 = (np.array([line[c] for line in lines], np.int64) for c in (0, 1))
+    owner = np.repeat(np.arange(len(lines)), [len(spots) for *_, spots in lines])
+    spot = np.concatenate([np.array(spots, np.int64) for *_, spots in lines])
+    more = spot // SEGMENTS  # 1: as the shorter line, aligned for one character more
+    length, begin = sizes[owner] + more, (ends - sizes)[owner]
+    a = begin + length * (spot % SEGMENTS) // SEGMENTS
+    b = begin + length * (spot % SEGMENTS + 1) // SEGMENTS - more
+
+    def batch_of(own: np.ndarray, kind: int, keys: list[np.ndarray]) -> pa.RecordBatch:
+        cols = [h1[owner[own]], h2[owner[own]], np.full(len(own), kind, np.int32), *[k.view(np.int64) for k in keys]]
+        return pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=[f.split()[0] for f in FINE.split(", ")])
+
+    own = np.flatnonzero(more == 1)
+    if len(own):
+        yield batch_of(own, 2, [mix(t.hashes(a[own], b[own]) * U(5) + c[owner[own], spot[own]]) for t, c in zip(texts, coarse)])
+    each = np.where(more == 0, b - a, 0)
+    until = np.cumsum(each)
+    for low in range(0, int(until[-1]) if len(until) else 0, OUT_ROWS):
+        number = np.arange(low, min(int(until[-1]), low + OUT_ROWS))
+        own = np.searchsorted(until, number, "right")
+        at = a[own] + number - (until - each)[own]
+        keys = [mix(t.joined(a[own], at, at + 1, b[own]) * U(5) + c[owner[own], spot[own]]) for t, c in zip(texts, coarse)]
+        yield batch_of(own, 0, [mix(k ^ mix((at - begin[own]).astype(np.uint64) + U(1))) for k in keys])
+        points = texts[0].points  # deletions in a run of one character are one variant
+        once = np.flatnonzero((at == a[own]) | (points[at] != points[at - 1]))
+        yield batch_of(own[once], 1, [k[once] for k in keys])
 
-    def batch_of() -> pa.RecordBatch:
-        counts = [len(h[3]) for h in held]
-        cols = [pa.array(np.repeat(np.array([h[c] for h in held], kind), counts)) for c, kind in ((0, np.int64), (1, np.int64), (2, np.int32))]
-        cols += [pa.array(np.concatenate([h[c] for h in held]).view(np.int64)) for c in (3, 4)]
-        return pa.RecordBatch.from_arrays(cols, names=[f.split()[0] for f in FINE.split(", ")])
 
+@tidy
+def _variants(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """FINE rows of (h1, h2, body, spots)."""
     for batch in batches:
+        part, size = [], 0
         for h1, h2, body, spots in zip(*(c.to_pylist() for c in batch.columns)):
-            for kind, keys, others in _fine(body, sorted(set(spots))):
-                held.append((h1, h2, kind, keys, others))
-                size += len(keys)
-                if size >= OUT_ROWS:
-                    yield batch_of()
-                    held, size = [], 0
-    if held:
-        yield batch_of()
+            part.append((h1, h2, body, sorted(set(spots))))
+            size += len(body)
+            if size >= OUT_ROWS:
+                yield from _fine(part)
+                part, size = [], 0
+        if part:
+            yield from _fine(part)
 
 
 def one_edit(a: str, b: str) -> bool:
