@@ -144,24 +144,19 @@ class Rolling:
         return mix((self._sums[end] - self._sums[start]) * self._inverses[start] + (end - start).astype(np.uint64))
 
 
-_word_hashes: dict[bytes, int] = {}
 #: Words whose hashes a worker keeps.
 KEPT_WORDS = 100_000
 
 
-def word_hashes(text: bytes) -> np.ndarray:
-    """Hashes of the words of a text."""
-    words, known = words_in(text), _word_hashes
-    if len(known) > KEPT_WORDS:
-        known.clear()
-    out = [known.get(w) for w in words]
-    if None in out:
-        for k, (w, h) in enumerate(zip(words, out)):
-            if h is None:
-                out[k] = h = xxh3_64_intdigest(w)
-                if len(known) <= KEPT_WORDS:
-                    known[w] = h
-    return np.array(out, np.uint64)
+class _Hashes(dict):
+    """Hashes of words, made when a word is first asked for."""
+
+    def __missing__(self, word: bytes) -> int:
+        self[word] = found = xxh3_64_intdigest(word)
+        return found
+
+
+_word_hashes = _Hashes()
 
 
 def words_in(text: bytes) -> list[bytes]:
@@ -169,10 +164,12 @@ def words_in(text: bytes) -> list[bytes]:
     return text.lower().split()
 
 
-def shingle_set(text: bytes, words: int) -> np.ndarray:
-    """Sorted distinct hashes of a text's word shingles; a text of fewer words is one shingle, one of none the empty set."""
-    own = word_hashes(text)
-    n = min(words, len(own))
+def shingle_set(words: list[bytes], size: int) -> np.ndarray:
+    """Sorted distinct hashes of the shingles of words; fewer words than a shingle are one, none are the empty set."""
+    if len(_word_hashes) > KEPT_WORDS:
+        _word_hashes.clear()
+    own = np.fromiter(map(_word_hashes.__getitem__, words), np.uint64, len(words))
+    n = min(size, len(own))
     if not n:
         return own
     rolled = np.full(len(own) - n + 1, U(n))

@@ -97,9 +97,10 @@ def _sketched(text: Column, words: int) -> Column:
         for batch in batches:
             sizes, cids, fulls, marks, bands, counts = [], [], [], [], [], []
             for text in _texts(batch):
-                own = shingle_set(text, words)
+                said = words_in(text)
+                own = shingle_set(said, words)
                 sizes.append(len(own))
-                full = blake2b(b" ".join(words_in(text)), digest_size=16).digest() if len(own) else b""
+                full = blake2b(b" ".join(said), digest_size=16).digest() if len(own) else b""
                 fulls.append(full)
                 cids.append(int.from_bytes(full[:cid_bytes], "little", signed=True))
                 counts.append(BANDS if len(own) else 0)
@@ -124,7 +125,7 @@ def _longs(text: Column, words: int) -> Column:
     @tidy
     def work(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for batch in batches:
-            sets = [shingle_set(t, words) for t in _texts(batch)]
+            sets = [shingle_set(words_in(t), words) for t in _texts(batch)]
             offsets = np.concatenate(([0], np.cumsum([len(s) for s in sets])))
             yield pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(np.concatenate([*sets, np.empty(0, np.uint64)]).view(np.int64)))
 
@@ -314,7 +315,9 @@ def _near_duplicates(docs: DataFrame, words: int, percent: int, scratch: Scratch
         wanted = hopeful.select(F.col("a").alias("cid")).unionByName(hopeful.select(F.col("b").alias("cid"))).distinct()
         wanted = bounded(scratch.written(wanted.join(classes, "cid"), "wanted"))
         texts = own.join(wanted, ["doc_id", "key"]).select("cid", "text")
-        texts = scratch.written(texts, "texts").dropDuplicates(["cid"])  # rows that repeat id and text
+        texts = scratch.written(texts, "texts")
+        if texts.count() > wanted.count():  # rows that repeat id and text; dropped in a table of their own, so that hot joins can be split
+            texts = scratch.written(texts.dropDuplicates(["cid"]), "distinct-texts")
         both = hopeful.join(texts.select(F.col("cid").alias("a"), F.col("text").alias("t_a")), "a")
         both = both.join(texts.select(F.col("cid").alias("b"), F.col("text").alias("t_b")), "b")
         return scratch.written(both.where(_linked(F.col("t_a"), F.col("t_b"), words, percent)).select("a", "b"), "confirmed")
