@@ -39,3 +39,27 @@ def thresholds(values: Column) -> Column:
     """Thresholds inside (0, 1), to four places, distinct, highest first; the defaults if none is left."""
     good = F.array_distinct(F.transform(F.filter(values, lambda v: (v > 0) & (v < 1)), lambda v: F.round(v, 4)))
     return F.when(F.size(good) > 0, F.sort_array(good, asc=False)).otherwise(F.array(F.lit(0.95), F.lit(0.7)))
+
+
+def size_policy(before: Column, after: Column, semantic: Column) -> Column:
+    """What becomes of an attack's output of another size. ``before``, ``after``: structs of width and height, or null.
+
+    struct<policy, output, preserved, resized>: an output of another size goes back to the input's, unless the attack
+    is meant to change sizes. Null without any size; with only one of them nothing is known about ``preserved``.
+    """
+    both = before.isNotNull() & after.isNotNull()
+    resized = both & (before != after) & ~semantic
+    output = F.when(resized, before).otherwise(after)
+    preserved = F.when(both, before == output)
+    policy = F.when(preserved & resized, "resized_back_to_input").when(preserved, "preserve_input_size").when(semantic, "semantic_size_change").otherwise("changed_size")
+    return F.when(
+        before.isNotNull() | after.isNotNull(),
+        F.struct(policy.alias("policy"), output.alias("output"), preserved.alias("preserved"), resized.alias("resized")),
+    )
+
+
+def visible_pages(page: Column, pages: Column) -> Column:
+    """Numbers of the pages to offer: all up to nine, else the first, the last, and those around the current one."""
+    near = F.array(F.lit(1), pages, page - 1, page, page + 1)
+    some = F.array_sort(F.array_distinct(F.filter(near, lambda p: (p >= 1) & (p <= pages))))
+    return F.when(pages < 1, F.array().cast("array<int>")).when(pages <= 9, F.sequence(F.lit(1), pages)).otherwise(some)

@@ -82,3 +82,27 @@ def qim_embed(value: Column, bit: Column, step: float) -> Column:
 
 def qim_extract(value: Column, step: float) -> Column:
     return F.pmod(F.floor(value / step + 0.5), F.lit(2)).cast("int")
+
+
+def haar_means(px: Column) -> Column:
+    """Means of the 2 x 2 tiles of a block, row by row: its low band."""
+    tile = lambda k: (k // (SIDE // 2)) * 2 * SIDE + (k % (SIDE // 2)) * 2
+    at = lambda k: [F.element_at(px, tile(k) + d + 1) for d in (0, 1, SIDE, SIDE + 1)]
+    return F.array(*[sum(at(k)[1:], at(k)[0]) / 4 for k in range(SIDE * SIDE // 4)])
+
+
+def haar_embed(px: Column, bits: Column, step: float) -> Column:
+    """Bits (a text of 0 and 1) as the parity of the tiles' means in steps; a tile moves as a whole, cut to 0..255."""
+    def shift(mean: Column, k: Column) -> Column:
+        near = F.rint(mean / step)
+        level = F.when(F.pmod(near, F.lit(2)) == F.substr(bits, k + 1, F.lit(1)).cast("int"), near).otherwise(near + 1)
+        return F.when(k < F.length(bits), level * step - mean).otherwise(F.lit(0.0))
+
+    shifts = F.transform(haar_means(px), shift)
+    tile = lambda i: (F.floor(i / (2 * SIDE)) * (SIDE // 2) + F.floor(F.pmod(i, F.lit(SIDE)) / 2) + 1).cast("int")
+    moved = lambda v, i: F.least(F.lit(255), F.greatest(F.lit(0), F.floor(v + F.element_at(shifts, tile(i))))).cast("int")
+    return F.transform(px, moved)
+
+
+def haar_extract(px: Column, n: int, step: float) -> Column:
+    return F.array_join(F.transform(F.slice(haar_means(px), 1, n), lambda m: F.pmod(F.rint(m / step), F.lit(2)).cast("int").cast("string")), "")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -78,3 +78,51 @@ def bits_of(message: Column, n: int) -> Column:
     spread = F.array_join(F.filter(nibble, lambda b: b != ""), "")
     repeated = F.substring(F.repeat(spread, n), 1, n)
     return F.when(message.rlike(f"^[01]{{{n}}}$"), message).when(F.length(spread) > 0, repeated)
+
+
+def js_number(x: Column) -> Column:
+    """A number as JavaScript writes it: 80, not 80.0."""
+    return F.regexp_replace(x.cast("string"), r"\.0$", "")
+
+
+#: The five categories that scores are kept in, and how the older labels begin.
+CATEGORIES = ("distortion_attacks", "physical_channel_attacks", "3d_viewpoint_rerendering", "regeneration_attacks", "consumer_enhancement_workflow_attacks")
+LEGACY = {"distortion": "distortion_attacks", "physical": "physical_channel_attacks", "consumer-enhancement": "consumer_enhancement_workflow_attacks"}
+
+
+def five_class(label: Column) -> Column:
+    """A stored category, or the one that an older label belongs to; null for others."""
+    out = F.when(label.isin(*CATEGORIES), label)
+    for start, category in LEGACY.items():
+        out = out.when(label.rlike(f"^{start}(-|$)"), category)
+    return out
+
+
+def on_axis(method: Column, axis: Column) -> Column:
+    """Whether a method that ran belongs to a resource: the same name, or a motion's variants (rotate is not rotate_forward)."""
+    start = F.concat(F.lit("3d_viewpoint_rerendering_"), axis, F.lit("_"))
+    motion = axis.isin("swipe", "shake", "rotate", "rotate_forward") & method.startswith(start)
+    return (method == axis) | (motion & ~((axis == "rotate") & method.startswith("3d_viewpoint_rerendering_rotate_forward_")))
+
+
+def needs_gpu(method: Column) -> Column:
+    named = method.contains("regen") | method.isin("noise_to_image", "image_to_vedio") | method.endswith("_deep")
+    return named | method.rlike("^cew_[dsc]") | method.rlike("^3d_viewpoint_rerendering_(swipe|shake|rotate|rotate_forward)_(point|ahead)$")
+
+
+def run_label(task: Column, config: Column, run_id: Column, datasets: Column, samples: Column, chinese: bool = False) -> Column:
+    """A run's own name; of an imported run its data and number of samples."""
+    filled = lambda c: F.nullif(F.trim(c), F.lit(""))
+    name = F.coalesce(filled(task), filled(config), run_id)
+    first = F.coalesce(filled(F.get(datasets, F.lit(0))), F.lit("dataset"))
+    data = F.when((F.size(datasets) == 1) & (F.lower(first) == "imagenet"), "ImageNet").otherwise(first)
+    count = F.format_number(samples.cast("double"), 0)
+    label = F.concat(data, F.lit(" "), count, F.lit(" 张图片测评" if chinese else "-image experiment"))
+    return F.when(name.rlike(r"(?i)^imported run\b") & (samples > 0), label).otherwise(name)
+
+
+def strengths(rows: DataFrame, method: str, raw: str) -> DataFrame:
+    """method, strengths: the finite numbers among the texts of each method, once each and in order, as a list."""
+    value = F.trim(raw).try_cast("double")
+    good = rows.select(method, value.alias("v")).where(F.col("v").isNotNull() & ~F.isnan("v") & (F.abs("v") < float("inf")))
+    return good.groupBy(method).agg(F.array_join(F.transform(F.array_sort(F.collect_set("v")), lambda v: v.cast("string")), ",").alias("strengths"))

@@ -56,18 +56,41 @@ def reuse(requested: DataFrame, cached: DataFrame, group: str, key: str) -> Data
     return joined.groupBy(group).agg(F.count("have").alias("reused"), (F.count(F.lit(1)) - F.count("have")).alias("pending"))
 
 
+def numbered(rows: DataFrame, group: str, order: list[str], name: str = "place", width: int = 65_536) -> DataFrame:
+    """``rows`` with their place (from 1) in their group. The first column of ``order`` is a whole number.
+
+    Places are counted in ranges of ``width`` of that number; the ranges' own sums tell where each begins, so a group
+    of any size is shared by many tasks.
+    """
+    spot = F.floor(F.col(order[0]) / width)
+    own = rows.select("*", F.col(group).alias("_g"), spot.alias("_s"))
+    counts = own.groupBy("_g", "_s").agg(F.count(F.lit(1)).alias("n"))
+    before = F.sum("n").over(Window.partitionBy("_g").orderBy("_s")) - F.col("n")
+    starts = counts.select(F.col("_g").alias("_h"), F.col("_s").alias("_t"), before.alias("_before"))
+    inside = F.row_number().over(Window.partitionBy("_g", "_s").orderBy(*order))
+    placed = own.select("*", inside.alias("_inside"))
+    on = placed["_g"].eqNullSafe(starts["_h"]) & placed["_s"].eqNullSafe(starts["_t"])
+    return placed.join(starts, on).select(*rows.columns, (F.col("_before") + F.col("_inside")).cast("long").alias(name))
+
+
 def round_robin(rows: DataFrame, group: str, order: list[str], shards: int) -> DataFrame:
     """Rows of each group dealt to shards in turn."""
-    place = F.row_number().over(Window.partitionBy(group).orderBy(*order)) - 1
-    return rows.select("*", F.pmod(place, F.lit(shards)).cast("int").alias("shard"))
+    return numbered(rows, group, order, "_place").select(*rows.columns, F.pmod(F.col("_place") - 1, F.lit(shards)).cast("int").alias("shard"))
 
 
 def first_of_each(rows: DataFrame, group: str, order: list[str], n: int) -> DataFrame:
-    """The first n rows of each group in order."""
+    """The first n rows of each group in order. Spark keeps n rows of a group in each task before it ranks them."""
     place = F.row_number().over(Window.partitionBy(group).orderBy(*order))
     return rows.select("*", place.alias("place")).where(F.col("place") <= n)
 
 
+def referenced(rows: DataFrame, references: DataFrame, key: str, method: str, executed: str) -> DataFrame:
+    """key, reference: that of the method, or else of the first of the methods (an array) that ran for it and have one."""
+    asked = rows.select(key, F.posexplode(F.concat(F.array(method), F.coalesce(executed, F.array().cast("array<string>")))).alias("at", "method"))
+    best = asked.join(references.select("method", "reference"), "method").groupBy(key).agg(F.min_by("reference", "at").alias("reference"))
+    return rows.select(key).distinct().join(best, key, "left")
+
+
 def hash_sample(rows: DataFrame, key: str, seed: int, n: int) -> DataFrame:
     """n rows without replacement in the order of a seeded hash: the same at any partitioning."""
     return rows.orderBy(F.md5(F.concat_ws(":", F.lit(seed).cast("string"), F.col(key).cast("string"))), key).limit(n)

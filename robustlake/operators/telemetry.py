@@ -25,7 +25,7 @@ def smoothed(series: DataFrame, key: str, order: list[str], value: str, keep: fl
     dealt = rows.repartition(key).sortWithinPartitions(key, *order, "ema")
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, at, scale, started = None, None, float(10**digits), False
+        own, at, started, scale = None, None, False, float(10**digits)
         for batch in batches:
             out = []
             for k, v in zip(batch.column(0).to_pylist(), batch.column(batch.num_columns - 1).to_pylist()):
@@ -37,8 +37,8 @@ def smoothed(series: DataFrame, key: str, order: list[str], value: str, keep: fl
                     if at is None or (jump is not None and not abs(v - at) <= jump):
                         at = v
                     else:
-                        x = (at * keep + v * (1 - keep)) * 10**digits + 0.5
-                        at = (math.floor(x) if math.isfinite(x) else x) / scale
+                        x = (at * keep + v * (1 - keep)) * scale
+                        at = (round(x) if math.isfinite(x) else x) / scale  # half to even
                 out.append(at)
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(out, pa.float64())], schema=batch.schema)
 

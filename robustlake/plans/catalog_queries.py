@@ -292,6 +292,9 @@ def stage_windows(s, d):
     return own.agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("value"), 6).alias("mean"))
 
 
-@query("w09_jump_ema", None)
+@query("w09_jump_ema", """WITH RECURSIVE s AS (SELECT user_id, ts, event_id, value, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k FROM events),
+r AS (SELECT user_id, event_id, k, value AS ema FROM s WHERE k = 1 UNION ALL SELECT s.user_id, s.event_id, s.k,
+  CASE WHEN abs(s.value - r.ema) <= 40 THEN round_even((r.ema * 0.55::DOUBLE + s.value * (1 - 0.55::DOUBLE)) * 100, 0) / 100 ELSE s.value END FROM r JOIN s ON s.user_id = r.user_id AND s.k = r.k + 1)
+SELECT user_id, event_id, ema FROM r""")
 def jump_ema(s, d):
     return T.smoothed(table(s, d, "events"), "user_id", ["ts", "event_id"], "value", keep=0.55, jump=40.0).select("user_id", "event_id", "ema")

@@ -164,6 +164,7 @@ def dct(s, d):
     return blocks(s, d).select("vec_id", (F.round(X.dct_coefficient(px, 3, 4), 4) + F.lit(0.0)).alias("c34"), F.round(X.dct_coefficient(px, 0, 0), 4).alias("c00"))
 
 
+#: Defaults of some methods, as ``reference_queries`` has them of all.
 SWEEPS = {"jpeg": [0.25, 0.5, 0.75], "gaussian_blur": [0.2, 0.4, 0.6], "cew_s1": [2.0, 4.0], "identity": [0.0], "regen_vae": [0.0]}
 
 
@@ -191,11 +192,19 @@ def json_records(s, d):
     return own.select("event_id", "j.k", F.col("j.missing").isNull().alias("none"))
 
 
-@query("p02_strength_cleaning", "SELECT p_brand AS method, array_to_string(list_sort(list_distinct(list(p_size / 10) FILTER (WHERE p_size % 3 <> 0))), ',') AS strengths FROM part GROUP BY 1 HAVING count(*) FILTER (WHERE p_size % 3 <> 0) > 0")
+RAW_STRENGTHS = ["1.0", "0", "1.0", "bad", "NaN", "Infinity", " 0.5 ", "-2e-1", ""]
+KNOWN_METHODS = 20
+
+
+@query("p02_strength_cleaning", f"""WITH raw AS (SELECT p_brand AS method, {RAW_STRENGTHS!r}[1 + p_partkey % 9] AS raw FROM part),
+known AS (SELECT p_brand AS method FROM part GROUP BY 1 ORDER BY 1 LIMIT {KNOWN_METHODS}), good AS (SELECT method, TRY_CAST(trim(raw) AS DOUBLE) AS v FROM raw JOIN known USING (method))
+SELECT method, array_to_string(list_sort(list_distinct(list(v))), ',') AS strengths FROM good WHERE v IS NOT NULL AND isfinite(v) GROUP BY 1""")
 def cleaned(s, d):
-    raw = table(s, d, "part").select(F.col("p_brand").alias("method"), F.when(F.col("p_size") % 3 == 0, "bad").otherwise((F.col("p_size") / 10).cast("string")).alias("raw"))
-    good = raw.select("method", F.col("raw").try_cast("double").alias("v")).where(F.col("v").isNotNull() & ~F.isnan("v") & (F.abs("v") < float("inf")))
-    return good.groupBy("method").agg(F.array_join(F.transform(F.array_sort(F.collect_set("v")), lambda v: v.cast("string")), ",").alias("strengths"))
+    """Texts that are no number, not finite or repeated go, and so do methods that nobody knows."""
+    part = table(s, d, "part")
+    raw = F.element_at(F.array(*[F.lit(x) for x in RAW_STRENGTHS]), (1 + F.col("p_partkey") % len(RAW_STRENGTHS)).cast("int"))
+    known = part.select(F.col("p_brand").alias("method")).distinct().orderBy("method").limit(KNOWN_METHODS)
+    return S.strengths(part.select(F.col("p_brand").alias("method"), raw.alias("raw")).join(F.broadcast(known), "method", "left_semi"), "method", "raw")
 
 
 @query("a44_fingerprint", "SELECT page_id, 'sha256/' || substr(sha256(html), 1, 2) || '/' || sha256(html) AS uri FROM pages")

@@ -13,7 +13,6 @@ from robustlake.operators import scoring as C
 from robustlake.plans.bindings import blocks, cells, detections, phases, profile, table, with_views
 from robustlake.plans.registry import query
 from robustlake.sources.readers import manifest
-from robustlake.sources.writers import csv_lines
 
 
 @query("s08_manifest_keys", "SELECT url AS token, regexp_replace(url, '^(https?|s3)://[^/]*/?', '') AS key FROM pages WHERE trim(url) <> '' AND url NOT LIKE '#%'")
@@ -52,17 +51,10 @@ def log_of(s, d):
     return log(s, d)
 
 
-@query("k03_csv_lines", """SELECT CASE WHEN contains(n_name || ', ' || r_name, ',') THEN '"' || n_name || ', ' || r_name || '"' END || ',' || n_nationkey || ',' || CASE WHEN n_nationkey % 2 = 0 THEN '' ELSE n_name END AS line
-FROM nation JOIN region ON n_regionkey = r_regionkey""")
-def csv(s, d):
-    rows = table(s, d, "nation").join(F.broadcast(table(s, d, "region")), F.col("n_regionkey") == F.col("r_regionkey"))
-    return csv_lines(rows.select(F.concat_ws(", ", "n_name", "r_name").alias("a"), "n_nationkey", F.when(F.col("n_nationkey") % 2 == 1, F.col("n_name")).alias("c")))
-
-
 @query("k06_archive_names", "SELECT doc_id, source, printf('%06d.txt', row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1) AS name FROM documents")
 def archive_names(s, d):
-    place = F.row_number().over(Window.partitionBy("source").orderBy("doc_id")) - 1
-    return table(s, d, "documents").select("doc_id", "source", F.format_string("%06d.txt", place).alias("name"))
+    placed = R.numbered(table(s, d, "documents").select("doc_id", "source"), "source", ["doc_id"])
+    return placed.select("doc_id", "source", F.format_string("%06d.txt", F.col("place") - 1).alias("name"))
 
 
 @query("p07_eligible_runs", with_views("phases") + "SELECT run_id FROM phases GROUP BY 1 HAVING arg_max(status, ord) IN ('succeeded', 'partially_failed')")

@@ -268,7 +268,7 @@ def scope(s, d):
 
 
 @query("w08_ema", """WITH RECURSIVE s AS (SELECT user_id, ts, event_id, value, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k FROM events),
-r AS (SELECT user_id, ts, event_id, k, value AS ema FROM s WHERE k = 1 UNION ALL SELECT s.user_id, s.ts, s.event_id, s.k, floor((r.ema * 0.55::DOUBLE + s.value * (1 - 0.55::DOUBLE)) * 100 + 0.5) / 100.0::DOUBLE FROM r JOIN s ON s.user_id = r.user_id AND s.k = r.k + 1)
+r AS (SELECT user_id, ts, event_id, k, value AS ema FROM s WHERE k = 1 UNION ALL SELECT s.user_id, s.ts, s.event_id, s.k, round_even((r.ema * 0.55::DOUBLE + s.value * (1 - 0.55::DOUBLE)) * 100, 0) / 100 FROM r JOIN s ON s.user_id = r.user_id AND s.k = r.k + 1)
 SELECT user_id, event_id, ema FROM r""")
 def ema(s, d):
     return T.smoothed(table(s, d, "events"), "user_id", ["ts", "event_id"], "value").select("user_id", "event_id", "ema")

@@ -23,8 +23,9 @@ SCORES = f"""{POINTS}, steps AS (
 
 
 @query("a15_wrs_leaderboard", with_views("cells") + ", " + SCORES + """
-SELECT algorithm_id, wrs, covered || '/5' AS coverage, covered < 5 AS provisional, CAST(row_number() OVER (ORDER BY wrs DESC, algorithm_id) AS INTEGER) AS rank
-FROM (SELECT algorithm_id, round(avg(auc) * 100, 6) AS wrs, count(*) AS covered FROM scores GROUP BY 1)""")
+, floors AS (SELECT algorithm_id, min(n) AS least FROM (SELECT algorithm_id, category, sum(samples) AS n FROM cells WHERE nqd < 0.8 AND tpr IS NOT NULL GROUP BY 1, 2) GROUP BY 1)
+SELECT algorithm_id, wrs, covered || '/5' AS coverage, covered < 5 OR least < 30 AS provisional, CAST(row_number() OVER (ORDER BY wrs DESC, algorithm_id) AS INTEGER) AS rank
+FROM (SELECT algorithm_id, round(avg(auc) * 100, 6) AS wrs, count(*) AS covered FROM scores GROUP BY 1) JOIN floors USING (algorithm_id)""")
 def wrs(s, d):
     return S.leaderboard(cells(s, d), CATEGORIES)
 

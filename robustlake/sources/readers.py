@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
@@ -29,23 +29,46 @@ def json_document(spark: SparkSession, path: str, schema: str) -> DataFrame:
         whole = spark.read.text(path, wholetext=True)
     except AnalysisException:
         return spark.createDataFrame([], schema)
-    parsed = whole.where(F.trim("value").startswith("{")).select(F.from_json("value", schema + ", _bad string", {"columnNameOfCorruptRecord": "_bad"}).alias("r"))
-    return parsed.where("r._bad IS NULL").select("r.*").drop("_bad")
+    return documents(whole, schema).drop("value")
 
 
-def image_listing(spark: SparkSession, folder: str) -> DataFrame:
-    """path, relative and size of the images below a folder (contents are not read).
+def documents(texts: DataFrame, schema: str) -> DataFrame:
+    """The columns of ``texts`` and the fields of the JSON object in ``value``; rows that are broken or no object are left out."""
+    parsed = F.from_json("value", schema + ", _bad string", {"columnNameOfCorruptRecord": "_bad"})
+    found = texts.where(F.col("value").rlike(r"^\s*\{")).select("*", parsed.alias("_r")).where("_r._bad IS NULL")
+    return found.select(*texts.columns, "_r.*").drop("_bad")
+
 
-    Folders whose names begin with "_" (intermediate results) are hidden from Spark's file sources.
-    """
+def image_listing(spark: SparkSession, folder: str) -> DataFrame:
+    """path, relative and size of the images below a folder (contents are not read); see ``images``."""
     try:
         files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder)
     except AnalysisException:
         return spark.createDataFrame([], "path string, relative string, size long")
     root = folder.rstrip("/")
     relative = F.regexp_replace(F.col("path"), "^.*" + "/" + root.rsplit("/", 1)[-1] + "/", "")
-    rows = files.select("path", relative.alias("relative"), F.col("length").alias("size"))
-    return rows.where(F.lower("path").rlike("(" + "|".join(s.replace(".", r"\.") for s in IMAGE_SUFFIXES) + ")$"))
+    return images(files.select("path", relative.alias("relative"), F.col("length").alias("size")), intermediates=False)
+
+
+def images(listing: DataFrame, intermediates: bool = True) -> DataFrame:
+    """Rows of a listing (``relative``: the path below its root) that name images, with those below ``_intermediates`` or without."""
+    rows = listing.where(F.lower("relative").rlike("(" + "|".join(s.replace(".", r"\.") for s in IMAGE_SUFFIXES) + ")$"))
+    return rows if intermediates else rows.where(~F.col("relative").rlike("(^|/)_intermediates/"))
+
+
+def probed(keys: DataFrame, listing: DataFrame, now: Column, found_seconds: int = 300, missing_seconds: int = 60) -> DataFrame:
+    """key, found, expires_at: each distinct key against a store's listing (``key``), with the time up to which the answer holds."""
+    held = listing.select("key").distinct().withColumn("held", F.lit(True))
+    rows = keys.select("key").where(F.col("key").isNotNull()).distinct().join(held, "key", "left").select("key", F.coalesce("held", F.lit(False)).alias("found"))
+    return rows.select("key", "found", (now + F.when(F.col("found"), found_seconds).otherwise(missing_seconds)).alias("expires_at"))
+
+
+def relocated(runs: DataFrame, listing: DataFrame) -> DataFrame:
+    """``runs`` (run_id, declared, local) with ``root``: the declared folder if the listing (``path``) has it, else the local one if it is there."""
+    there = listing.select("path").distinct()
+    a, b = there.select(F.col("path").alias("declared"), F.lit(True).alias("_d")), there.select(F.col("path").alias("local"), F.lit(True).alias("_l"))
+    found = runs.join(a, "declared", "left").join(b, "local", "left")
+    return found.select(*runs.columns, F.when(F.col("_d"), F.col("declared")).when(F.col("_l"), F.col("local")).alias("root"))
 
 
 def manifest(lines: DataFrame, prefix: str) -> DataFrame:
@@ -60,10 +83,11 @@ def manifest(lines: DataFrame, prefix: str) -> DataFrame:
 def device_csv(lines: DataFrame) -> DataFrame:
     """Headerless device metrics of 7 or 8 columns (column ``value``); numbers that do not parse are null."""
     cells = F.transform(F.split("value", ","), lambda c: F.trim(c))
-    rows = lines.select(cells.alias("c")).where(F.size("c").between(7, 8))
-    number = lambda k: F.get("c", F.lit(k)).try_cast("double")
+    others = [c for c in lines.columns if c != "value"]
+    rows = lines.select(*others, cells.alias("_c")).where(F.size("_c").between(7, 8))
+    number = lambda k: F.get("_c", F.lit(k)).try_cast("double")
     names = ["utilization", "memory_used", "memory_total", "temperature", "power_draw", "power_limit"]
-    return rows.select(F.get("c", F.lit(0)).try_cast("int").alias("device"), F.get("c", F.lit(1)).alias("name"), *[number(k + 2).alias(n) for k, n in enumerate(names)])
+    return rows.select(*others, F.get("_c", F.lit(0)).try_cast("int").alias("device"), F.get("_c", F.lit(1)).alias("name"), *[number(k + 2).alias(n) for k, n in enumerate(names)])
 
 
 def markdown_table(lines: DataFrame) -> DataFrame:

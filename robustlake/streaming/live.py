@@ -24,23 +24,63 @@ def stage_windows(events: DataFrame, delay: str = "10 minutes", size: str = "1 h
     return timed.groupBy(F.window("ts", size), "event_type").agg(F.count(F.lit(1)).alias("n"), F.avg("value").alias("mean"))
 
 
-def keep_latest(batch: DataFrame, path: str, key: str, order: str) -> None:
+#: Parts of a table kept by ``keep_latest``; a batch rewrites those that its keys fall into.
+BUCKETS = 16
+
+
+def _manifests(spark: SparkSession, path: str) -> list[tuple[int, str]]:
+    """(batch id, folder) of the complete manifests below ``path``, oldest first."""
+    hadoop = spark._jvm.org.apache.hadoop.fs
+    root = hadoop.Path(path)
+    files = root.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not files.exists(root):
+        return []
+    found = [f.getPath() for f in files.listStatus(root) if f.getPath().getName().startswith("manifest-")]
+    return sorted((int(p.getName().split("-")[1]), p.toString()) for p in found if files.exists(hadoop.Path(p, "_SUCCESS")))
+
+
+def _folders(spark: SparkSession, path: str, before: int | None = None) -> dict[int, int]:
+    """bucket -> batch that last wrote it, by the newest manifest (of a batch earlier than ``before``)."""
+    known = [folder for number, folder in _manifests(spark, path) if before is None or number < before]
+    return {r.bucket: r.batch for r in spark.read.parquet(known[-1]).collect()} if known else {}
+
+
+def latest_table(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
+    """The table that ``keep_latest`` keeps."""
+    folders = [f"{path}/batch={batch}/bucket={bucket}" for bucket, batch in _folders(spark, path).items()]
+    return spark.read.schema(schema).parquet(*folders) if folders else spark.createDataFrame([], schema)
+
+
+def keep_latest(batch: DataFrame, batch_id: int, path: str, key: str, order: str) -> None:
     """For foreachBatch: the table at ``path`` holds the last write of each key, whatever order records come in.
 
-    Two folders take turns, so a lost batch never leaves half a table.
+    A batch writes the buckets of its keys into a folder of its own, and then a manifest that says which folder holds
+    each bucket. Nothing that an earlier manifest names is changed, so a batch that is lost or comes again at any
+    point starts from the state before it. Folders that only older manifests name go at the end.
     """
     spark = batch.sparkSession
-    try:
-        turn = spark.read.text(f"{path}/current").first()[0]
-        before = spark.read.parquet(f"{path}/{turn}")
-        rows = before.unionByName(batch)
-    except Exception as missing:  # the first batch
-        if "PATH_NOT_FOUND" not in str(missing):
-            raise
-        turn, rows = "b", batch
-    fresh = "b" if turn == "a" else "a"
-    latest(rows, key, order).write.mode("overwrite").parquet(f"{path}/{fresh}")
-    spark.createDataFrame([(fresh,)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/current")
+    before = _folders(spark, path, batch_id)
+    own = batch.withColumn("bucket", F.pmod(F.xxhash64(key), F.lit(BUCKETS)).cast("int"))
+    touched = sorted(r.bucket for r in own.select("bucket").distinct().collect())
+    held = [f"{path}/batch={before[b]}/bucket={b}" for b in touched if b in before]
+    rows = batch.unionByName(spark.read.schema(batch.schema).parquet(*held)) if held else batch
+    kept = latest(rows, key, order).withColumn("bucket", F.pmod(F.xxhash64(key), F.lit(BUCKETS)).cast("int"))
+    kept.write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/batch={batch_id}")
+    now = before | {b: batch_id for b in touched}
+    spark.createDataFrame(sorted(now.items()), "bucket int, batch long").coalesce(1).write.mode("overwrite").parquet(f"{path}/manifest-{batch_id:012d}")
+    _forget(spark, path, set(now.values()) | set(before.values()))
+
+
+def _forget(spark: SparkSession, path: str, needed: set[int]) -> None:
+    """Drop batches and manifests that neither the newest nor the one before it needs."""
+    hadoop = spark._jvm.org.apache.hadoop.fs
+    files = hadoop.Path(path).getFileSystem(spark._jsc.hadoopConfiguration())
+    for _, folder in _manifests(spark, path)[:-2]:
+        files.delete(hadoop.Path(folder), True)
+    for f in files.listStatus(hadoop.Path(path)):
+        name = f.getPath().getName()
+        if name.startswith("batch=") and int(name.split("=")[1]) not in needed:
+            files.delete(f.getPath(), True)
 
 
 def smoothed_stream(events: DataFrame, keep: float = 0.55) -> DataFrame:
@@ -52,7 +92,7 @@ def smoothed_stream(events: DataFrame, keep: float = 0.55) -> DataFrame:
         out = []
         for v in rows["value"]:
             if pd.notna(v):
-                at = float(v) if at is None else float(int((at * keep + v * (1 - keep)) * 100 + 0.5) / 100)
+                at = float(v) if at is None else round(float(at * keep + v * (1 - keep)) * 100) / 100.0
             out.append(at)
         if at is not None:
             state.update((at,))

@@ -1,8 +1,8 @@
 """Operators against literal expectations."""
 
 import json
-import math
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -150,5 +150,71 @@ def test_smoothing_carries_one_state_over_batches(spark):
         assert len(found) == len(values) + 3 and found["b", 1] == 5.0 and found[None, 2] == (45.45 if jump is None else 90.0)
         for k, v in enumerate(values):
             if v is not None:
-                at = v if at is None or (jump is not None and abs(v - at) > jump) else math.floor((at * 0.55 + v * (1 - 0.55)) * 100 + 0.5) / 100.0
+                at = v if at is None or (jump is not None and abs(v - at) > jump) else round((at * 0.55 + v * (1 - 0.55)) * 100) / 100.0
             assert found["a", k] == at
+
+
+def test_literals_of_plans_and_selections(spark):
+    """Expectations that the blueprint lists word for word."""
+    from robustlake.operators import records as R
+    from robustlake.operators import scoring as C
+    from robustlake.plans import reference_queries as Q
+
+    # strengths: numbers once each and in order, an unknown method dropped
+    raw = spark.createDataFrame([("m", x) for x in ("1.0", "0", "1.0", "bad", "NaN")], "method string, raw string")
+    assert [tuple(r) for r in S.strengths(raw, "method", "raw").collect()] == [("m", "0.0,1.0")]
+    # strengths become parameters only where an attack takes one
+    asked = [("cew_s1", 4.0), ("cew_c1", 0.5), ("image_to_vedio", 40.0), ("cew_e1", 0.75), ("noise_to_image", 0.75), ("2x_regen", 1.0), ("jpeg", 0.5)]
+    df = spark.createDataFrame(asked, "method string, s double").join(Q.catalog(spark), "method").select("method", Q.injected(F.col("parameter"), F.col("s")).alias("p"))
+    assert dict(map(tuple, df.collect())) == {"cew_s1": "scale=4", "cew_c1": "", "image_to_vedio": "xy=40", "cew_e1": "strength=0.75", "noise_to_image": "step=0.75", "2x_regen": "strength=1.0", "jpeg": "strength=0.5"}
+    # ten samples on five devices: two each, the first has the samples 0 and 5
+    rows = spark.createDataFrame([("d", k) for k in range(10)], "dataset string, k int")
+    dealt = {}
+    for r in R.round_robin(rows, "dataset", ["k"], 5).collect():
+        dealt.setdefault(r.shard, []).append(r.k)
+    assert sorted(dealt[0]) == [0, 5] and all(len(v) == 2 for v in dealt.values())
+    # one dataset, one algorithm, jpeg with its three strengths and the hidden baseline: four cells
+    sweep = dict((r.method, r.sweep) for r in Q.catalog(spark).collect())
+    assert len(sweep["jpeg"]) + len(sweep["identity"]) == 4
+    # a score is final only with all categories and enough samples
+    cell = [("a", c, 0.0, 0.8, 0.1, 40) for c in ("x", "y")]
+    cells = spark.createDataFrame(cell, "algorithm_id string, category string, strength double, tpr double, nqd double, samples int")
+    assert C.leaderboard(cells, ["x", "y"]).first().provisional is False
+    assert C.leaderboard(cells, ["x", "y"], floor=41).first().provisional is True and C.leaderboard(cells, ["x", "y", "z"]).first().provisional is True
+
+
+def test_places_in_groups_of_many_ranges(spark):
+    from robustlake.operators import records as R
+
+    rows = [("a" if k % 3 else None, k * 7 - 50, k) for k in range(100)] + [("a", None, 1000), ("a", 6, 2000)]
+    df = spark.createDataFrame(rows, "g string, k int, t int")
+    got = {(r.g, r.k, r.t): r.place for r in R.numbered(df, "g", ["k", "t"], width=64).collect()}
+    for g in ("a", None):
+        own = sorted(((r[1] is not None, r[1] or 0, r[2]), r) for r in rows if r[0] == g)
+        assert [got[r] for _, r in own] == list(range(1, len(own) + 1))
+
+
+def test_order_statistic(spark):
+    from robustlake.operators.scoring import order_statistic
+
+    rng = np.random.default_rng(4)
+    rows = [("a", float(x)) for x in rng.integers(0, 50, 400)] + [("b", float(x)) for x in rng.normal(0, 1, 333)] + [("c", 2.5), ("c", 2.5), ("d", None)]
+    df = spark.createDataFrame(rows, "g string, v double")
+    for share in (0.5, 0.9, 0.999, 1.0):
+        got = {r.g: r.value for r in order_statistic(df, "g", "v", share, steps=16).collect()}
+        for g in "abc":
+            own = sorted(v for k, v in rows if k == g)
+            assert got[g] == own[max(1, int(np.ceil(len(own) * share))) - 1], (g, share)
+
+
+def test_small_functions(spark):
+    one = spark.range(1)
+    say = lambda c: one.select(c.alias("x")).first().x
+    assert say(S.js_number(F.lit(80.0))) == "80" and say(S.js_number(F.lit(0.5))) == "0.5"
+    label = lambda *a: say(S.run_label(*[F.lit(x) if not isinstance(x, list) else F.array(*map(F.lit, x)) for x in a]))
+    assert label("Imported run 7", None, "r", ["imagenet"], 1250) == "ImageNet 1,250-image experiment"
+    assert label("Imported run 7", None, "r", ["imagenet"], 0) == "Imported run 7" and label(" ", " mine ", "r", ["x"], 5) == "mine"
+    assert [say(S.on_axis(F.lit(m), F.lit("rotate"))) for m in ("3d_viewpoint_rerendering_rotate_point", "3d_viewpoint_rerendering_rotate_forward_point", "rotate", "jpeg")] == [True, False, True, False]
+    assert say(S.five_class(F.lit("distortion-single"))) == "distortion_attacks" and say(S.five_class(F.lit("physical-screen"))) == "physical_channel_attacks"
+    pages = lambda p, n: say(N.visible_pages(F.lit(p), F.lit(n)))
+    assert pages(5, 9) == list(range(1, 10)) and pages(1, 20) == [1, 2, 20] and pages(10, 20) == [1, 9, 10, 11, 20] and pages(1, 0) == []
