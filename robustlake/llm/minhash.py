@@ -235,7 +235,7 @@ def _rare(own: DataFrame, classes: DataFrame, crowd: DataFrame, words: int, perc
     so in no such prefix, while every link within the crowd still meets, at the first element of the order that it
     shares: ``common`` counts the elements from there on.
     """
-    wanted = bounded(scratch.written(crowd.join(classes, "cid"), "crowd"))
+    wanted = bounded(scratch.written(crowd.join(classes.drop("size"), "cid"), "crowd"))
     sets = own.join(wanted, ["doc_id", "key"]).select("cid", "label", _longs(F.col("text"), words).alias("held"))
     sets = scratch.written(sets, "crowd-sets").dropDuplicates(["cid"])
     each = sets.select("cid", "label", F.size("held").cast("long").alias("n"), F.explode("held").alias("x"))
@@ -254,12 +254,12 @@ def _rare(own: DataFrame, classes: DataFrame, crowd: DataFrame, words: int, perc
 
 
 def _classes(rows: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
-    """(rows, classes): rows of equal words share a ``cid`` and no others do; classes: cid, doc_id, key of the first."""
+    """(rows, classes): rows of equal words share a ``cid`` and no others do; classes: cid, doc_id, key of the first, size."""
     turn = 0
     while True:
         linked = rows.where((F.col("n") > 0) & F.col("doc_id").isNotNull())
-        own = (F.min(F.struct("doc_id", "key")).alias("m"), F.min("full").alias("low"), F.max("full").alias("high"))
-        classes = linked.groupBy("cid").agg(*own).select("cid", "m.doc_id", "m.key", (F.col("low") != F.col("high")).alias("met"))
+        own = (F.min(F.struct("doc_id", "key")).alias("m"), F.min("full").alias("low"), F.max("full").alias("high"), F.count(F.lit(1)).alias("size"))
+        classes = linked.groupBy("cid").agg(*own).select("cid", "m.doc_id", "m.key", "size", (F.col("low") != F.col("high")).alias("met"))
         classes = scratch.written(classes, "classes")
         met = classes.where("met").select("cid", "met")
         if met.isEmpty():
@@ -313,7 +313,7 @@ def _near_duplicates(docs: DataFrame, words: int, percent: int, scratch: Scratch
         hopeful = pairs.join(a, "a").join(b, "b").where(fit).where(_agreeing("m_a", "m_b") >= least).select("a", "b")
         hopeful = scratch.written(hopeful, "hopeful")
         wanted = hopeful.select(F.col("a").alias("cid")).unionByName(hopeful.select(F.col("b").alias("cid"))).distinct()
-        wanted = bounded(scratch.written(wanted.join(classes, "cid"), "wanted"))
+        wanted = bounded(scratch.written(wanted.join(classes.drop("size"), "cid"), "wanted"))
         texts = own.join(wanted, ["doc_id", "key"]).select("cid", "text")
         texts = scratch.written(texts, "texts")
         if texts.count() > wanted.count():  # rows that repeat id and text; dropped in a table of their own, so that hot joins can be split
@@ -337,10 +337,10 @@ def _near_duplicates(docs: DataFrame, words: int, percent: int, scratch: Scratch
     known = classes.select("cid", "doc_id").join(labels.withColumnRenamed("id", "cid"), "cid")
     smallest = known.groupBy("label").agg(F.min("doc_id").alias("component_id"))
     found = known.join(smallest, "label").select("cid", "component_id")
-    firsts = classes.select("cid", F.col("doc_id").alias("first_id")).join(found, "cid", "left")
-    firsts = firsts.select("cid", F.coalesce("component_id", "first_id").alias("component_id"))
+    firsts = classes.select("cid", "size", F.col("doc_id").alias("first_id")).join(found, "cid", "left")
+    firsts = scratch.written(firsts.select("cid", "size", F.coalesce("component_id", "first_id").alias("component_id")), "components")
     alone = (F.col("n") == 0) | F.col("doc_id").isNull()
-    grouped = rows.where(~alone).join(firsts, "cid").select("doc_id", "key", F.col("n").alias("n_shingles"), "component_id")
+    grouped = attached(rows.where(~alone), firsts, "cid", rows.count()).select("doc_id", "key", F.col("n").alias("n_shingles"), "component_id")
     return grouped.unionByName(rows.where(alone).select("doc_id", "key", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id")))
 
 
