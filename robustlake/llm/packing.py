@@ -86,6 +86,10 @@ def pieces_of(text: Column, path: str, limit: int = LIMIT, end_id: int = END_ID)
     return cut(text)
 
 
+#: A bin: what it holds in tokens, and the pieces. Bins are never changed, so solutions share them.
+Bin = tuple[int, tuple[int, ...]]
+
+
 class _Shard:
     """One packing problem: lengths of pieces, none as long as ``limit``."""
 
@@ -94,104 +98,103 @@ class _Shard:
         self.floor = -(-int(lengths.sum()) // limit)
         self.longest_first = np.argsort(-lengths, kind="stable").tolist()
 
-    def best_fit(self, order: list[int], bins: list[list[int]]) -> list[list[int]]:
-        """Put pieces one by one where the least room is left over; ``bins`` is changed and returned."""
-        rooms: list[tuple[int, int]] = []
-        for b, held in enumerate(bins):
-            room = self.limit - sum(self.lengths[i] for i in held)
-            if room:
-                rooms.append((room, b))
-        rooms.sort()
+    def best_fit(self, order: list[int], bins: list[Bin]) -> list[Bin]:
+        """``bins`` with the pieces put one by one where the least room is left over."""
+        limit, lengths = self.limit, self.lengths
+        done = [b for b in bins if b[0] == limit]
+        opened = [(f, list(held)) for f, held in bins if f < limit]
+        rooms = sorted((limit - f, k) for k, (f, _) in enumerate(opened))
+        helds = [held for _, held in opened]
         for i in order:
-            need = self.lengths[i]
+            need = lengths[i]
             at = bisect_left(rooms, (need, -1))
             if at < len(rooms):
-                room, b = rooms.pop(at)
-                bins[b].append(i)
+                room, k = rooms.pop(at)
+                helds[k].append(i)
             else:
-                room, b = self.limit, len(bins)
-                bins.append([i])
-            if room > need:
-                insort(rooms, (room - need, b))
-        return bins
+                room, k = limit, len(helds)
+                helds.append([i])
+            insort(rooms, (room - need, k))
+        return done + [(limit - room, tuple(helds[k])) for room, k in rooms]
 
-    def first(self, spread: float) -> list[list[int]]:
+    def first(self, spread: float) -> list[Bin]:
         if not spread:
             return self.best_fit(self.longest_first, [])
         noisy = np.asarray(self.lengths) * self.random.uniform(1 - spread, 1 + spread, len(self.lengths))
         return self.best_fit(np.argsort(-noisy, kind="stable").tolist(), [])
 
-    def fills(self, bins: list[list[int]]) -> list[int]:
-        return [sum(self.lengths[i] for i in held) for held in bins]
-
-    def fitness(self, bins: list[list[int]]) -> tuple[int, int]:
-        return -len(bins), sum(f * f for f in self.fills(bins))
+    def fitness(self, bins: list[Bin]) -> tuple[int, int]:
+        return -len(bins), sum(f * f for f, _ in bins)
 
-    def cross(self, a: list[list[int]], b: list[list[int]]) -> list[list[int]]:
+    def cross(self, a: list[Bin], b: list[Bin]) -> list[Bin]:
         """Well-filled bins of ``a`` go whole into ``b``."""
-        fills = np.asarray(self.fills(a)) + self.random.uniform(0, self.limit / 16, len(a))
+        fills = np.array([f for f, _ in a]) + self.random.uniform(0, self.limit / 16, len(a))
         some = np.argsort(-fills)[: max(1, int(len(a) * self.random.uniform(0.2, 0.7)))]
         injected = [a[k] for k in some.tolist()]
-        taken = {i for held in injected for i in held}
+        same = set(injected)
+        taken = {i for _, held in injected for i in held}
         kept, loose = [], []
-        for held in b:
-            if taken.isdisjoint(held):
-                kept.append(held)
+        for own in b:
+            if own in same:
+                continue
+            if taken.isdisjoint(own[1]):
+                kept.append(own)
             else:
-                loose += [i for i in held if i not in taken]
+                loose += [i for i in own[1] if i not in taken]
         # the emptiest of the others are opened too, so that their pieces can find better places
-        kept.sort(key=lambda held: -sum(self.lengths[i] for i in held))
+        kept.sort(key=lambda own: -own[0])
         full = max(0, len(kept) - max(1, len(kept) // 20))
-        loose += [i for held in kept[full:] for i in held]
-        bins = [list(held) for held in injected + kept[:full]]
-        loose = self.exchange(bins, loose)
+        loose += [i for _, held in kept[full:] for i in held]
+        bins, loose = self.exchange(injected + kept[:full], loose)
         loose.sort(key=lambda i: -self.lengths[i])
         return self.best_fit(loose, bins)
 
-    def exchange(self, bins: list[list[int]], loose: list[int]) -> list[int]:
-        """Give bins with room a longer loose piece for one or two of theirs, and return what is loose then."""
-        pool = sorted((self.lengths[i], i) for i in loose)
-        for held in bins:
-            room = self.limit - sum(self.lengths[i] for i in held)
-            if not room or not pool:
-                continue
-            out = [(i,) for i in held] + [(i, j) for k, i in enumerate(held) for j in held[k + 1 :]] if len(held) <= 4 else [(i,) for i in held[:8]]
-            best = None
-            for some in out:
-                size = sum(self.lengths[i] for i in some)
-                at = bisect_left(pool, (size + room + 1, -1)) - 1  # the longest that fits
-                if at >= 0 and pool[at][0] > size and (best is None or pool[at][0] - size > best[0]):
-                    best = pool[at][0] - size, at, some
-            if best:
-                _, at, some = best
-                held.append(pool.pop(at)[1])
-                for i in some:
-                    held.remove(i)
-                    insort(pool, (self.lengths[i], i))
-        return [i for _, i in pool]
-
-    def evolve(self, people: list[list[list[int]]], children: int, size: int) -> list[list[list[int]]]:
-        people = sorted(people, key=self.fitness, reverse=True)
-        for _ in range(children):
-            if len(people[0]) <= self.floor:
+    def exchange(self, bins: list[Bin], loose: list[int]) -> tuple[list[Bin], list[int]]:
+        """Give bins with room a longer loose piece for one or two of theirs: the bins, and what is loose then."""
+        lengths, pool, out = self.lengths, sorted((self.lengths[i], i) for i in loose), []
+        for own in bins:
+            fill, held = own
+            room = self.limit - fill
+            if room and pool:
+                some = [(i,) for i in held] + [(i, j) for k, i in enumerate(held) for j in held[k + 1 :]] if len(held) <= 4 else [(i,) for i in held[:8]]
+                best = None
+                for leave in some:
+                    size = sum(lengths[i] for i in leave)
+                    at = bisect_left(pool, (size + room + 1, -1)) - 1  # the longest that fits
+                    if at >= 0 and pool[at][0] > size and (best is None or pool[at][0] - size > best[0]):
+                        best = pool[at][0] - size, at, leave
+                if best:
+                    more, at, leave = best
+                    own = fill + more, (*(i for i in held if i not in leave), pool.pop(at)[1])
+                    for i in leave:
+                        insort(pool, (lengths[i], i))
+            out.append(own)
+        return out, [i for _, i in pool]
+
+    def evolve(self, people: list[list[Bin]], children: int, size: int) -> list[list[Bin]]:
+        """The best first; children replace the worst."""
+        ranked = sorted(((self.fitness(p), k, p) for k, p in enumerate(people)), reverse=True)
+        for turn in range(children):
+            if len(ranked[0][2]) <= self.floor:
                 break
-            a, b = (int(k) for k in np.minimum(self.random.integers(0, len(people), 2), self.random.integers(0, len(people), 2)))
-            child = self.cross(people[a], people[b if a != b else (a + 1) % len(people)])
-            people = sorted([*people, child], key=self.fitness, reverse=True)[:size]
-        return people
+            a, b = (int(k) for k in np.minimum(self.random.integers(0, len(ranked), 2), self.random.integers(0, len(ranked), 2)))
+            child = self.cross(ranked[a][2], ranked[b if a != b else (a + 1) % len(ranked)][2])
+            ranked = sorted([*ranked, (self.fitness(child), -1 - turn, child)], reverse=True)[:size]
+        return [p for *_, p in ranked]
 
 
-def _to_numbers(bins: list[list[int]], n: int) -> list[int]:
+def _to_numbers(bins: list[Bin], n: int) -> list[int]:
     out = np.zeros(n, np.int32)
-    for b, held in enumerate(bins):
-        out[held] = b
+    for b, (_, held) in enumerate(bins):
+        out[list(held)] = b
     return out.tolist()
 
 
-def _to_bins(numbers) -> list[list[int]]:
+def _to_bins(numbers, lengths: np.ndarray) -> list[Bin]:
     numbers = np.asarray(numbers)
     order = np.argsort(numbers, kind="stable")
-    return [part.tolist() for part in np.split(order, np.flatnonzero(np.diff(numbers[order])) + 1)]
+    parts = np.split(order, np.flatnonzero(np.diff(numbers[order])) + 1)
+    return [(int(lengths[part].sum()), tuple(part.tolist())) for part in parts]
 
 
 def _round(problems: DataFrame, limit: int, turn: str) -> DataFrame:
@@ -209,7 +212,7 @@ def _round(problems: DataFrame, limit: int, turn: str) -> DataFrame:
                     if len(people[0]) > shard.floor:
                         people += [shard.first(0.02 * (k + r.island * POPULATION)) for k in range(1, POPULATION)]
                 else:
-                    people = [_to_bins(p) for p in r.people]
+                    people = [_to_bins(p, lengths) for p in r.people]
                 people = shard.evolve(people, CHILDREN, POPULATION)
                 people_out.append([_to_numbers(p, len(lengths)) for p in people])
                 over.append(len(people[0]) - shard.floor)
