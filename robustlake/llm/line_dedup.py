@@ -295,3 +295,42 @@ def op6_line_dedup(docs: DataFrame) -> DataFrame:
         F.char_length(kept).cast("long").alias("n_chars"),
         F.sha2(kept, 256).alias("kept_sha256"),
     )
+
+
+OP6_SQL = r"""
+WITH docs AS (
+  SELECT row_number() OVER () AS r, doc_id, text FROM documents
+), split AS (
+  SELECT r, doc_id, unnest(string_split(text, chr(10))) AS line, unnest(range(0, len(string_split(text, chr(10))))) AS k FROM docs WHERE text IS NOT NULL
+), lines AS (
+  SELECT *, regexp_full_match(line, '\s*') AS blank FROM split
+), firsts AS (
+  SELECT line, arg_min({'d': doc_id, 'k': k}, (doc_id, k)) AS spot, length(line) AS n FROM lines WHERE NOT blank GROUP BY line
+), long AS (
+  SELECT *, spot.d AS d, spot.k AS k FROM firsts WHERE n >= 20
+), halves AS (
+  -- one edit leaves the left or the right half of the shorter line as it is
+  SELECT line, n, d, k, m, 0 AS side, left(line, m // 2) AS half FROM long, LATERAL (SELECT unnest([n, n - 1]) AS m)
+  UNION ALL SELECT line, n, d, k, m, 1, right(line, m - m // 2) FROM long, LATERAL (SELECT unnest([n, n - 1]) AS m)
+), pairs AS (
+  SELECT DISTINCT a.line AS a, b.line AS b, a.n AS n, b.n - a.n AS more, (a.d, a.k) < (b.d, b.k) AS a_first
+  FROM halves a JOIN halves b ON a.m = b.m AND a.side = b.side AND a.half = b.half AND a.m = a.n AND a.line <> b.line
+), differ AS (
+  SELECT a, b, n, more, a_first, string_split(a, '') AS la, string_split(b, '') AS lb FROM pairs
+), placed AS (
+  SELECT a, b, n, more, a_first, coalesce(list_position(list_transform(range(1, n + 1), lambda i: la[i] <> lb[i]), true), n + 1) AS p FROM differ
+), near AS (
+  SELECT a, b, a_first FROM placed WHERE substr(b, p + 1) = substr(a, CASE WHEN more = 1 THEN p ELSE p + 1 END)
+), later AS (
+  SELECT DISTINCT CASE WHEN a_first THEN b ELSE a END AS line FROM near
+), kept AS (
+  SELECT r, k, l.line FROM lines l LEFT JOIN firsts f ON f.line = l.line
+  WHERE l.blank OR (f.spot.d = l.doc_id AND f.spot.k = l.k AND l.line NOT IN (SELECT line FROM later))
+), counts AS (
+  SELECT r, count(*) AS n FROM lines GROUP BY r
+), texts AS (
+  SELECT r, string_agg(line, chr(10) ORDER BY k) AS kept, count(*) AS n FROM kept GROUP BY r
+)
+SELECT doc_id, coalesce(c.n, 0) AS n_lines, coalesce(c.n, 0) - coalesce(t.n, 0) AS n_removed, length(coalesce(kept, '')) AS n_chars, sha256(coalesce(kept, '')) AS kept_sha256
+FROM docs LEFT JOIN counts c USING (r) LEFT JOIN texts t USING (r)
+"""

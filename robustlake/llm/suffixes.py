@@ -468,3 +468,29 @@ def op10_suffix_dedup(docs: DataFrame) -> DataFrame:
     """The contract's digest of ``remove_repeats``."""
     found = remove_repeats(docs.select("doc_id", "text"))
     return found.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+OP10_SQL = r"""
+WITH docs AS (
+  SELECT row_number() OVER () AS r, doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents
+), strings AS (
+  SELECT r, doc_id, i, substr(h, 2 * i + 1, 100) AS s FROM docs, LATERAL (SELECT unnest(range(0, length(h) // 2 - 49)) AS i) WHERE length(h) >= 100
+), firsts AS (
+  SELECT s, min(doc_id) AS first FROM strings GROUP BY s HAVING count(*) > 1
+), hit AS (
+  SELECT r, i FROM strings JOIN firsts USING (s) WHERE first < doc_id
+), marked AS (
+  SELECT r, i, CASE WHEN i - lag(i) OVER (PARTITION BY r ORDER BY i) <= 50 THEN 0 ELSE 1 END AS new FROM hit
+), numbered AS (
+  SELECT r, i, sum(new) OVER (PARTITION BY r ORDER BY i) AS span FROM marked
+), spans AS (
+  SELECT r, span, min(i) AS a, max(i) + 50 AS b FROM numbered GROUP BY r, span
+), gaps AS (
+  SELECT r, a, b, coalesce(lag(b) OVER (PARTITION BY r ORDER BY a), 0) AS before FROM spans
+), cut AS (
+  SELECT r, string_agg(substr(h, 2 * before + 1, 2 * (a - before)), '' ORDER BY a) || substr(any_value(h), 2 * max(b) + 1) AS kept, sum(b - a) AS n_removed, count(*) AS n_spans
+  FROM gaps JOIN docs USING (r) GROUP BY r
+)
+SELECT doc_id, length(h) // 2 AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(unhex(coalesce(kept, h))) AS kept_sha256
+FROM docs LEFT JOIN cut USING (r)
+"""
