@@ -1,8 +1,19 @@
 """The pipeline's stages by brute force on a small table."""
 
+import re
+import zlib
+from collections import Counter
+
 import corpus_pipeline as p
+import numpy as np
+from pyspark.sql import functions as F
 import __spark_entry__ as entry
 from messy import SCHEMA, rows
+from robustlake.llm.common import row_key
+from robustlake.llm.line_dedup import LAST
+from robustlake.llm.tokens import default_tokenizer, encoder
+from robustlake.llm.toxicity import Scorer, fit
+from test_documents import near, within_one
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -39,3 +50,90 @@ def test_run(spark, tmp_path):
     pieces = p.run(spark, str(tmp_path)).collect()
     assert pieces and {x.doc_id for x in pieces} <= {r.doc_id for r in docs.collect()}
     assert "pipeline" in entry.queries() and {f"op{n}_" for n in range(1, 11)} == {k.split("_")[0] + "_" for k in entry.queries() if k.startswith("op")}
+
+
+def brute(own, items):
+    """(doc_id, text) of what is packed: lines, near duplicates and contaminated documents by brute force. Nothing is toxic."""
+    rows = [(r[0], r[1]) for r in own]
+    keys = KEYS[0]
+    first = {}
+    for (d, t), k in zip(rows, keys):
+        for i, line in enumerate((t or "").split("\n")):
+            if line.strip():
+                at = (LAST if d is None else d, k, i)
+                first[line] = min(first.get(line, at), at)
+    order = sorted(first, key=first.get)
+    gone = {x for i, x in enumerate(order) if len(x) >= 20 and any(len(y) >= 20 and within_one(x, y) for y in order[:i])}
+    left = []
+    for (d, t), k in zip(rows, keys):
+        if t is None:
+            left.append((d, t))
+            continue
+        lines = t.split("\n")
+        kept = [x for i, x in enumerate(lines) if not x.strip() or (x not in gone and first[x] == (LAST if d is None else d, k, i))]
+        if len(kept) == len(lines) or "".join(kept).strip():
+            left.append((d, "\n".join(kept)))
+    groups, stays = near(left, 5), []
+    seen = set()
+    for (d, t), (_, n, component) in zip(left, groups):
+        # the fixture has no two different documents of one id in one group
+        if not n or d is None or (d == component and (d, t) not in seen):
+            stays.append((d, t))
+        seen.add((d, t))
+    word = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
+    windows = set()
+    for _, text in items:
+        w = word.findall(text.lower())
+        windows |= {tuple(w[i : i + 13]) for i in range(max(1, len(w) - 12))}
+    out = []
+    for d, t in stays:
+        w, hit = word.findall((t or "").lower()), set()
+        for i in range(len(w)):
+            for m in {len(x) for x in windows}:
+                if tuple(w[i : i + m]) in windows:
+                    hit |= set(range(i, i + m))
+        if not (hit and 20 * len(hit) >= len(w)):
+            out.append((d, t))
+    return out
+
+
+KEYS = [None]
+
+
+def test_run_equals_brute_force(spark, tmp_path):
+    own = [r[:5] for r in rows() if r[0] != 6 or r[1].startswith("another")]
+    docs = spark.createDataFrame(own, DOCS)
+    docs.coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(i, 0, 0) for i in range(60)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    items = [(0, " ".join(own[4][1].split(" ")[:30])), (1, "never seen here")]
+    spark.createDataFrame(items, "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    KEYS[0] = [r.k for r in docs.select(row_key(F.col("doc_id"), F.col("text")).alias("k")).collect()]
+    encode, end = encoder(default_tokenizer()).encode, np.array([2], "<u4").tobytes()
+    want = Counter()
+    left = brute(own, items)
+    for d, t in left:
+        ids = encode(t) + end
+        n = len(ids) // 4
+        edges = [0, *range(n % 1024 or min(n, 1024), n + 1, 1024)]
+        want.update((d, k, a, b - a, zlib.crc32(ids[4 * a : 4 * b])) for k, (a, b) in enumerate(zip(edges, edges[1:])))
+    pieces = p.run(spark, str(tmp_path)).collect()
+    assert 15 < len(left) < len(own) - 5
+    assert Counter((x.doc_id, x.piece, x.start, x.length, x.ids_crc32) for x in pieces) == want
+
+
+def test_toxicity_stage_drops_what_the_model_rejects(spark, tmp_path):
+    docs = tables(spark, tmp_path, rows())
+    model = fit(docs, spark.read.parquet(f"{tmp_path}/labels.parquet"))
+    all_rows = [tuple(r) for r in docs.collect()]
+    scores = Scorer(model).scores([None if r[1] is None else r[1].encode() for r in all_rows])
+    want = Counter(r for r, score in zip(all_rows, scores) if score < model.thresholds.get(r[2], model.threshold))
+    assert Counter(tuple(r) for r in p.toxicity(spark, docs, str(tmp_path)).collect()) == want
+
+
+def test_stages_on_empty_tables_and_clashing_columns(spark, tmp_path):
+    docs = tables(spark, tmp_path, rows())
+    odd = spark.createDataFrame(rows()[:14], SCHEMA).withColumnsRenamed({"score": "hits", "key": "component_id"})
+    for name, stage in p.STAGES:
+        assert stage(spark, docs.limit(0), str(tmp_path)).count() == 0, name
+        if name != "packing":
+            assert stage(spark, odd, str(tmp_path)).columns == odd.columns, name
