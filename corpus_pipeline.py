@@ -3,6 +3,13 @@
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last
 return the columns that ``docs`` came with. ``run`` writes each stage's result
 as Parquet into the shared folder and hands it, read again, to the next.
+
+What every stage does with awkward rows: a document with a null or empty text
+stays (it has no toxic words, no lines, an empty set, no benchmark words, and
+one piece that holds the end id); a row without an id stays and is linked with
+nothing; columns besides doc_id, text and n_chars pass through untouched, whatever
+their names; an empty table gives an empty one. Texts of any length are read
+whole. Ties and repeated rows are settled as each stage says.
 """
 
 from __future__ import annotations
@@ -21,7 +28,11 @@ from robustlake.llm.toxicity import fit, rejected, scorer_of
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose score reaches the threshold of their language go."""
+    """Documents whose score reaches the threshold of their language go; one at the threshold goes, too.
+
+    A filter of a corpus learns from every label that there is: also from those that ``op1_toxicity`` holds out.
+    Rows that repeat a text share its fate. A null language has the threshold of all.
+    """
     prepare(spark)
     model = fit(docs, read_table(spark, sf_dir, "labels"))
     row = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"))
@@ -30,7 +41,10 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Lines that repeat an earlier one, up to one edit, go; so do documents of which nothing is left."""
+    """Lines that repeat an earlier one, up to one edit, go; so do documents of which nothing is left.
+
+    Of rows that repeat id and text each keeps the same lines. ``n_chars`` is counted anew where lines went.
+    """
     found = dedup_lines(docs)
     emptied = (F.col("n_removed") > 0) & (F.trim(F.regexp_replace("kept", r"\s+", "")) == "")
     changed = F.col("n_removed") > 0
@@ -43,7 +57,10 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def minhash(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near duplicates (five-word shingles, 0.8) the document of the smallest id stays."""
+    """Of each group of near duplicates (five-word shingles, 0.8) the document of the smallest id stays.
+
+    Among documents of one id the smaller key of the text stays; of rows that repeat id and text, one does.
+    """
     found = written(near_duplicates(docs, words=5), "near-duplicates")
     linked = found.where((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull())
     stays = linked.groupBy("component_id").agg(F.min(F.struct("doc_id", "key")).alias("m")).select("m.doc_id", "m.key")
@@ -60,13 +77,13 @@ def minhash(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold too many words of benchmark windows go."""
+    """Documents that hold too many words of benchmark windows go; rows that repeat a text share its fate."""
     found = decontaminate(docs, read_table(spark, sf_dir, "benchmark"))
     return found.where(~F.col("hits.contaminated")).select("row.*")
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of all documents with their places in sequences."""
+    """Pieces of all documents with their places in sequences; each row is packed, repeated or not."""
     return pack(docs)
 
 
