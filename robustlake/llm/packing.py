@@ -275,7 +275,8 @@ def pack(
     """One row per piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset."""
     prepare(docs.sparkSession)
     cut = docs.select(F.col("doc_id").cast("long").alias("doc_id"), pieces_of(F.col("text"), path or default_tokenizer(), limit, end_id).alias("p"))
-    pieces = cut.select("doc_id", F.posexplode("p").alias("piece", "p")).select(
+    # every document has a piece; without "outer" Spark asks for that first, and encodes each text twice
+    pieces = cut.select("doc_id", F.posexplode_outer("p").alias("piece", "p")).select(
         F.monotonically_increasing_id().alias("uid"),
         "doc_id",
         "piece",
