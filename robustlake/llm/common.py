@@ -26,8 +26,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows of text in one Arrow batch. A batch of the longest texts stays small.
-TEXT_BATCH = 256
+#: Rows of text in one Arrow batch, and bytes: a batch of the longest texts stays small.
+TEXT_BATCH, BATCH_BYTES = 256, 8 << 20
 _BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
@@ -38,6 +38,7 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def prepare(spark: SparkSession) -> None:
     """Bound the Arrow batches of text that Python workers receive: results are lazy, so for the session."""
     spark.conf.set(_BATCH, str(TEXT_BATCH))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
 @contextmanager
