@@ -48,7 +48,7 @@ from robustlake.llm.minhash import bounded
 
 LENGTH = 50
 GRAM = 12
-PASSES = 4
+PASSES = 3
 #: Bytes of text in one step of a task, and about the bytes of contexts in a block.
 STEP_BYTES = 2_000_000
 BLOCK_BYTES = 4_000_000
