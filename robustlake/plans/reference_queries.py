@@ -8,6 +8,7 @@ from robustlake.functions import numeric as N
 from robustlake.functions import pixels as X
 from robustlake.functions import strings as S
 from robustlake.functions.kernels import attempted, canonical
+from robustlake.functions.marks import marked, unmarked
 from robustlake.operators import records as R
 from robustlake.plans.bindings import blocks, cells, table, with_views
 from robustlake.plans.registry import query
@@ -296,3 +297,55 @@ def errors_as_data(s, d):
     broken = F.when(F.col("vec_id") % 5 == 0, F.slice("px", 1, 63)).otherwise(F.col("px"))
     done = blocks(s, d).select("vec_id", attempted(broken, "contrast", 0.5, F.col("vec_id")).alias("a"))
     return done.select("vec_id", "a.ok", F.substring_index("a.error", ":", 1).alias("error"), F.when(F.col("a.ok"), F.size("a.px")).alias("n"))
+
+
+SPREAD_SQL = "0.25::DOUBLE * (cos((2 * (i // 8) + 1) * 3 * pi() / 16) * cos((2 * (i % 8) + 1) * 4 * pi() / 16) - cos((2 * (i // 8) + 1) * 4 * pi() / 16) * cos((2 * (i % 8) + 1) * 3 * pi() / 16))"
+
+
+@query("x22_spread_round_trip", with_views("blocks") + f""", own AS (SELECT vec_id, CAST(vec_id * 7919 // 64 % 2 AS INTEGER) AS bit, list_transform(px, lambda v: least(190, greatest(60, v))) AS px FROM blocks),
+turned AS (SELECT *, (CASE WHEN bit = 1 THEN 18.0::DOUBLE ELSE -18.0::DOUBLE END - list_sum(list_transform(range(0, 64), lambda i: px[i + 1] * {SPREAD_SQL}))) / 2 AS t FROM own),
+sent AS (SELECT *, list_transform(range(0, 64), lambda i: least(255, greatest(0, floor(px[i + 1] + t * {SPREAD_SQL})))) AS o FROM turned)
+SELECT vec_id, bit AS sent, CAST(list_sum(list_transform(range(0, 64), lambda i: o[i + 1] * {SPREAD_SQL})) > 0 AS INTEGER) AS received,
+  CAST(list_sum(list_transform(range(0, 64), lambda i: abs(o[i + 1] - px[i + 1]))) AS BIGINT) AS moved FROM sent""")
+def spread(s, d):
+    bit = (F.floor(F.col("vec_id") * 7919 / 64) % 2).cast("int")
+    own = blocks(s, d).select("vec_id", bit.alias("sent"), F.transform("px", lambda v: F.least(F.lit(190), F.greatest(F.lit(60), v))).alias("px"))
+    done = own.select("vec_id", "sent", "px", X.spread_embed(F.col("px"), F.col("sent")).alias("out"))
+    gaps = F.zip_with("out", "px", lambda a, b: F.abs(a - b).cast("long"))
+    return done.select("vec_id", "sent", X.spread_extract(F.col("out")).alias("received"), F.aggregate(gaps, F.lit(0).cast("long"), lambda t, x: t + x).alias("moved"))
+
+
+@query("x26_dwt_dct_svd_round_trip", "SELECT vec_id, CAST(vec_id % 2 AS VARCHAR) AS sent, CAST(vec_id % 2 AS VARCHAR) AS received FROM embeddings")
+def dwt_dct_svd(s, d):
+    """A block of 8 x 8 holds one bit. Pixels are drawn in from black and white, as for ``x25_haar_round_trip``."""
+    own = blocks(s, d).select("vec_id", (F.col("vec_id") % 2).cast("string").alias("sent"), F.transform("px", lambda v: F.least(F.lit(190), F.greatest(F.lit(60), v))).alias("px"))
+    return own.select("vec_id", "sent", unmarked(marked(F.col("px"), F.col("sent"), "dwtDctSvd"), 1, "dwtDctSvd").alias("received"))
+
+
+@query("x26_dwt_dct")
+def dwt_dct(s, d):
+    """How far the mark moves a block, and the bit that is read back; numpy, so no SQL."""
+    own = blocks(s, d).select("vec_id", "px", (F.col("vec_id") % 2).cast("string").alias("sent"))
+    done = own.select("vec_id", "px", "sent", marked(F.col("px"), F.col("sent"), "dwtDct").alias("out"))
+    return done.select("vec_id", "sent", unmarked(F.col("out"), 1, "dwtDct").alias("received"), F.round(X.psnr(F.col("px"), F.col("out")), 4).alias("psnr"))
+
+
+def _cs(a: str, b: str, n: int) -> str:
+    cov = f"list_avg(list_transform(range(1, {n + 1}), lambda i: {a}[i] * {b}[i])) - list_avg({a}) * list_avg({b})"
+    return f"greatest(0.0::DOUBLE, (2 * ({cov}) + 58.5225::DOUBLE) / (list_var_pop({a}) + list_var_pop({b}) + 58.5225::DOUBLE))"
+
+
+def _half(a: str, side: int) -> str:
+    corner = f"i // {side // 2} * {2 * side} + i % {side // 2} * 2"
+    return f"list_transform(range(0, {side * side // 4}), lambda i: ({a}[{corner} + 1] + {a}[{corner} + 2] + {a}[{corner} + {side + 1}] + {a}[{corner} + {side + 2}]) / 4.0::DOUBLE)"
+
+
+@query("x30_structure", with_views("blocks") + f""", l0 AS (SELECT vec_id, px AS a, list_transform(px, lambda v: CAST(least(255, greatest(0, floor(v * 1.4::DOUBLE + 0.5::DOUBLE))) AS INTEGER)) AS b FROM blocks),
+l1 AS (SELECT *, {_half('a', 8)} AS a1, {_half('b', 8)} AS b1 FROM l0), l2 AS (SELECT *, {_half('a1', 4)} AS a2, {_half('b1', 4)} AS b2 FROM l1),
+h AS (SELECT vec_id, list_aggregate(a, 'entropy') AS ha, list_aggregate(b, 'entropy') AS hb, list_aggregate(list_transform(range(1, 65), lambda i: a[i] * 256 + b[i]), 'entropy') AS hab FROM l0)
+SELECT vec_id, round(CASE WHEN ha + hb > 0 THEN 2 * (ha + hb - hab) / (ha + hb) ELSE 1 END, 6) + 0.0::DOUBLE AS nmi, round(pow({_cs('a', 'b', 64)}, 0.0448::DOUBLE / 0.6305) * pow({_cs('a1', 'b1', 16)}, 0.2856::DOUBLE / 0.6305)
+  * pow({_cs('a2', 'b2', 4)} * (2 * list_avg(a2) * list_avg(b2) + 6.5025::DOUBLE) / (list_avg(a2) * list_avg(a2) + list_avg(b2) * list_avg(b2) + 6.5025::DOUBLE), 0.3001::DOUBLE / 0.6305), 6) AS ms_ssim FROM l2 JOIN h USING (vec_id)""")
+def structure(s, d):
+    own = blocks(s, d).select("vec_id", F.col("px").alias("a"), X.brightness(F.col("px"), 1.4).alias("b"))
+    a, b = F.col("a"), F.col("b")
+    return own.select("vec_id", (F.round(X.nmi(a, b), 6) + F.lit(0.0)).alias("nmi"), F.round(X.ms_ssim(a, b), 6).alias("ms_ssim"))
