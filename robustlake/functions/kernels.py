@@ -48,6 +48,8 @@ PRINT = {
 EDITS = {
     "cew_e1": {"exposure_ev": (0.10, 0.25, 0.40), "contrast": (0.04, 0.08, 0.12), "sharpen": (0.4, 0.8, 1.2)},
     "cew_e2": {"contrast": (0.04, 0.08, 0.12), "tone_curve": (0.05, 0.10, 0.18)},
+    "cew_e3": {"contrast": (-0.03, -0.06, -0.10), "black_lift": (0.01, 0.03, 0.06), "local_contrast": (-0.02, -0.05, -0.08)},
+    "cew_e4": {"local_contrast": (0.08, 0.20, 0.35), "tone_strength": (0.20, 0.50, 0.78), "sharpen": (0.5, 1.0, 1.5), "shadow_lift": (0.03, 0.08, 0.12)},
 }
 #: Fixed value: the ordered screen of 4 x 4 dots, in sixteenths.
 BAYER = np.array([[0, 8, 2, 10], [12, 4, 14, 6], [3, 11, 1, 9], [15, 7, 13, 5]]) / 16
@@ -425,6 +427,73 @@ def warm_vivid(batch, strength, seeds):
     return 255 * (x + p["tone_curve"] * (x - 0.5) * (1 - np.abs(2 * x - 1)))
 
 
+def whole(batch: np.ndarray) -> np.ndarray:
+    return np.clip(np.rint(batch), 0, 255)
+
+
+def smoothed(batch: np.ndarray, reach: int, spread: float) -> np.ndarray:
+    """Bilateral filter over a disc; three equal channels add to the distance of two values."""
+    side = batch.shape[1]
+    wide = np.pad(batch, ((0, 0), (reach, reach), (reach, reach)), mode="reflect")
+    total, weight = np.zeros(batch.shape), np.zeros(batch.shape)
+    for dy in range(-reach, reach + 1):
+        for dx in range(-reach, reach + 1):
+            if dy * dy + dx * dx > reach * reach:
+                continue
+            near = wide[:, reach + dy : reach + dy + side, reach + dx : reach + dx + side]
+            share = np.exp(-(9 * (near - batch) ** 2 + dy * dy + dx * dx) / (2 * spread * spread))
+            total, weight = total + share * near, weight + share
+    return total / weight
+
+
+def equalised(image: np.ndarray, limit: float, tiles: int = 8) -> np.ndarray:
+    """Adaptive histogram equalisation of one image: a curve for each of 8 x 8 tiles, its slope limited, mixed between tile middles."""
+    side = image.shape[0]
+    edge = -(-side // tiles)
+    grey = np.pad(image.astype(int), (0, edge * tiles - side), mode="symmetric")
+    tile, area, bins = np.arange(edge * tiles) // edge, edge * edge, np.arange(256)
+    counts = np.bincount(((tile[:, None] * tiles + tile) * 256 + grey).ravel(), minlength=tiles * tiles * 256).reshape(-1, 256)
+    cap = max(1, int(limit * area / 256))
+    # what stands above the limit is dealt to all values, the rest of it to evenly placed ones
+    over = np.maximum(counts - cap, 0).sum(axis=1)
+    rest = (over % 256)[:, None]
+    step = np.maximum(256 // np.maximum(rest, 1), 1)
+    counts = np.minimum(counts, cap) + (over // 256)[:, None] + ((bins % step == 0) & (bins // step < rest))
+    curves = np.clip(np.rint(counts.cumsum(axis=1) * 255 / area), 0, 255).reshape(tiles, tiles, 256)
+    place = np.arange(side) / edge - 0.5
+    first = np.floor(place).astype(int)
+    share, out = place - first, np.zeros((side, side))
+    for down, share_y in ((first, 1 - share), (first + 1, share)):
+        for across, share_x in ((first, 1 - share), (first + 1, share)):
+            own = curves[np.clip(down, 0, tiles - 1)[:, None], np.clip(across, 0, tiles - 1), grey[:side, :side]]
+            out += share_y[:, None] * share_x * own
+    return np.rint(out)
+
+
+@kernel("cew_e3")
+def faded_film(batch, strength, seeds):
+    """Black is lifted and contrast taken away, a matte version mixed in, and the result smoothed between its edges."""
+    p = preset(EDITS["cew_e3"], strength)
+    fade = min(1.0, max(0.2, p["black_lift"] / 0.08))
+    x = batch / 255
+    faded = whole(255 * (0.5 + (1 + p["contrast"]) * (x + p["black_lift"] * fade * (1 - x) - 0.5)))
+    matte = faded + (whole(0.86 * faded + 24) - faded) * 0.35 * (1 + fade)
+    out = whole(batch + (whole(matte) - batch) * (0.45 + 0.4 * fade))
+    return out + (whole(smoothed(out, 2, 30.0)) - out) * min(0.45, 3 * abs(p["local_contrast"]))
+
+
+@kernel("cew_e4")
+def clarity(batch, strength, seeds):
+    """Shadows lifted, lights pressed, local contrast by equalised tiles, and sharpened."""
+    p = preset(EDITS["cew_e4"], strength)
+    tone, x = p["tone_strength"], batch / 255
+    lifted = x + p["shadow_lift"] * tone * (1 - x) ** 3
+    mapped = whole(255 * (lifted - (0.12 + 0.08 * tone) * tone * x**2 * np.maximum(lifted - 0.45, 0)))
+    local = each(mapped, seeds, lambda image, rng: equalised(image, 1.2 + 2.4 * p["local_contrast"]))
+    mixed = whole(mapped + (local - mapped) * (0.2 + 0.35 * p["local_contrast"]))
+    return sharpened(whole(contrasted(mixed, 1 + 0.08 * tone)), 1.0, p["sharpen"], 2)
+
+
 #: Chains of blocks, as one kernel each.
 CHAINS: dict[str, Kernel] = {"screen_shoot": screen_shoot, "print_camera": print_camera}
 

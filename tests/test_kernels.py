@@ -3,7 +3,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from robustlake.functions import pixels as X
-from robustlake.functions.kernels import CHAINS, KERNELS, apply, attacked, attempted, blurred, canonical, capability, homography, kernel_of, resampled, warped
+from robustlake.functions.kernels import CHAINS, KERNELS, apply, attacked, attempted, blurred, canonical, capability, equalised, homography, kernel_of, resampled, smoothed, warped
 
 
 @pytest.mark.parametrize("name", [*KERNELS, *CHAINS, "combined_physical"])
@@ -106,3 +106,37 @@ def test_combined_physical_prints_before_it_shows():
     for strength, printed, shown in ((0.3, 0.3, 0.0), (0.8, 0.5, 0.3)):
         first = apply("print_camera", batch, printed, seeds * 100)
         assert (apply("combined_physical", batch, strength, seeds) == apply("screen_shoot", first, shown, seeds * 100 + 1)).all()
+
+
+def test_smoothing_keeps_edges_and_takes_grain():
+    rng = np.random.default_rng(7)
+    edge = np.where(np.arange(24) < 12, 40.0, 200.0) + np.zeros((1, 24, 24))
+    out = smoothed(edge + rng.normal(0, 2, edge.shape), 2, 30.0)
+    assert np.abs(out - edge).max() < 4 and np.abs(out - edge).mean() < 1.2
+    assert (smoothed(np.full((2, 8, 8), 9.0), 2, 30.0) == 9).all()
+
+
+def test_equalised_tiles():
+    # a limit that never acts: the curve of a tile is the cumulative share of its values
+    image = np.random.default_rng(8).integers(0, 256, (64, 64)).astype(float)
+    free = equalised(image, 256.0)
+    corner = image[:8, :8]
+    for y, x in ((0, 0), (3, 2)):  # closer to the corner than the middle of the first tile: its curve alone
+        assert free[y, x] == np.rint((corner <= corner[y, x]).sum() * 255 / 64)
+    # tiles of 256 pixels: at a limit of one pixel a value the histogram is nearly even, and values hardly move
+    y, x = np.mgrid[0:128, 0:128]
+    ramp = np.rint(60 + x / 2 + y / 4.0)
+    assert np.abs(equalised(ramp, 1.0) - ramp).mean() < 15 < np.abs(equalised(ramp, 64.0) - ramp).mean()
+    assert equalised(image[:13, :13], 2.0).shape == (13, 13) and np.ptp(equalised(np.full((16, 16), 77.0), 2.0)) == 0
+
+
+def test_faded_film_narrows_the_range_and_clarity_widens_steps():
+    y, x = np.mgrid[0:64, 0:64]
+    batch = np.rint(128 + 50 * np.sin(x / 5) + 40 * np.cos(y / 6))[None]
+    spans = [np.ptp(apply("cew_e3", batch, s, np.arange(1))) for s in (0.0, 0.5, 1.0)]
+    assert np.ptp(batch) > spans[0] > spans[1] > spans[2]
+    black = np.zeros((1, 16, 16))
+    assert 0 < apply("cew_e3", black, 0.5, np.arange(1)).min() < apply("cew_e3", black, 1.0, np.arange(1)).min()
+    # lights are pressed, so the spread of the whole may shrink; steps between neighbours grow with the strength
+    steps = [np.abs(np.diff(z)).mean() for z in (batch, *(apply("cew_e4", batch, s, np.arange(1)) for s in (0.0, 0.5, 1.0)))]
+    assert steps[0] < steps[1] < steps[2] < steps[3]
