@@ -8,11 +8,10 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
+from pyspark.sql.window import Window, WindowSpec
 
-
-def ordered(key: str, *order: str):
-    return Window.partitionBy(key).orderBy(*order)
+from robustlake.operators.ranges import windowed
+from robustlake.operators.runstate import Machine, replay
 
 
 def smoothed(series: DataFrame, key: str, order: list[str], value: str, keep: float = 0.55, digits: int = 2, jump: float | None = None) -> DataFrame:
@@ -47,29 +46,52 @@ def smoothed(series: DataFrame, key: str, order: list[str], value: str, keep: fl
 
 def rolling_median(series: DataFrame, key: str, order: list[str], value: str, size: int = 3) -> DataFrame:
     """Median of the last ``size`` samples (the upper of two), to one place."""
-    w = ordered(key, *order).rowsBetween(-(size - 1), 0)
-    held = F.sort_array(F.collect_list(value).over(w))
-    middle = F.element_at(held, (F.size(held) / 2).cast("int") + 1)
-    return series.select(key, *order, F.round(middle, 1).alias("median"))
+
+    def work(rows: DataFrame, w: WindowSpec) -> DataFrame:
+        held = F.sort_array(F.collect_list("_v").over(w.rowsBetween(-(size - 1), 0)))
+        return rows.withColumn("median", F.round(F.element_at(held, (F.size(held) / 2).cast("int") + 1), 1))
+
+    rows = series.select(key, *order, F.col(value).alias("_v"))
+    return windowed(rows, key, order, size - 1, work).select(key, *order, "median")
+
+
+def _with_previous(names: list[str]):
+    """Columns ``p_`` of the sample before."""
+    return lambda rows, w: rows.withColumns({f"p_{n}": F.lag(n).over(w) for n in names})
 
 
 def rates(series: DataFrame, key: str, order: list[str], counter: str, seconds: Column) -> DataFrame:
     """Increase of a counter per second, never negative; null for the first sample and without time between."""
-    w = ordered(key, *order)
-    rows = series.select(key, *order, F.col(counter).alias("c"), seconds.alias("s"), F.lag(counter).over(w).alias("pc"), F.lag(seconds).over(w).alias("ps"))
-    gap = F.col("s") - F.col("ps")
-    return rows.select(key, *order, F.when(gap > 0, F.greatest(F.lit(0.0), (F.col("c") - F.col("pc")) / gap)).alias("rate"))
+    rows = series.select(key, *order, F.col(counter).alias("c"), seconds.alias("s"))
+    rows = windowed(rows, key, order, 1, _with_previous(["c", "s"]))
+    gap = F.col("s") - F.col("p_s")
+    return rows.select(key, *order, F.when(gap > 0, F.greatest(F.lit(0.0), (F.col("c") - F.col("p_c")) / gap)).alias("rate"))
+
+
+#: Whether an energy counter has a baseline: a reset drops it, the next sample is the new one.
+BASELINE = Machine(["none", "held"], {("none", "sample"): "held", ("held", "sample"): "held", ("none", "drop"): "held", ("held", "drop"): "none"})
 
 
 def power(series: DataFrame, key: str, order: list[str], counter: str, seconds: Column) -> DataFrame:
-    """Watts from an energy counter in microjoules; a reset gives null and drops its own sample as a baseline."""
-    w = ordered(key, *order)
+    """Watts from an energy counter in microjoules; a reset gives null and drops its own sample as a baseline.
+
+    The sample after a reset is a first one, even if the counter fell again.
+    """
     rows = series.select(key, *order, F.col(counter).alias("c"), seconds.alias("s"))
-    rows = rows.select("*", F.lag("c").over(w).alias("pc"), F.lag("s").over(w).alias("ps"))
-    rows = rows.select("*", (F.col("c") < F.col("pc")).alias("reset"))
-    rows = rows.select("*", F.coalesce(F.lag("reset").over(w), F.lit(False)).alias("after_reset"))
-    good = ~F.coalesce("reset", F.lit(True)) & ~F.col("after_reset") & (F.col("s") > F.col("ps"))
-    return rows.select(key, *order, F.when(good, (F.col("c") - F.col("pc")) / (F.col("s") - F.col("ps")) / 1e6).alias("watts"))
+    rows = windowed(rows, key, order, 1, _with_previous(["c", "s"]))
+    fell = F.coalesce((F.col("s") > F.col("p_s")) & (F.col("c") < F.col("p_c")), F.lit(False))
+    rows = replay(rows.withColumn("fell", fell), key, order, F.when(fell, "drop").otherwise("sample"), BASELINE)
+    good = (F.col("before") == "held") & ~F.col("fell") & (F.col("s") > F.col("p_s"))
+    return rows.select(key, *order, F.when(good, (F.col("c") - F.col("p_c")) / (F.col("s") - F.col("p_s")) / 1e6).alias("watts"))
+
+
+def cpu_percent(series: DataFrame, key: str, order: list[str], total: str, idle: str) -> DataFrame:
+    """Busy share of the time between two samples of cumulative counters, 0 to 100; null for the first and without time between."""
+    rows = series.select(key, *order, F.col(total).alias("t"), F.col(idle).alias("i"))
+    rows = windowed(rows, key, order, 1, _with_previous(["t", "i"]))
+    gap = F.col("t") - F.col("p_t")
+    busy = (1 - (F.col("i") - F.col("p_i")) / gap) * 100
+    return rows.select(key, *order, F.when(gap > 0, F.round(F.greatest(F.lit(0.0), F.least(F.lit(100.0), busy)), 2)).alias("percent"))
 
 
 def ring(series: DataFrame, key: str, order: list[str], size: int = 720) -> DataFrame:

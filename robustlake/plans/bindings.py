@@ -80,6 +80,22 @@ def detections(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+#: Requests by the share of orders that stand for them; ``archive`` is legal in no state.
+ACTIONS = ["create"] * 5 + ["claim"] * 4 + ["pause"] * 3 + ["cancel"] + ["resume"] * 3 + ["stop"] * 2 + ["succeed", "fail", "partial", "stale", "stale", "archive"]
+
+
+def requests(spark: SparkSession, d: str) -> DataFrame:
+    """Requests to runs in order of arrival: run 0 gets every ninth one."""
+    key, customer = F.col("o_orderkey"), F.col("o_custkey")
+    action = F.element_at(F.array(*[F.lit(a) for a in ACTIONS]), ((key * 31 + customer * 17 + F.floor(key / 7)) % len(ACTIONS) + 1).cast("int"))
+    return table(spark, d, "orders").select(
+        F.when(key % 9 == 0, 0).otherwise(customer).cast("long").alias("run_id"),
+        key.alias("ord"),
+        action.alias("action"),
+        F.concat(F.lit("worker-"), (key % 5).cast("string")).alias("worker_id"),
+    )
+
+
 def blocks(spark: SparkSession, d: str) -> DataFrame:
     """8 x 8 blocks of pixels 0..255, row by row."""
     pixel = lambda x: F.least(F.lit(255), F.greatest(F.lit(0), F.floor((x.cast("double") + 0.5) * 256))).cast("int")
@@ -87,6 +103,9 @@ def blocks(spark: SparkSession, d: str) -> DataFrame:
 
 
 SQL = {
+    "requests": f"""requests AS (
+  SELECT CASE WHEN o_orderkey % 9 = 0 THEN 0 ELSE o_custkey END AS run_id, o_orderkey AS ord, {ACTIONS!r}[CAST((o_orderkey * 31 + o_custkey * 17 + o_orderkey // 7) % {len(ACTIONS)} + 1 AS INTEGER)] AS action,
+    'worker-' || (o_orderkey % 5) AS worker_id FROM orders)""",
     "cells": """cells AS (
   SELECT l_orderkey || '-' || l_linenumber AS cell_key, 'alg-' || (l_suppkey % 21) AS algorithm_id, 'atk-' || (l_partkey % 43) AS attack_id,
     o_orderpriority AS category, round(l_discount * 10) / 10 AS strength, l_quantity / 50 AS tpr,

@@ -176,18 +176,6 @@ def metric_rank(s, d):
     return own.select("category", "algorithm_id", F.row_number().over(Window.partitionBy("category").orderBy(F.col("m").desc(), "algorithm_id")).alias("rank"))
 
 
-@query("w13_cpu_percent", """WITH g AS (SELECT user_id, event_id, sum(value) OVER w AS total, sum(value * 0.25) OVER w AS idle FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING)),
-h AS (SELECT *, lag(total) OVER v AS pt, lag(idle) OVER v AS pi FROM g WINDOW v AS (PARTITION BY user_id ORDER BY total, event_id))
-SELECT user_id, event_id, round(CASE WHEN total > pt THEN greatest(0, least(100, 100 * (1 - (idle - pi) / (total - pt)))) END, 4) AS percent FROM h""")
-def cpu_percent(s, d):
-    w = Window.partitionBy("user_id").orderBy("ts", "event_id").rowsBetween(Window.unboundedPreceding, 0)
-    sums = table(s, d, "events").select("user_id", "event_id", F.sum("value").over(w).alias("total"), F.sum(F.col("value") * 0.25).over(w).alias("idle"))
-    v = Window.partitionBy("user_id").orderBy("total", "event_id")
-    rows = sums.select("*", F.lag("total").over(v).alias("pt"), F.lag("idle").over(v).alias("pi"))
-    percent = 100 * (1 - (F.col("idle") - F.col("pi")) / (F.col("total") - F.col("pt")))
-    return rows.select("user_id", "event_id", F.round(F.when(F.col("total") > F.col("pt"), F.greatest(F.lit(0.0), F.least(F.lit(100.0), percent))), 4).alias("percent"))
-
-
 @query("w17_accuracy_series", with_views("cells") + "SELECT algorithm_id, count(*) AS n_points, min(strength) AS first, max(strength) AS last FROM (SELECT DISTINCT algorithm_id, strength FROM cells WHERE status = 'succeeded') GROUP BY 1 HAVING count(*) >= 2")
 def accuracy_series(s, d):
     own = cells(s, d).where("status = 'succeeded'").select("algorithm_id", "strength").distinct()
@@ -264,12 +252,6 @@ def shard_specs(s, d):
     return lists.groupBy(F.col("shard").cast("long").alias("shard")).agg(F.sum("n").alias("n_samples"), F.count(F.lit(1)).alias("n_datasets"), F.max("n").alias("max_samples"))
 
 
-@query("c10_run_state", with_views("phases") + "SELECT run_id, arg_max(status, ord) AS status, arg_max(status, ord) <> 'succeeded' AS resumable FROM phases GROUP BY 1")
-def run_state(s, d):
-    last = F.max_by("status", "ord")
-    return phases(s, d).groupBy("run_id").agg(last.alias("status"), (last != "succeeded").alias("resumable"))
-
-
 @query("c14_override_merge", "SELECT p_partkey, 'cew_s2=4,noise_to_image=' || (p_size + 1) AS merged FROM part")
 def override_merge(s, d):
     base, more = S.overrides(F.lit("cew_s2=4,noise_to_image=1")), S.overrides(F.concat(F.lit("noise_to_image="), F.col("p_size") + 1))
@@ -278,14 +260,6 @@ def override_merge(s, d):
     return table(s, d, "part").select("p_partkey", F.array_join(F.transform(pairs, lambda e: F.concat_ws("=", e["key"], e["value"])), ",").alias("merged"))
 
 
-@query("t04_stale_runs", "SELECT user_id AS run_id, CASE WHEN max(ts) < TIMESTAMP '2024-01-30 00:00:00' - INTERVAL 12 HOUR THEN 'paused' ELSE 'running' END AS status FROM events WHERE ts <= TIMESTAMP '2024-01-30 00:00:00' GROUP BY 1")
-def stale_runs(s, d):
-    from robustlake.streaming.live import paused_runs
-
-    beats = table(s, d, "events").where(F.col("ts") <= F.lit("2024-01-30 00:00:00").cast("timestamp")).select(F.col("user_id").alias("run_id"), F.col("ts").alias("last_seen"))
-    return paused_runs(beats, beats.select("run_id", F.lit("running").alias("status")).distinct(), "2024-01-30 00:00:00", 12 * 3600 / 5)
-
-
 @query("t01_stage_windows", """SELECT event_type, date_trunc('hour', ts) AS start, count(*) AS n, round(avg(value), 6) AS mean FROM events GROUP BY 1, 2""")
 def stage_windows(s, d):
     own = table(s, d, "events").groupBy("event_type", F.date_trunc("hour", "ts").cast("timestamp_ntz").alias("start"))

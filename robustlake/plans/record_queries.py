@@ -289,13 +289,6 @@ def rate(s, d):
     return T.rates(table(s, d, "events"), "user_id", ["ts", "event_id"], "value", seconds).select("user_id", "event_id", F.round("rate", 9).alias("rate"))
 
 
-@query("w12_energy_power", f"WITH {RATE}, h AS (SELECT *, value < pv AS reset, row_number() OVER (PARTITION BY user_id ORDER BY s, event_id) AS k FROM g), j AS (SELECT *, coalesce(lag(reset) OVER (PARTITION BY user_id ORDER BY k), false) AS after_reset FROM h)" + """
-SELECT user_id, event_id, round(CASE WHEN NOT coalesce(reset, true) AND NOT after_reset AND s > ps THEN (value - pv) / (s - ps) / 1e6 END, 12) AS watts FROM j""")
-def watts(s, d):
-    seconds = F.unix_micros(F.col("ts").cast("timestamp")) / 1000000
-    return T.power(table(s, d, "events"), "user_id", ["ts", "event_id"], "value", seconds).select("user_id", "event_id", F.round("watts", 12).alias("watts"))
-
-
 @query("w14_ring_buffer", "SELECT user_id, event_id, CAST(age AS INTEGER) AS age FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS age FROM events) WHERE age <= 20")
 def ring_buffer(s, d):
     return T.ring(table(s, d, "events"), "user_id", ["ts", "event_id"], 20).select("user_id", "event_id", "age")
