@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from robustlake.operators import kept as K
 from robustlake.operators import runstate as R
 from robustlake.operators import telemetry as T
-from robustlake.plans.bindings import requests, table, with_views
+from robustlake.plans.bindings import cells, requests, table, with_views
 from robustlake.plans.registry import query
+from robustlake.storage import scratch
 
 
 def _replay_sql() -> str:
@@ -70,3 +72,26 @@ def cpu_percent(s, d):
     """A hundred ticks a second, of which some sixty are idle."""
     rows = table(s, d, "events").select("user_id", "ts", "event_id", (seconds() * 100).alias("total"), (seconds() * 60 + F.col("value") * 20000).alias("idle"))
     return T.cpu_percent(rows, "user_id", ["ts", "event_id"], "total", "idle").select("user_id", "event_id", "percent")
+
+
+@query("k08_kept_scores", with_views("cells") + """
+SELECT algorithm_id, attack_id, strength, round(sum(nqd * w) / sum(w), 6) AS nqd, round(sum(tpr * w) / sum(w), 6) AS tpr, CAST(sum(samples) AS BIGINT) AS samples,
+  algorithm_id IN ('alg-3', 'alg-20') AS read_again
+FROM (SELECT *, CASE WHEN samples > 0 THEN samples ELSE 1 END::DOUBLE AS w FROM cells) GROUP BY 1, 2, 3""")
+def kept_scores(s, d):
+    """Scores after a second refresh, which one input of more rows than before and a new one cause to be read, and no other."""
+    rows = cells(s, d).select(F.col("algorithm_id").alias("unit"), "attack_id", "strength", "nqd", "tpr", "samples", "status")
+    folder = scratch(s, "kept-scores")
+    source, unit = f"{folder.path}/source", F.col("unit")
+    before = rows.where((unit != "alg-20") & ((unit != "alg-3") | (F.col("status") == "succeeded")))
+    before.repartition("unit").write.partitionBy("unit").parquet(source)
+    store = K.Kept(s, f"{folder.path}/store", K.curve_sums)
+    store.refresh(source)
+    first = store.manifest().agg(F.max("version")).first()[0]
+    late = rows.where(unit.isin("alg-3", "alg-20")).repartition("unit")
+    late.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("unit").parquet(source)
+    store.refresh(source)
+    again = store.manifest().select(F.col("unit").alias("algorithm_id"), (F.col("version") > first).alias("read_again"))
+    points = K.merged_points(store.sums().withColumnRenamed("unit", "algorithm_id"), "algorithm_id", "attack_id", "strength")
+    points = points.join(F.broadcast(again), "algorithm_id")  # a row for each input
+    return points.select("algorithm_id", "attack_id", "strength", F.round("nqd", 6).alias("nqd"), F.round("tpr", 6).alias("tpr"), "samples", "read_again")
