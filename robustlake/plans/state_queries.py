@@ -10,6 +10,7 @@ from robustlake.operators import telemetry as T
 from robustlake.plans.bindings import cells, requests, table, with_views
 from robustlake.plans.registry import query
 from robustlake.storage import scratch
+from robustlake.streaming import heartbeats as H
 
 
 def _replay_sql() -> str:
@@ -95,3 +96,42 @@ def kept_scores(s, d):
     points = K.merged_points(store.sums().withColumnRenamed("unit", "algorithm_id"), "algorithm_id", "attack_id", "strength")
     points = points.join(F.broadcast(again), "algorithm_id")  # a row for each input
     return points.select("algorithm_id", "attack_id", "strength", F.round("nqd", 6).alias("nqd"), F.round("tpr", 6).alias("tpr"), "samples", "read_again")
+
+
+#: Beats of a run may be six hours apart; a fifth of the beats comes up to two hours late, of which a stream hears within three.
+LIMIT, DELAY = 6 * 3600, 3 * 3600
+
+
+def beats(s, d):
+    """Beats of workers on runs, as files in the order of their arrival, and their schema."""
+    rows = table(s, d, "events").select("event_id", F.col("user_id").alias("worker_id"), (F.col("user_id") % 40).alias("run_id"), F.col("ts").cast("timestamp").alias("ts"), F.col("event_type").alias("status"))
+    late = F.when(F.col("event_id") % 5 == 0, F.col("event_id") % 7200).otherwise(0)
+    return H.arriving(rows, F.unix_micros("ts") + late * 1_000_000, 6), rows.schema
+
+
+@query("t04_stale_runs", f"""WITH b AS (SELECT user_id % 40 AS run_id, ts FROM events),
+g AS (SELECT *, coalesce(ts - lag(ts) OVER (PARTITION BY run_id ORDER BY ts) > INTERVAL {LIMIT} SECOND, true) AS begins FROM b),
+n AS (SELECT *, sum(begins::INTEGER) OVER (PARTITION BY run_id ORDER BY ts) AS span FROM g),
+s AS (SELECT run_id, min(ts) AS seen_from, max(ts) AS last_seen, max(ts) + INTERVAL {LIMIT} SECOND AS paused_at, count(*) AS beats FROM n GROUP BY run_id, span)
+SELECT run_id, epoch_us(seen_from) AS seen_from, epoch_us(last_seen) AS last_seen, epoch_us(paused_at) AS paused_at, beats FROM s WHERE paused_at <= (SELECT max(ts) FROM events) - INTERVAL {DELAY} SECOND""")
+def stale_runs(s, d):
+    """Pauses that a stream over the beats reports, late ones among them."""
+    source, schema = beats(s, d)
+    found = H.replayed_silences(s, source, schema, LIMIT, f"{DELAY} seconds")
+    return found.select("run_id", *[F.unix_micros(c).alias(c) for c in ("seen_from", "last_seen", "paused_at")], "beats")
+
+
+@query("t04_stale_batch", f"""WITH b AS (SELECT user_id AS run_id, ts FROM events),
+g AS (SELECT *, coalesce(ts - lag(ts) OVER (PARTITION BY run_id ORDER BY ts) > INTERVAL {4 * LIMIT} SECOND, true) AS begins FROM b),
+n AS (SELECT *, sum(begins::INTEGER) OVER (PARTITION BY run_id ORDER BY ts) AS span FROM g)
+SELECT run_id, epoch_us(max(ts)) AS last_seen, count(*) AS beats FROM n GROUP BY run_id, span HAVING max(ts) + INTERVAL {4 * LIMIT} SECOND <= (SELECT max(ts) FROM events) - INTERVAL {DELAY} SECOND""")
+def stale_batch(s, d):
+    found = H.silences_so_far(table(s, d, "events").withColumnRenamed("user_id", "run_id"), 4 * LIMIT, DELAY)
+    return found.select("run_id", F.unix_micros("last_seen").alias("last_seen"), "beats")
+
+
+@query("t03_heartbeats", "SELECT user_id AS worker_id, max(event_id) AS event_id, user_id % 40 AS run_id, epoch_us(arg_max(ts, event_id)) AS last_seen, arg_max(event_type, event_id) AS status FROM events GROUP BY user_id")
+def heartbeats(s, d):
+    """The last beat of each worker after a stream over the beats, late ones among them."""
+    source, schema = beats(s, d)
+    return H.replayed_beats(s, source, schema, "worker_id", "event_id").select("worker_id", "event_id", "run_id", F.unix_micros("ts").alias("last_seen"), "status")
