@@ -27,7 +27,7 @@ from __future__ import annotations
 import html as entities
 import re
 import zlib
-from collections import Counter
+from collections import defaultdict
 from collections.abc import Iterator
 from functools import lru_cache
 from itertools import islice
@@ -61,7 +61,7 @@ PART = re.compile(r"[a-z]+")
 
 PATH_BUCKETS, WORD_BUCKETS = 4096, 4096
 PATH_DIMS, WORD_DIMS, MEASURES = 16, 8, 6
-#: Names of a tag path that a block's vector takes in, the outermost first.
+#: Names of a tag path that a block's vector takes in: all of a path, or of a longer one the outermost and the innermost half each.
 MOST_NAMES = 64
 #: Blocks that the labeller reads in one step, of all pages together.
 STEP_BLOCKS = 40_000
@@ -88,7 +88,14 @@ def blocks_of(page: str) -> list[tuple[str, tuple[str, ...], int]]:
     held: dict[str, int] = {}
     links = [0]
 
+    # where each name and each block element stands in the stack, innermost last
+    places: dict[str, list[int]] = defaultdict(list)
+    block_places: list[int] = []
+
     def push(tag: str, own: tuple[str, ...]) -> None:
+        places[tag].append(len(stack))
+        if tag in BLOCK:
+            block_places.append(len(stack))
         stack.append((tag, own))
         links[0] += tag == "a"
         for x in own:
@@ -98,21 +105,25 @@ def blocks_of(page: str) -> list[tuple[str, tuple[str, ...], int]]:
         while len(stack) > at:
             tag, own = stack.pop()
             links[0] -= tag == "a"
-            open_tags[tag] -= 1
+            places[tag].pop()
+            if tag in BLOCK:
+                block_places.pop()
             for x in own:
                 if held[x] == 1:
                     del held[x]
                 else:
                     held[x] -= 1
 
-    open_tags: Counter[str] = Counter()
+    def innermost(tags) -> int:
+        return max((places[t][-1] for t in tags if places[t]), default=-1)
 
     def say(raw: str) -> None:
         if raw:
             text = entities.unescape(raw)
             if not parts:
                 nonlocal path
-                path = tuple(islice(held, MOST_NAMES))
+                half = MOST_NAMES // 2
+                path = tuple(held) if len(held) <= MOST_NAMES else (*islice(held, half), *reversed([*islice(reversed(held), half)]))
             parts.append(text)
             if links[0]:
                 linked[0] += len(text)
@@ -132,13 +143,10 @@ def blocks_of(page: str) -> list[tuple[str, tuple[str, ...], int]]:
         if token[1]:
             if tag in BLOCK:
                 flush()
-            if open_tags[tag]:
-                for k in range(len(stack) - 1, -1, -1):
-                    if stack[k][0] == tag:
-                        cut(k)
-                        break
-                    if tag not in BLOCK and stack[k][0] in BLOCK:
-                        break  # an inline end tag does not close the block around it
+            at_tag = innermost((tag,))
+            # an inline end tag does not close the block around it
+            if at_tag >= 0 and (tag in BLOCK or not block_places or block_places[-1] < at_tag):
+                cut(at_tag)
             continue
         if tag == "br":
             if parts:
@@ -146,20 +154,10 @@ def blocks_of(page: str) -> list[tuple[str, tuple[str, ...], int]]:
             continue
         if tag in BLOCK:
             flush()
-            if tag in CLOSE_P:
-                for k in range(len(stack) - 1, -1, -1):
-                    if stack[k][0] == "p":
-                        cut(k)
-                        break
-                    if stack[k][0] in BLOCK:
-                        break
-            if any(open_tags[t] for t in CLOSES.get(tag, ())):
-                for k in range(len(stack) - 1, -1, -1):
-                    if stack[k][0] in PARENTS[tag]:
-                        break
-                    if stack[k][0] in CLOSES[tag]:
-                        cut(k)
-                        break
+            if tag in CLOSE_P and block_places and stack[block_places[-1]][0] == "p":
+                cut(block_places[-1])
+            if (at_tag := innermost(CLOSES.get(tag, ()))) > innermost(PARENTS.get(tag, ())):
+                cut(at_tag)
         if tag in VOID or token[3].rstrip().endswith("/") and tag not in BLOCK:
             continue
         if tag in RAW:
@@ -171,7 +169,6 @@ def blocks_of(page: str) -> list[tuple[str, tuple[str, ...], int]]:
             for m in ATTRIBUTE.finditer(token[3]):
                 own += PART.findall((m[1] or m[2] or m[3] or "").lower())
         push(tag, tuple(own))
-        open_tags[tag] += 1
     flush()
     return found
 

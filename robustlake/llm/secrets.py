@@ -17,7 +17,9 @@ Spans are in code points, end exclusive, leftmost and non-overlapping for each
 rule: the pieces between matches and the matches themselves add up to starts.
 
 Defined results: a null or empty text has no spans. Repeated rows give repeated
-results; null ids stay null.
+results; null ids stay null. Spans of one start come in the order of the rules. A
+text of any length is read whole, in time that is linear in its length and its hits.
+An empty table has no rows; extra columns are not read, whatever their names.
 """
 
 from __future__ import annotations
@@ -36,6 +38,8 @@ from robustlake.llm.common import row_key, written
 BROADCAST_ROWS = 250_000
 #: Most alternatives of a query; an expression with more has a gap in their place.
 ALTERNATIVES = 48
+#: Hits whose places one step adds up.
+HITS = 64
 _GAP = "\0"
 
 
@@ -145,24 +149,56 @@ def candidates(docs: DataFrame, rules: tuple[Rule, ...]) -> DataFrame:
     return met.groupBy("key").agg(F.collect_set("kind").alias("kinds"))
 
 
+def _let(value: Column, work) -> Column:
+    """``work(value)`` with ``value`` computed once."""
+    return F.element_at(F.transform(F.array(value), work), 1)
+
+
+def _sum(sizes: Column) -> Column:
+    return F.aggregate(sizes, F.lit(0), lambda s, x: s + x)
+
+
+def _starts(sizes: Column, at: Column) -> Column:
+    """Sums of the sizes before each, from ``at`` on. Appending copies: for short arrays only."""
+    first = F.struct(at.alias("at"), F.array().cast("array<int>").alias("out"))
+    step = lambda s, x: F.struct((s["at"] + x).alias("at"), F.array_append(s["out"], s["at"]).alias("out"))
+    return F.aggregate(sizes, first, step, lambda s: s["out"])
+
+
+def _parts(items: Column, size: int) -> Column:
+    """A bound array in parts of ``size``. By single elements: ``slice`` walks the whole array each time."""
+    n = F.size(items)
+    part = lambda k: F.transform(F.sequence(k * size, F.least((k + 1) * size, n) - 1), lambda i: F.get(items, i))
+    return F.when(n > 0, F.transform(F.sequence(F.lit(0), F.floor((n - 1) / size).cast("int")), part)).otherwise(F.transform(F.filter(items, lambda _: F.lit(False)), lambda x: F.array(x)))
+
+
+def _running(sizes: Column) -> Column:
+    """Sums of the sizes before each of them, in three levels: linear in their number for any text."""
+
+    def below(blocks: Column) -> Column:
+        ahead = _let(F.transform(blocks, _sum), lambda totals: _let(_parts(totals, HITS), lambda groups: _let(_starts(F.transform(groups, _sum), F.lit(0)), lambda begins: F.flatten(F.transform(F.arrays_zip(groups.alias("g"), begins.alias("b")), lambda z: _starts(z["g"], z["b"]))))))
+        return F.flatten(F.transform(F.arrays_zip(blocks.alias("s"), ahead.alias("b")), lambda z: _starts(z["s"], z["b"])))
+
+    return _let(sizes, lambda own: _let(_parts(own, HITS), below))
+
+
 def _spans(text: Column, rule: Rule, number: int) -> Column:
     """array<struct<start, number, end>> of one rule in one text."""
     pattern = F.lit(rule.pattern)
     hits = F.regexp_extract_all(text, pattern, F.lit(0))
     values = F.regexp_extract_all(text, pattern, F.lit(rule.group)) if rule.group else hits
     between = F.split(text, rule.pattern, -1)
-    rows = F.arrays_zip(F.slice(between, 1, F.size(hits)).alias("b"), hits.alias("h"), values.alias("v"))
-    empty = F.lit(None).cast("array<struct<start:int,number:int,end:int>>")
-
-    def step(state: Column, row: Column) -> Column:
-        start = state["at"] + F.char_length(row["b"])
-        end = start + F.char_length(row["h"])
-        span = F.struct(start.alias("start"), F.lit(number).alias("number"), end.alias("end"))
-        own = F.when(F.char_length(row["v"]) >= rule.least, F.array(span)).otherwise(F.array().cast("array<struct<start:int,number:int,end:int>>"))
-        return F.struct(end.alias("at"), F.concat(state["spans"], own).alias("spans"))
-
-    first = F.struct(F.lit(0).alias("at"), F.coalesce(empty, F.array().cast("array<struct<start:int,number:int,end:int>>")).alias("spans"))
-    return F.aggregate(rows, first, step, lambda state: state["spans"])
+    lengths = lambda x: F.transform(x, F.char_length)
+
+    def placed(found: Column) -> Column:
+        steps = F.transform(F.arrays_zip(found["b"].alias("b"), found["h"].alias("h")), lambda z: z["b"] + z["h"])
+        rows = F.arrays_zip(_running(steps).alias("at"), found["b"].alias("b"), found["h"].alias("h"), found["v"].alias("v"))
+        start = lambda r: r["at"] + r["b"]
+        spans = F.transform(F.filter(rows, lambda r: r["v"] >= rule.least), lambda r: F.struct(start(r).alias("start"), F.lit(number).alias("number"), (start(r) + r["h"]).alias("end")))
+        return F.when(F.size(found["h"]) > 0, spans).otherwise(F.array().cast("array<struct<start:int,number:int,end:int>>"))
+
+    sized = _let(hits, lambda h: F.struct(F.slice(lengths(between), 1, F.size(h)).alias("b"), lengths(h).alias("h"), (lengths(values) if rule.group else lengths(h)).alias("v")))
+    return _let(sized, placed)
 
 
 def secret_spans(docs: DataFrame, rules: tuple[Rule, ...] = BASE + MORE) -> DataFrame:

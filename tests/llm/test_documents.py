@@ -492,3 +492,27 @@ def test_suffix_order_of_many_ranks(monkeypatch):
     monkeypatch.setattr(suffixes, "RANK_BITS", 4)
     again, same_again = suffix_order(data, places)
     assert (order == again).all() and (same == same_again).all()
+
+
+def test_secret_scan_of_a_text_of_many_hits(spark):
+    import time
+
+    took = []
+    for n in (5_000, 100_000):
+        text = " ".join(f"token={k:08d} {k:032x} é" for k in range(n))
+        df = spark.createDataFrame([(1, text, "kinds", 3)], "doc_id long, text string, kinds string, key long")
+        begun = time.time()
+        got = op5_secret_scan(df).first()
+        took.append(time.time() - begun)
+        assert (got.n_assign, got.n_hex) == (n, n)
+        first, *_, last = re.finditer(r"token=[0-9]+|[0-9a-f]{24,}", text)
+        assert got.spans.startswith(f"assign:{first.start()}:{first.end()},hex:") and got.spans.endswith(f"hex:{last.start()}:{last.end()}")
+    assert took[1] < 20 * took[0] + 10
+
+
+def test_secret_scan_of_an_empty_table_and_ties(spark):
+    schema = "doc_id long, text string, spans string, n_hex string"
+    assert op5_secret_scan(spark.createDataFrame([], schema)).count() == 0
+    tied = "token=" + "a" * 30
+    got = op5_secret_scan(spark.createDataFrame([(1, tied + " " + "b" * 24, None, None)], schema)).first()
+    assert got.spans == "assign:0:36,hex:6:36,hex:37:61"

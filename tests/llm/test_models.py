@@ -1,6 +1,7 @@
 """Trained operators by held-out accuracy, and exact top-k against brute force."""
 
 import random
+import time
 import zlib
 
 import numpy as np
@@ -154,3 +155,27 @@ def test_tree_visits_no_more_than_it_must():
     want = sorted(((int(p @ query[0]), -i) for i, p in enumerate(points)), reverse=True)[:5]
     assert tree.search(query, [-1], [None]) == [[(s, -i) for s, i in want]]
     assert tree.search(query, [-1], [want[0][0] + 1]) == [[]]
+
+
+def test_blocks_of_deep_markup_in_steady_time():
+    took = []
+    for n in (5_000, 50_000):
+        begun = time.process_time()
+        for page in ("<b>" * n + "x<hr>" * n, "<i><div>" + "<b>" * n + "</i>x" * n, "<ul>" + "<b>" * n + "<li>x" * n):
+            blocks_of(page)
+        took.append(time.process_time() - begun)
+    assert took[1] < 30 * took[0]
+
+
+def test_a_long_path_keeps_both_ends():
+    page = "".join(f"<div class='{chr(97 + k // 26)}{chr(97 + k % 26)}{chr(97 + k // 26)}'>" for k in range(200)) + "text"
+    path = blocks_of(page)[0][1]
+    assert len(path) == MOST_NAMES and path[0] == "<div" and path[-1] == "hrh" and path[1] == "aaa"
+
+
+def test_extraction_with_clashing_columns_and_odd_pages(spark):
+    rows = [(1, "u", "<article><p>One two three.</p></article>", "t", 5), (2, None, None, None, None), (None, "v", "", "x", 1), (1, "u", "<article><p>One two three.</p></article>", "t", 5)]
+    got = op3_html_extract(spark.createDataFrame(rows, "page_id long, url string, html string, text string, n_chars long"))
+    assert got.columns[:4] == ["page_id", "url", "text", "n_chars"]
+    assert sorted((r.page_id or 0, r.url or "", r.text, r.n_chars) for r in got.collect())[:2] == [(0, "v", "", 0), (1, "u", got.where("page_id = 1").first().text, got.where("page_id = 1").first().n_chars)]
+    assert op3_html_extract(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
