@@ -20,7 +20,9 @@ Before anything moves, a task settles what it can: of equal contexts in its own
 batch only those of the smallest id go on, the others are repeats already. So
 a passage of a third of all documents reaches its block once per batch. A gram
 that many texts share in different surroundings would still fill one block: the
-strings of such hot grams travel one by one, dealt by a hash of their 50 bytes.
+strings of such hot grams travel one by one, dealt by a hash of their 50 bytes, and
+a task sends each of them once for each smaller id that it meets, not once for each
+text: the others are repeats of what went on.
 Which grams are hot is guessed from a sample and known to all tasks; it decides
 where a string is compared, never whether. Exact
 copies of a whole text (by SHA-256) are told apart first and never enter the
@@ -56,6 +58,8 @@ LEAST_BLOCKS = 256
 COVER, PERIOD = (0, 1, 3), 6
 #: A gram is hot if its contexts, by a sample of one text in ``SAMPLE_STEP`` at most, fill more than a block.
 SAMPLE_TEXTS, SAMPLE_STEP, HOT_LEAST, CONTEXT_BYTES = 4000, 1000, 16, 88
+#: Hot grams that all tasks know, those of the most contexts first, and strings of them that a task remembers.
+HOT_GRAMS, KEPT_STRINGS = 200_000, 200_000
 #: Strings that are compared byte by byte at a time.
 COMPARED = 20_000
 #: Bits that a rank has beside five bytes of text in one number.
@@ -127,6 +131,24 @@ def _by_bytes(data: np.ndarray, at: np.ndarray, sizes: np.ndarray) -> np.ndarray
     return np.array([met.setdefault(data[a : a + n].tobytes(), k) for k, (a, n) in enumerate(zip(at.tolist(), sizes.tolist()))], np.int64)
 
 
+def _repeats(data: np.ndarray, at: np.ndarray, ids: np.ndarray, rolling: Rolling, length: int, met: dict[bytes, int]) -> np.ndarray:
+    """Which of the strings at ``at`` also start in a smaller id here or in what the task has ``met`` before.
+
+    One string of each kind, that of the smallest id, stays, unless the task has sent it or a smaller one already.
+    """
+    group = equal_groups(data, at, np.full(len(at), length, np.int64), rolling)
+    smallest = np.full(len(group), np.iinfo(np.int64).max)
+    np.minimum.at(smallest, group, ids)
+    if len(met) > KEPT_STRINGS:
+        met.clear()
+    sent = np.full(len(group), np.iinfo(np.int64).max)
+    for kind in np.flatnonzero(group == np.arange(len(group))).tolist():
+        string = data[at[kind] : at[kind] + length].tobytes()
+        sent[kind] = before = met.get(string, sent[kind])
+        met[string] = min(before, int(smallest[kind]))
+    return (ids > smallest[group]) | (ids > sent[group])
+
+
 def _emit(block, *columns) -> pa.RecordBatch:
     cols = [pa.array(block, pa.int32())]
     for values in columns:
@@ -135,7 +157,7 @@ def _emit(block, *columns) -> pa.RecordBatch:
 
 
 def _packer(blocks: int, passes: int, number: int, length: int, hot: np.ndarray):
-    def step(ids: list[int], keys: list[int], bases: list[int], texts: list[bytes], turn: int):
+    def step(ids: list[int], keys: list[int], bases: list[int], texts: list[bytes], turn: int, met: dict[bytes, int]):
         data = np.frombuffer(b"".join(texts), np.uint8)
         begins = np.concatenate(([0], np.cumsum([len(t) for t in texts]))).astype(np.int64)
         if len(data) < length:
@@ -160,8 +182,11 @@ def _packer(blocks: int, passes: int, number: int, length: int, hot: np.ndarray)
             reps = counts[crowd]
             one = np.repeat(crowd, reps)
             ahead = np.arange(len(one)) - np.repeat(np.cumsum(reps) - reps, reps)
-            going = np.concatenate((np.setdiff1d(going, crowd, assume_unique=True), len(grams) + np.arange(len(one))))
             single = first[one] + ahead
+            gone = _repeats(data, single, id_of[one], rolling, length, met)
+            own = len(grams) + np.arange(len(one))
+            settled = np.concatenate((settled, own[gone]))
+            going = np.concatenate((np.setdiff1d(going, crowd, assume_unique=True), own[~gone]))
             strings = mix(rolling.hashes(single, single + length))
             dealt = np.concatenate((dealt, strings % U(blocks)))
             grams, id_of, key_of = (np.concatenate((x, x[one])) for x in (grams, id_of, key_of))
@@ -197,6 +222,7 @@ def _packer(blocks: int, passes: int, number: int, length: int, hot: np.ndarray)
     @tidy
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, keys, bases, texts, size, turn = [], [], [], [], 0, 0
+        met: dict[bytes, int] = {}  # strings of hot grams that went on, with the smallest id that did
         for batch in batches:
             for i, k, t in zip(*(batch.column(c).to_pylist() for c in range(3))):
                 # a long text in pieces: each string of ``length`` bytes starts in one of them
@@ -209,12 +235,12 @@ def _packer(blocks: int, passes: int, number: int, length: int, hot: np.ndarray)
                     size += len(piece)
                     if size >= STEP_BYTES:
                         turn += 1
-                        out = step(ids, keys, bases, texts, spread(ids[0]) + turn)
+                        out = step(ids, keys, bases, texts, spread(ids[0]) + turn, met)
                         if out is not None:
                             yield out
                         ids, keys, bases, texts, size = [], [], [], [], 0
         if texts:
-            out = step(ids, keys, bases, texts, spread(ids[0]))
+            out = step(ids, keys, bases, texts, spread(ids[0]), met)
             if out is not None:
                 yield out
 
@@ -409,6 +435,7 @@ def hot_grams(rows: DataFrame, texts: int, length: int) -> np.ndarray:
 
     sample = rows.where(F.pmod(F.xxhash64(F.lit(2), "data"), F.lit(step)) == 0).select("data")
     found = sample.mapInArrow(work, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
+    found = found.orderBy(F.col("n").desc(), "gram").limit(HOT_GRAMS)
     return np.array([r.gram for r in found.select("gram").collect()], np.int64).view(np.uint64)
 
 

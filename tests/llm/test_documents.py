@@ -516,3 +516,42 @@ def test_secret_scan_of_an_empty_table_and_ties(spark):
     tied = "token=" + "a" * 30
     got = op5_secret_scan(spark.createDataFrame([(1, tied + " " + "b" * 24, None, None)], schema)).first()
     assert got.spans == "assign:0:36,hex:6:36,hex:37:61"
+
+
+def test_a_phrase_of_most_texts_reaches_its_block_once_a_task(spark, monkeypatch):
+    rng = np.random.default_rng(8)
+    word = lambda n: "".join(chr(97 + c) for c in rng.integers(0, 26, n))
+    phrase = "all rights reserved; see the file LICENSE that comes with it."  # 61 bytes: strings of fifty repeat inside
+    order = rng.permutation(1200)
+    own = [(int(k), word(60) + phrase + word(60)) for k in order]
+    df = spark.createDataFrame(own, "doc_id long, text string").repartition(4)
+    want = found(op10_suffix_dedup(df))
+    assert all(r[2] >= len(phrase) for r in want if r[0]) and want[0][2] == 0
+    rows = df.selectExpr("doc_id", "doc_id AS key", "cast(text AS binary) AS data").cache()
+    monkeypatch.setattr(suffixes, "BLOCK_BYTES", 1000)
+    monkeypatch.setattr(suffixes, "STEP_BYTES", 20_000)  # some three steps a task
+    hot = suffixes.hot_grams(rows, len(own), 50)
+    sizes = Counter()
+    for number in range(3):
+        for r in rows.mapInArrow(suffixes._packer(256, 3, number, 50, hot), suffixes.PACKED).collect():
+            if r.block < 256:
+                sizes[number, r.block] += len(r.bytes)
+    sizes = sorted(sizes.values())
+    assert len(hot) and sizes[-1] < 4 * sizes[len(sizes) // 2]
+    assert found(op10_suffix_dedup(df)) == want
+
+
+def test_hot_grams_are_bounded(spark, monkeypatch):
+    monkeypatch.setattr(suffixes, "BLOCK_BYTES", 1000)
+    monkeypatch.setattr(suffixes, "HOT_GRAMS", 1)
+    rows = spark.createDataFrame([(k, f"{k:05d} some passage that all of the texts share here, {k:05d}") for k in range(200)], "doc_id long, text string")
+    assert len(suffixes.hot_grams(rows.selectExpr("cast(text AS binary) AS data"), 200, 50)) == 1
+
+
+def test_suffix_dedup_of_empty_tables_ties_and_extra_columns(spark):
+    schema = "doc_id long, text string, data string, start int, key long"
+    assert op10_suffix_dedup(spark.createDataFrame([], schema)).count() == 0
+    long = "x".join(str(k) for k in range(60))
+    tied = [(1, long + "a" * 60, "d", 1, 2), (1, "b" + long, "d", 1, 2), (2, long, "d", 1, 2), (2, long, "d", 1, 2), (None, long, "d", 1, 2)]
+    got = found(op10_suffix_dedup(spark.createDataFrame(tied, schema)))
+    assert [(r[0], r[2]) for r in got] == [(1, 0), (1, 0), (2, len(long)), (2, len(long)), (None, 0)]
