@@ -73,12 +73,21 @@ def windowed(rows: DataFrame, key: str, order: list[str], reach: int, work: Call
     return found.unionByName(inner.where(~F.col(HALO)).drop(PART, HALO))
 
 
-def attach(rows: DataFrame, facts: DataFrame, key: str) -> DataFrame:
-    """``rows`` with the one row of ``facts`` of their key: rows of crowded keys stay where they are."""
-    plain, hot = split(rows, key)
-    found = plain.join(facts, key)
-    if hot is None:
-        return found
-    few = facts.join(F.broadcast(hot.select(key).distinct()), key, "left_semi")  # fewer than there are partitions
-    return found.unionByName(hot.join(F.broadcast(few), key))
+#: Most rows of facts that are broadcast whole.
+FEW = 50_000
 
+
+def attach(rows: DataFrame, facts: DataFrame, key: str, size: str = "n") -> DataFrame:
+    """``rows`` with the one row of ``facts`` of their key, where there is one; other rows go.
+
+    ``facts`` is a settled table that holds each key's number of rows in ``size``. Up to ``FEW`` facts are broadcast.
+    Of more, only those of crowded keys are, of which there are fewer than partitions: rows of a crowded key stay
+    where they are, the others are shuffled.
+    """
+    if facts.count() <= FEW:
+        return rows.join(F.broadcast(facts), key)
+    total = facts.agg(F.sum(size)).first()[0]
+    hot = F.col(size) > total // int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    few = F.broadcast(facts.where(hot))
+    cold = rows.join(F.broadcast(facts.where(hot).select(key)), key, "left_anti").join(facts.where(~hot), key)
+    return cold.unionByName(rows.join(few, key))

@@ -6,6 +6,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from robustlake.operators.ranges import attach
+from robustlake.storage import settled
+
 #: Engine defaults (configurable), since the blueprint does not show the values: share of controls accepted, and the largest practical degradation.
 FPR_TARGET = 0.001
 PRACTICAL_NQD = 0.8
@@ -20,22 +23,50 @@ def bit_accuracy(expected: Column, decoded: Column) -> Column:
     return F.when(n > 0, same / n).otherwise(F.lit(0.0))
 
 
-def order_statistic(rows: DataFrame, group: str, value: str, share: float, steps: int = 4096) -> DataFrame:
+#: Steps of the quantile summary (its ranks err by less than one of them), and values of a group that one task ranks.
+STEPS, FITS = 1000, 1_000_000
+
+
+def _bracket(rows: DataFrame, place: Column, steps: int) -> DataFrame:
+    """Of each group's values two between which the one at ``place`` (0 to 1, one for each group) lies, from a mergeable summary.
+
+    The summary holds splitters at each of its steps; partial summaries of tasks are merged, no values are kept.
+    """
+    splitters = F.array(*[F.lit(i / steps) for i in range(steps + 1)])
+    found = rows.groupBy("g").agg(F.percentile_approx("v", splitters, F.lit(2 * steps)).alias("splits"), F.min("v").alias("least"), F.max("v").alias("most"), F.first(place).alias("place"))
+    at = F.floor(F.col("place") * steps).cast("int")
+    low = F.when(at >= 2, F.element_at("splits", at - 1)).otherwise(F.col("least"))  # two steps beyond each side
+    high = F.when(at + 3 <= steps, F.element_at("splits", F.least(at + 4, F.lit(steps + 1)))).otherwise(F.col("most"))
+    return found.select("g", low.alias("low"), high.alias("high"))
+
+
+def order_statistic(rows: DataFrame, group: str, value: str, share: float, steps: int = STEPS, fits: int = FITS) -> DataFrame:
     """group, value: the smallest value of each group that at least ``share`` of its values do not exceed.
 
-    Values are counted in ``steps`` ranges of the group, then only those of the range that holds the answer are
-    ranked, so no task holds all the values of a group.
+    A mergeable summary of each group gives two splitters around the answer; values below them are counted, and only
+    those between them are ranked. While more than ``fits`` different values of a group lie between (ties count
+    once, they meet in partial sums), they are summarised again, so no task holds a group, whatever its values are.
     """
     own = rows.where(F.col(value).isNotNull() & F.col(group).isNotNull()).select(F.col(group).alias("g"), F.col(value).cast("double").alias("v"))
-    bounds = own.groupBy("g").agg(F.min("v").alias("low"), F.max("v").alias("high"), F.count(F.lit(1)).alias("total"))
-    step = F.when(F.col("high") > F.col("low"), F.floor((F.col("v") - F.col("low")) / (F.col("high") - F.col("low")) * steps)).otherwise(F.lit(0)).cast("long")
-    placed = own.join(bounds, "g").select("g", "v", step.alias("step"), F.greatest(F.lit(1), F.ceil(F.col("total") * share)).alias("want"))
-    ahead = Window.partitionBy("g").orderBy("step")
-    ranges = placed.groupBy("g", "step", "want").agg(F.count(F.lit(1)).alias("n")).select("*", (F.sum("n").over(ahead) - F.col("n")).alias("before"))
-    hit = ranges.where((F.col("before") < F.col("want")) & (F.col("want") <= F.col("before") + F.col("n"))).select("g", "step", "before")
-    inner = placed.join(hit, ["g", "step"]).groupBy("g", "v", "want", "before").agg(F.count(F.lit(1)).alias("n"))
-    upto = F.sum("n").over(Window.partitionBy("g").orderBy("v"))
-    found = inner.select("g", "v", "want", (F.col("before") + upto).alias("reach")).where("reach >= want")
+    between = F.col("v").between(F.col("low"), F.col("high"))
+    state = settled(own.groupBy("g").agg(F.count(F.lit(1)).alias("n")).withColumn("want", F.greatest(F.lit(1), F.ceil(F.col("n") * share)).cast("long")))
+    inner, left = own.withColumn("place", F.lit(float(share))), None
+    while True:
+        bracket = _bracket(inner, F.col("place"), steps)
+        kept = [F.coalesce(bracket[c], state[c]).alias(c) if c in state.columns else bracket[c] for c in ("low", "high")]
+        state = settled(state.join(bracket, "g", "left").select(state["g"], "n", "want", *kept))
+        placed = attach(own, state, "g")
+        inside = placed.groupBy("g").agg(F.count_if(F.col("v") < F.col("low")).alias("before"), F.count_if(between).alias("inside"), F.approx_count_distinct(F.when(between, F.col("v"))).alias("values"))
+        state = settled(state.select("g", "n", "want", "low", "high").join(inside, "g"))
+        crowd = state.where(F.col("values") > fits)
+        before, left = left, crowd.agg(F.sum("inside")).first()[0]
+        if left is None or before is not None and left > before / 2:  # all fit, or nothing is left to gain
+            break
+        rest = attach(own, crowd, "g").where(between)
+        inner = rest.select("g", "v", ((F.col("want") - F.col("before")) / F.col("inside")).alias("place"))
+    counts = attach(own, state, "g").where(between).groupBy("g", "v", "want", "before").agg(F.count(F.lit(1)).alias("many"))
+    upto = F.sum("many").over(Window.partitionBy("g").orderBy("v"))
+    found = counts.select("g", "v", "want", (F.col("before") + upto).alias("reach")).where("reach >= want")
     return found.groupBy(F.col("g").alias(group)).agg(F.min("v").alias("value"))
 
 

@@ -220,12 +220,6 @@ def bits_string(s, d):
     return table(s, d, "documents").select("doc_id", F.array_join(bits, "").alias("bits"), F.size(F.filter(bits, lambda b: b == "1")).cast("long").alias("ones"))
 
 
-@query("x33_step_cache", "SELECT count(DISTINCT md5(text)) AS computed, count(*) - count(DISTINCT md5(text)) AS reused FROM documents")
-def step_cache(s, d):
-    own = table(s, d, "documents").groupBy(F.md5("text").alias("k")).agg(F.count(F.lit(1)).alias("n"))
-    return own.agg(F.count(F.lit(1)).alias("computed"), F.sum(F.col("n") - 1).alias("reused"))
-
-
 @query("x31_alignment", "SELECT p_partkey, CASE WHEN p_size = 20 THEN 'none' ELSE 'resize_target' END AS policy FROM part")
 def alignment(s, d):
     return table(s, d, "part").select("p_partkey", F.when(F.col("p_size").eqNullSafe(F.lit(20)), "none").otherwise("resize_target").alias("policy"))

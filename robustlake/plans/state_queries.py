@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from robustlake.operators import kept as K
+from robustlake.operators import memo as M
 from robustlake.operators import runstate as R
+from robustlake.operators import scoring as C
 from robustlake.operators import telemetry as T
 from robustlake.plans.bindings import cells, requests, table, with_views
 from robustlake.plans.registry import query
@@ -135,3 +137,23 @@ def heartbeats(s, d):
     """The last beat of each worker after a stream over the beats, late ones among them."""
     source, schema = beats(s, d)
     return H.replayed_beats(s, source, schema, "worker_id", "event_id").select("worker_id", "event_id", "run_id", F.unix_micros("ts").alias("last_seen"), "status")
+
+
+@query("u09_order_statistics", """WITH r AS (SELECT event_type, value, row_number() OVER (PARTITION BY event_type ORDER BY value) AS k, count(*) OVER (PARTITION BY event_type) AS n FROM events WHERE value IS NOT NULL)
+SELECT event_type, s.share, value FROM r JOIN (VALUES (0.001::DOUBLE), (0.5), (0.999)) s(share) ON k = greatest(1, ceil(n * s.share))""")
+def order_statistics(s, d):
+    """Exact order statistics from a mergeable summary, and of a few values between two of its splitters."""
+    parts = [C.order_statistic(table(s, d, "events"), "event_type", "value", x).select("event_type", F.lit(x).alias("share"), "value") for x in (0.001, 0.5, 0.999)]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
+@query("x33_step_cache", """SELECT doc_id, substr(sha256(coalesce(text, '')), 1, 16) AS digest, length(regexp_replace(coalesce(text, ''), '[^a-z]', '', 'g')) AS result,
+  EXISTS (SELECT 1 FROM documents o WHERE o.lang = 'en' AND coalesce(o.text, '') = coalesce(d.text, '')) AS reused FROM documents d""")
+def step_cache(s, d):
+    """A step on all documents after a run that had taken it on the English ones: equal contents are computed once, ever."""
+    documents = table(s, d, "documents").select("doc_id", "lang", F.coalesce("text", F.lit("")).alias("content"))
+    held = M.Memo(s, scratch(s, "step-cache").path, "long")
+    step = lambda content: F.length(F.regexp_replace(content, "[^a-z]", "")).cast("long")
+    held.through(documents.where("lang = 'en'"), "content", "count-letters", {"from": "a", "to": "z"}, step)
+    found = held.through(documents, "content", "count-letters", {"to": "z", "from": "a"}, step)
+    return found.select("doc_id", F.substring("digest", 1, 16).alias("digest"), "result", "reused")

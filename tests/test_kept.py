@@ -92,3 +92,36 @@ def test_old_versions_are_folded_into_one(spark, place, monkeypatch):
         store.refresh(source)
         assert held(store) == whole(spark, source)
     assert len([n for n in K.Folder(spark, f"{place.path}/store").names() if n.startswith("version=")]) <= 4
+
+
+def test_a_step_sees_each_content_once(spark, place):
+    from robustlake.operators.memo import Memo
+
+    seen = spark.sparkContext.accumulator(0)
+
+    @F.udf("long")
+    def length(text):
+        seen.add(1)
+        return len(text)
+
+    rows = spark.createDataFrame([(i, "same" if i % 3 else f"own {i}", "c") for i in range(90)] + [(90, None, "c"), (91, "", "c")], "id long, body string, n string")
+    memo = Memo(spark, place.path, "long")
+    first = memo.through(rows.where("id < 60"), "body", "length", {"unit": "chars", "base": 1}, length)
+    assert seen.value == 21 and first.columns == ["id", "body", "n", "digest", "result", "reused"] and first.count() == 60
+    again = {r.id: r for r in Memo(spark, place.path, "long").through(rows, "body", "length", {"base": 1, "unit": "chars"}, length).collect()}
+    assert seen.value == 21 + 10 + 1
+    assert len(again) == 92 and again[90].result is None and again[91].result == 0
+    assert again[3].reused and again[61].reused and not again[63].reused
+    assert all(r.result == len(r.body) for r in again.values() if r.body is not None)
+    assert memo.known("length", {"unit": "bytes"}).isEmpty()
+
+
+def test_a_step_that_fails_leaves_no_results(spark, place):
+    from robustlake.operators.memo import Memo
+
+    memo, rows = Memo(spark, place.path, "long"), spark.createDataFrame([("a",), ("b",)], "body string")
+    with pytest.raises(Exception, match="lost"):
+        memo.through(rows, "body", "length", {}, lambda c: F.raise_error(F.lit("lost")).cast("long"))
+    assert memo.known("length", {}).isEmpty()
+    assert sorted(r.result for r in memo.through(rows, "body", "length", {}, lambda c: F.length(c).cast("long")).collect()) == [1, 1]
+    assert memo.known("length", {}).count() == 2

@@ -150,3 +150,21 @@ def test_halos_reach_over_short_ranges(spark):
     ranged = rows.withColumn(ranges.PART, F.col("at").cast("int"))  # one row in each range
     held = ranges.with_halo(ranged, "k", ["at"], 2).where(ranges.HALO).select(ranges.PART, "at")
     assert sorted(map(tuple, held.collect())) == sorted((p, a) for p in range(7) for a in (p - 2, p - 1) if a >= 0)
+
+
+def order_statistics(rows, share):
+    groups = {}
+    for g, v in rows:
+        if g is not None and v is not None:
+            groups.setdefault(g, []).append(v)
+    return {g: sorted(v)[max(1, int(np.ceil(len(v) * share))) - 1] for g, v in groups.items()}
+
+
+@pytest.mark.parametrize(("share", "steps", "fits"), [(0.0, 1000, 1000), (0.999, 1000, 1000), (0.5, 1000, 1000), (1.0, 1000, 1000), (0.37, 20, 200)])
+def test_order_statistics_of_odd_values(spark, share, steps, fits):
+    rng = random.Random(9)
+    rows = [("hot", rng.gauss(0, 1)) for _ in range(6_000)] + [("hot", 1e300), ("hot", -1e300)]  # outliers
+    rows += [("tied", 5.0)] * 3000 + [("tied", 6.0)] * 3 + [("one", 2.5), ("nothing", None), (None, 1.0)] + [(f"g{i % 50}", float(i % 7)) for i in range(700)]
+    rng.shuffle(rows)
+    df = spark.createDataFrame(rows, "cell string, score double").repartition(4).cache()
+    assert {r.cell: r.value for r in C.order_statistic(df, "cell", "score", share, steps, fits).collect()} == order_statistics(rows, share)
