@@ -54,9 +54,10 @@ class Memo:
         known = self.known(operation, configuration)
         # partial aggregation: a content of many rows leaves each task once
         contents = marked.where("digest IS NOT NULL").groupBy("digest").agg(F.count(F.lit(1)).alias("_rows"), F.any_value(content).alias("_content"))
-        found = contents.join(known.withColumn("reused", F.lit(True)), "digest", "left")
-        found = found.withColumn("result", F.when(F.col("reused"), F.col("result")).otherwise(step(F.col("_content"))))
-        found = settled(found.select("digest", "_rows", "result", F.coalesce("reused", F.lit(False)).alias("reused")))
+        # apart from what is known, for a step in Python would run on every row of one plan
+        new = contents.join(known, "digest", "left_anti").select("digest", "_rows", step(F.col("_content")).alias("result"), F.lit(False).alias("reused"))
+        old = contents.select("digest", "_rows").join(known, "digest").select("digest", "_rows", "result", F.lit(True).alias("reused"))
+        found = settled(new.unionByName(old))
         self._add(found.where("NOT reused").select("digest", "result"), operation, configuration)
         joined = attach(marked.where("digest IS NOT NULL"), found, "digest", "_rows").drop("_rows")
         none = marked.where("digest IS NULL").withColumns({"result": F.lit(None).cast(found.schema["result"].dataType), "reused": F.lit(False)})
