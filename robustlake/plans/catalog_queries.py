@@ -19,15 +19,6 @@ def envelope(s, d):
     return table(s, d, "events").select("event_id", F.coalesce(own, F.lit("runtime_profile")).alias("record_schema"), F.lit(1).alias("schema_version"))
 
 
-@query("p03_param_variants", """SELECT p_brand AS method, string_agg(CAST(p_size AS VARCHAR), ',' ORDER BY first) AS variants
-FROM (SELECT p_brand, p_size, min(p_partkey) AS first FROM part WHERE p_size % 2 = 0 GROUP BY 1, 2) GROUP BY 1""")
-def param_variants(s, d):
-    """Distinct parameter values of each method in the order in which they first came."""
-    first = table(s, d, "part").where("p_size % 2 = 0").groupBy("p_brand", "p_size").agg(F.min("p_partkey").alias("first"))
-    held = F.array_sort(F.collect_list(F.struct("first", "p_size")))
-    return first.groupBy(F.col("p_brand").alias("method")).agg(F.array_join(F.transform(held, lambda v: v["p_size"].cast("string")), ",").alias("variants"))
-
-
 @query("p04_selection_defaults", "SELECT p_partkey, greatest(1, coalesce(nullif(p_size % 7, 0), 1)) AS max_samples, CASE WHEN p_size % 5 = 0 THEN 42 ELSE p_size END AS seed FROM part")
 def selection(s, d):
     return table(s, d, "part").select(

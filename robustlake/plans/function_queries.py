@@ -32,11 +32,6 @@ def cell_key(s, d):
     return table(s, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", key.alias("cell_key"))
 
 
-@query("f05_params_digest", "SELECT event_id, substr(sha256(props), 1, 12) AS digest FROM events")
-def digest(s, d):
-    return table(s, d, "events").select("event_id", F.substring(F.sha2("props", 256), 1, 12).alias("digest"))
-
-
 METHODS = ["identity", "jpeg", "rotation", "screen_shoot", "print_camera", "rotate_forward_point", "swipe_ahead", "2x_regen", "regen_vae", "cew_e1", "image_to_vedio"]
 
 
