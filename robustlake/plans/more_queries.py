@@ -131,13 +131,6 @@ def cell_progress(s, d):
     return phases(s, d).groupBy("run_id").agg(F.sum(F.coalesce(F.nullif("current", F.lit(0)), F.col("phase").cast("long"))).alias("done"), F.sum("total").alias("total"))
 
 
-@query("a41_tuning_summary", with_views("profile") + "SELECT string_agg(stage || '=' || batch, ',' ORDER BY stage) AS overrides FROM (SELECT stage, max(batch) AS batch FROM profile WHERE status = 'succeeded' AND k > 50 GROUP BY 1)")
-def tuning(s, d):
-    best = profile(s, d).where("status = 'succeeded' AND k > 50").groupBy("stage").agg(F.max("batch").alias("batch"))
-    held = F.array_sort(F.collect_list(F.struct("stage", "batch")))
-    return best.agg(F.array_join(F.transform(held, lambda e: F.concat_ws("=", e["stage"], e["batch"])), ",").alias("overrides"))
-
-
 @query("w01_dense_position", with_views("detections") + "SELECT cell_key, doc_id, CAST(row_number() OVER (PARTITION BY cell_key ORDER BY score DESC, doc_id) AS INTEGER) AS place FROM detections")
 def dense_position(s, d):
     return detections(s, d).select("cell_key", "doc_id", F.row_number().over(Window.partitionBy("cell_key").orderBy(F.col("score").desc(), "doc_id")).alias("place"))
@@ -241,18 +234,6 @@ def readiness_report(s, d):
     return own.select(F.explode(F.array(workers, failures)).alias("r")).select("r.*")
 
 
-@query("c12_tuning_samples", "SELECT p_partkey, greatest(p_size, 3 * (p_size % 40)) AS n_samples FROM part")
-def tuning_samples(s, d):
-    return table(s, d, "part").select("p_partkey", F.greatest(F.col("p_size"), 3 * (F.col("p_size") % 40)).alias("n_samples"))
-
-
-@query("c13_finalists", with_views("profile") + "SELECT stage, batch, CAST(place AS INTEGER) AS place FROM (SELECT stage, batch, row_number() OVER (PARTITION BY stage ORDER BY rate DESC, batch) AS place FROM (SELECT stage, batch, round(avg(k), 6) AS rate FROM profile GROUP BY 1, 2)) WHERE place <= 3")
-def finalists(s, d):
-    rate = profile(s, d).groupBy("stage", "batch").agg(F.round(F.avg("k"), 6).alias("rate"))
-    place = F.row_number().over(Window.partitionBy("stage").orderBy(F.col("rate").desc(), "batch"))
-    return rate.select("stage", "batch", place.alias("place")).where("place <= 3")
-
-
 @query("t07_last_write_wins", "SELECT user_id, arg_max(event_type, (ts, event_id)) AS event_type, arg_max(value, (ts, event_id)) AS value FROM events GROUP BY 1")
 def last_write(s, d):
     own = table(s, d, "events").withColumn("ord", F.struct("ts", "event_id"))

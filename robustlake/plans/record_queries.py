@@ -8,6 +8,7 @@ from pyspark.sql.window import Window
 from robustlake.operators import progress as P
 from robustlake.operators import records as R
 from robustlake.operators import telemetry as T
+from robustlake.operators.overlaps import sharing
 from robustlake.plans.bindings import cells, log, phases, profile, table, with_views
 from robustlake.plans.registry import query
 
@@ -97,9 +98,8 @@ def manifest_dedup(s, d):
 @query("j12_shared_packs", """WITH packs AS (SELECT p_brand AS pack, p_size AS dir, list(DISTINCT p_partkey % 11) AS markers FROM part GROUP BY 1, 2)
 SELECT a.dir, a.pack AS pack, b.pack AS other FROM packs a JOIN packs b ON a.dir = b.dir AND a.pack < b.pack AND list_has_any(a.markers, b.markers)""")
 def shared_packs(s, d):
-    packs = table(s, d, "part").groupBy(F.col("p_brand").alias("pack"), F.col("p_size").alias("dir")).agg(F.collect_set(F.col("p_partkey") % 11).alias("markers"))
-    other = packs.select(F.col("pack").alias("other"), "dir", F.col("markers").alias("theirs"))
-    return packs.join(other, "dir").where((F.col("pack") < F.col("other")) & F.arrays_overlap("markers", "theirs")).select("dir", "pack", "other")
+    packs = table(s, d, "part").select(F.col("p_size").alias("dir"), F.col("p_brand").alias("pack"), (F.col("p_partkey") % 11).alias("marker"))
+    return sharing(packs, "dir", "pack", "marker")
 
 
 @query("j14_reconcile", """WITH ready AS (SELECT DISTINCT l_partkey AS pack FROM lineitem WHERE l_discount > 0.05), marked AS (SELECT DISTINCT l_partkey AS pack FROM lineitem WHERE l_tax > 0.05)
@@ -145,8 +145,8 @@ def dealt(s, d):
 
 @query("w07_position_seed", """SELECT c_custkey, c_nationkey, 42 + row_number() OVER (PARTITION BY c_nationkey ORDER BY c_custkey) - 1 AS seed FROM customer""")
 def position_seed(s, d):
-    place = F.row_number().over(Window.partitionBy("c_nationkey").orderBy("c_custkey"))
-    return table(s, d, "customer").select("c_custkey", "c_nationkey", (place + 41).cast("long").alias("seed"))
+    placed = R.numbered(table(s, d, "customer").select("c_custkey", "c_nationkey"), "c_nationkey", ["c_custkey"])
+    return placed.select("c_custkey", "c_nationkey", (F.col("place") + 41).alias("seed"))
 
 
 @query("o01_first_samples", """SELECT c_nationkey, c_custkey, CAST(place AS INTEGER) AS place FROM (SELECT *, row_number() OVER (PARTITION BY c_nationkey ORDER BY c_custkey) AS place FROM customer) WHERE place <= 5""")
