@@ -19,15 +19,6 @@ def envelope(s, d):
     return table(s, d, "events").select("event_id", F.coalesce(own, F.lit("runtime_profile")).alias("record_schema"), F.lit(1).alias("schema_version"))
 
 
-@query("p04_selection_defaults", "SELECT p_partkey, greatest(1, coalesce(nullif(p_size % 7, 0), 1)) AS max_samples, CASE WHEN p_size % 5 = 0 THEN 42 ELSE p_size END AS seed FROM part")
-def selection(s, d):
-    return table(s, d, "part").select(
-        "p_partkey",
-        F.greatest(F.lit(1), F.coalesce(F.nullif(F.col("p_size") % 7, F.lit(0)), F.lit(1))).alias("max_samples"),
-        F.when(F.col("p_size") % 5 == 0, 42).otherwise(F.col("p_size")).alias("seed"),
-    )
-
-
 @query("p05_param_patch", """SELECT p_partkey, CASE WHEN p_type LIKE '%BRASS' OR p_partkey % 3 = 0 THEN 'save_intermediates=false,size=' || p_size ELSE 'size=' || p_size END AS params FROM part""")
 def param_patch(s, d):
     base = F.create_map(F.lit("size"), F.col("p_size").cast("string"))
@@ -46,16 +37,6 @@ def hidden(s, d):
     return table(s, d, "part").where(~F.col("p_brand").isin("Brand#11", "Brand#22") & ~F.col("p_type").startswith("PROMO")).select("p_partkey", "p_brand")
 
 
-@query("p13_manifest_match", """SELECT a.l_orderkey, count(*) AS n, count(*) FILTER (WHERE a.l_returnflag IS NOT DISTINCT FROM b.l_returnflag AND a.l_linestatus IS NOT DISTINCT FROM b.l_linestatus AND a.l_quantity IS NOT DISTINCT FROM b.l_quantity) AS valid
-FROM lineitem a JOIN lineitem b ON a.l_orderkey = b.l_orderkey AND a.l_linenumber = b.l_linenumber AND a.l_partkey <> b.l_partkey GROUP BY 1""")
-def manifest_match(s, d):
-    line = table(s, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_returnflag", "l_linestatus", "l_quantity")
-    other = line.select(*[F.col(c).alias("o_" + c[2:]) for c in line.columns])
-    both = line.join(other, (F.col("l_orderkey") == F.col("o_orderkey")) & (F.col("l_linenumber") == F.col("o_linenumber")) & (F.col("l_partkey") != F.col("o_partkey")))
-    same = F.col("l_returnflag").eqNullSafe(F.col("o_returnflag")) & F.col("l_linestatus").eqNullSafe(F.col("o_linestatus")) & F.col("l_quantity").eqNullSafe(F.col("o_quantity"))
-    return both.groupBy("l_orderkey").agg(F.count(F.lit(1)).alias("n"), F.count_if(same).alias("valid"))
-
-
 @query("p15_stage_status", with_views("profile") + """SELECT device, CASE WHEN count(*) FILTER (WHERE status = 'failed') > 0 THEN 'failed' WHEN count(*) < 20 THEN 'failed' ELSE 'succeeded' END AS status,
   CASE WHEN count(*) FILTER (WHERE status = 'failed') = 0 AND count(*) < 20 THEN 'missing results' END AS error FROM profile GROUP BY 1""")
 def stage_status(s, d):
@@ -68,11 +49,6 @@ def search(s, d):
     return table(s, d, "part").where(F.contains(F.lower("p_name"), F.lit("al")) & (F.col("p_size") > 20)).select("p_partkey", "p_name")
 
 
-@query("p18_system_healthy", with_views("profile") + "SELECT stage, NOT bool_or(status = 'failed') AS healthy FROM profile WHERE device < 3 GROUP BY 1")
-def healthy(s, d):
-    return profile(s, d).where("device < 3").groupBy("stage").agg((~F.bool_or(F.col("status") == "failed")).alias("healthy"))
-
-
 @query("j03_priority_lookup", """WITH names AS (SELECT p_partkey AS id, p_name AS name, 1 AS priority FROM part UNION ALL SELECT p_partkey, p_brand, 2 FROM part UNION ALL SELECT p_partkey, p_type, 3 FROM part),
 best AS (SELECT name, arg_min(id, (priority, id)) AS id, min(priority) AS priority FROM names GROUP BY 1), asked AS (SELECT DISTINCT p_brand AS name FROM part UNION SELECT DISTINCT p_type FROM part UNION SELECT 'nowhere')
 SELECT asked.name, best.id, best.priority FROM asked LEFT JOIN best USING (name)""")
@@ -111,13 +87,6 @@ def phase_defaults(s, d):
     return grid.join(docs, ["run_id", "phase"], "left").select("run_id", "phase", F.coalesce("status", F.lit("pending")).alias("status"))
 
 
-@query("j13_marker_in_use", "SELECT DISTINCT p_brand AS pack FROM part WHERE p_size IN (SELECT p_size FROM part WHERE p_brand = 'Brand#11') AND p_brand <> 'Brand#11'")
-def marker_in_use(s, d):
-    part = table(s, d, "part")
-    marks = part.where("p_brand = 'Brand#11'").select("p_size").distinct()
-    return part.where("p_brand <> 'Brand#11'").join(marks, "p_size", "left_semi").select(F.col("p_brand").alias("pack")).distinct()
-
-
 @query("j19_merged_links", """WITH up AS (SELECT page_id, url, 1 AS source FROM pages WHERE page_id % 3 = 0), own AS (SELECT page_id, url FROM pages WHERE page_id % 2 = 0)
 SELECT url, arg_min(page_id, page_id) AS page_id FROM (SELECT page_id, url FROM own UNION ALL SELECT page_id, url FROM up WHERE url NOT IN (SELECT url FROM own)) GROUP BY 1""")
 def merged_links(s, d):
@@ -156,11 +125,6 @@ def latest_item(s, d):
     return phases(s, d).groupBy("run_id", "phase").agg(F.max_by(F.when(some, F.col("ord")), F.when(some, F.struct("shard_id", "ord"))).alias("item"))
 
 
-@query("a31_run_status", with_views("phases") + """SELECT run_id, CASE WHEN bool_or(status = 'running') THEN 'running' WHEN bool_and(status = 'succeeded') THEN 'succeeded' WHEN bool_or(status = 'failed') THEN 'failed' ELSE 'pending' END AS status FROM phases GROUP BY 1""")
-def run_status(s, d):
-    return phases(s, d).groupBy("run_id").agg(P.lattice().alias("status"))
-
-
 @query("w02_metric_rank", with_views("cells") + "SELECT category, algorithm_id, CAST(row_number() OVER (PARTITION BY category ORDER BY m DESC, algorithm_id) AS INTEGER) AS rank FROM (SELECT category, algorithm_id, round(avg(nqd), 6) AS m FROM cells GROUP BY 1, 2)")
 def metric_rank(s, d):
     own = cells(s, d).groupBy("category", "algorithm_id").agg(F.round(F.avg("nqd"), 6).alias("m"))
@@ -173,11 +137,6 @@ def accuracy_series(s, d):
     return own.groupBy("algorithm_id").agg(F.count(F.lit(1)).alias("n_points"), F.min("strength").alias("first"), F.max("strength").alias("last")).where("n_points >= 2")
 
 
-@query("w19_first_of_motion", "SELECT p_type AS motion, min(p_partkey) AS first FROM part GROUP BY 1")
-def first_of_motion(s, d):
-    return table(s, d, "part").groupBy(F.col("p_type").alias("motion")).agg(F.min("p_partkey").alias("first"))
-
-
 @query("o08_log_tail", "SELECT event_id, event_type FROM events ORDER BY ts DESC, event_id DESC LIMIT 40")
 def log_tail(s, d):
     return table(s, d, "events").orderBy(F.col("ts").desc(), F.col("event_id").desc()).limit(40).select("event_id", "event_type")
@@ -222,19 +181,6 @@ def batch_resolution(s, d):
     return table(s, d, "part").select("p_partkey", F.greatest(F.lit(1), F.least(F.col("p_partkey") % 9, asked)).cast("long").alias("batch"))
 
 
-@query("c05_identity_baseline", "SELECT p_brand AS config, 1 + count(DISTINCT p_type) AS n_attacks, count(DISTINCT p_type) * 3 + 1 AS n_cells FROM part GROUP BY 1")
-def identity_baseline(s, d):
-    part = table(s, d, "part").select(F.col("p_brand").alias("config"), F.col("p_type").alias("attack")).distinct()
-    every = part.unionByName(part.select("config", F.lit("identity").alias("attack")).distinct())
-    return every.groupBy("config").agg(F.count(F.lit(1)).alias("n_attacks"), F.sum(F.when(F.col("attack") == "identity", 1).otherwise(3)).alias("n_cells"))
-
-
-@query("c06_unknown_ids", "SELECT DISTINCT l_suppkey + 95 AS supplier FROM lineitem WHERE l_suppkey + 95 NOT IN (SELECT s_suppkey FROM supplier)")
-def unknown_ids(s, d):
-    asked = table(s, d, "lineitem").select((F.col("l_suppkey") + 95).alias("supplier")).distinct()
-    return asked.join(table(s, d, "supplier").select(F.col("s_suppkey").alias("supplier")), "supplier", "left_anti")
-
-
 @query("c07_shard_specs", """SELECT shard, count(*) AS n_samples, count(DISTINCT c_nationkey) AS n_datasets, max(place) + 1 AS max_samples FROM (
   SELECT *, (k - 1) % 5 AS shard, (k - 1) // 5 AS place FROM (SELECT c_nationkey, c_custkey, row_number() OVER (PARTITION BY c_nationkey ORDER BY c_custkey) AS k FROM customer)) GROUP BY 1""")
 def shard_specs(s, d):
@@ -251,12 +197,6 @@ def override_merge(s, d):
     return table(s, d, "part").select("p_partkey", F.array_join(F.transform(pairs, lambda e: F.concat_ws("=", e["key"], e["value"])), ",").alias("merged"))
 
 
-@query("t01_stage_windows", """SELECT event_type, date_trunc('hour', ts) AS start, count(*) AS n, round(avg(value), 6) AS mean FROM events GROUP BY 1, 2""")
-def stage_windows(s, d):
-    own = table(s, d, "events").groupBy("event_type", F.date_trunc("hour", "ts").cast("timestamp_ntz").alias("start"))
-    return own.agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("value"), 6).alias("mean"))
-
-
 @query("w09_jump_ema", """WITH RECURSIVE s AS (SELECT user_id, ts, event_id, value, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k FROM events),
 r AS (SELECT user_id, event_id, k, value AS ema FROM s WHERE k = 1 UNION ALL SELECT s.user_id, s.event_id, s.k,
   CASE WHEN abs(s.value - r.ema) <= 40 THEN round_even((r.ema * 0.55::DOUBLE + s.value * (1 - 0.55::DOUBLE)) * 100, 0) / 100 ELSE s.value END FROM r JOIN s ON s.user_id = r.user_id AND s.k = r.k + 1)

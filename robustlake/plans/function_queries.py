@@ -206,9 +206,3 @@ def cleaned(s, d):
 def fingerprint(s, d):
     h = F.sha2("html", 256)
     return table(s, d, "pages").select("page_id", F.concat_ws("/", F.lit("sha256"), F.substring(h, 1, 2), h).alias("uri"))
-
-
-@query("a42_distinct_attacks", "SELECT l_returnflag, count(DISTINCT CASE WHEN l_partkey % 43 >= 35 THEN (l_partkey % 43) // 2 ELSE l_partkey % 43 + 100 END) AS n_attacks FROM lineitem WHERE l_partkey % 43 <> 0 GROUP BY 1")
-def distinct_attacks(s, d):
-    a = F.col("l_partkey") % 43
-    return table(s, d, "lineitem").where(a != 0).groupBy("l_returnflag").agg(F.countDistinct(F.when(a >= 35, F.floor(a / 2)).otherwise(a + 100)).alias("n_attacks"))

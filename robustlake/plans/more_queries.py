@@ -35,11 +35,6 @@ def discovery(s, d):
     return catalog.withColumn("listed", F.lit(True)).unionByName(found.join(catalog, "name", "left_anti").withColumn("listed", F.lit(False)))
 
 
-@query("s10_pack_ready", "SELECT p_brand AS pack, bool_and(p_size > 1) AS ready, count(*) AS files FROM part GROUP BY 1")
-def pack_ready(s, d):
-    return table(s, d, "part").groupBy(F.col("p_brand").alias("pack")).agg(F.every(F.col("p_size") > 1).alias("ready"), F.count(F.lit(1)).alias("files"))
-
-
 @query("s12_canonical_manifest", with_views("log") + "SELECT cell_key, arg_max(samples, ord) AS samples FROM log WHERE samples IS NOT NULL AND status <> 'running' GROUP BY 1")
 def canonical_manifest(s, d):
     return R.latest(log_of(s, d).where("samples IS NOT NULL AND status <> 'running'"), "cell_key", "ord").select("cell_key", "samples")

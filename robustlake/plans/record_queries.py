@@ -102,14 +102,6 @@ def shared_packs(s, d):
     return sharing(packs, "dir", "pack", "marker")
 
 
-@query("j14_reconcile", """WITH ready AS (SELECT DISTINCT l_partkey AS pack FROM lineitem WHERE l_discount > 0.05), marked AS (SELECT DISTINCT l_partkey AS pack FROM lineitem WHERE l_tax > 0.05)
-SELECT coalesce(ready.pack, marked.pack) AS pack, CASE WHEN marked.pack IS NULL THEN 'added' ELSE 'removed' END AS change
-FROM ready FULL JOIN marked ON ready.pack = marked.pack WHERE ready.pack IS NULL OR marked.pack IS NULL""")
-def reconcile(s, d):
-    rows = table(s, d, "lineitem").select(F.col("l_partkey").alias("pack"), "l_discount", "l_tax")
-    return R.reconciled(rows.where("l_discount > 0.05D"), rows.where("l_tax > 0.05D"), "pack")
-
-
 @query("j15_custom_pool", """SELECT p_partkey FROM part WHERE NOT EXISTS (SELECT 1 FROM lineitem WHERE l_partkey = p_partkey AND l_quantity > 45)
 UNION ALL SELECT p_partkey FROM part WHERE NOT EXISTS (SELECT 1 FROM part p WHERE NOT EXISTS (SELECT 1 FROM lineitem WHERE l_partkey = p.p_partkey AND l_quantity > 45))""")
 def custom_pool(s, d):
