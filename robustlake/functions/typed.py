@@ -16,43 +16,43 @@ from robustlake.operators.records import numbered
 DEPTH = 4
 
 
-def _unit(code: Column) -> Column:
-    return F.concat(F.lit("\\u"), F.lower(F.lpad(F.hex(code), 4, "0")))
+def _of(x: Column, sql: str) -> Column:
+    """A SQL expression of ``x``: one parse instead of a column object for each of its parts."""
+    return F.element_at(F.call_function("transform", F.array(x), F.expr(f"x -> {sql}")), 1)
+
+
+def _unit(code: str) -> str:
+    return f"concat(char(92), 'u', lower(lpad(hex({code}), 4, '0')))"
+
+
+#: The letters of JSON's short escapes, by code.
+SHORT = {34: '"', 92: None, 10: "n", 13: "r", 9: "t", 8: "b", 12: "f"}
+_CASES = " ".join(f"WHEN {code} THEN concat(char(92), {'char(92)' if c is None else repr(c)})" for code, c in SHORT.items())
+_PAIR = f"concat({_unit('shiftright(ascii(c) - 65536, 10) + 55296')}, {_unit('((ascii(c) - 65536) & 1023) + 56320')})"
+_CHAR = f"CASE ascii(c) {_CASES} ELSE CASE WHEN ascii(c) BETWEEN 32 AND 126 THEN c WHEN ascii(c) > 65535 THEN {_PAIR} ELSE {_unit('ascii(c)')} END END"
+_STRING = rf"""concat('"', CASE WHEN rlike(x, r'[^\x20-\x7e]|["\\]') THEN array_join(transform(filter(split(x, ''), c -> c <> ''), c -> {_CHAR}), '') ELSE x END, '"')"""
 
 
 def json_string(text: Column) -> Column:
     """A quoted JSON string; what is not ASCII as ``\\uXXXX``, in pairs beyond the basic plane."""
+    return _of(text, _STRING)
 
-    def written(c: Column) -> Column:
-        code = F.ascii(c)
-        short = {'"': '\\"', "\\": "\\\\", "\n": "\\n", "\r": "\\r", "\t": "\\t", "\b": "\\b", "\f": "\\f"}
-        out = F.when(code.between(32, 126) & ~c.isin('"', "\\"), c)
-        for char, escape in short.items():
-            out = out.when(c == char, F.lit(escape))
-        beyond = code - 0x10000
-        pair = F.concat(_unit(F.shiftright(beyond, 10) + 0xD800), _unit(beyond.bitwiseAND(F.lit(0x3FF)) + 0xDC00))
-        return out.when(code > 0xFFFF, pair).otherwise(_unit(code))
 
-    plain = ~text.rlike(r'[^\x20-\x7e]|["\\]')
-    chars = F.filter(F.split(text, ""), lambda c: c != "")
-    body = F.when(plain, text).otherwise(F.array_join(F.transform(chars, written), ""))
-    return F.concat(F.lit('"'), body, F.lit('"'))
+_TEXT = "cast(abs(x) AS string)"
+_DIGITS = rf"regexp_replace(regexp_replace({_TEXT}, 'E.*', ''), r'\.0$|\.', '')"
+_POWER = f"cast(split({_TEXT}, 'E')[1] AS int)"
+_SMALL = f"concat('0.', repeat('0', -{_POWER} - 1), {_DIGITS})"
+_LARGE = f"""CASE WHEN length({_DIGITS}) > {_POWER} + 1 THEN concat(substr({_DIGITS}, 1, {_POWER} + 1), '.', substr({_DIGITS}, {_POWER} + 2))
+  ELSE concat(rpad({_DIGITS}, {_POWER} + 1, '0'), '.0') END"""
+_EXPONENT = f"concat(CASE WHEN {_POWER} < 0 THEN '-' ELSE '+' END, CASE WHEN abs({_POWER}) < 10 THEN '0' ELSE '' END, abs({_POWER}))"
+_SCIENTIFIC = f"concat(substr({_DIGITS}, 1, 1), CASE WHEN length({_DIGITS}) > 1 THEN concat('.', substr({_DIGITS}, 2)) ELSE '' END, 'e', {_EXPONENT})"
+_FLOAT = f"""concat(CASE WHEN startswith(cast(x AS string), '-') THEN '-' ELSE '' END,
+  CASE WHEN NOT contains({_TEXT}, 'E') THEN {_TEXT} WHEN {_POWER} BETWEEN -4 AND -1 THEN {_SMALL} WHEN {_POWER} BETWEEN 0 AND 15 THEN {_LARGE} ELSE {_SCIENTIFIC} END)"""
 
 
 def json_float(x: Column) -> Column:
-    """A finite double: positional from 0.0001 up to below 10 to the 16th, else with a signed exponent of two digits."""
-    text = F.abs(x).cast("string")
-    digits = F.regexp_replace(F.regexp_replace(text, "E.*", ""), r"\.0$|\.", "")
-    power = F.when(text.contains("E"), F.element_at(F.split(text, "E"), -1).cast("int")).otherwise(F.lit(0))
-    n = F.char_length(digits)
-    small = F.concat(F.lit("0."), F.repeat(F.lit("0"), F.greatest(-power - 1, F.lit(0))), digits)
-    left, right = F.substr(digits, F.lit(1), power + 1), F.substr(digits, power + 2)
-    large = F.when(n > power + 1, F.concat(left, F.lit("."), right)).otherwise(F.concat(digits, F.repeat(F.lit("0"), F.greatest(power + 1 - n, F.lit(0))), F.lit(".0")))
-    sign = F.when(power < 0, "-").otherwise("+")
-    mantissa = F.when(n > 1, F.concat(F.substr(digits, F.lit(1), F.lit(1)), F.lit("."), F.substr(digits, F.lit(2)))).otherwise(digits)
-    scientific = F.concat(mantissa, F.lit("e"), sign, F.lpad(F.abs(power).cast("string"), F.greatest(F.lit(2), F.char_length(F.abs(power).cast("string"))), F.lit("0")))
-    out = F.when(~text.contains("E"), text).when(power.between(-4, -1), small).when(power.between(0, 15), large).otherwise(scientific)
-    return F.concat(F.when((x < 0) | (F.substr(x.cast("string"), F.lit(1), F.lit(1)) == "-"), "-").otherwise(""), out)
+    """A finite double: positional from 0.0001 up to below 10 to the 16th, else with a signed exponent of two digits or more."""
+    return _of(x, _FLOAT)
 
 
 def _kind(v: Column) -> Column:
