@@ -10,6 +10,7 @@ from robustlake.plans.bindings import table, with_views
 from robustlake.plans.registry import query
 from robustlake.storage import scratch
 from robustlake.streaming import heartbeats as H
+from robustlake.streaming import series as Z
 from robustlake.streaming.live import stage_windows
 
 METHODS = [f"3d_viewpoint_rerendering_{m}_{a}" for m in ("swipe", "shake", "rotate", "rotate_forward") for a in ("point", "ahead")]
@@ -164,3 +165,18 @@ def windows(s, d):
     found.writeStream.foreachBatch(keep).outputMode("update").option("checkpointLocation", f"{out.path}/state").trigger(availableNow=True).start().awaitTermination()
     schema = found.schema.add("id", "string").add("batch_number", "long")
     return H.latest_table(s, f"{out.path}/rows", schema).select("event_type", F.col("start").cast("timestamp_ntz").alias("start"), "n", F.round("mean", 6).alias("mean"))
+
+
+@query("t06_stream_state", """WITH RECURSIVE s AS (SELECT user_id, ts, event_id, value, row_number() OVER w AS k, lag(value) OVER w AS pv, lag(ts) OVER w AS pt,
+  list_sort(list(value) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN 2 PRECEDING AND CURRENT ROW)) AS l, avg(value) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN 19 PRECEDING AND CURRENT ROW) AS ring
+  FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
+r AS (SELECT user_id, k, value AS ema FROM s WHERE k = 1 UNION ALL SELECT s.user_id, s.k, round_even((r.ema * 0.55::DOUBLE + s.value * (1 - 0.55::DOUBLE)) * 100, 0) / 100 FROM r JOIN s ON s.user_id = r.user_id AND s.k = r.k + 1)
+SELECT s.user_id, s.event_id, r.ema, l[len(l) // 2 + 1] AS median, round(CASE WHEN ts > pt THEN greatest(0, (value - pv) / ((epoch_us(ts) - epoch_us(pt)) / 1000000)) END, 9) AS rate, round(ring, 6) AS ring_mean
+FROM s JOIN r ON r.user_id = s.user_id AND r.k = s.k WHERE ts <= (SELECT max(ts) FROM events) - INTERVAL 3 HOUR""")
+def stream_state(s, d):
+    """Averages, medians, rates and rings of a stream whose rows come up to two hours late: those that the watermark has passed."""
+    rows = table(s, d, "events").select(F.col("user_id").alias("key"), F.col("ts").cast("timestamp").alias("ts"), "event_id", "value")
+    late = F.when(F.col("event_id") % 5 == 0, F.col("event_id") % 7200).otherwise(0)
+    source = H.arriving(rows, F.unix_micros("ts") + late * 1_000_000, 6, "samples")
+    found = Z.replayed_series(s, source, rows.schema, "3 hours", ring=20)
+    return found.select(F.col("key").alias("user_id"), "event_id", "ema", "median", F.round("rate", 9).alias("rate"), F.round("ring_mean", 6).alias("ring_mean"))

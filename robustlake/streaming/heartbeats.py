@@ -23,7 +23,7 @@ from robustlake.streaming.live import keep_latest, latest_table
 
 PAUSES = "run_id long, seen_from timestamp, last_seen timestamp, paused_at timestamp, beats long"
 _SPANS = "spans array<struct<first:long,last:long,beats:long>>"
-_ROCKS = {"spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"}
+ROCKS = {"spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"}
 
 
 def joined_spans(spans: list[tuple[int, int, int]], limit: int) -> list[tuple[int, int, int]]:
@@ -111,7 +111,7 @@ def arriving(rows: DataFrame, arrival: Column, files: int, name: str = "arrivals
 
 
 @contextmanager
-def _settings(spark: SparkSession, values: dict[str, str]):
+def settings(spark: SparkSession, values: dict[str, str]):
     before = {k: spark.conf.get(k, None) for k in values}
     for k, v in values.items():
         spark.conf.set(k, v)
@@ -126,7 +126,7 @@ def replayed_silences(spark: SparkSession, source: Folder, schema, limit_seconds
     """All pauses that a stream over the files of ``source`` reports."""
     out = scratch(spark, "pauses")
     beats = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(source.path)
-    with _settings(spark, _ROCKS):
+    with settings(spark, ROCKS):
         query = silences(beats, limit_seconds, delay).writeStream.format("parquet").option("path", f"{out.path}/rows")
         query.option("checkpointLocation", f"{out.path}/state").outputMode("append").trigger(availableNow=True).start().awaitTermination()
     return spark.read.schema(PAUSES).parquet(f"{out.path}/rows")
