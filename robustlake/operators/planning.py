@@ -123,3 +123,30 @@ def parent_status(shards: DataFrame, units: DataFrame, run: str = "run_id") -> D
     status = F.when(F.col("cancelled"), "cancelled").when(F.col("paused"), "paused").when(F.col("errors") > 0, some)
     status = status.when((F.col("expected") > 0) & (F.col("units") < F.col("expected")), some).when(F.col("failed") == 0, "succeeded")
     return rows.select(run, status.when(F.col("failed") < F.col("units"), "partially_failed").otherwise("failed").alias("status"))
+
+
+def discovered(catalog: DataFrame, folders: DataFrame) -> DataFrame:
+    """name, listed, images: the datasets of a catalog (name), and folders (name, images) beside them that hold an image."""
+    rows = catalog.select("name").distinct().withColumn("listed", F.lit(True)).join(folders, "name", "full_outer")
+    rows = rows.select("name", F.coalesce("listed", F.lit(False)).alias("listed"), F.coalesce("images", F.lit(0).cast("long")).alias("images"))
+    return rows.where("listed OR images > 0")
+
+
+def folder_datasets(images: DataFrame) -> DataFrame:
+    """dataset, images, last: images (path below a root) by their first folder; those right below the root are ``local-root``."""
+    dataset = F.when(F.col("path").contains("/"), F.substring_index("path", "/", 1)).otherwise("local-root")
+    return images.groupBy(dataset.alias("dataset")).agg(F.count(F.lit(1)).alias("images"), F.max("path").alias("last"))
+
+
+def paired(references: DataFrame, targets: DataFrame, cell: str, reference_root: str, target_root: str) -> DataFrame:
+    """cell, relative, reference, target: paths of either side by what follows their root; a side that is missing is null."""
+    side = lambda rows, root, name: rows.where(F.col("path").startswith(root)).select(cell, F.substring("path", len(root) + 1, 1 << 30).alias("relative"), F.col("path").alias(name)).distinct()
+    return side(references, reference_root, "reference").join(side(targets, target_root, "target"), [cell, "relative"], "full_outer")
+
+
+def known_estimate(asked: DataFrame, known: DataFrame, variants: int, samples: Column) -> DataFrame:
+    """config, asked, known, n_cells, n_ops, level of configurations (config, dataset, algorithm), of whose datasets only known ones count."""
+    rows = asked.distinct().join(known.select("dataset", F.col("dataset").alias("_known")).distinct(), "dataset", "left")
+    own = rows.groupBy("config").agg(F.countDistinct("dataset").alias("asked"), F.countDistinct("_known").alias("known"), F.countDistinct("algorithm").alias("_algorithms"))
+    own = own.withColumn("n_cells", F.col("known") * F.col("_algorithms") * variants).withColumn("n_ops", F.col("n_cells") * samples)
+    return own.withColumn("level", F.when((F.col("n_cells") > 64) | (F.col("n_ops") > 10000), "warn").otherwise("ok")).drop("_algorithms")

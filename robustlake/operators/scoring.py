@@ -104,6 +104,13 @@ def area(points: DataFrame, keys: list[str], x: str, y: str) -> DataFrame:
     return steps.groupBy(*keys).agg(F.when(span > 0, total / span).otherwise(F.avg(y)).alias("auc"), F.count(F.lit(1)).alias("points"))
 
 
+def segments(points: DataFrame, keys: list[str], x: str, y: str) -> DataFrame:
+    """keys, x0, x1, area: the trapezoids below each curve, between neighbouring points."""
+    order = Window.partitionBy(*keys).orderBy(x)
+    steps = points.select(*keys, F.lag(x).over(order).alias("x0"), F.col(x).alias("x1"), ((F.col(x) - F.lag(x).over(order)) * (F.col(y) + F.lag(y).over(order)) / 2).alias("area"))
+    return steps.where("x0 IS NOT NULL")
+
+
 def category_scores(cells: DataFrame, practical: float = PRACTICAL_NQD) -> DataFrame:
     """Area over strength for each algorithm and category, from practical cells."""
     own = cells.where((F.col("nqd") < practical) & F.col("tpr").isNotNull())

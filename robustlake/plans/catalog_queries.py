@@ -63,13 +63,6 @@ def priority_lookup(s, d):
     return asked.join(best, "name", "left").select("name", "id", "priority")
 
 
-@query("j07_reference_target", """SELECT o_orderkey, count(*) AS n, CAST(sum(l_linenumber) AS BIGINT) AS lines FROM orders JOIN lineitem ON o_orderkey = l_orderkey AND o_orderstatus = l_linestatus GROUP BY 1""")
-def reference_target(s, d):
-    orders, line = table(s, d, "orders"), table(s, d, "lineitem")
-    both = orders.join(line, (orders["o_orderkey"] == line["l_orderkey"]) & (orders["o_orderstatus"] == line["l_linestatus"]))
-    return both.groupBy("o_orderkey").agg(F.count(F.lit(1)).alias("n"), F.sum("l_linenumber").alias("lines"))
-
-
 @query("j09_shard_context", "SELECT o_orderkey, n_name AS device, 'run-' || (o_custkey % 97) || '/shard-' || (o_orderkey % 8) AS shard_key FROM orders JOIN nation ON o_orderkey % 8 = n_nationkey")
 def shard_context(s, d):
     shards = F.broadcast(table(s, d, "nation").where("n_nationkey < 8").select(F.col("n_nationkey").cast("long").alias("shard"), F.col("n_name").alias("device")))

@@ -20,21 +20,6 @@ def manifest_keys(s, d):
     return manifest(table(s, d, "pages").select(F.col("url").alias("value")), "root")
 
 
-@query("s07_depth_zero", "SELECT len(string_split(regexp_replace(url, '^[a-z]+://', ''), '/')) - 1 AS depth, count(*) AS n FROM pages GROUP BY 1")
-def depths(s, d):
-    depth = F.size(F.split(F.regexp_replace("url", "^[a-z]+://", ""), "/")) - 1
-    return table(s, d, "pages").groupBy(depth.cast("long").alias("depth")).agg(F.count(F.lit(1)).alias("n"))
-
-
-@query("s05_dataset_discovery", """WITH catalog(name) AS (SELECT n_name FROM nation WHERE n_nationkey < 10), found AS (SELECT DISTINCT n_name AS name FROM nation JOIN customer ON c_nationkey = n_nationkey)
-SELECT name, true AS listed FROM catalog UNION ALL SELECT name, false FROM found WHERE name NOT IN (SELECT name FROM catalog)""")
-def discovery(s, d):
-    nation = table(s, d, "nation")
-    catalog = nation.where("n_nationkey < 10").select(F.col("n_name").alias("name"))
-    found = nation.join(table(s, d, "customer"), F.col("c_nationkey") == F.col("n_nationkey"), "left_semi").select(F.col("n_name").alias("name"))
-    return catalog.withColumn("listed", F.lit(True)).unionByName(found.join(catalog, "name", "left_anti").withColumn("listed", F.lit(False)))
-
-
 @query("s12_canonical_manifest", with_views("log") + "SELECT cell_key, arg_max(samples, ord) AS samples FROM log WHERE samples IS NOT NULL AND status <> 'running' GROUP BY 1")
 def canonical_manifest(s, d):
     return R.latest(log_of(s, d).where("samples IS NOT NULL AND status <> 'running'"), "cell_key", "ord").select("cell_key", "samples")
@@ -85,12 +70,6 @@ def enriched(s, d):
     return table(s, d, "part").select("p_partkey").join(uses, "p_partkey", "left").select("p_partkey", F.coalesce("n", F.lit(0)).alias("uses"), installed.alias("installed"), (F.col("n").isNotNull() & ~installed).alias("downloadable"))
 
 
-@query("a04_known_estimate", "SELECT count(DISTINCT c_nationkey) * count(DISTINCT c_mktsegment) * 6 AS n_cells, CASE WHEN count(DISTINCT c_nationkey) * count(DISTINCT c_mktsegment) * 6 > 64 THEN 'warn' ELSE 'ok' END AS level FROM customer WHERE c_nationkey < 10")
-def known_estimate(s, d):
-    n = F.countDistinct("c_nationkey") * F.countDistinct("c_mktsegment") * 6
-    return table(s, d, "customer").where("c_nationkey < 10").agg(n.alias("n_cells"), F.when(n > 64, "warn").otherwise("ok").alias("level"))
-
-
 @query("a09_detection_score", """SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN (n_chars % 100) / 100 ELSE CASE WHEN substr(b, 1, 1) = '1' THEN 1.0 ELSE 0.0 END END AS score FROM (SELECT doc_id, n_chars, bin(n_chars) AS b FROM documents WHERE n_chars > 0)""")
 def detection_score(s, d):
     docs = table(s, d, "documents").where("n_chars > 0")
@@ -208,11 +187,6 @@ def bits_string(s, d):
     return table(s, d, "documents").select("doc_id", F.array_join(bits, "").alias("bits"), F.size(F.filter(bits, lambda b: b == "1")).cast("long").alias("ones"))
 
 
-@query("x31_alignment", "SELECT p_partkey, CASE WHEN p_size = 20 THEN 'none' ELSE 'resize_target' END AS policy FROM part")
-def alignment(s, d):
-    return table(s, d, "part").select("p_partkey", F.when(F.col("p_size").eqNullSafe(F.lit(20)), "none").otherwise("resize_target").alias("policy"))
-
-
 @query("c02_strength_injected", "SELECT p_partkey, CASE WHEN p_size % 3 = 0 THEN 'scale=' || (p_size // 10) WHEN p_size % 3 = 1 THEN 'strength=' || (p_size / 10) ELSE '' END AS params FROM part")
 def injected(s, d):
     size = F.col("p_size")

@@ -6,8 +6,10 @@ from pyspark.sql import functions as F
 
 from robustlake.operators import planning as P
 from robustlake.operators import records as R
-from robustlake.plans.bindings import table, with_views
+from robustlake.operators import scoring as C
+from robustlake.plans.bindings import cells, table, with_views
 from robustlake.plans.registry import query
+from robustlake.sources import writers
 from robustlake.storage import scratch
 from robustlake.streaming import heartbeats as H
 from robustlake.streaming import series as Z
@@ -180,3 +182,110 @@ def stream_state(s, d):
     source = H.arriving(rows, F.unix_micros("ts") + late * 1_000_000, 6, "samples")
     found = Z.replayed_series(s, source, rows.schema, "3 hours", ring=20)
     return found.select(F.col("key").alias("user_id"), "event_id", "ema", "median", F.round("rate", 9).alias("rate"), F.round("ring_mean", 6).alias("ring_mean"))
+
+
+@query("s05_dataset_discovery", """WITH catalog AS (SELECT DISTINCT n_name AS name FROM nation JOIN supplier ON s_nationkey = n_nationkey WHERE s_suppkey % 2 = 0),
+found AS (SELECT n_name AS name, count(*) FILTER (WHERE c_custkey % 37 = 0) AS images FROM nation JOIN customer ON c_nationkey = n_nationkey GROUP BY 1)
+SELECT name, true AS listed, coalesce(images, 0) AS images FROM catalog LEFT JOIN found USING (name)
+UNION ALL SELECT name, false, images FROM found WHERE images > 0 AND name NOT IN (SELECT name FROM catalog)""")
+def dataset_discovery(s, d):
+    """Listed datasets, with or without images, and folders that are not listed but hold one."""
+    nation = table(s, d, "nation").select("n_nationkey", F.col("n_name").alias("name"))
+    even = table(s, d, "supplier").where("s_suppkey % 2 = 0").select(F.col("s_nationkey").alias("n_nationkey"))
+    catalog = nation.join(even, "n_nationkey", "left_semi").select("name").distinct()
+    customers = table(s, d, "customer").select(F.col("c_nationkey").alias("n_nationkey"), (F.col("c_custkey") % 37 == 0).alias("image"))
+    folders = customers.groupBy("n_nationkey").agg(F.count_if("image").alias("images")).join(nation, "n_nationkey").select("name", "images")
+    return P.discovered(catalog, folders)
+
+
+IMAGE = "CASE WHEN page_id % 5 = 0 THEN 'p' || page_id || '.png' ELSE 'set' || page_id % 3 || '/' || CASE WHEN page_id % 2 = 0 THEN 'sub/' ELSE '' END || page_id || '.png' END"
+
+
+@query("s07_depth_zero", f"""WITH i AS (SELECT {IMAGE} AS path FROM pages)
+SELECT CASE WHEN contains(path, '/') THEN split_part(path, '/', 1) ELSE 'local-root' END AS dataset, count(*) AS images, max(path) AS last FROM i GROUP BY 1""")
+def depth_zero(s, d):
+    """Images right below the root are a dataset of their own; the others belong to the folder that they are in."""
+    return P.folder_datasets(table(s, d, "pages").select(F.expr(IMAGE).alias("path")))
+
+
+@query("j07_reference_target", """WITH l AS (SELECT l_orderkey, l_orderkey || '/' || l_linenumber || '.png' AS rel, l_partkey FROM lineitem),
+r AS (SELECT DISTINCT l_orderkey, rel FROM l WHERE l_partkey % 5 <> 0), t AS (SELECT DISTINCT l_orderkey, rel FROM l WHERE l_partkey % 7 <> 0)
+SELECT coalesce(r.l_orderkey, t.l_orderkey) AS cell, count(*) FILTER (WHERE r.rel IS NOT NULL AND t.rel IS NOT NULL) AS pairs, count(*) FILTER (WHERE t.rel IS NULL) AS no_target, count(*) FILTER (WHERE r.rel IS NULL) AS no_reference
+FROM r FULL JOIN t ON r.l_orderkey = t.l_orderkey AND r.rel = t.rel GROUP BY 1""")
+def reference_target(s, d):
+    """Reference images against those that a step made of them, by the path below the folder of each."""
+    rel = F.concat(F.col("l_orderkey"), F.lit("/"), F.col("l_linenumber"), F.lit(".png"))
+    own = table(s, d, "lineitem").select(F.col("l_orderkey").alias("cell"), rel.alias("rel"), "l_partkey")
+    below = lambda folder, step: own.where(F.col("l_partkey") % step != 0).select("cell", F.concat(F.lit(folder), "rel").alias("path"))
+    pairs = P.paired(below("/runs/1/canonical/", 5), below("/runs/1/attacked/", 7), "cell", "/runs/1/canonical/", "/runs/1/attacked/")
+    there = lambda c: F.col(c).isNotNull()
+    return pairs.groupBy("cell").agg(F.count_if(there("reference") & there("target")).alias("pairs"), F.count_if(~there("target")).alias("no_target"), F.count_if(~there("reference")).alias("no_reference"))
+
+
+@query("a04_known_estimate", """WITH a AS (SELECT c_custkey % 50 AS config, c_nationkey + c_custkey % 7 AS dataset, c_mktsegment AS algorithm FROM customer),
+k AS (SELECT config, count(DISTINCT n_nationkey) AS known, count(DISTINCT dataset) AS asked, count(DISTINCT algorithm) AS algorithms FROM a LEFT JOIN nation ON n_nationkey = dataset GROUP BY 1)
+SELECT config, asked, known, known * algorithms * 6 AS n_cells, known * algorithms * 6 * greatest(1, config) AS n_ops, CASE WHEN known * algorithms * 6 > 64 OR known * algorithms * 6 * greatest(1, config) > 10000 THEN 'warn' ELSE 'ok' END AS level FROM k""")
+def known_estimate(s, d):
+    """Cells and operations of configurations that ask for some datasets which there are not; six attack variants, as many samples as the number of the configuration."""
+    asked = table(s, d, "customer").select((F.col("c_custkey") % 50).alias("config"), (F.col("c_nationkey") + F.col("c_custkey") % 7).alias("dataset"), F.col("c_mktsegment").alias("algorithm"))
+    return P.known_estimate(asked, table(s, d, "nation").select(F.col("n_nationkey").alias("dataset")), 6, F.greatest(F.lit(1), F.col("config")))
+
+
+@query("x31_alignment", """WITH t AS (SELECT p_partkey, p_size AS w, CASE WHEN p_partkey % 11 = 0 THEN NULL ELSE p_size + 1 END AS h, CASE WHEN p_partkey % 3 = 0 THEN p_size + 1 ELSE p_size END AS tw,
+  CASE WHEN p_partkey % 11 = 0 OR p_partkey % 13 = 0 THEN NULL ELSE p_size + 1 END AS th FROM part)
+SELECT p_partkey, CASE WHEN w IS NOT DISTINCT FROM tw AND h IS NOT DISTINCT FROM th THEN 'none' ELSE 'resize_target' END AS policy FROM t""")
+def alignment(s, d):
+    """A target is resized only if its size is not that of the reference; unknown sides are equal only to unknown ones."""
+    key, size = F.col("p_partkey"), F.col("p_size")
+    h = F.when(key % 11 != 0, size + 1)
+    sizes = table(s, d, "part").select("p_partkey", F.struct(size.alias("w"), h.alias("h")).alias("own"), F.struct(F.when(key % 3 == 0, size + 1).otherwise(size).alias("w"), F.when(key % 13 != 0, h).alias("h")).alias("target"))
+    same = F.col("own.w").eqNullSafe(F.col("target.w")) & F.col("own.h").eqNullSafe(F.col("target.h"))
+    return sizes.select("p_partkey", F.when(same, "none").otherwise("resize_target").alias("policy"))
+
+
+@query("k02_document", with_views("cells") + "SELECT count(*) AS n_cells, count(DISTINCT algorithm_id) AS algorithms, max(samples) AS most, 'é' || chr(34) || chr(10) AS note FROM cells")
+def document(s, d):
+    """A summary written as one JSON document, and again over it, as it reads."""
+    own = cells(s, d).agg(F.count(F.lit(1)).alias("n_cells"), F.countDistinct("algorithm_id").alias("algorithms"), F.max("samples").alias("most"), F.lit('é"\n').alias("note"))
+    path = f"{scratch(s, 'document').path}/summary"
+    writers.write_document(own.withColumn("n_cells", F.lit(0).cast("long")), path)
+    writers.write_document(own, path)
+    return s.read.schema(own.schema).json(path)
+
+
+@query("a21_fidelity", with_views("cells") + """, m AS (SELECT algorithm_id, 1 - avg(nqd) AS clean FROM cells GROUP BY 1)
+SELECT algorithm_id, round(CASE WHEN max(clean) OVER () <= min(clean) OVER () THEN 1 ELSE (clean - min(clean) OVER ()) / (max(clean) OVER () - min(clean) OVER ()) END, 6) AS fidelity FROM m""")
+def fidelity(s, d):
+    own = cells(s, d).groupBy("algorithm_id").agg((1 - F.avg("nqd")).alias("clean"))  # a row for each algorithm
+    return own.select("algorithm_id", F.round(C.min_max(F.col("clean")), 6).alias("fidelity"))
+
+
+@query("a22_simplicity", with_views("profile") + """, m AS (SELECT device, sum(elapsed_ms) - 1500 AS ms FROM profile GROUP BY 1), l AS (SELECT device, CASE WHEN ms > 0 THEN ln(1 + ms) END AS x FROM m)
+SELECT device, round(1 - CASE WHEN max(x) OVER () <= min(x) OVER () THEN CASE WHEN x IS NOT NULL THEN 1 END ELSE (x - min(x) OVER ()) / (max(x) OVER () - min(x) OVER ()) END, 6) AS simplicity FROM l""")
+def simplicity(s, d):
+    """The shorter a runtime among its peers, the simpler; times that are not above zero have none."""
+    from robustlake.plans.bindings import profile
+
+    own = profile(s, d).groupBy("device").agg((F.sum("elapsed_ms") - 1500).alias("ms"))
+    return own.select("device", F.round(1 - C.min_max(F.when(F.col("ms") > 0, F.log1p("ms"))), 6).alias("simplicity"))
+
+
+POINTS = """p AS (SELECT algorithm_id, category, strength, sum(tpr * w) / sum(w) AS tpr, sum(nqd * w) / sum(w) AS nqd FROM (SELECT *, CASE WHEN samples > 0 THEN samples ELSE 1 END::DOUBLE AS w FROM cells) GROUP BY 1, 2, 3)"""
+
+
+@query("w04_segments", with_views("cells") + f""", {POINTS}, g AS (SELECT *, lag(strength) OVER w AS px, lag(tpr) OVER w AS py FROM p WINDOW w AS (PARTITION BY algorithm_id, category ORDER BY strength))
+SELECT algorithm_id, category, px AS x0, strength AS x1, round((strength - px) * (tpr + py) / 2, 9) AS area FROM g WHERE px IS NOT NULL""")
+def segments(s, d):
+    points = C.curve_points(cells(s, d), "algorithm_id", "category", "strength")
+    found = C.segments(points, ["algorithm_id", "category"], "strength", "tpr")
+    return found.select("algorithm_id", "category", "x0", "x1", F.round("area", 9).alias("area"))
+
+
+@query("w05_first_crossing", with_views("cells") + f""", {POINTS}
+SELECT algorithm_id, category, min(strength) FILTER (WHERE tpr <= 0.5) AS strength, round(CASE WHEN min(strength) FILTER (WHERE tpr <= 0.5) IS NULL THEN 'inf'::DOUBLE
+  WHEN min(strength) FILTER (WHERE tpr <= 0.5) = min(strength) THEN '-inf'::DOUBLE ELSE arg_min(nqd, strength) FILTER (WHERE tpr <= 0.5) END, 6) AS nqd FROM p GROUP BY 1, 2""")
+def first_crossing(s, d):
+    """Where detection first falls to a half, and the degradation there: without end if it never does, below all if at once."""
+    points = C.curve_points(cells(s, d), "algorithm_id", "category", "strength")
+    at = points.groupBy("algorithm_id", "category").agg(F.min(F.when(F.col("tpr") <= 0.5, F.col("strength"))).alias("strength"))
+    return at.join(C.quality_at(points, ["algorithm_id", "category"], 0.5, "nqd"), ["algorithm_id", "category"]).withColumn("nqd", F.round("nqd", 6))
