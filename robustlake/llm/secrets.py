@@ -179,7 +179,8 @@ def _running(sizes: Column) -> Column:
         ahead = _let(F.transform(blocks, _sum), lambda totals: _let(_parts(totals, HITS), lambda groups: _let(_starts(F.transform(groups, _sum), F.lit(0)), lambda begins: F.flatten(F.transform(F.arrays_zip(groups.alias("g"), begins.alias("b")), lambda z: _starts(z["g"], z["b"]))))))
         return F.flatten(F.transform(F.arrays_zip(blocks.alias("s"), ahead.alias("b")), lambda z: _starts(z["s"], z["b"])))
 
-    return _let(sizes, lambda own: _let(_parts(own, HITS), below))
+    few = lambda own: F.size(own) <= HITS
+    return _let(sizes, lambda own: F.when(few(own), _starts(own, F.lit(0))).otherwise(_let(_parts(own, HITS), below)))
 
 
 def _spans(text: Column, rule: Rule, number: int) -> Column:
