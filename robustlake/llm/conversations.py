@@ -384,3 +384,59 @@ def repair(rows: DataFrame) -> DataFrame:
 def op13_repair(rows: DataFrame) -> DataFrame:
     """The contract's digest: damage by rule, then ``repair``; one row for each conv_id."""
     return repair(damaged(rows))
+
+
+#: CRC-32 in SQL: a table of 256 remainders, and the sum of an ASCII text ``{}``.
+CRC_TABLE = "crc(t) AS (SELECT list_transform(range(256), lambda n: list_reduce(list_prepend(n, range(8)), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)))"
+CRC = "xor(list_reduce(list_prepend(4294967295, list_transform(range(1, length({0}) + 1), lambda i: CAST(ascii(substr({0}, i, 1)) AS BIGINT))), lambda c, b: xor(c >> 8, t[xor(c & 255, b) + 1])), 4294967295)"
+
+
+def _sql() -> str:
+    """The same rule as a recursion over rows that keeps the cheapest (cost, audit) of each state."""
+    far = "{'c': 1000000000, 'a': '', 't': ''}"
+
+    def add(state: str, cost: str, letter: str, line: str | None = None) -> str:
+        text = f"{state}.t" if line is None else f"{state}.t || chr(10) || {line}"
+        return f"{{'c': {state}.c + {cost}, 'a': {state}.a || '{letter}', 't': {text}}}"
+
+    def closed(query: str) -> str:
+        """``query`` with columns s0 to s3, after insertions."""
+        user = f"list_min([s2, {add('s0', '2', 'I', repr('user:'))}, {add('s1', '2', 'I', repr('user:'))}, {add('s3', '2', 'I', repr('user:'))}])"
+        inner = f"SELECT conv, k, s0, s1, {user} AS s2, s3 FROM ({query})"
+        return f"SELECT conv, k, s0, s1, s2, list_min([s3, {add('s2', '2', 'I', repr('assistant:'))}]) AS s3 FROM ({inner})"
+
+    late, free = "CASE WHEN fault = 'truncated' THEN 1 ELSE 0 END", "fault NOT IN ('blank', 'duplicate')"
+
+    def kept(state: str, initial: str) -> str:
+        return f"CASE WHEN {free} AND initial = '{initial}' THEN {add(state, late, 'K', 'role || chr(58) || text')} ELSE {far} END"
+
+    def reroled(state: str, role: str) -> str:
+        return f"CASE WHEN {free} THEN {add(state, '2 + ' + late, 'R', f"'{role}:' || text")} ELSE {far} END"
+
+    gone = {q: add(f"s{q}", "3", "D") for q in range(4)}
+    users = ", ".join(f"{kept(s, 'u')}, {reroled(s, 'user')}" for s in ("s0", "s1", "s3"))
+    step = f"""SELECT r.conv, f.k, {gone[0]} AS s0, list_min([{gone[1]}, {kept("s0", "s")}]) AS s1, list_min([{gone[2]}, {users}]) AS s2,
+      list_min([{gone[3]}, {kept("s2", "a")}, {reroled("s2", "assistant")}]) AS s3 FROM r JOIN f ON f.conv = r.conv AND f.k = r.k + 1"""
+    none = "{'c': 0, 'a': '', 't': ''}"
+    space = r"[\x20\x09-\x0D]"
+    return rf"""WITH RECURSIVE {CRC_TABLE},
+convs AS (SELECT conv_id, row_number() OVER () AS conv FROM (SELECT DISTINCT conv_id FROM conversations)),
+raw AS (SELECT conv, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, coalesce(CAST(c.conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ') AS id
+  FROM conversations c JOIN convs ON convs.conv_id IS NOT DISTINCT FROM c.conv_id),
+kinds AS (SELECT conv, turn, role, text, {CRC.format("id")} % 20 AS kind FROM raw, crc),
+after AS (SELECT conv, turn, CASE WHEN kind = 4 THEN 'user' ELSE role END AS role, CASE kind WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text
+  FROM kinds, LATERAL (SELECT unnest(range(CASE kind WHEN 0 THEN 0 WHEN 3 THEN 2 ELSE 1 END))) copies),
+ordered AS (SELECT *, row_number() OVER (PARTITION BY conv ORDER BY turn NULLS FIRST, role, text) AS k, substr(role, 1, 1) AS initial, right(regexp_replace(text, '{space}+$', ''), 1) AS last FROM after),
+f AS (SELECT *, CASE WHEN last = '' THEN 'blank' WHEN row_number() OVER (PARTITION BY conv, role, text ORDER BY k) > 1 THEN 'duplicate' WHEN last NOT IN ('.', '!', '?') THEN 'truncated' ELSE '' END AS fault FROM ordered),
+r AS ({closed(f"SELECT conv, 0::BIGINT AS k, {none} AS s0, {far} AS s1, {far} AS s2, {far} AS s3 FROM convs")} UNION ALL {closed(step)}),
+ends AS (SELECT conv, list_min([arg_max(s0, k), arg_max(s3, k)]) AS best FROM r GROUP BY conv),
+pairs AS (SELECT conv, lag(initial) OVER (PARTITION BY conv ORDER BY k) || initial AS pair FROM f),
+illegal AS (SELECT conv, count(*) FILTER (WHERE pair NOT IN ('su', 'ua', 'au')) AS illegal FROM pairs GROUP BY conv),
+counts AS (SELECT conv, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (WHERE fault = 'blank') AS blank, count(*) FILTER (WHERE fault = 'duplicate') AS duplicate,
+  count(*) FILTER (WHERE fault = 'truncated') AS truncated FROM f GROUP BY conv)
+SELECT conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal,
+  best.c AS cost, best.a AS audit, sha256(substr(best.t, 2)) AS repaired_sha256
+FROM convs JOIN ends USING (conv) LEFT JOIN counts USING (conv) LEFT JOIN illegal USING (conv)"""
+
+
+OP13_SQL = _sql()

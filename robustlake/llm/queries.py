@@ -8,13 +8,13 @@ from pyspark.sql import DataFrame, SparkSession
 
 from robustlake.llm.archives import OP12_SQL, op12_warc
 from robustlake.llm.common import read_table as table
-from robustlake.llm.conversations import op13_repair
+from robustlake.llm.conversations import OP13_SQL, op13_repair
 from robustlake.llm.decontaminate import OP4_SQL, op4_decontaminate
 from robustlake.llm.html import op3_html_extract
 from robustlake.llm.line_dedup import OP6_SQL, op6_line_dedup
 from robustlake.llm.minhash import OP9_SQL, op9_minhash
 from robustlake.llm.packing import op8_packing
-from robustlake.llm.resampling import op11_resample
+from robustlake.llm.resampling import OP11_SQL, op11_resample
 from robustlake.llm.secrets import op5_secret_scan
 from robustlake.llm.suffixes import OP10_SQL, op10_suffix_dedup
 from robustlake.llm.token_counts import op2_token_counts
@@ -45,5 +45,5 @@ def queries() -> dict[str, Query]:
 def oracle_sql() -> dict[str, str]:
     return {
         "op4_decontaminate": OP4_SQL, "op6_line_dedup": OP6_SQL, "op7_topk": OP7_SQL, "op9_minhash": OP9_SQL, "op10_suffix_dedup": OP10_SQL,
-        "op12_warc": OP12_SQL,
+        "op11_resample": OP11_SQL, "op12_warc": OP12_SQL, "op13_repair": OP13_SQL,
     }

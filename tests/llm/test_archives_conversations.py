@@ -275,3 +275,21 @@ def test_counts_of_copies_equal_copies(spark):
     schema = "conv_id long, turn long, role string, text string, copies long"
     each = [(c, t, r, x, 1) for c, t, r, x, n in rows_ for _ in range(n)]
     assert found(repair(spark.createDataFrame(rows_, schema))) == found(repair(spark.createDataFrame(each, schema)))
+
+
+def through_sql(tmp_path, sql, **tables):
+    for name, df in tables.items():
+        df.write.parquet(f"{tmp_path}/{name}.parquet")
+        duckdb.sql(f"CREATE OR REPLACE VIEW {name} AS SELECT * FROM '{tmp_path}/{name}.parquet/*.parquet'")
+    return sorted(duckdb.sql(sql).fetchall(), key=some)
+
+
+def test_sql_of_resampling(spark, tmp_path):
+    own = docs(spark, rows() + [(1000 + i, f"{r[1]} more {i}", "en", "s", 1, 1.0, "r", 1) for i, r in enumerate(rows()[:12] * 8)])
+    target = spark.createDataFrame([(0, rows()[0][1]), (1, None)], "item_id long, text string")
+    assert through_sql(tmp_path, resampling.OP11_SQL, documents=own, benchmark=target) == found(op11_resample(own, target))
+
+
+def test_sql_of_repair(spark, tmp_path):
+    own = spark.createDataFrame([r for r in turn_rows() if r[0] != 500], TURNS)
+    assert through_sql(tmp_path, conversations.OP13_SQL, conversations=own) == found(op13_repair(own))
