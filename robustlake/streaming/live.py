@@ -84,7 +84,10 @@ def _forget(spark: SparkSession, path: str, needed: set[int]) -> None:
 
 
 def smoothed_stream(events: DataFrame, keep: float = 0.55) -> DataFrame:
-    """Exponential moving average of each user's values, its state kept between triggers."""
+    """Exponential moving average of each user's values in the order of arrival, its state kept between triggers.
+
+    ``series.series`` waits for late values and takes them in their place.
+    """
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         at = state.get[0] if state.exists else None
