@@ -150,3 +150,14 @@ def known_estimate(asked: DataFrame, known: DataFrame, variants: int, samples: C
     own = rows.groupBy("config").agg(F.countDistinct("dataset").alias("asked"), F.countDistinct("_known").alias("known"), F.countDistinct("algorithm").alias("_algorithms"))
     own = own.withColumn("n_cells", F.col("known") * F.col("_algorithms") * variants).withColumn("n_ops", F.col("n_cells") * samples)
     return own.withColumn("level", F.when((F.col("n_cells") > 64) | (F.col("n_ops") > 10000), "warn").otherwise("ok")).drop("_algorithms")
+
+
+def searched(results: DataFrame, text: str = "", status: str | None = None, attack: str | None = None, fields: tuple[str, ...] = ("cell_key", "algorithm_id", "attack_id")) -> DataFrame:
+    """Results whose fields hold a text (in any case, spaces around it do not count), of a status and of an attack; None: of any."""
+    needle = text.strip().lower()
+    hit = F.lit(not needle)
+    for field in fields:
+        hit = hit | F.contains(F.lower(F.col(field)), F.lit(needle))
+    rows = results.where(F.coalesce(hit, F.lit(False)))
+    rows = rows if status is None else rows.where(F.col("status") == status)
+    return rows if attack is None else rows.where(F.col("attack_id") == attack)

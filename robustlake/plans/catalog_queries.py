@@ -44,11 +44,6 @@ def stage_status(s, d):
     return profile(s, d).groupBy("device").agg(F.when(bad | few, "failed").otherwise("succeeded").alias("status"), F.when(~bad & few, "missing results").alias("error"))
 
 
-@query("p16_search", "SELECT p_partkey, p_name FROM part WHERE contains(lower(p_name), 'al') AND p_size > 20")
-def search(s, d):
-    return table(s, d, "part").where(F.contains(F.lower("p_name"), F.lit("al")) & (F.col("p_size") > 20)).select("p_partkey", "p_name")
-
-
 @query("j03_priority_lookup", """WITH names AS (SELECT p_partkey AS id, p_name AS name, 1 AS priority FROM part UNION ALL SELECT p_partkey, p_brand, 2 FROM part UNION ALL SELECT p_partkey, p_type, 3 FROM part),
 best AS (SELECT name, arg_min(id, (priority, id)) AS id, min(priority) AS priority FROM names GROUP BY 1), asked AS (SELECT DISTINCT p_brand AS name FROM part UNION SELECT DISTINCT p_type FROM part UNION SELECT 'nowhere')
 SELECT asked.name, best.id, best.priority FROM asked LEFT JOIN best USING (name)""")

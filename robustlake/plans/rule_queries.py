@@ -289,3 +289,24 @@ def first_crossing(s, d):
     points = C.curve_points(cells(s, d), "algorithm_id", "category", "strength")
     at = points.groupBy("algorithm_id", "category").agg(F.min(F.when(F.col("tpr") <= 0.5, F.col("strength"))).alias("strength"))
     return at.join(C.quality_at(points, ["algorithm_id", "category"], 0.5, "nqd"), ["algorithm_id", "category"]).withColumn("nqd", F.round("nqd", 6))
+
+
+#: Searches of a results page: text, status, attack.
+SEARCHES = [(" ALG-1", None, None), ("", "failed", "atk-7"), ("12-3", "succeeded", None), ("", None, None)]
+
+
+def _search_sql(number: int, text: str, status: str | None, attack: str | None) -> str:
+    needle = text.strip().lower()
+    rules = [f"({' OR '.join(f"contains(lower({c}), '{needle}')" for c in ('cell_key', 'algorithm_id', 'attack_id'))})"]
+    rules += [f"status = '{status}'"] if status else []
+    rules += [f"attack_id = '{attack}'"] if attack else []
+    return f"SELECT {number} AS search, algorithm_id, count(*) AS n, CAST(sum(samples) AS BIGINT) AS samples FROM cells WHERE {' AND '.join(rules)} GROUP BY 2"
+
+
+@query("p16_search", with_views("cells") + " UNION ALL ".join(_search_sql(i, *x) for i, x in enumerate(SEARCHES)))
+def search(s, d):
+    own, out = cells(s, d).select("cell_key", "algorithm_id", "attack_id", "status", "samples"), None
+    for number, wanted in enumerate(SEARCHES):
+        found = P.searched(own, *wanted).groupBy(F.lit(number).alias("search"), "algorithm_id").agg(F.count(F.lit(1)).alias("n"), F.sum("samples").alias("samples"))
+        out = found if out is None else out.unionByName(found)
+    return out
