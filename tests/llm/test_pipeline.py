@@ -1,5 +1,6 @@
 """The pipeline's stages by brute force on a small table."""
 
+import random
 import re
 import zlib
 from collections import Counter
@@ -8,7 +9,7 @@ import corpus_pipeline as p
 import numpy as np
 from pyspark.sql import functions as F
 import __spark_entry__ as entry
-from messy import SCHEMA, rows
+from messy import SCHEMA, rows, words
 from robustlake.llm.common import row_key
 from robustlake.llm.line_dedup import LAST
 from robustlake.llm.tokens import default_tokenizer, encoder
@@ -49,7 +50,7 @@ def test_run(spark, tmp_path):
     docs = tables(spark, tmp_path, rows())
     pieces = p.run(spark, str(tmp_path)).collect()
     assert pieces and {x.doc_id for x in pieces} <= {r.doc_id for r in docs.collect()}
-    assert "pipeline" in entry.queries() and {f"op{n}_" for n in range(1, 11)} == {k.split("_")[0] + "_" for k in entry.queries() if k.startswith("op")}
+    assert "pipeline" in entry.queries() and {f"op{n}_" for n in range(1, 14)} == {k.split("_")[0] + "_" for k in entry.queries() if k.startswith("op")}
 
 
 def brute(own, items):
@@ -100,6 +101,16 @@ def brute(own, items):
 KEYS = [None]
 
 
+def pieces_of(left):
+    encode, end, want = encoder(default_tokenizer()).encode, np.array([2], "<u4").tobytes(), Counter()
+    for d, t in left:
+        ids = encode(t) + end
+        n = len(ids) // 4
+        edges = [0, *range(n % 1024 or min(n, 1024), n + 1, 1024)]
+        want.update((d, k, a, b - a, zlib.crc32(ids[4 * a : 4 * b])) for k, (a, b) in enumerate(zip(edges, edges[1:])))
+    return want
+
+
 def test_run_equals_brute_force(spark, tmp_path):
     own = [r[:5] for r in rows() if r[0] != 6 or r[1].startswith("another")]
     docs = spark.createDataFrame(own, DOCS)
@@ -108,17 +119,31 @@ def test_run_equals_brute_force(spark, tmp_path):
     items = [(0, " ".join(own[4][1].split(" ")[:30])), (1, "never seen here")]
     spark.createDataFrame(items, "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
     KEYS[0] = [r.k for r in docs.select(row_key(F.col("doc_id"), F.col("text")).alias("k")).collect()]
-    encode, end = encoder(default_tokenizer()).encode, np.array([2], "<u4").tobytes()
-    want = Counter()
     left = brute(own, items)
-    for d, t in left:
-        ids = encode(t) + end
-        n = len(ids) // 4
-        edges = [0, *range(n % 1024 or min(n, 1024), n + 1, 1024)]
-        want.update((d, k, a, b - a, zlib.crc32(ids[4 * a : 4 * b])) for k, (a, b) in enumerate(zip(edges, edges[1:])))
     pieces = p.run(spark, str(tmp_path)).collect()
     assert 15 < len(left) < len(own) - 5
-    assert Counter((x.doc_id, x.piece, x.start, x.length, x.ids_crc32) for x in pieces) == want
+    assert Counter((x.doc_id, x.piece, x.start, x.length, x.ids_crc32) for x in pieces) == pieces_of(left)
+
+
+def test_run_with_toxic_documents_equals_brute_force(spark, tmp_path):
+    rng = random.Random(8)
+    foul = lambda i: f"{words(rng, 12)} {' '.join(rng.choice(['vilesludge', 'gutterfilth', 'rotspite']) for _ in range(12))} {words(rng, 12)} {i}"
+    toxic = [(600 + i, foul(i), "en", "s", 1) for i in range(40)]
+    clean = [(700 + i, f"{words(rng, 40)} {i}", "en", "s", 1) for i in range(40)]
+    own = [r[:5] for r in rows() if r[0] != 6 or r[1].startswith("another")] + toxic + clean
+    spark.createDataFrame(own, DOCS).coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    labels = [(i, 0, 0) for i in range(60)] + [(r[0], 0, 1) for r in toxic[:30]] + [(r[0], 1, 0) for r in clean[:30]]
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    items = [(0, " ".join(own[4][1].split(" ")[:30])), (1, "never seen here")]
+    spark.createDataFrame(items, "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    stays = p.toxicity(spark, spark.read.parquet(f"{tmp_path}/documents.parquet"), str(tmp_path))
+    stays = stays.withColumn("k", row_key(F.col("doc_id"), F.col("text"))).collect()
+    ids = {r.doc_id for r in stays}
+    assert not ids & {r[0] for r in toxic} and len(ids & {r[0] for r in clean}) >= 38
+    KEYS[0] = [r.k for r in stays]
+    left = brute([tuple(r)[:5] for r in stays], items)
+    pieces = p.run(spark, str(tmp_path)).collect()
+    assert Counter((x.doc_id, x.piece, x.start, x.length, x.ids_crc32) for x in pieces) == pieces_of(left)
 
 
 def test_toxicity_stage_drops_what_the_model_rejects(spark, tmp_path):
