@@ -73,6 +73,24 @@ def windowed(rows: DataFrame, key: str, order: list[str], reach: int, work: Call
     return found.unionByName(inner.where(~F.col(HALO)).drop(PART, HALO))
 
 
+def running_sum(rows: DataFrame, key: str, order: list[str], value: str, name: str) -> DataFrame:
+    """``rows`` with the sum of ``value`` up to each of them within its key, in order."""
+    upto = F.sum(value).over(Window.partitionBy(key).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
+    plain, hot = split(rows, key)
+    found = plain.withColumn(name, upto)
+    if hot is None:
+        return found
+    ranges = in_ranges(hot, key, order)
+    sums = ranges.groupBy(F.col(key).alias("_key"), F.col(PART).alias("_of")).agg(F.sum(value).alias("_sum"))
+    ahead = Window.partitionBy("_key").orderBy("_of").rowsBetween(Window.unboundedPreceding, -1)
+    # a row for each range of a crowded key: fewer than twice the partitions
+    sums = F.broadcast(sums.select("_key", "_of", F.sum("_sum").over(ahead).alias("_before")))
+    inside = F.sum(value).over(Window.partitionBy(key, PART).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
+    own = ranges.withColumn("_inside", inside).join(sums, ranges[key].eqNullSafe(sums["_key"]) & (ranges[PART] == sums["_of"]))
+    whole = F.when(F.col("_before").isNull() & F.col("_inside").isNull(), None).otherwise(F.coalesce("_before", F.lit(0)) + F.coalesce("_inside", F.lit(0)))
+    return found.unionByName(own.select(*rows.columns, whole.alias(name)))
+
+
 #: Most rows of facts that are broadcast whole.
 FEW = 50_000
 

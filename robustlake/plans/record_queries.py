@@ -9,6 +9,7 @@ from robustlake.operators import progress as P
 from robustlake.operators import records as R
 from robustlake.operators import telemetry as T
 from robustlake.operators.overlaps import sharing
+from robustlake.operators.ranges import running_sum
 from robustlake.plans.bindings import cells, log, phases, profile, table, with_views
 from robustlake.plans.registry import query
 
@@ -236,8 +237,8 @@ def batch_elapsed(s, d):
 
 @query("w18_elapsed_accumulated", with_views("profile") + "SELECT event_id, round(sum(elapsed_ms) OVER (PARTITION BY device ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING), 4) AS total_ms FROM profile")
 def accumulated(s, d):
-    w = Window.partitionBy("device").orderBy("ts", "event_id").rowsBetween(Window.unboundedPreceding, 0)
-    return profile(s, d).select("event_id", F.round(F.sum("elapsed_ms").over(w), 4).alias("total_ms"))
+    own = running_sum(profile(s, d).select("device", "ts", "event_id", "elapsed_ms"), "device", ["ts", "event_id"], "elapsed_ms", "total_ms")
+    return own.select("event_id", F.round("total_ms", 4).alias("total_ms"))
 
 
 @query("p12_worker_fresh", "SELECT user_id AS worker, max(ts) >= TIMESTAMP '2024-01-30 12:00:00' - INTERVAL 6 HOUR AS fresh FROM events WHERE ts <= TIMESTAMP '2024-01-30 12:00:00' GROUP BY 1")

@@ -145,6 +145,17 @@ def test_power_drops_its_baseline_after_a_reset(spark, series):
     assert result(T.power(few, "k", ["at"], "v", F.col("s")), "watts") == {("a", 1): None, ("a", 2): None, ("a", 3): None, ("a", 4): 1.0}
 
 
+def test_running_sums_of_a_crowded_key(series):
+    rows, df = series
+    want = {}
+    for k, x in by_key(rows).items():
+        total = 0.0
+        for at, v, _ in x:
+            total += v
+            want[k, at] = total
+    assert result(ranges.running_sum(df, "k", ["at"], "v", "total"), "total") == want
+
+
 def test_halos_reach_over_short_ranges(spark):
     rows = spark.createDataFrame([("a", i, float(i), 0.0) for i in range(7)], SERIES)
     ranged = rows.withColumn(ranges.PART, F.col("at").cast("int"))  # one row in each range
