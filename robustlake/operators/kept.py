@@ -16,10 +16,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.utils import AnalysisException
 
-from robustlake.storage import Folder, settled
+from robustlake.storage import Folder, settings, settled
 
 #: Versions that a manifest may name before all sums are written anew in one.
 VERSIONS = 8
+#: Fixed value: the folder name of rows without an input's name, which stands for it here.
+NO_NAME = "__HIVE_DEFAULT_PARTITION__"
 #: Changed inputs that are read by their folders' names; more are read through a join on the input's name.
 NAMED = 1000
 
@@ -27,7 +29,7 @@ NAMED = 1000
 def fingerprints(spark: SparkSession, source: str) -> DataFrame:
     """unit, fingerprint: of the names, sizes and times of each input's files. Files are listed, not read."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.parquet").load(source)
-    unit = F.url_decode(F.regexp_extract("path", r"/unit=([^/]*)/", 1))
+    unit = F.url_decode(F.replace(F.regexp_extract("path", r"/unit=([^/]*)/", 1), F.lit("+"), F.lit("%2B")))
     files = files.select(unit.alias("unit"), F.concat_ws("|", "path", F.col("length"), F.unix_micros("modificationTime")).alias("file"))
     # order does not matter: a sum of hashes is a partial aggregate, however many files an input has
     digest = F.conv(F.substring(F.sha2("file", 256), 1, 15), 16, 10).cast("decimal(38,0)")
@@ -59,11 +61,13 @@ class Kept:
         return now.join(held, "unit", "full_outer").select("unit", "fingerprint", "version", change.alias("change"))
 
     def _rows(self, source: str, changed: DataFrame, count: int) -> DataFrame:
-        whole = self._spark.read.option("basePath", source)
-        if count > NAMED:
-            return whole.parquet(source).withColumn("unit", F.col("unit").cast("string")).join(changed.select("unit"), "unit", "left_semi")
-        names = sorted(n for n in (r["folder"] for r in changed.select(F.concat(F.lit("unit="), _escaped("unit")).alias("folder")).collect()))
-        return whole.parquet(*[f"{source}/{n}" for n in names]).withColumn("unit", F.col("unit").cast("string"))
+        unit = F.coalesce(F.col("unit").cast("string"), F.lit(NO_NAME))
+        with settings(self._spark, {"spark.sql.sources.partitionColumnTypeInference.enabled": "false"}):  # names stay as they are written
+            read = self._spark.read.option("basePath", source).parquet
+            if count > NAMED:
+                return read(source).withColumn("unit", unit).join(changed.select("unit"), "unit", "left_semi")
+            folders = changed.select(F.concat(F.lit("unit="), _escaped("unit")).alias("folder")).collect()
+            return read(*sorted(f"{source}/{r['folder']}" for r in folders)).withColumn("unit", unit)
 
     def refresh(self, source: str) -> dict[str, int]:
         """Bring the store up to date; how many inputs were kept, read and dropped."""
@@ -116,7 +120,7 @@ class Kept:
 
 def _escaped(name: str):
     """A folder name as the writer spells it: characters that a path cannot hold as %XX."""
-    special = "[\\x01-\\x1F\\x7F\"#%'*/:=?\\\\{}\\[\\]\\^]"
+    special = "[\\x01-\\x1F\\x7F\"#%'*/:=?\\\\{\\[\\]\\^]"
     chars = F.split(F.col(name), "")
     return F.array_join(F.transform(chars, lambda c: F.when(c.rlike(special), F.concat(F.lit("%"), F.lpad(F.hex(F.ascii(c)), 2, "0"))).otherwise(c)), "")
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import time
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -66,3 +67,16 @@ class Folder:
 def scratch(spark: SparkSession, name: str) -> Folder:
     """A new folder below the shared one that goes when the session ends."""
     return Folder(spark, f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}").drop_at_end()
+
+
+@contextmanager
+def settings(spark: SparkSession, values: dict[str, str]):
+    """Settings of the session for what is read or started inside."""
+    before = {k: spark.conf.get(k, None) for k in values}
+    for k, v in values.items():
+        spark.conf.set(k, v)
+    try:
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)

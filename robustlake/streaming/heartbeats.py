@@ -10,7 +10,6 @@ last beat by ``limit``: the run is paused then, until a later span begins.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from contextlib import contextmanager
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -18,7 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.window import Window
 
-from robustlake.storage import Folder, scratch
+from robustlake.storage import Folder, scratch, settings
 from robustlake.streaming.live import keep_latest, latest_table
 
 PAUSES = "run_id long, seen_from timestamp, last_seen timestamp, paused_at timestamp, beats long"
@@ -110,18 +109,6 @@ def arriving(rows: DataFrame, arrival: Column, files: int, name: str = "arrivals
     return folder
 
 
-@contextmanager
-def settings(spark: SparkSession, values: dict[str, str]):
-    before = {k: spark.conf.get(k, None) for k in values}
-    for k, v in values.items():
-        spark.conf.set(k, v)
-    try:
-        yield
-    finally:
-        for k, v in before.items():
-            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
-
-
 def replayed_silences(spark: SparkSession, source: Folder, schema, limit_seconds: float, delay: str) -> DataFrame:
     """All pauses that a stream over the files of ``source`` reports."""
     out = scratch(spark, "pauses")

@@ -16,8 +16,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
-from robustlake.storage import Folder, scratch
-from robustlake.streaming.heartbeats import ROCKS, settings
+from robustlake.storage import Folder, scratch, settings
+from robustlake.streaming.heartbeats import ROCKS
 
 SETTLED = "key long, event_id long, ema double, median double, rate double, ring_mean double"
 _WAITING = "rows array<struct<at:long,event_id:long,value:double>>"

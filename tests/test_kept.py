@@ -125,3 +125,15 @@ def test_a_step_that_fails_leaves_no_results(spark, place):
     assert memo.known("length", {}).isEmpty()
     assert sorted(r.result for r in memo.through(rows, "body", "length", {}, lambda c: F.length(c).cast("long")).collect()) == [1, 1]
     assert memo.known("length", {}).count() == 2
+
+
+@pytest.mark.parametrize("named", [1000, 0])
+@pytest.mark.parametrize("odd", [["a+b", "c}d{e", "f=g%h", "i:j?k*l", "é ü", "007", None], ["007", "7"]])
+def test_inputs_of_odd_names(spark, place, monkeypatch, named, odd):
+    monkeypatch.setattr(K, "NAMED", named)
+    source = f"{place.path}/source"
+    write(spark, source, [(u, "atk-0", 0.5, 0.25, 0.5, 2) for u in odd])
+    store = K.Kept(spark, f"{place.path}/store", K.curve_sums)
+    assert store.refresh(source) == {"kept": 0, "read": len(odd), "dropped": 0}
+    assert store.refresh(source) == {"kept": len(odd), "read": 0, "dropped": 0}
+    assert sorted(r.unit for r in store.sums().collect()) == sorted(u or K.NO_NAME for u in odd)
