@@ -157,7 +157,7 @@ def windows(s, d):
     """Windows of a stream over the event log, whose rows come up to two hours late, as its last state has them."""
     rows = table(s, d, "events").select("event_id", F.col("ts").cast("timestamp").alias("ts"), "event_type", "value")
     late = F.when(F.col("event_id") % 5 == 0, F.col("event_id") % 7200).otherwise(0)
-    source, out = H.arriving(rows, F.unix_micros("ts") + late * 1_000_000, 6, "event-log"), scratch(s, "windows")
+    source, out = H.arriving(rows, F.unix_micros("ts") + late * 1_000_000, 3, "event-log"), scratch(s, "windows")
     log = s.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(source.path)
     found = stage_windows(log, "3 hours").select("event_type", F.col("window.start").alias("start"), "n", "mean")
 
@@ -179,7 +179,7 @@ def stream_state(s, d):
     """Averages, medians, rates and rings of a stream whose rows come up to two hours late: those that the watermark has passed."""
     rows = table(s, d, "events").select(F.col("user_id").alias("key"), F.col("ts").cast("timestamp").alias("ts"), "event_id", "value")
     late = F.when(F.col("event_id") % 5 == 0, F.col("event_id") % 7200).otherwise(0)
-    source = H.arriving(rows, F.unix_micros("ts") + late * 1_000_000, 6, "samples")
+    source = H.arriving(rows, F.unix_micros("ts") + late * 1_000_000, 3, "samples")
     found = Z.replayed_series(s, source, rows.schema, "3 hours", ring=20)
     return found.select(F.col("key").alias("user_id"), "event_id", "ema", "median", F.round("rate", 9).alias("rate"), F.round("ring_mean", 6).alias("ring_mean"))
 
