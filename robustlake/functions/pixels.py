@@ -173,8 +173,8 @@ def qim_extract(value: Column, step: float) -> Column:
 def haar_means(px: Column) -> Column:
     """Means of the 2 x 2 tiles of a block, row by row: its low band."""
     tile = lambda k: (k // (SIDE // 2)) * 2 * SIDE + (k % (SIDE // 2)) * 2
-    at = lambda k: [F.element_at(px, tile(k) + d + 1) for d in (0, 1, SIDE, SIDE + 1)]
-    return F.array(*[sum(at(k)[1:], at(k)[0]) / 4 for k in range(SIDE * SIDE // 4)])
+    at = lambda p, k: [F.element_at(p, tile(k) + d + 1) for d in (0, 1, SIDE, SIDE + 1)]
+    return let(px, lambda p: F.array(*[sum(at(p, k)[1:], at(p, k)[0]) / 4 for k in range(SIDE * SIDE // 4)]))
 
 
 def haar_embed(px: Column, bits: Column, step: float) -> Column:
@@ -184,10 +184,10 @@ def haar_embed(px: Column, bits: Column, step: float) -> Column:
         level = F.when(F.pmod(near, F.lit(2)) == F.substr(bits, k + 1, F.lit(1)).cast("int"), near).otherwise(near + 1)
         return F.when(k < F.length(bits), level * step - mean).otherwise(F.lit(0.0))
 
-    shifts = F.transform(haar_means(px), shift)
     tile = lambda i: (F.floor(i / (2 * SIDE)) * (SIDE // 2) + F.floor(F.pmod(i, F.lit(SIDE)) / 2) + 1).cast("int")
-    moved = lambda v, i: F.least(F.lit(255), F.greatest(F.lit(0), F.floor(v + F.element_at(shifts, tile(i))))).cast("int")
-    return F.transform(px, moved)
+    moved = lambda v, s: F.least(F.lit(255), F.greatest(F.lit(0), F.floor(v + s))).cast("int")
+    shifts = lambda p: F.transform(haar_means(p), shift)
+    return let(px, lambda p: let(shifts(p), lambda s: F.transform(p, lambda v, i: moved(v, F.element_at(s, tile(i))))))
 
 
 def haar_extract(px: Column, n: int, step: float) -> Column:

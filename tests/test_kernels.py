@@ -101,6 +101,12 @@ def test_haar_bits_survive_their_own_tile(spark):
         assert r.got == r.bits and max(abs(a - b) for a, b in zip(r.px, r.out)) <= 28
 
 
+def test_haar_reads_its_block_once():
+    """Columns are expressions: a block that stands in one k times is computed k times."""
+    assert str(X.haar_embed(F.col("block"), F.col("bits"), 18.0)).count("block") == 1
+    assert str(X.haar_extract(F.col("block"), 16, 18.0)).count("block") == 1
+
+
 def test_combined_physical_prints_before_it_shows():
     batch, seeds = np.random.default_rng(3).integers(0, 256, (4, 16, 16)).astype(float), np.arange(4)
     for strength, printed, shown in ((0.3, 0.3, 0.0), (0.8, 0.5, 0.3)):
