@@ -57,10 +57,10 @@ def file_suffix(url: Column) -> Column:
     return F.lower(F.regexp_extract(path, r"(\.[A-Za-z0-9]+)$", 1))
 
 
-def byte_size(n: Column) -> Column:
-    """1536 -> '1.5 KB', in steps of 1024 up to TB."""
-    out = F.format_string("%.0f B", n.cast("double"))
-    for k, unit in enumerate(("KB", "MB", "GB", "TB"), 1):
+def byte_size(n: Column, units: tuple[str, ...] = ("KB", "MB", "GB", "TB")) -> Column:
+    """1536 -> '1.5 KB', in steps of 1024 up to the last of ``units``."""
+    out = F.when(n.isNotNull(), F.format_string("%.0f B", n.cast("double")))
+    for k, unit in enumerate(units, 1):
         out = F.when(n >= 1024**k, F.format_string(f"%.1f {unit}", F.floor(n / float(1024**k) * 10 + 0.5) / 10.0)).otherwise(out)
     return out
 

@@ -34,3 +34,13 @@ def test_query_equals_sql(spark, base, name):
     want = sorted((tuple(plain(r[names.index(c)]) for c in columns) for r in found.fetchall()), key=str)
     got = sorted((tuple(plain(r[c]) for c in columns) for r in df.collect()), key=str)
     assert got == want
+
+
+def test_sizes_beyond_a_thousand_gigabytes_equal_sql(spark, base, tmp_path):
+    keys = [1, 7, 5_387, 170_000, 172_387, 900_000, None]
+    rows = spark.createDataFrame([(k, c) for k, c in enumerate(keys)], "o_orderkey long, o_custkey long")
+    rows.coalesce(1).write.parquet(f"{tmp_path}/orders.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW orders AS SELECT * FROM '{tmp_path}/orders.parquet/*.parquet'")
+    got = sorted((r.o_orderkey, r["size"]) for r in QUERIES["f20_byte_size"](spark, str(tmp_path)).collect())
+    assert got == sorted(con.execute(ORACLES["f20_byte_size"]).fetchall())
