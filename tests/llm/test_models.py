@@ -81,6 +81,36 @@ def test_toxicity_sample_is_bounded_before_it_is_collected(spark):
     assert len(toxicity.training_rows(df, labels, sample=5)) <= 10
 
 
+def test_toxicity_learns_from_every_label(spark, monkeypatch):
+    """More toxic labels than a bounded sample would hold: a word that only the last of them have counts, too."""
+    monkeypatch.setattr(toxicity, "SHARD_DOCS", 1000, raising=False)
+    rng = random.Random(8)
+    words = [f"plain{k}" for k in range(300)]
+    ids = [r.i for r in spark.range(4300).select(F.col("id").alias("i")).orderBy(F.xxhash64("id"), "id").collect()]
+    text = lambda *own: " ".join([*rng.choices(words, k=12), *own])
+    rows = [(i, "en", text("foul" if k < 3600 else "vile")) for k, i in enumerate(ids)] + [(i, "en", text()) for i in range(4300, 8600)]
+    df = spark.createDataFrame(rows, "doc_id long, lang string, text string")
+    labels = spark.createDataFrame([(i, 0, int(i < 4300)) for i in range(8600)], "doc_id long, quality int, toxic int")
+    model = toxicity.fit(df, labels)
+    scores = Scorer(model).scores([text(*own).encode() for own in (["foul"], ["vile"], []) for _ in range(20)]).reshape(3, 20)
+    assert scores[:2].min() > 0.7 > scores[2].max()
+    again = toxicity.fit(df.repartition(7), labels)
+    assert (again.embeddings == model.embeddings).all() and again.threshold == model.threshold
+
+
+def test_toxicity_trains_on_long_texts_in_steps(monkeypatch):
+    rng = np.random.default_rng(2)
+    table = rng.normal(0, 1, (50, DIMS)).astype(np.float32)
+    filters, bias = [rng.normal(0, 1, (w, DIMS, FILTERS)).astype(np.float32) for w in WIDTHS], [np.zeros(FILTERS, np.float32)] * len(WIDTHS)
+    for n in (1, 2, 3, 7, 8, 9, 30):
+        rows = rng.integers(0, 50, (n, 3)).astype(np.int32)
+        whole, where = toxicity._maxima(rows, table, filters, bias)
+        with monkeypatch.context() as m:
+            m.setattr(toxicity, "STEP_WORDS", 4)
+            parts, there = toxicity._maxima(rows, table, filters, bias)
+        assert np.allclose(whole, parts, atol=1e-5) and all((a == b).all() for a, b in zip(where, there))
+
+
 def test_html_labeller_on_held_out_pages():
     pages = [labelled_blocks(5_000_000 + k) for k in range(120)]
     kept = trained().keep([features(blocks) for blocks, _ in pages])
