@@ -120,3 +120,11 @@ def variants(rows: DataFrame, method: str, params: Column, order: str) -> DataFr
     own = own.select("method", canonical_flat(F.col("members")).alias("params"), "first")
     first = own.groupBy("method", "params").agg(F.min("first").alias("first"))
     return numbered(first, "method", ["first"], "place").select("method", "place", "params", digest(F.col("params")).alias("digest"))
+
+
+def variants_of_texts(rows: DataFrame, method: str, text: Column, order: str) -> DataFrame:
+    """``variants`` of JSON texts: rows of the same text meet first, so parsing costs as much as there are texts, not rows."""
+    own = rows.select(F.col(method).alias("method"), text.alias("text"), F.col(order).alias("first"))
+    own = own.groupBy("method", "text").agg(F.min("first").alias("first"), F.count(F.lit(1)).alias("n"))
+    once = F.when(F.col("n") > 0, F.parse_json("text"))  # needs the count, so no filter on it moves below the grouping
+    return variants(own, "method", once, "first")

@@ -24,7 +24,7 @@ SELECT method, row_number() OVER (PARTITION BY method ORDER BY min(event_id)) AS
 def param_variants(s, d):
     """The different parameter sets of each method in the order in which they first came."""
     rows = table(s, d, "events").withColumn("k", F.get_json_object("props", "$.k").cast("long"))
-    return Y.variants(rows, "event_type", F.parse_json(_overrides()), "event_id")
+    return Y.variants_of_texts(rows, "event_type", _overrides(), "event_id")
 
 
 @query("f05_params_digest", r"""WITH e AS (SELECT *, json_extract_string(props, '$.k') AS k FROM events)

@@ -64,3 +64,11 @@ def test_deeper_parameters_are_refused(spark):
     deep = json.dumps({"a": {"b": {"c": {"d": {"e": 1}}}}})
     with pytest.raises(Exception, match="nested deeper"):
         spark.createDataFrame([(deep,)], "t string").select(Y.canonical(F.parse_json("t"))).collect()
+
+
+def test_variants_parse_each_text_once(spark):
+    from robustlake.plans.typed_queries import param_variants
+
+    plan = param_variants(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString().split("\n")
+    parsed = [k for k, line in enumerate(plan) if "parse_json" in line or "parseJson" in line]
+    assert parsed and max(k for k, line in enumerate(plan) if "Aggregate" in line) > max(parsed)  # below the step that parses
