@@ -10,7 +10,7 @@ from robustlake.operators import tuning as T
 from robustlake.plans.bindings import cells, profile, table, with_views
 from robustlake.plans.registry import query
 from robustlake.sources import export, writers
-from robustlake.storage import scratch
+from robustlake.storage import scratch, settled
 
 HASH = "CAST('0x' || substr(sha256('{seed}:' || {key}), 1, 15) AS BIGINT)"
 
@@ -99,9 +99,12 @@ UNION ALL SELECT 'method_profiles.csv', line_no, line FROM ({_lines(["algorithm_
 def exports(s, d):
     """Two tables of one export, read back after an export that was aborted half way and one that was replaced."""
     own = cells(s, d)
-    attacks = own.groupBy("attack_id").agg(F.count(F.lit(1)).alias("n_cells"), F.max("samples").alias("most"))
+    # the exports read their tables again and again, so the cells are met once: sums for each attack and method
+    sums = [F.count(F.lit(1)).alias("n"), F.max("samples").alias("most"), F.count_if(F.col("status") == "failed").alias("failed"), F.min("category").alias("category")]
+    both = settled(own.groupBy("attack_id", "algorithm_id").agg(*sums))
+    attacks = both.groupBy("attack_id").agg(F.sum("n").alias("n_cells"), F.max("most").alias("most"))
     quoted = F.concat(F.lit('cat "'), F.min("category"), F.lit('"')).alias("worst")
-    methods = own.groupBy("algorithm_id").agg(F.count_if(F.col("status") == "failed").alias("failed"), quoted)
+    methods = both.groupBy("algorithm_id").agg(F.sum("failed").alias("failed"), quoted)
     tables = {"attack_leaderboard.csv": writers.csv_lines(attacks, attacks.columns, ["attack_id"]), "method_profiles.csv": writers.csv_lines(methods, methods.columns, ["algorithm_id"])}
     path = scratch(s, "exports").path
     export.write_export({"method_profiles.csv": tables["method_profiles.csv"]}, path)

@@ -39,3 +39,21 @@ def test_files_of_an_export_appear_together_in_order(spark):
 def test_no_export_is_an_error(spark):
     with pytest.raises(Exception, match="no complete export"):
         X.read_export(spark, scratch(spark, "export").path).collect()
+
+
+def test_exports_meet_the_cells_once(spark, monkeypatch):
+    from robustlake.plans import search_queries as Q
+
+    seen, own = spark.sparkContext.accumulator(0), Q.cells
+
+    @F.udf("string")
+    def met(key):
+        seen.add(1)
+        return key
+
+    def counted(s, d):
+        return own(s, d).withColumn("attack_id", met("attack_id"))
+
+    total = own(spark, "/root/testdata/sf0.001").count()
+    monkeypatch.setattr(Q, "cells", counted)
+    assert Q.exports(spark, "/root/testdata/sf0.001").count() > 0 and seen.value == total
