@@ -209,7 +209,7 @@ def _pieces(rows: np.ndarray, table: np.ndarray) -> Iterator[tuple[int, np.ndarr
     pad, n = max(WIDTHS) - 1, len(rows)
     for at in range(0, max(n, 1), STEP_WORDS):
         part = rows[at : at + STEP_WORDS + pad]
-        vectors = np.zeros((min(STEP_WORDS, max(n - at, 0)) + pad, table.shape[1]), np.float32)
+        vectors = np.zeros((min(STEP_WORDS, max(n - at, 1)) + pad, table.shape[1]), np.float32)
         vectors[: len(part)] = table[part].sum(axis=1)
         yield at, vectors
 
